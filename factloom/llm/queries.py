@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from .common import table
-from . import exact_dedup
+from . import exact_dedup, warc
 
 
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark, sf_dir):
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql():
-    return {"op2_exact_dedup": exact_dedup.ORACLE}
+    return {"op2_exact_dedup": exact_dedup.ORACLE, "op5_warc": warc.ORACLE}
