@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from .common import table
-from . import exact_dedup, warc
+from . import exact_dedup, secrets, warc
 
 
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_secrets(spark, sf_dir):
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op5_warc(spark, sf_dir):
     return warc.archive(table(spark, sf_dir, "pages"))
 
