@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from .common import table
-from . import exact_dedup, secrets, warc
+from . import exact_dedup, secrets, token_files, warc
 
 
 def op2_exact_dedup(spark, sf_dir):
@@ -18,6 +20,10 @@ def op5_warc(spark, sf_dir):
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
+def op6_token_files(spark, sf_dir):
+    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
