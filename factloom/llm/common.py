@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The characters that separate words, as bytes: space and 0x09 to 0x0D.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -144,3 +145,17 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
                 return out
             half = size // 2
             power = mix(power[:-half] * a + power[half:] * b)
+
+
+#: A side of a join is broadcast up to this many rows or bytes of its written table; beyond, Spark shuffles both.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 48 << 20
+
+
+def small_enough(table: DataFrame, row_bytes: int = 64) -> bool:
+    """Whether a written table may be broadcast; counts it (a read of Parquet footers)."""
+    return table.count() <= min(BROADCAST_ROWS, BROADCAST_BYTES // row_bytes)
+
+
+def maybe_broadcast(table: DataFrame, row_bytes: int = 64) -> DataFrame:
+    """A written table, hinted for broadcast only if its counted size is within the bound."""
+    return F.broadcast(table) if small_enough(table, row_bytes) else table

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from .common import table
-from . import exact_dedup, secrets, token_files, warc
+from . import exact_dedup, secrets, substring_dedup, token_files, warc
 
 
 def op2_exact_dedup(spark, sf_dir):
@@ -24,6 +24,10 @@ def op6_token_files(spark, sf_dir):
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_substring_dedup(spark, sf_dir):
+    return substring_dedup.digest(substring_dedup.dedup_passages(table(spark, sf_dir, "documents")))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
