@@ -5,7 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 
 from .common import table
-from . import exact_dedup, secrets, substring_dedup, token_files, warc
+from . import exact_dedup, jaccard_join, secrets, substring_dedup, token_files, warc
+
+
+def op1_jaccard_join(spark, sf_dir):
+    return jaccard_join.Similarity(3, 90, 100).join(table(spark, sf_dir, "documents"))
 
 
 def op2_exact_dedup(spark, sf_dir):
