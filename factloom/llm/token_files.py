@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import struct
 import zlib
 
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import maybe_broadcast, new_path, written
 
 MAGIC = b"DAC1"
 STEP = 512
@@ -82,6 +83,13 @@ class Codes:
         return value
 
 
+#: The letters that stand for bytes in byte-level vocabularies; Latin letters whose lower case
+#: and composition depend on nothing around them.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = dict(zip([b for b in range(256) if b not in _PLAIN], range(256, 512)))
+LETTERS = re.compile(r"[a-zA-Z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F]+")
+
+
 class WordEncoder:
     """Encodes texts with a tokenizers file, word by word with memory.
 
@@ -94,23 +102,43 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}  # words met lately
         self.before: dict[str, bytes] = {}  # and those met before them
 
+        self.direct = False
+        probe = ["a", "the", "thndesea", "größe", "œuvreç", "ññandú"]
+        self.direct = self._ids(probe) == [self._merged(w) for w in probe]
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [struct.pack(f"<{len(e)}I", *e.ids) for e in found]
+
+    def _merged(self, word: str) -> bytes:
+        """The ids of one lower-case word of letters by the merges alone: no split or mapping can change it."""
+        word = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return struct.pack(f"<{len(got := [t.id for t in self.model.tokenize(word)])}I", *got)
 
     def _learn(self, words: set[str]) -> None:
         """Ids of words; those of a word with one mark behind are the word's and the mark's."""
-        parts = {}
+        known, direct, whole, parts = self.known, self.direct, [], []
         for w in words:
             x = w.lower() if w.isascii() else w
-            parts[w] = (x[:-1], x[-1]) if len(x) > 1 and x[-1] in ".,;:!?" and x[-2].isascii() and x[-2].isalnum() else (x,)
-        new = list({x for p in parts.values() for x in p if x not in self.known})
-        self.known.update(zip(new, self._ids(new)))
-        self.known.update((w, b"".join(self.known[x] for x in p)) for w, p in parts.items())
+            mark = ""
+            if x and x[-1] in ".,;:!?" and x[-2:-1].isalnum() and x[-2:-1].isascii():
+                x, mark = x[:-1], x[-1]
+            if x not in known:
+                if direct and LETTERS.fullmatch(x):
+                    known[x] = self._merged(x.lower())
+                else:
+                    whole.append(x)
+            if mark or x is not w:
+                if mark and mark not in known:
+                    whole.append(mark)
+                parts.append((w, x, mark))
+        known.update(zip(whole, self._ids(whole)))
+        known.update((w, known[x] + known[m] if m else known[x]) for w, x, m in parts)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -195,6 +223,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     docs_kind = to_arrow_type(kind)
+    # One row a file: broadcast while they are few, as blocks are large.
+    parts = maybe_broadcast(written(parts, "token-parts"))
     return blocks.join(parts, "part").select("docs", "codes", "before", "offset").mapInArrow(run, f"doc_id {kind.simpleString()}, start long, n_tokens long, ids_crc32 long")
 
 
