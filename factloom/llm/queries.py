@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from .common import table
-from . import exact_dedup, jaccard_join, secrets, substring_dedup, token_files, warc
+from . import exact_dedup, fingerprints, jaccard_join, mixing, secrets, substring_dedup, token_files, warc
 
 
 def op1_jaccard_join(spark, sf_dir):
@@ -16,6 +16,10 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_fingerprints(spark, sf_dir):
+    return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark, sf_dir):
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -28,6 +32,10 @@ def op6_token_files(spark, sf_dir):
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_mixing(spark, sf_dir):
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark, sf_dir):
     return substring_dedup.digest(substring_dedup.dedup_passages(table(spark, sf_dir, "documents")))
 
