@@ -66,7 +66,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at
 
 
-def slices(at: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def slices(at: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Runs of rows of about `most` bytes; a longer row is a run by itself."""
     i, n = 0, len(at) - 1
     while i < n:
@@ -78,14 +78,15 @@ def slices(at: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
 class Words:
     """The words of consecutive rows: where each starts and ends, its row, and a 64-bit hash."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, lower: bool = False, seeds: tuple[int, ...] = (1,)):
+    def __init__(self, data: np.ndarray, at: np.ndarray, lower: bool = False, seeds: tuple[int, ...] = (1,), letters: np.ndarray | None = None):
+        """letters: for each byte, whether it belongs to words; all but white space if not given."""
         base = int(at[0])
         data, at = data[base : int(at[-1])], at - base
         self.rows = len(at) - 1
         if lower:
             data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
         self.data, self.at = data, at
-        word = ~((data == 32) | ((data >= 9) & (data <= 13)))
+        word = ~((data == 32) | ((data >= 9) & (data <= 13))) if letters is None else letters[data]
         before, after = np.empty_like(word), np.empty_like(word)
         if len(word):
             before[0], before[1:] = False, word[:-1]
@@ -98,9 +99,12 @@ class Words:
         self.first = np.searchsorted(self.start, at)  # of each row, and the end
         self.count = np.diff(self.first)
         self.row = np.repeat(np.arange(self.rows), self.count)
-        self.hash = [self._hashed(word, s) for s in seeds]
+        self.word = word
+        self.hash = [self.hashed(s) for s in seeds]
 
-    def _hashed(self, word: np.ndarray, seed: int) -> np.ndarray:
+    def hashed(self, seed: int, most: int | None = None) -> np.ndarray:
+        """Hashes of the words, or of their first `most` bytes."""
+        word = self.word
         if not len(self.start):
             return np.zeros(0, np.uint64)
         s0 = int(self.start[0])
@@ -112,6 +116,9 @@ class Words:
         with np.errstate(over="ignore"):
             values = (randoms(int(length.max()), seed * 104729) | np.uint64(1))[place] * chars[d]
             values[~word[s0:]] = 0
+            if most is not None:
+                values[place >= most] = 0
+                length = np.minimum(length, most)
             return mix(np.add.reduceat(values, st) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def runs(self, k: int) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from .common import table
-from . import exact_dedup, fingerprints, jaccard_join, mixing, secrets, substring_dedup, token_files, warc
+from . import exact_dedup, fingerprints, jaccard_join, mixing, secrets, substring_dedup, token_files, toxicity, warc
 
 
 def op1_jaccard_join(spark, sf_dir):
@@ -40,6 +40,10 @@ def op8_substring_dedup(spark, sf_dir):
     return substring_dedup.digest(substring_dedup.dedup_passages(table(spark, sf_dir, "documents")))
 
 
+def op9_toxicity(spark, sf_dir):
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
