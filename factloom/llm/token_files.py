@@ -16,18 +16,19 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, new_path, written
+from .common import Words, maybe_broadcast, new_path, slices, text_bytes, written
 
 MAGIC = b"DAC1"
 STEP = 512
 #: A block ends with the document that brings it to this many tokens, or at this many documents.
 BLOCK_TOKENS, BLOCK_DOCS = 1 << 18, 4096
 #: Words that a task remembers the ids of.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_500_000
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -93,8 +94,8 @@ LETTERS = re.compile(r"[a-zA-Z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u01
 class WordEncoder:
     """Encodes texts with a tokenizers file, word by word with memory.
 
-    The file's pre-tokenizer never joins what a space, tab or line end separates, so the ids of a text are
-    those of its pieces between them. Texts with a special token's string are encoded whole.
+    The file's pre-tokenizer never joins what white space separates, so the ids of a text are those of its
+    words. Words are known by 64-bit hashes. Rows with a special token's string are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -104,57 +105,80 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}  # words met lately
-        self.before: dict[str, bytes] = {}  # and those met before them
-
-        self.direct = False
+        self._forget()
         probe = ["a", "the", "thndesea", "größe", "œuvreç", "ññandú"]
-        self.direct = self._ids(probe) == [self._merged(w) for w in probe]
+        self.direct = self._whole(probe) == [self._merged(w) for w in probe]
+
+    def _forget(self) -> None:
+        self.words = np.zeros(0, np.uint64)  # sorted hashes
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of their ids
+        self.ids = np.zeros(0, np.uint32)
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [struct.pack(f"<{len(e)}I", *e.ids) for e in found]
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _merged(self, word: str) -> bytes:
+    def _merged(self, word: str) -> list[int]:
         """The ids of one lower-case word of letters by the merges alone: no split or mapping can change it."""
         word = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
-        return struct.pack(f"<{len(got := [t.id for t in self.model.tokenize(word)])}I", *got)
-
-    def _learn(self, words: set[str]) -> None:
-        """Ids of words; those of a word with one mark behind are the word's and the mark's."""
-        known, direct, whole, parts = self.known, self.direct, [], []
-        for w in words:
-            x = w.lower() if w.isascii() else w
-            mark = ""
-            if x and x[-1] in ".,;:!?" and x[-2:-1].isalnum() and x[-2:-1].isascii():
-                x, mark = x[:-1], x[-1]
-            if x not in known:
-                if direct and LETTERS.fullmatch(x):
-                    known[x] = self._merged(x.lower())
-                else:
-                    whole.append(x)
-            if mark or x is not w:
-                if mark and mark not in known:
-                    whole.append(mark)
-                parts.append((w, x, mark))
-        known.update(zip(whole, self._ids(whole)))
-        known.update((w, known[x] + known[m] if m else known[x]) for w, x, m in parts)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        plain = [any(s in t for s in self.special) for t in texts]
-        split = [[] if odd else t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t, odd in zip(texts, plain)]
-        words = set().union(*split)
-        if len(self.known) > CACHE_WORDS:
-            self.before, self.known = self.known, {}
-        if new := words.difference(self.known):
-            if self.before:
-                old = self.before
-                self.known.update((w, old[w]) for w in new if w in old)
-                new = new.difference(self.known)
-            self._learn(new)
-        get = self.known.__getitem__
-        return [self._ids([t])[0] if odd else b"".join(map(get, x)) for t, x, odd in zip(texts, split, plain)]
+        return [t.id for t in self.model.tokenize(word)]
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        if len(self.words) + len(words) > CACHE_WORDS:
+            self._forget()
+        found: list = [None] * len(words)
+        rest = []
+        for i, w in enumerate(words):
+            if self.direct and LETTERS.fullmatch(w):
+                found[i] = self._merged(w.lower())
+            elif self.direct and w[-1] in ".,;:!?" and LETTERS.fullmatch(w[:-1]):
+                found[i] = self._merged(w[:-1].lower()) + self._mark(w[-1])
+            else:
+                rest.append(i)
+        for i, ids in zip(rest, self._whole([words[i] for i in rest])):
+            found[i] = ids
+        size = np.array([len(x) for x in found], np.int64)
+        start = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], np.uint32)])
+        both = np.concatenate([self.words, hashes])
+        order = np.argsort(both, kind="stable")
+        self.words, self.start, self.size = both[order], np.concatenate([self.start, start])[order], np.concatenate([self.size, size])[order]
+
+    @functools.cache
+    def _mark(self, mark: str) -> list[int]:
+        return self._whole([mark])[0]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows one after another, and how many each has."""
+        ids, sizes = [], []
+        column = column.fill_null("")
+        odd = np.zeros(len(column), bool)
+        for s in self.special:
+            odd |= pc.match_substring(column, s).to_numpy(zero_copy_only=False)
+        data, at = text_bytes(column)
+        for i, j in slices(at):
+            w = Words(data, at[i : j + 1])
+            hashes, where, back = np.unique(w.hash[0], return_index=True, return_inverse=True)
+            place = np.minimum(np.searchsorted(self.words, hashes), max(0, len(self.words) - 1))
+            new = self.words[place] != hashes if len(self.words) else np.ones(len(hashes), bool)
+            if new.any():
+                if len(self.words) + np.count_nonzero(new) > CACHE_WORDS:
+                    self._forget()
+                    new[:] = True
+                raw = w.data.tobytes()
+                self._learn(hashes[new], [raw[w.start[k] : w.end[k]].decode() for k in where[new].tolist()])
+                place = np.searchsorted(self.words, hashes)
+            start, size = self.start[place][back], self.size[place][back]
+            ends = np.cumsum(size)
+            own = self.ids[np.repeat(start - (ends - size), size) + np.arange(int(size.sum()))]
+            count = np.diff(np.concatenate([[0], ends])[w.first])
+            if odd[i:j].any():
+                parts = np.split(own, np.cumsum(count)[:-1])
+                for k in np.flatnonzero(odd[i:j]).tolist():
+                    parts[k] = np.array(self._whole([column[i + k].as_py()])[0], np.uint32)
+                own, count = np.concatenate(parts), np.array([len(p) for p in parts])
+            ids.append(own)
+            sizes.append(count)
+        return np.concatenate(ids or [np.zeros(0, np.uint32)]), np.concatenate(sizes or [np.zeros(0, np.int64)])
 
 
 @functools.cache
@@ -174,25 +198,24 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
 
     def run(batches):
         encoder, part, block, before = _encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
         names: list[dict] = []
-        tokens, end = 0, np.array([end_id], "<u4").tobytes()
+        tokens, end = 0, np.array([end_id], np.uint32)
 
         def row():
-            return pa.RecordBatch.from_pylist([{"part": part, "block": block, "before": before, "docs": names, "n_tokens": tokens, "codes": pack(np.frombuffer(b"".join(ids), "<u4"))}], out)
+            return pa.RecordBatch.from_pylist([{"part": part, "block": block, "before": before, "docs": names, "n_tokens": tokens, "codes": pack(np.concatenate(ids))}], out)
 
         out = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("docs", pa.list_(pa.struct([("doc_id", docs_kind), ("n_tokens", pa.int32())]))), ("n_tokens", pa.int64()), ("codes", pa.binary())])
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                some = b.slice(i, 256)
-                for doc, code in zip(some.column("doc_id").to_pylist(), encoder.encode(some.column("text").fill_null("").to_pylist())):
-                    ids += (code, end)
-                    names.append({"doc_id": doc, "n_tokens": len(code) // 4 + 1})
-                    tokens += len(code) // 4 + 1
-                    if tokens >= BLOCK_TOKENS or len(names) >= BLOCK_DOCS:
-                        yield row()
-                        block, before = block + 1, before + tokens
-                        ids, names, tokens = [], [], 0
+            found, sizes = encoder.encode(b.column("text"))
+            for doc, code in zip(b.column("doc_id").to_pylist(), np.split(found, np.cumsum(sizes)[:-1])):
+                ids += (code, end)
+                names.append({"doc_id": doc, "n_tokens": len(code) + 1})
+                tokens += len(code) + 1
+                if tokens >= BLOCK_TOKENS or len(names) >= BLOCK_DOCS:
+                    yield row()
+                    block, before = block + 1, before + tokens
+                    ids, names, tokens = [], [], 0
         if names:
             yield row()
 
