@@ -110,6 +110,7 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     heads = heads.select("head", F.coalesce(F.lag("part").over(order), F.max("part").over(Window.partitionBy())).alias("to"))
     ahead = rows.join(F.broadcast(heads), F.col("doc_id") == F.col("head")).select("doc_id", "text", "part", "to", F.lit(1).alias("ahead"))
     laid = rows.select("doc_id", "text", "part", F.col("part").alias("to"), F.lit(0).alias("ahead")).unionByName(ahead)
+    laid = laid.repartition(parts, "to")  # a task then counts the words of few documents at a time
 
     line = Window.partitionBy("to").orderBy("ahead", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
     place = F.row_number().over(line)
@@ -121,7 +122,8 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.expr("left(text, length(text) - length(text) div 2)"), F.coalesce(F.expr("left(next_text, cast(length(text) div 2 as int))"), F.lit("")))
     seen = seen.withColumn("edited", F.when(half == 0, F.col("text")).otherwise(edited))
     facts = seen.select("to", "place", F.lit(-1).alias("side"), "doc_id", size.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "next_part", "next_place")
-    sides = seen.select("to", "place", F.posexplode(F.array("text", "edited")).alias("side", "one"))
+    # The condition holds for all rows; it keeps both branches on the same columns, so they share one shuffle.
+    sides = seen.where("coalesce(next_part, 0) >= 0").select("to", "place", F.posexplode(F.array("text", "edited")).alias("side", "one"))
     words = sides.select("to", "place", "side", F.explode(F.split("one", SPLIT)).alias("word")).where("word != ''")
     table = written(facts.unionByName(signatures(words, ["to", "place", "side"]), allowMissingColumns=True), "signatures")
 
