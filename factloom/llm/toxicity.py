@@ -19,9 +19,10 @@ from .common import Words, maybe_broadcast, mix, slices, text_bytes, written
 
 PREFIXES = (4, 5, 6)
 #: Parameters: features kept, labelled examples of each label in the index, neighbours, rows of a block, the
-#: weight of the prior in a vote, the least likelihood ratio of a feature and its least number of rows.
+#: weight of the prior in a vote, a feature's least likelihood ratio, its least lift (how much more often toxic
+#: rows have it than others) and its least number of toxic rows.
 FEATURES, EXAMPLES, NEIGHBOURS, BLOCK = 4000, 4096, 15, 64
-PRIOR_WEIGHT, LEAST_RATIO, LEAST_ROWS = 0.05, 15.0, 5
+PRIOR_WEIGHT, LEAST_RATIO, LEAST_LIFT, LEAST_ROWS = 0.5, 20.0, 1.5, 5
 THRESHOLD = 0.7
 #: Local counts that a task holds before it passes them on.
 HELD = 1_000_000
@@ -29,8 +30,14 @@ HELD = 1_000_000
 LETTERS = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
 
-def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, feature, times) of each row's features, sorted."""
+def known(feature: np.ndarray, names: np.ndarray) -> np.ndarray:
+    if not len(names):
+        return np.zeros(len(feature), bool)
+    return names[np.minimum(np.searchsorted(names, feature), len(names) - 1)] == feature
+
+
+def features(data: np.ndarray, at: np.ndarray, names: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, times) of each row's features, sorted; only those of names (sorted), if given."""
     w = Words(data, at, lower=True, letters=LETTERS)
     length = w.end - w.start
     rows, found = [w.row], [w.hash[0]]
@@ -39,6 +46,9 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         rows.append(w.row[longer])
         found.append(mix(w.hashed(1, p)[longer] ^ np.uint64(p)))
     row, feature = np.concatenate(rows), np.concatenate(found)
+    if names is not None:
+        own = known(feature, names)
+        row, feature = row[own], feature[own]
     order = np.lexsort((feature, row))
     row, feature = row[order], feature[order]
     new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (feature[1:] != feature[:-1])])) if len(row) else np.zeros(0, int)
@@ -92,7 +102,8 @@ class Model:
     idf: np.ndarray
     doc_ids: list
     toxic: np.ndarray
-    postings: list  # for each feature: block -> (rows in it, weights)
+    rows: list  # for each feature: the examples that have it, ascending
+    weights: list  # and their weights
     bounds: np.ndarray  # feature x block: the greatest weight
     prior: float  # of rows that have features
     prior_without: float
@@ -102,33 +113,41 @@ class Model:
         if not len(self.names):
             return np.zeros(0, int), np.zeros(0)
         at = np.minimum(np.searchsorted(self.names, feature), len(self.names) - 1)
-        known = self.names[at] == feature
-        at, w = at[known], (1 + np.log(times[known])) * self.idf[at[known]]
+        own = self.names[at] == feature
+        at, w = at[own], (1 + np.log(times[own])) * self.idf[at[own]]
         return at, w / (np.sqrt((w * w).sum()) or 1.0)
 
     def nearest(self, at: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the greatest cosine, nearest first, ties by position; exact."""
         bound = weights @ self.bounds[at]
-        ids, sims = np.zeros(0, int), np.zeros(0)
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or len(sims) >= k and bound[block] < sims[k - 1] - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(at, weights):
-                if (hit := self.postings[t].get(block)) is not None:
-                    score[hit[0]] += w * hit[1]
-            rows = np.flatnonzero(score)
-            ids, sims = np.append(ids, rows + block * BLOCK), np.append(sims, score[rows])
-            order = np.lexsort((ids, -sims))[:k]
-            ids, sims = ids[order], sims[order]
+        blocks = np.argsort(-bound, kind="stable")
+        blocks = blocks[bound[blocks] > 0]
+        ids, sims, done, batch = np.zeros(0, int), np.zeros(0), 0, 2
+        while done < len(blocks) and (len(sims) < k or bound[blocks[done]] >= sims[k - 1] - 1e-12):
+            some = np.sort(blocks[done : done + batch])
+            hits = [(self.rows[t][a:e], w * self.weights[t][a:e]) for t, w in zip(at, weights) for a, e in self._runs(t, some)]
+            if hits:
+                rows, own = np.unique(np.concatenate([h[0] for h in hits]), return_inverse=True)
+                ids = np.append(ids, rows)
+                sims = np.append(sims, np.bincount(own, weights=np.concatenate([h[1] for h in hits])))
+                order = np.lexsort((ids, -sims))[:k]
+                ids, sims = ids[order], sims[order]
+            done, batch = done + batch, batch * 2
         return ids, sims
 
+    def _runs(self, t: int, blocks: np.ndarray):
+        """Where the postings of feature t that lie in blocks (sorted) start and end."""
+        starts = np.searchsorted(self.rows[t], blocks * BLOCK)
+        ends = np.searchsorted(self.rows[t], (blocks + 1) * BLOCK)
+        return [(a, e) for a, e in zip(starts.tolist(), ends.tolist()) if e > a]
+
     def score(self, feature: np.ndarray, times: np.ndarray) -> tuple[float, list]:
-        """The vote of the nearest examples, each by its cosine, drawn to the prior; and their doc_ids."""
+        """The vote of the nearest examples, each by its squared cosine, drawn to the prior; and their doc_ids."""
         at, weights = self.vector(feature, times)
         if not len(at):
             return self.prior_without, []
         ids, sims = self.nearest(at, weights, NEIGHBOURS)
+        sims = sims * sims
         vote = (float((sims * self.toxic[ids]).sum()) + PRIOR_WEIGHT * self.prior) / (float(sims.sum()) + PRIOR_WEIGHT)
         return min(1.0, max(0.0, vote)), [self.doc_ids[i] for i in ids[:3]]
 
@@ -149,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         p, q = F.col("pos").cast("double"), F.col("neg").cast("double")
         both = p + q
         ratio = 2 * (term(p, both * pos / n) + term(q, both * neg / n) + term(pos - p, (n - both) * pos / n) + term(neg - q, (n - both) * neg / n))
-        useful = _counts(train).where(F.col("pos") >= LEAST_ROWS).where(p / pos > q / neg).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
+        useful = _counts(train).where(F.col("pos") >= LEAST_ROWS).where(p / pos >= LEAST_LIFT * q / neg).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
         chosen = useful.orderBy(F.desc("ratio"), "feature").limit(FEATURES).collect()
     names = np.array([r["feature"] for r in chosen], np.int64).view(np.uint64)
     order = np.argsort(names)
@@ -161,9 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             data, at = text_bytes(b.column("text"))
             ids, toxic, out = b.column("doc_id").to_pylist(), b.column("toxic").to_pylist(), []
             for i, j in slices(at):
-                row, feature, times = features(data, at[i : j + 1])
-                known = np.isin(feature, names)
-                row, feature, times = row[known], feature[known], times[known]
+                row, feature, times = features(data, at[i : j + 1], names)
                 for r in np.unique(row).tolist():
                     own = row == r
                     out.append({"doc_id": ids[i + r], "toxic": int(toxic[i + r] > 0), "features": feature[own].view(np.int64).tolist(), "times": times[own].tolist()})
@@ -176,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         having |= {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
         for y in (0, 1):
             examples += rows.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES).collect()
-    model = Model(names, idf, [r["doc_id"] for r in examples], np.array([r["toxic"] for r in examples], float), [{} for _ in names], np.zeros((len(names), -(-max(1, len(examples)) // BLOCK))), 0.5, 0.5)
+    model = Model(names, idf, [r["doc_id"] for r in examples], np.array([r["toxic"] for r in examples], float), [np.zeros(0, int)] * len(names), [np.zeros(0)] * len(names), np.zeros((len(names), -(-max(1, len(examples)) // BLOCK))), 0.5, 0.5)
     if pos + neg:
         model.prior = (having[1] + 1) / (sum(having.values()) + 2)
         model.prior_without = (pos - having[1] + 0.5) / (pos + neg - sum(having.values()) + 1)
@@ -184,10 +201,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     for i, r in enumerate(examples):
         at, weights = model.vector(np.array(r["features"], np.int64).view(np.uint64), np.array(r["times"], float))
         for t, w in zip(at.tolist(), weights.tolist()):
-            lists.setdefault((t, i // BLOCK), []).append((i % BLOCK, w))
-    for (t, block), hits in lists.items():
-        model.postings[t][block] = (np.array([h[0] for h in hits]), np.array([h[1] for h in hits]))
-        model.bounds[t, block] = max(h[1] for h in hits)
+            lists.setdefault(t, []).append((i, w))
+            model.bounds[t, i // BLOCK] = max(model.bounds[t, i // BLOCK], w)
+    for t, hits in lists.items():
+        model.rows[t], model.weights[t] = np.array([h[0] for h in hits]), np.array([h[1] for h in hits])
     return model
 
 
@@ -206,9 +223,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             data, at = text_bytes(b.column("text"))
             scores, evidence = np.full(b.num_rows, model.prior_without), [[] for _ in range(b.num_rows)]
             for i, j in slices(at):
-                row, feature, times = features(data, at[i : j + 1])
-                known = np.isin(feature, model.names)
-                row, feature, times = row[known], feature[known], times[known]
+                row, feature, times = features(data, at[i : j + 1], model.names)
                 cut = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else []
                 for s, e in zip(cut, [*cut[1:], len(row)]):
                     scores[i + row[s]], evidence[i + row[s]] = model.score(feature[s:e], times[s:e])
