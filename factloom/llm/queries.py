@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from .common import table
-from . import exact_dedup, fingerprints, jaccard_join, mixing, secrets, substring_dedup, token_files, toxicity, warc
+from . import byte_bpe, exact_dedup, fingerprints, jaccard_join, mixing, secrets, substring_dedup, token_files, toxicity, warc
 
 
 def op1_jaccard_join(spark, sf_dir):
@@ -44,6 +44,12 @@ def op9_toxicity(spark, sf_dir):
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_byte_bpe(spark, sf_dir):
+    ranks = byte_bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return byte_bpe.decode(encoded, ranks).drop("decoded")
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
