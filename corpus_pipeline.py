@@ -1,7 +1,92 @@
-"""Stub until its stages exist."""
-STAGES = []
+"""A corpus from documents to token ids: toxicity, exact and near duplicates, mixing, byte-level BPE.
+
+Each stage takes (spark, docs, sf_dir), works on all that the stage before kept and returns the rows that
+stay with the columns of documents; the last returns their token ids. Rows without doc_id pass the filters
+of the first three stages except as exact copies; empty tables give empty results.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from factloom.llm import byte_bpe, exact_dedup, mixing, toxicity
+from factloom.llm.common import maybe_broadcast, table, written
+from factloom.llm.jaccard_join import Similarity
+
+#: The near-duplicate stage: shingles of five words, similarity of 0.8 or more.
+NEAR = Similarity(5, 80, 100)
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs without the rows of the given ids; ids are broadcast while they are few."""
+    return docs.join(maybe_broadcast(written(dropped.select("doc_id").distinct(), "dropped")), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text is not predicted to be toxic."""
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    toxic = toxicity.score(keyed.select(F.struct("doc_id", "_key").alias("doc_id"), "text"), model).where(F.col("score") >= toxicity.THRESHOLD)
+    toxic = maybe_broadcast(written(toxic.select("doc_id.*").distinct().withColumnsRenamed({"doc_id": "t_id", "_key": "t_key"}), "toxic"))
+    return keyed.join(toxic, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("_key") == F.col("t_key")), "left_anti").select(*docs.columns)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal but for white space, the longest original, then the smallest doc_id."""
+    groups = written(exact_dedup.exact_groups(docs), "exact-groups")
+    dropped = groups.where("NOT kept").select("doc_id").distinct()
+    kept = groups.where("kept").select("doc_id", "text_sha256")
+    rest = _without(docs, dropped)
+    # Ids that have kept and dropped rows: repeated rows, or other texts under one id.
+    both = written(kept.join(dropped, kept["doc_id"].eqNullSafe(dropped["doc_id"]), "left_semi").withColumnsRenamed({"doc_id": "k_id"}), "kept-and-dropped")
+    sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]", ""), 256)
+    some = docs.withColumn("_sha", sha).join(maybe_broadcast(both, 150), F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("_sha") == F.col("text_sha256")), "left_semi")
+    first = Window.partitionBy("doc_id", "_sha").orderBy(F.length("text").desc_nulls_last(), F.xxhash64(*docs.columns))
+    some = some.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*docs.columns)
+    # An anti join keeps rows without doc_id; they are in the second part if any of them was dropped.
+    null_dropped = not dropped.where("doc_id IS NULL").isEmpty()
+    null_kept = kept.where("doc_id IS NULL").select("text_sha256")
+    if null_dropped:
+        nulls = docs.where("doc_id IS NULL").withColumn("_sha", sha).join(null_kept.withColumnRenamed("text_sha256", "_sha"), "_sha", "left_semi")
+        nulls = nulls.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*docs.columns)
+        return rest.where("doc_id IS NOT NULL").unionByName(some.where("doc_id IS NOT NULL")).unionByName(nulls)
+    return rest.unionByName(some)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word shingles, directly or through others, the smallest doc_id."""
+    return _without(docs, NEAR.join(docs).where("component_id != doc_id"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it."""
+    taken = mixing.mix_sources(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "m_id")
+    taken = maybe_broadcast(written(taken.where("_copies > 0"), "taken"), 32)
+    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("m_id"))).withColumn("_nth", F.explode(F.expr("sequence(1L, _copies)"))).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of the ids and of the text they decode to, of each row."""
+    ranks = byte_bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_exact_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing sources", mix_sources),
+    ("byte-level BPE", encode),
+]
+#: The scores, the sampling order and the merges cannot be expressed in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from .common import Words, maybe_broadcast, mix, slices, text_bytes, written
 
@@ -107,6 +109,7 @@ class Model:
     bounds: np.ndarray  # feature x block: the greatest weight
     prior: float  # of rows that have features
     prior_without: float
+    id_type: DataType  # of doc_ids
 
     def vector(self, feature: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions among the model's features and the unit TF-IDF weights."""
@@ -193,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         having |= {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
         for y in (0, 1):
             examples += rows.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES).collect()
-    model = Model(names, idf, [r["doc_id"] for r in examples], np.array([r["toxic"] for r in examples], float), [np.zeros(0, int)] * len(names), [np.zeros(0)] * len(names), np.zeros((len(names), -(-max(1, len(examples)) // BLOCK))), 0.5, 0.5)
+    model = Model(names, idf, [r["doc_id"] for r in examples], np.array([r["toxic"] for r in examples], float), [np.zeros(0, int)] * len(names), [np.zeros(0)] * len(names), np.zeros((len(names), -(-max(1, len(examples)) // BLOCK))), 0.5, 0.5, docs.schema["doc_id"].dataType)
     if pos + neg:
         model.prior = (having[1] + 1) / (sum(having.values()) + 2)
         model.prior_without = (pos - having[1] + 0.5) / (pos + neg - sum(having.values()) + 1)
@@ -217,6 +220,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by FEATURES and EXAMPLES
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    evidence_type = to_arrow_type(model.id_type)
+
     def run(batches):
         model = shared.value
         for b in batches:
@@ -227,9 +232,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 cut = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else []
                 for s, e in zip(cut, [*cut[1:], len(row)]):
                     scores[i + row[s]], evidence[i + row[s]] = model.score(feature[s:e], times[s:e])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores), pa.array(evidence, pa.list_(b.schema.field("doc_id").type))], ["doc_id", "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores), pa.array(evidence, pa.list_(evidence_type))], ["doc_id", "score", "evidence"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, evidence array<{kind}>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, evidence array<{model.id_type.simpleString()}>")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
