@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from factloom.plans import core
+
 
 def queries():
-    return {}
+    return dict(core.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(core.SQL)
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def flagship(spark, sf_dir) -> DataFrame:
+    """Events linked to the latest earlier order of their patient, counted by whether one was found."""
+    linked = core.j1_asof_link(spark, sf_dir)
+    return linked.groupBy(F.col("linked_to").isNotNull().alias("linked")).agg(F.count("*").alias("events"))
