@@ -39,7 +39,12 @@ def _samples(n: int, low: Column, high: Column, log_weight: Column) -> list[Colu
     """The least packed values (ln a above, the word's bits below) of n samples, as aggregates."""
     draw = random.Random(SEED)
     gamma = _gamma_quantiles(1024)
-    r_table, c_table = F.lit(gamma), F.lit([math.log(g) for g in gamma])
+
+    def constant(values: list[float]) -> Column:
+        # One literal when the plan is optimised, instead of a node for each value.
+        return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+
+    r_table, c_table = constant(gamma), constant([math.log(g) for g in gamma])
     out = []
     for _ in range(n):
         # Bits of the word for this sample, from the middle of two products of 31 and 31 bits, which do not
