@@ -24,6 +24,7 @@ PREFIXES = (4, 5, 6)
 #: weight of the prior in a vote, a feature's least likelihood ratio, its least lift (how much more often toxic
 #: rows have it than others) and its least number of toxic rows.
 FEATURES, EXAMPLES, NEIGHBOURS, BLOCK = 4000, 4096, 15, 64
+FIRST_BLOCKS = 4
 PRIOR_WEIGHT, LEAST_RATIO, LEAST_LIFT, LEAST_ROWS = 0.5, 20.0, 1.5, 5
 THRESHOLD = 0.7
 #: Local counts that a task holds before it passes them on.
@@ -123,26 +124,26 @@ class Model:
     def nearest(self, at: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the greatest cosine, nearest first, ties by position; exact."""
         bound = weights @ self.bounds[at]
-        blocks = np.argsort(-bound, kind="stable")
-        blocks = blocks[bound[blocks] > 0]
-        ids, sims, done, batch = np.zeros(0, int), np.zeros(0), 0, 2
-        while done < len(blocks) and (len(sims) < k or bound[blocks[done]] >= sims[k - 1] - 1e-12):
-            some = np.sort(blocks[done : done + batch])
-            hits = [(self.rows[t][a:e], w * self.weights[t][a:e]) for t, w in zip(at, weights) for a, e in self._runs(t, some)]
-            if hits:
-                rows, own = np.unique(np.concatenate([h[0] for h in hits]), return_inverse=True)
-                ids = np.append(ids, rows)
-                sims = np.append(sims, np.bincount(own, weights=np.concatenate([h[1] for h in hits])))
-                order = np.lexsort((ids, -sims))[:k]
-                ids, sims = ids[order], sims[order]
-            done, batch = done + batch, batch * 2
-        return ids, sims
-
-    def _runs(self, t: int, blocks: np.ndarray):
-        """Where the postings of feature t that lie in blocks (sorted) start and end."""
-        starts = np.searchsorted(self.rows[t], blocks * BLOCK)
-        ends = np.searchsorted(self.rows[t], (blocks + 1) * BLOCK)
-        return [(a, e) for a, e in zip(starts.tolist(), ends.tolist()) if e > a]
+        row = np.concatenate([self.rows[t] for t in at])
+        share = np.concatenate([self.weights[t] * w for t, w in zip(at, weights)])
+        block = row // BLOCK
+
+        def read(postings):
+            ids, own = np.unique(row[postings], return_inverse=True)
+            return ids, np.bincount(own, weights=share[postings])
+
+        # The most promising blocks set the bar; of the others, those whose bound reaches it are read.
+        best = np.zeros(len(bound), bool)
+        best[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        first = best[block]
+        ids, sims = read(first)
+        bar = np.partition(sims, -k)[-k] - 1e-12 if len(sims) >= k else 0.0
+        other = ~first & (bound >= bar)[block]
+        if other.any():
+            more = read(other)
+            ids, sims = np.append(ids, more[0]), np.append(sims, more[1])
+        order = np.lexsort((ids, -sims))[:k]
+        return ids[order], sims[order]
 
     def score(self, feature: np.ndarray, times: np.ndarray) -> tuple[float, list]:
         """The vote of the nearest examples, each by its squared cosine, drawn to the prior; and their doc_ids."""
