@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.plans import core
+from factloom.plans import core, texts
 
 
 def queries():
-    return dict(core.QUERIES)
+    return core.QUERIES | texts.QUERIES
 
 
 def oracle_sql():
-    return dict(core.SQL)
+    return core.SQL | texts.SQL
 
 
 def flagship(spark, sf_dir) -> DataFrame:
