@@ -70,7 +70,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the text they decode to, of each row."""
     ranks = byte_bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [

@@ -14,6 +14,7 @@ import functools
 import hashlib
 import heapq
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A block ends with the document that brings it to this many pieces.
-BLOCK_PIECES = 2_000_000
+BLOCK_PIECES = 1_000_000
+#: Pieces whose ids a Python worker remembers.
+CACHE_PIECES = 600_000
 #: Pieces of more bytes are merged with a heap in the task, as a fold takes quadratic time.
 LONG = 256
 NO_PAIR = 1 << 20
@@ -152,6 +155,11 @@ def merge_long(piece: list[int], pairs: dict[int, int]) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
+def _ascii_pattern(pattern: str):
+    """The same for texts of ASCII alone, where the faster library has all classes."""
+    return re.compile(pattern.replace(r"[^\s\p{L}\p{N}]", "[^\t-\r A-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]").replace(r"\S", "[^\t-\r ]").replace(r"\s", "[\t-\r ]"))
+
+
 def _pattern(pattern: str):
     """The split pattern with white space as Unicode's property, as in the rank files' own library."""
     import regex
@@ -167,27 +175,42 @@ def merge_arrays(flat: np.ndarray, length: np.ndarray, keys: np.ndarray, ranks:
     """
     done_flat, done_length, done_piece = [], [], []
     piece = np.arange(len(length))
+    flat = flat.copy()
+
+    def rank_of(at: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs that start at the given places of flat."""
+        pair = flat[at].astype(np.int64) << RANK_BITS | flat[at + 1]
+        found = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+        return np.where(keys[found] == pair, ranks[found], NO_PAIR)
+
+    last = np.cumsum(length) - 1
+    rank = np.full(len(flat), NO_PAIR, np.int64)
+    inner = np.ones(len(flat), bool)
+    inner[last] = False
+    inner = np.flatnonzero(inner)
+    rank[inner] = rank_of(inner)
     while len(length):
-        ends = np.cumsum(length)
-        own = np.repeat(np.arange(len(length)), length)
-        rank = np.full(len(flat), NO_PAIR, np.int64)
-        pair = flat[:-1].astype(np.int64) << RANK_BITS | flat[1:]
-        at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
-        good = (keys[at] == pair) & (own[:-1] == own[1:])
-        rank[:-1][good] = ranks[at[good]]
+        last = np.cumsum(length) - 1
         # The least (rank, place) of each piece.
-        least = np.minimum.reduceat(rank * len(flat) + np.arange(len(flat)), ends - length)
-        value, place = least // len(flat), least % len(flat)
-        busy = value < NO_PAIR
-        stay = busy[own]
-        done_flat.append(flat[~stay])
+        least = np.minimum.reduceat(rank * len(flat) + np.arange(len(flat)), last - length + 1)
+        busy = least < NO_PAIR * len(flat)
+        place = least[busy] % len(flat)
+        flat[place] = least[busy] // len(flat)
+        keep = np.repeat(busy, length)
+        done_flat.append(flat[~keep])
         done_length.append(length[~busy])
         done_piece.append(piece[~busy])
-        keep = stay
-        keep[place[busy] + 1] = False
-        flat = flat.copy()
-        flat[place[busy]] = value[busy]
-        flat, length, piece = flat[keep], length[busy] - 1, piece[busy]
+        keep[place + 1] = False
+        # What is left closes up; only the pairs beside a merge have new ranks.
+        moved = np.cumsum(keep) - 1
+        flat, rank, length, piece, place = flat[keep], rank[keep], length[busy] - 1, piece[busy], moved[place]
+        last = np.cumsum(length) - 1
+        first = last - length + 1
+        rank[place] = NO_PAIR
+        right = place[place < last]
+        left = place[place > first] - 1
+        rank[right] = rank_of(right)
+        rank[left] = rank_of(left)
     flat, length, piece = np.concatenate(done_flat or [flat]), np.concatenate(done_length or [length]), np.concatenate(done_piece or [piece])
     order = np.argsort(piece, kind="stable")
     start = (np.cumsum(length) - length)[order]
@@ -228,6 +251,62 @@ class Block:
         return np.concatenate(parts or [np.zeros(0, np.int32)]), np.array([len(p) for p in parts], np.int64), np.array(final, bool)
 
 
+class Encoder:
+    """The ids of pieces, with memory of those met before."""
+
+    def __init__(self, ranks: dict[bytes, int], pairs: dict[int, int], pattern: str):
+        self.ranks, self.pairs = ranks, pairs
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.values = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.any = _pattern(pattern).findall
+        self.ascii = _ascii_pattern(pattern).findall
+        self.known: dict[str, bytes] = {}
+
+    def split(self, text: str) -> list[str]:
+        return self.ascii(text) if text.isascii() else self.any(text)
+
+    def _learn(self, words: list[str]) -> None:
+        known, merging = self.known, []
+        for w in words:
+            raw = w.encode()
+            if (rank := self.ranks.get(raw)) is not None:
+                known[w] = rank.to_bytes(4, "little")
+            elif len(raw) > LONG:
+                known[w] = np.array(merge_long(self.single[np.frombuffer(raw, np.uint8)].tolist(), self.pairs), "<i4").tobytes()
+            else:
+                merging.append((w, raw))
+        if merging:
+            flat = self.single[np.frombuffer(b"".join(raw for _, raw in merging), np.uint8)]
+            flat, length = merge_arrays(flat, np.array([len(raw) for _, raw in merging], np.int64), self.keys, self.values)
+            raw, ends = flat.astype("<i4").tobytes(), (4 * np.cumsum(length)).tolist()
+            for (w, _), a, e in zip(merging, [0, *ends[:-1]], ends):
+                known[w] = raw[a:e]
+
+    def ids(self, words) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of words one after another, and how many each has."""
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > CACHE_PIECES:
+            self.known.clear()
+            new = list(words)
+        self._learn(new)
+        found = [self.known[w] for w in words]
+        return np.frombuffer(b"".join(found), "<i4"), np.array([len(x) for x in found], np.int64) // 4
+
+
+_encoders: dict = {}
+
+
+def _encoder(shared, pattern: str) -> Encoder:
+    """One for each Python worker and vocabulary."""
+    ranks, pairs = shared.value
+    key = pattern, len(ranks), hash(tuple(sorted(ranks.items())[::997]))
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(ranks, pairs, pattern)
+    return _encoders[key]
+
+
 def _gathered(sizes: np.ndarray, places: np.ndarray, flat: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All documents' ids one after another, and where each document's end."""
     start = np.cumsum(length) - length
@@ -250,12 +329,13 @@ def _blocks(batches, find):
         yield block, kind
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, native: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, native: bool = False, decoded: bool = False) -> DataFrame:
     """doc_id and ids (packed little-endian unsigned 32-bit integers) of each row of docs (doc_id, text, ...).
 
     Null and empty texts have no ids. Every match of the pattern is a piece of its own; a piece that is a
     token is that token. Special tokens are ordinary text. Repeated rows are encoded alike. native makes the
-    merges with Spark's higher-order functions; otherwise tasks make the same fold over numpy arrays.
+    merges with Spark's higher-order functions; otherwise tasks make the same fold over numpy arrays. decoded gives
+    the rows of decode() instead, made in the same tasks.
     """
     spark = docs.sparkSession
     pairs = pair_ranks(ranks)
@@ -273,22 +353,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, native: bool
         return np.array([ranks[bytes([b])] for b in range(256)], np.int32)
 
     def arrays(batches):
-        ranks, pairs = shared.value
-        keys = np.array(sorted(pairs), np.int64)
-        values, single = np.array([pairs[k] for k in keys.tolist()], np.int64), singles(ranks)
-        for block, name_type in _blocks(batches, _pattern(pattern).findall):
-            flat, length, final = block.pieces(ranks, pairs, single)
-            own = np.repeat(~final, length)
-            merged, size = merge_arrays(flat[own], length[~final], keys, values)
-            # Final pieces and merged ones, in the order of their numbers.
-            order = np.argsort(np.concatenate([np.flatnonzero(final), np.flatnonzero(~final)]), kind="stable")
-            flat, length = np.concatenate([flat[~own], merged]), np.concatenate([length[final], size])
-            start = (np.cumsum(length) - length)[order]
-            length = length[order]
-            ends = np.cumsum(length)
-            flat = flat[np.repeat(start - (ends - length), length) + np.arange(len(flat))]
+        encoder = _encoder(shared, pattern)
+        for block, name_type in _blocks(batches, encoder.split):
+            flat, length = encoder.ids(block.number)
             yield from rows(block.names, name_type, *_gathered(np.array(block.sizes, np.int64), np.array(block.places, np.int64), flat, length))
 
+    if not native and decoded:
+        return docs.select("doc_id", "text").mapInArrow(lambda batches: _decoded(arrays(batches), ranks_of(shared)), f"doc_id {kind}, {DECODED}")
     if not native:
         return docs.select("doc_id", "text").mapInArrow(arrays, out_schema)
 
@@ -321,23 +392,31 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, native: bool
     return packed.select("doc_ids", "sizes", "places", merge_pieces(F.col("pieces"), F.col("slots"), table).alias("pieces")).mapInArrow(unpack, out_schema)
 
 
+DECODED = "n_tokens long, ids_sha256 string, decoded binary, decoded_sha256 string"
+
+
+def ranks_of(shared) -> dict[bytes, int]:
+    return shared.value[0]
+
+
+def _decoded(batches, ranks: dict[bytes, int]):
+    size = max(ranks.values()) + 1
+    raw, text = [b""] * size, [str(i).encode() for i in range(size)]
+    for token, rank in ranks.items():
+        raw[rank] = token
+    for b in batches:
+        count, digest, whole = [], [], []
+        for x in b.column("ids"):
+            ids = np.frombuffer(x.as_buffer(), "<u4").tolist()
+            count.append(len(ids))
+            digest.append(hashlib.sha256(b",".join(map(text.__getitem__, ids))).hexdigest())
+            whole.append(b"".join(map(raw.__getitem__, ids)))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array(whole, pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in whole], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded", "decoded_sha256"])
+
+
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded (bytes) and decoded_sha256 of
     rows of encode()."""
-    shared = encoded.sparkSession.sparkContext.broadcast(ranks)
+    shared = encoded.sparkSession.sparkContext.broadcast((ranks, None))
     kind = encoded.schema["doc_id"].dataType.simpleString()
-
-    def run(batches):
-        size = max(shared.value.values()) + 1
-        raw, text = [b""] * size, [str(i).encode() for i in range(size)]
-        for token, rank in shared.value.items():
-            raw[rank] = token
-        for b in batches:
-            ids = [np.frombuffer(x.as_buffer(), "<u4").tolist() for x in b.column("ids")]
-            whole = [b"".join(map(raw.__getitem__, x)) for x in ids]
-            yield pa.RecordBatch.from_arrays([
-                b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(b",".join(map(text.__getitem__, x))).hexdigest() for x in ids], pa.string()),
-                pa.array(whole, pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in whole], pa.string()),
-            ], ["doc_id", "n_tokens", "ids_sha256", "decoded", "decoded_sha256"])
-
-    return encoded.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded binary, decoded_sha256 string")
+    return encoded.mapInArrow(lambda batches: _decoded(batches, ranks_of(shared)), f"doc_id {kind}, {DECODED}")

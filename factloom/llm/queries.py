@@ -46,8 +46,7 @@ def op9_toxicity(spark, sf_dir):
 
 def op10_byte_bpe(spark, sf_dir):
     ranks = byte_bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return byte_bpe.decode(encoded, ranks).drop("decoded")
+    return byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, decoded=True).drop("decoded")
 
 
 def queries():
