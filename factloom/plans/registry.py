@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.plans import core, texts
+from factloom.plans import core, more, texts
 
 
 def queries():
-    return core.QUERIES | texts.QUERIES
+    return core.QUERIES | texts.QUERIES | more.QUERIES
 
 
 def oracle_sql():
-    return core.SQL | texts.SQL
+    return core.SQL | texts.SQL | more.SQL
 
 
 def flagship(spark, sf_dir) -> DataFrame:

@@ -39,6 +39,9 @@ def annotations(spark, sf_dir):
 ANN = "ann AS (SELECT o_orderkey AS order_id, o_custkey AS patient_id, 'Order status: ' || o_orderstatus || '; priority: ' || o_orderpriority || '; dated ' || strftime(o_orderdate, '%Y-%m-%d') || ', ' || strftime(o_orderdate, '%d/%m/%Y') || '; code 8140/3-C' || (o_orderkey % 90 + 10) || '.' || (o_orderkey % 10) AS annotation FROM orders)"
 
 
+PLACEHOLDER_SQL = "array_to_string(list_sort(list_distinct(regexp_extract_all(template, '\\[[^\\]]*\\]'))), ',')"
+
+
 @query("""SELECT page_id, regexp_extract(html, 'var ([A-Za-z_]+)="([^"]*)"', 1) AS name, regexp_extract(html, 'var ([A-Za-z_]+)="([^"]*)"', 2) AS literal, CAST(len(regexp_extract_all(html, '<script[^>]*>')) AS BIGINT) AS scripts FROM pages""")
 def s10_script_literals(spark, sf_dir):
     pattern = 'var ([A-Za-z_]+)="([^"]*)"'
