@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, written
+from .common import maybe_broadcast, new_path, written
 
 #: Fixed values of the two ARC versions: the fields of a record's header line.
 ARC_FIELDS = {
@@ -25,6 +25,8 @@ ARC_FIELDS = {
     2: ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"],
 }
 REVISIT = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
+#: Fast rather than small: archives are written once and read once here.
+GZIP = {"zlib.compress.level": "BEST_SPEED"}
 #: Equal payloads under this many bytes are stored each time.
 LEAST_BYTES = 1000
 
@@ -54,7 +56,7 @@ def write_arc(pages: DataFrame, path: str, captured: str = "20240101000000") ->
                 out.append(_arc_line(version, url, captured, "text/html", len(head) + len(html.encode())) + "\n" + head + html)
             yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
 
-    pages.select("page_id", "url", "html").mapInArrow(run, "value string").write.option("lineSep", "\n").text(path, compression="gzip")
+    pages.select("page_id", "url", "html").mapInArrow(run, "value string").write.options(lineSep="\n", **GZIP).text(path, compression="gzip")
 
 
 def _unpacked(content: bytes) -> bytes:
@@ -144,6 +146,7 @@ def arc_to_warc(spark: SparkSession, arc: str, warc: str, least_bytes: int = LEA
     same = ["payload_digest", "payload_bytes"]
     top = heads.where(F.col("payload_bytes") >= least_bytes).groupBy(*same).agg(F.max_by(F.struct("page_id", "url", "date"), "page_id").alias("to"), F.count("*").alias("n")).where("n > 1").drop("n")
     revisits = heads.join(top, same).where("page_id != to.page_id").select("page_id", "payload_digest", "to").dropDuplicates(["page_id", "payload_digest"])
+    revisits = maybe_broadcast(written(revisits, "revisits"), 200)  # then no payload passes a shuffle
 
     def run(batches):
         yield pa.RecordBatch.from_pydict({"value": pa.array([_warc([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, str(TaskContext.get().partitionId()))}>"), ("WARC-Date", "2024-01-01T00:00:00Z"), ("Content-Type", "application/warc-fields")], "software: factloom\r\nformat: WARC File Format 1.0\r\n")])})
@@ -163,7 +166,7 @@ def arc_to_warc(spark: SparkSession, arc: str, warc: str, least_bytes: int = LEA
 
     full = read_arc(spark, arc).alias("r").join(revisits.alias("v"), F.col("r.page_id").eqNullSafe(F.col("v.page_id")) & (F.col("r.payload_digest") == F.col("v.payload_digest")), "left")
     full = full.select("r.*", F.col("v.to").alias("to"))
-    full.mapInArrow(run, "value string").write.option("lineSep", "\r\n\r\n").text(warc, compression="gzip")
+    full.mapInArrow(run, "value string").write.options(lineSep="\r\n\r\n", **GZIP).text(warc, compression="gzip")
 
 
 def warc_records(data: bytes):
