@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -13,6 +12,7 @@ from factloom.operators import resolve
 from factloom.plans.core import counts
 from factloom.sources import bind
 from factloom.sources.bind import table
+from factloom.sources.shared import shared_dir
 from factloom.streaming import incremental
 
 QUERIES, SQL = {}, {}
@@ -227,8 +227,7 @@ def h1_body_mass_index(spark, sf_dir):
 
 @query("SELECT doc_id, length(text) AS n_chars, 'done' AS status FROM documents WHERE text IS NOT NULL")
 def i1_incremental_notes(spark, sf_dir):
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-factloom-")
-    base = f"{shared}/incremental-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/incremental-{uuid.uuid4().hex}"
     work = lambda rows: rows.where("text IS NOT NULL").select("doc_id", F.length("text").cast("long").alias("n_chars"), F.lit("done").alias("status"))
     incremental.process_new(spark, f"{sf_dir}/documents.parquet*", f"{base}/target", f"{base}/checkpoint", work, "doc_id")
     return spark.read.parquet(f"{base}/target")
