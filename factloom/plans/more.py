@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from factloom.functions import text as tx
 from factloom.operators import facts as fx
-from factloom.operators import quality
+from factloom.operators import resolve
 from factloom.plans.core import CHECKS, IMPORTANCE_SQL, PHASE_SQL, _phases, checks, counts, j2_asof_phase, with_importance
-from factloom.plans.texts import ANN, PLACEHOLDER_SQL, annotations
-from factloom.functions import text as tx
-from factloom.sources import bind
+from factloom.plans.texts import ANN, PLACEHOLDER_SQL, annotations, combinations
+from factloom.sources import bind, exports
 from factloom.sources.bind import FACTS, table
+from factloom.sources.shared import shared_dir
 
 QUERIES, SQL = {}, {}
 
@@ -194,3 +197,66 @@ def t30_clean_text(spark, sf_dir):
 @query("WITH n AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part) SELECT p_partkey, word, TRUE AS flag FROM n WHERE length(word) > 3")
 def h2_h7_list_to_rows(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("word")).where(F.length("word") > 3).withColumn("flag", F.lit(True))
+
+
+@query("SELECT CAST(patient_id AS VARCHAR) AS patient_id, original_source, core_variable, CAST(date_ref AS VARCHAR) AS date_ref, value, record_id FROM facts WHERE core_variable LIKE 'Order.%'".replace("SELECT", "x AS (SELECT 1) SELECT", 1), facts=True)
+def s11_s24_label_export(spark, sf_dir):
+    path = f"{shared_dir(spark)}/labels-{uuid.uuid4().hex}"
+    exports.write_labels(bind.facts(spark, sf_dir).where("core_variable LIKE 'Order.%'"), path)
+    return exports.read_labels(spark, path)
+
+
+@query("SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations WHERE text IS NOT NULL")
+def s15_backup_and_restore(spark, sf_dir):
+    path = f"{shared_dir(spark)}/backup-{uuid.uuid4().hex}"
+    exports.back_up(table(spark, sf_dir, "conversations"), path)
+    return exports.restore(spark, path, "conv_id long, turn long, role string, text string", ["conv_id", "text"])
+
+
+@query("""WITH c AS (SELECT p_brand AS morphology, p_size AS topography, 'K' || min(p_partkey) AS code FROM part GROUP BY 1, 2), q AS (SELECT p_partkey AS id, p_brand AS morphology, (p_size + 1) % 50 AS topography FROM part),
+t AS (SELECT id, code, 0.9 AS score FROM q JOIN c USING (morphology, topography) UNION ALL SELECT id, code, 0.75 FROM q JOIN c USING (morphology) UNION ALL SELECT id, code, 0.65 FROM q JOIN c USING (topography))
+SELECT id, min(struct_pack(a := -score, b := code)).b AS code, CAST(max(score) AS DOUBLE) AS score FROM t GROUP BY 1""")
+def j14_best_combination(spark, sf_dir):
+    c, q = combinations(spark, sf_dir)
+    return resolve.top_candidates(q, c, 1).drop("rank")
+
+
+@query("""WITH m AS (SELECT n_name AS value, 'N' || n_nationkey AS code FROM nation WHERE n_nationkey % 3 != 0) SELECT n_nationkey, coalesce(m.code, 'UNRESOLVED::' || n_name) AS code, count(*) AS customers FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN m ON m.value = n_name GROUP BY 1, 2""")
+def j17_value_to_code(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    m = n.where("n_nationkey % 3 != 0").select(F.col("n_name").alias("value"), F.concat(F.lit("N"), "n_nationkey").alias("code"))
+    coded = n.join(m, n["n_name"] == m["value"], "left").select("n_nationkey", F.coalesce("code", F.concat(F.lit("UNRESOLVED::"), "n_name")).alias("code"))
+    return table(spark, sf_dir, "customer").join(coded, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_nationkey", "code").agg(F.count("*").alias("customers"))
+
+
+@query("""WITH f AS (SELECT source || CASE WHEN doc_id % 2 = 0 THEN '-a' ELSE '-b' END AS key, count(*) AS n FROM documents GROUP BY 1), w AS (SELECT DISTINCT source || CASE WHEN doc_id % 3 = 0 THEN '-c' ELSE '-a' END AS key FROM documents), b AS (SELECT regexp_replace(key, '-[a-z]$', '') AS base, min(key) AS any_key FROM f GROUP BY 1)
+SELECT w.key, coalesce(f.key, b.any_key) AS found FROM w LEFT JOIN f ON f.key = w.key LEFT JOIN b ON b.base = regexp_replace(w.key, '-[a-z]$', '')""")
+def j24_key_fallback(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    have = d.select(F.concat("source", F.when(F.col("doc_id") % 2 == 0, "-a").otherwise("-b")).alias("have")).distinct()
+    want = d.select(F.concat("source", F.when(F.col("doc_id") % 3 == 0, "-c").otherwise("-a")).alias("key")).distinct().withColumn("base", F.regexp_replace("key", "-[a-z]$", ""))
+    base = have.groupBy(F.regexp_replace("have", "-[a-z]$", "").alias("base")).agg(F.min("have").alias("any_key"))
+    return want.join(have, want["key"] == have["have"], "left").join(base, "base", "left").select("key", F.coalesce("have", "any_key").alias("found"))
+
+
+@query("SELECT event_id FROM events WHERE (user_id, event_type) IN (SELECT user_id, event_type FROM events WHERE event_id % 5 = 0) AND event_type != 'error'")
+def j30_allowed_rows(spark, sf_dir):
+    e = bind.events(spark, sf_dir)
+    allowed = e.where("event_id % 5 = 0").select("patient_id", "event_type").distinct()
+    return e.join(allowed, ["patient_id", "event_type"], "left_semi").where("event_type != 'error'").select("event_id")
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 2 = 0 THEN CAST(o_orderdate AS DATE) END AS d FROM orders), k AS (SELECT o_custkey, d, min(o_orderkey) AS first FROM r GROUP BY 1, 2), n AS (SELECT *, dense_rank() OVER (PARTITION BY o_custkey ORDER BY first) AS record_id FROM k) SELECT o_orderkey, record_id FROM r JOIN n ON n.o_custkey = r.o_custkey AND n.d IS NOT DISTINCT FROM r.d""")
+def w2_record_ids_by_cardinality(spark, sf_dir):
+    day = F.when(F.col("o_custkey") % 2 == 0, F.to_date("o_orderdate"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.coalesce(day.cast("string"), F.lit("")).alias("d"))
+    keys = o.groupBy("o_custkey", "d").agg(F.min("o_orderkey").alias("first"))
+    keys = keys.withColumn("record_id", F.dense_rank().over(Window.partitionBy("o_custkey").orderBy("first")).cast("long"))
+    return o.join(keys, ["o_custkey", "d"]).select("o_orderkey", "record_id")
+
+
+@query("WITH k(entity, cardinality) AS (VALUES ('Order', 0), ('Customer', 1)) SELECT core_variable, coalesce(cardinality, 1) = 0 AS repeatable FROM (SELECT DISTINCT core_variable FROM facts) v LEFT JOIN k ON entity = split_part(core_variable, '.', 1)".replace("WITH k", "k", 1), facts=True)
+def p20_repeatable(spark, sf_dir):
+    v = bind.facts(spark, sf_dir).select("core_variable").distinct().withColumn("entity", fx.entity(F.col("core_variable")))
+    k = spark.createDataFrame([("Order", 0), ("Customer", 1)], "entity string, cardinality int")
+    return v.join(F.broadcast(k), "entity", "left").select("core_variable", (F.coalesce("cardinality", F.lit(1)) == 0).alias("repeatable"))
