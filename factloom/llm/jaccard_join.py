@@ -7,16 +7,18 @@ Equal sets are one row from the start. In the bucket of a prefix token, rows wit
 and size form a group; pairs of groups are filtered by size and position, then members by a lower bound
 of the symmetric difference (parity bitmaps), and what is left is verified on the whole sets.
 A bucket first links members to leaders instead of emitting all pairs; then, in buckets that
-hold more than one component, all pairs across components are filtered and verified.
+hold more than one component, pairs across components are filtered and verified: first a few of each
+two components of a bucket, at last all that are left. No task holds a whole bucket: larger ones are
+dealt out in blocks, block against block across components.
 """
 
 from __future__ import annotations
 
-from itertools import groupby
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, maybe_broadcast, mix, slices, text_bytes, windows, written
@@ -29,6 +31,10 @@ REGION = 4
 LEAST_WIDTH, MOST_WIDTH = 1 << 20, 1 << 27
 #: Counters for coarse counts of all tokens, kept as one byte each.
 COARSE = 1 << 20
+#: Rows of a bucket that one block holds, more or less; larger buckets are split.
+BUCKET_ROWS = 1024
+#: Pairs tried for each two components of a block in the rounds across components; the last tries all.
+TRIES = (2, 16, None)
 
 
 def token_sets(data, at, k):
@@ -169,9 +175,44 @@ class Similarity:
 
         return docs.select("doc_id", "text").mapInArrow(run, f"token long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n int, pos int, own int, prefix long, bits binary")
 
-    def candidates(self, index: DataFrame, across: bool) -> DataFrame:
-        """Pairs (a, b) of a bucket that pass the filters: members and their leaders, or (across) all
-        pairs of members of two components."""
+    def leaders_dealt(self, index: DataFrame) -> DataFrame:
+        """The rows of tokens that several have, with the block (lo = hi = id) each is in. Any split will do: the
+        rounds across components try what blocks keep apart. It differs by token, so blocks of other tokens join them."""
+        # Tokens of one row are gone before the rows with bitmaps are dealt out.
+        many = index.groupBy("token").agg(F.count("*").alias("_n")).where("_n > 1")
+        block = F.pmod(F.xxhash64("doc_id", "token"), F.ceil(F.col("_n") / BUCKET_ROWS)).cast("int")
+        return index.join(many, "token").withColumn("id", block).withColumns({"lo": F.col("id"), "hi": F.col("id")}).drop("_n")
+
+    def across_dealt(self, live: DataFrame, mixed: DataFrame) -> DataFrame:
+        """The rows (live) of tokens with several components (mixed, with their n rows), once for each two blocks (lo, hi) of the token that they are
+        compared in; id is the row's block. All pairs across components meet: a large component has blocks of its own
+        that need not meet each other, smaller ones share blocks, and all other blocks meet, themselves included."""
+        zero = F.lit(0).cast("long")
+        small = live.join(maybe_broadcast(mixed.where(F.col("n") <= BUCKET_ROWS).select("token"), 24), "token", "left_semi").withColumns({"id": zero, "lo": zero, "hi": zero})
+        wide = mixed.where(F.col("n") > BUCKET_ROWS).select("token")
+        if wide.isEmpty():
+            return small
+        rows = live.join(maybe_broadcast(wide, 24), "token", "left_semi")
+        sizes = written(rows.groupBy("token", "component").agg(F.count("*").alias("n")), "component-sizes")
+        own = F.col("n") * 2 >= BUCKET_ROWS
+        shared = written(sizes.where(~own).groupBy("token").agg(F.ceil(F.sum("n") / BUCKET_ROWS).cast("long").alias("shared")), "shared-blocks")
+        # A few rows a token: components of half a block or more.
+        before = Window.partitionBy("token").orderBy("component").rowsBetween(Window.unboundedPreceding, -1)
+        large = sizes.where(own).select("token", "component", F.ceil(F.col("n") / BUCKET_ROWS).cast("long").alias("parts"))
+        large = large.withColumn("before", F.coalesce(F.sum("parts").over(before), zero)).join(shared, "token", "left")
+        large = written(large.select("token", "component", "parts", (F.col("before") + F.coalesce("shared", zero)).alias("first")), "own-blocks")
+        blocks = large.select("token", F.col("component").alias("owner"), F.explode(F.expr("sequence(first, first + parts - 1)")).alias("id"))
+        blocks = written(blocks.unionByName(shared.select("token", F.lit(None).cast(live.schema["component"].dataType).alias("owner"), F.explode(F.expr("sequence(0L, shared - 1)")).alias("id"))), "blocks")
+        meet = blocks.alias("x").join(blocks.alias("y"), "token").where("x.id <= y.id AND (x.owner IS NULL OR y.owner IS NULL OR x.owner != y.owner)")
+        meet = meet.select("token", F.col("x.id").alias("lo"), F.col("y.id").alias("hi")).withColumn("id", F.explode(F.array_distinct(F.array("lo", "hi"))))
+        rows = rows.join(maybe_broadcast(large), ["token", "component"], "left").join(maybe_broadcast(shared, 24), "token", "left")
+        block = F.coalesce(F.col("first") + F.pmod(F.xxhash64("doc_id", "token"), F.col("parts")), F.pmod(F.xxhash64("component"), F.col("shared")))
+        rows = rows.withColumn("id", block).drop("parts", "first", "shared").join(maybe_broadcast(written(meet, "meeting")), ["token", "id"])
+        return small.unionByName(rows)
+
+    def candidates(self, dealt: DataFrame, across: bool, tries: int | None = None) -> DataFrame:
+        """Pairs (a, b) of a block that pass the filters: members and their leaders, or (across) pairs of members
+        of two components, all or at most `tries` of each two components of two blocks."""
         num, den = self.num, self.den
 
         def folded(bits, width, to):
@@ -193,18 +234,25 @@ class Similarity:
             apart = (folded(x["int"], x["width"], to) ^ folded(y["int"], y["width"], to)).bit_count()
             return apart * (num + den) <= (den - num) * (x["n"] + y["n"])
 
-        def bucket(rows):
+        def between(one, two):
+            """The pairs of two components' groups."""
+            for group in one.values():
+                for other in two.values():
+                    if group_ok(group[0], other[0]):
+                        yield from ((x["doc_id"], y["doc_id"]) for x in group for y in other if member_ok(x, y))
+
+        def bucket(rows, lo, hi):
             for r in rows:
                 r["width"], r["int"] = 8 * len(r["bits"]), int.from_bytes(r["bits"], "little")
             if across:
-                parts = {}
+                sides: dict = {lo: {}, hi: {}}
                 for r in rows:
-                    parts.setdefault(r["component"], {}).setdefault((r["n"], r["pos"], r["prefix"]), []).append(r)
-                parts = list(parts.values())
-                for i, part in enumerate(parts):
-                    for group in part.values():
-                        for other in (g for p in parts[:i] for g in p.values() if group_ok(group[0], g[0])):
-                            yield from ((x["doc_id"], y["doc_id"]) for x in group for y in other if member_ok(x, y))
+                    sides[r["id"]].setdefault(r["component"], {}).setdefault((r["n"], r["pos"], r["prefix"]), []).append(r)
+                for i, (c, one) in enumerate(sides[lo].items()):
+                    others = islice(sides[lo].items(), i) if lo == hi else sides[hi].items()
+                    for d, two in others:
+                        if c != d:
+                            yield from islice(between(one, two), tries)
                 return
             # Members with few tokens of their own are near many others and make good leaders.
             rows.sort(key=lambda r: (r["own"], r["n"], r["prefix"], r["doc_id"]))
@@ -222,21 +270,21 @@ class Similarity:
                     leaders.append(new)
 
         def run(batches):
-            held, token = [], None
+            held, block = [], None
 
             def done():
                 if len(held) > 1:
-                    yield from bucket(held)
+                    yield from bucket(held, block[1], block[2])
 
             kind = None
             for b in batches:
                 kind = b.schema.field("doc_id").type
                 out = []
                 rows = b.to_pylist()
-                for t, some in groupby(rows, key=lambda r: r["token"]):
-                    if t != token:
+                for t, some in groupby(rows, key=lambda r: (r["token"], r["lo"], r["hi"])):
+                    if t != block:
                         out += done()
-                        held, token = [], t
+                        held, block = [], t
                     held += some
                 out = list(dict.fromkeys((min(p), max(p)) for p in out))
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], kind), pa.array([p[1] for p in out], kind)], ["a", "b"])
@@ -244,11 +292,8 @@ class Similarity:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], kind), pa.array([p[1] for p in out], kind)], ["a", "b"])
 
-        # Tokens of one row are gone before the rows with bitmaps are dealt out.
-        many = index.groupBy("token").agg(F.count("*").alias("_n")).where("_n > 1").select("token")
-        rows = index.join(many, "token", "left_semi")
-        kind = index.schema["doc_id"].dataType.simpleString()
-        return rows.repartition("token").sortWithinPartitions("token").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+        kind = dealt.schema["doc_id"].dataType.simpleString()
+        return dealt.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
     def verified(self, pairs: DataFrame, docs: DataFrame) -> DataFrame:
         """pairs (a, b) with linked: whether the whole sets reach the threshold."""
@@ -305,16 +350,24 @@ class Similarity:
         shared = spark.sparkContext.broadcast((often, (coarse, total / COARSE)))
 
         index = written(self.index(rest, width, shared), "prefixes")
-        pairs = written(self.candidates(index, False), "candidates")
+        pairs = written(self.candidates(self.leaders_dealt(index), False), "candidates")
         checked = written(self.verified(pairs, rest), "verified")
+        # What the leaders have not joined: buckets of more than one component, across components. Buckets of one
+        # component stay so, so each round reads the rows of the one before.
+        rows = index
+        for tries in TRIES:
+            found = written(components(checked.where("linked").select("a", "b")), "components").withColumnRenamed("node", "doc_id")
+            live = rows.join(maybe_broadcast(found), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+            mixed = live.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+            mixed = written(mixed.select("token", "n"), "mixed")
+            if mixed.isEmpty():
+                break
+            live = written(live.join(maybe_broadcast(mixed.select("token"), 24), "token", "left_semi"), "mixed-rows")
+            rows = live.drop("component")
+            more = written(self.candidates(self.across_dealt(live, mixed), True, tries).join(checked, ["a", "b"], "left_anti"), "candidates")
+            if not more.isEmpty():
+                checked = checked.unionByName(written(self.verified(more, rest), "verified"))
         links = checked.where("linked").select("a", "b")
-        # What the leaders have not joined: buckets of more than one component, across components.
-        found = written(components(links), "components").withColumnRenamed("node", "doc_id")
-        live = index.join(maybe_broadcast(found), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        mixed = live.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-        more = written(self.candidates(live.join(mixed, "token", "left_semi"), True).join(checked, ["a", "b"], "left_anti"), "candidates")
-        if not more.isEmpty():
-            links = links.unionByName(self.verified(more, rest).where("linked").select("a", "b"))
         edges = links.unionByName(copies.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
         found = written(components(edges), "components").withColumnRenamed("node", "doc_id")
         return sets.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import byte_bpe, exact_dedup, fingerprints, mixing, secrets, substring_dedup, token_files, toxicity, warc
+from factloom.llm import byte_bpe, exact_dedup, fingerprints, jaccard_join, mixing, secrets, substring_dedup, token_files, toxicity, warc
 from factloom.llm.components import components
 from factloom.llm.jaccard_join import Similarity
 
@@ -66,6 +66,49 @@ def test_jaccard_join_of_chains(spark):
     assert got == groups(sets, [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])])
 
 
+def test_jaccard_join_splits_large_buckets(spark, monkeypatch):
+    """No block of either round holds much more than two blocks' rows, and no link across blocks is lost."""
+    monkeypatch.setattr(jaccard_join, "BUCKET_ROWS", 8)
+    rng = np.random.default_rng(5)
+    docs = []
+    for c, size in enumerate((90, 40, 6, 3, 2)):  # near copies in groups, all groups share a passage
+        words = [f"common{i}" for i in range(6)] + [f"w{c}_{i}" for i in range(54)]
+        for _ in range(size):
+            own = list(words)
+            own[rng.integers(10, 60)] = f"x{len(docs)}"
+            docs.append((len(docs), " ".join(own)))
+    seen = []
+    plain = Similarity.candidates
+
+    def watched(self, dealt, across, tries=None):
+        seen.append(max(r["count"] for r in dealt.groupBy("token", "lo", "hi").count().collect()))
+        return plain(self, dealt, across, tries)
+
+    monkeypatch.setattr(Similarity, "candidates", watched)
+    got = {r.doc_id: r.component_id for r in Similarity(3, 90, 100).join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    sets = {i: shingles(t, 3) for i, t in docs}
+    assert got == groups(sets, [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])])
+    assert len(seen) > 1 and max(seen) <= 6 * 8
+
+
+@pytest.mark.parametrize("sizes", [(40, 20, 3, 3, 2, 1, 1), (1,) * 30, (9, 9)])
+def test_blocks_meet_across_components(spark, monkeypatch, sizes):
+    """Each two rows of two components of a token are in one block pair, on sides that are compared."""
+    monkeypatch.setattr(jaccard_join, "BUCKET_ROWS", 8)
+    component = [c for c, n in enumerate(sizes) for _ in range(n)]
+    live = spark.createDataFrame([(1, i, c) for i, c in enumerate(component)], "token long, doc_id long, component long")
+    mixed = spark.createDataFrame([(1, len(component))], "token long, n long")
+    blocks = defaultdict(list)
+    for r in Similarity(3, 90, 100).across_dealt(live, mixed).collect():
+        blocks[r.lo, r.hi].append((r.doc_id, r.id))
+    met = Counter()
+    for (lo, hi), rows in blocks.items():
+        assert len(rows) < len(component) or len(component) <= 18
+        met.update((min(a, b), max(a, b)) for a, i in rows for b, j in rows if a != b and (i, j) == (lo, hi) and component[a] != component[b] and (lo != hi or a < b))
+    every = range(len(component))
+    assert set(met) == {(a, b) for a in every for b in every if a < b and component[a] != component[b]} and set(met.values()) == {1}
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
