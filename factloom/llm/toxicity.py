@@ -111,6 +111,7 @@ class Model:
     prior: float  # of rows that have features
     prior_without: float
     id_type: DataType  # of doc_ids
+    rates: np.ndarray  # of either label: training rows with features for each example in the index
 
     def vector(self, feature: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions among the model's features and the unit TF-IDF weights."""
@@ -146,13 +147,16 @@ class Model:
         return ids[order], sims[order]
 
     def score(self, feature: np.ndarray, times: np.ndarray) -> tuple[float, list]:
-        """The vote of the nearest examples, each by its squared cosine, drawn to the prior; and their doc_ids."""
+        """The vote of the nearest examples, each by its squared cosine and for as many rows as it stands for,
+        drawn to the prior; and their doc_ids."""
         at, weights = self.vector(feature, times)
         if not len(at):
             return self.prior_without, []
         ids, sims = self.nearest(at, weights, NEIGHBOURS)
         sims = sims * sims
-        vote = (float((sims * self.toxic[ids]).sum()) + PRIOR_WEIGHT * self.prior) / (float(sims.sum()) + PRIOR_WEIGHT)
+        mass, stands = float(sims.sum()), sims * self.rates[self.toxic[ids].astype(int)]
+        share = float((stands * self.toxic[ids]).sum()) / (float(stands.sum()) or 1.0)
+        vote = (mass * share + PRIOR_WEIGHT * self.prior) / (mass + PRIOR_WEIGHT)
         return min(1.0, max(0.0, vote)), [self.doc_ids[i] for i in ids[:3]]
 
 
@@ -197,10 +201,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         having |= {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
         for y in (0, 1):
             examples += rows.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES).collect()
-    model = Model(names, idf, [r["doc_id"] for r in examples], np.array([r["toxic"] for r in examples], float), [np.zeros(0, int)] * len(names), [np.zeros(0)] * len(names), np.zeros((len(names), -(-max(1, len(examples)) // BLOCK))), 0.5, 0.5, docs.schema["doc_id"].dataType)
+    model = Model(names, idf, [r["doc_id"] for r in examples], np.array([r["toxic"] for r in examples], float), [np.zeros(0, int)] * len(names), [np.zeros(0)] * len(names), np.zeros((len(names), -(-max(1, len(examples)) // BLOCK))), 0.5, 0.5, docs.schema["doc_id"].dataType, np.ones(2))
     if pos + neg:
         model.prior = (having[1] + 1) / (sum(having.values()) + 2)
         model.prior_without = (pos - having[1] + 0.5) / (pos + neg - sum(having.values()) + 1)
+    for y in (0, 1):
+        # The index takes less of the label that has more rows; its votes make up for it.
+        model.rates[y] = having[y] / max(1, int((model.toxic == y).sum())) if having[y] else 1.0
     lists: dict = {}
     for i, r in enumerate(examples):
         at, weights = model.vector(np.array(r["features"], np.int64).view(np.uint64), np.array(r["times"], float))

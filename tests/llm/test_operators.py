@@ -302,6 +302,20 @@ def test_nearest_examples_are_exact(spark):
     assert held and all(scored[i].predicted == int(i % 3 == 0) for i in held) and scored[1000].score == scored[1001].score < 0.5
 
 
+def test_toxicity_votes_do_not_depend_on_the_sample(spark, monkeypatch):
+    """A document near toxic and many more clean rows scores alike with all rows in the index and with as many of each."""
+    docs = [(i, "vile mob" if i % 9 == 0 else "vile quiet day" if i % 9 < 3 else "plain text") for i in range(900)]
+    table, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 9 == 0)) for i, _ in docs], "doc_id long, toxic int")
+    got = {}
+    for most in (4096, 40):
+        monkeypatch.setattr(toxicity, "EXAMPLES", most)
+        monkeypatch.setattr(toxicity, "NEIGHBOURS", 10_000)
+        model = toxicity.fit(table, labels)
+        scored = toxicity.score(spark.createDataFrame([(1, "vile")], "doc_id long, text string"), model)
+        got[most] = scored.head().score
+    assert abs(got[4096] - got[40]) < 0.02
+
+
 def test_toxicity_without_labels(edge_docs, rows, spark):
     got = toxicity.classify(edge_docs, spark.createDataFrame([], "doc_id long, toxic int")).collect()
     assert len(got) == len(rows) and {r.score for r in got} == {0.5} and {r.predicted for r in got} == {0}
