@@ -22,14 +22,17 @@ SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"e
 OPENSSH = b"openssh-key-v1\x00"
 
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+#: With header lines, if any, and their continuations before the body.
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----(?:\s*+((?:[A-Za-z][A-Za-z0-9-]*:[^\r\n]*\r?\n(?:[ \t][^\r\n]*\r?\n)*+)++))?+([A-Za-z0-9+/=\s]+)-----END \1-----")
+PROC_TYPE = re.compile(r"(?m)^Proc-Type:[ \t]*4,[ \t]*ENCRYPTED[ \t]*\r?$")
+DEK_INFO = re.compile(r"(?m)^DEK-Info:[ \t]*[A-Z0-9-]+,[ \t]*((?:[0-9A-Fa-f]{16}){1,2})[ \t]*\r?$")
 CODED = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
 
 #: Cheap tests of a whole batch; a superset of the rows in which each pattern can match.
 MAY = [
     r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]""",
     r"AKIA[A-Z0-9]",
-    r"[A-Za-z0-9+/_-]{24}",
+    r"[A-Za-z0-9+/_-]{24}|eyJ",
     r"-----BEGIN ",
 ]
 
@@ -69,7 +72,8 @@ def _der(data: bytes, depth: int = 0) -> list[tuple[int, bytes]] | None:
 
 
 def is_der_key(data: bytes) -> bool:
-    """A SEQUENCE over all bytes that starts as a private key (a version) or a public one (an algorithm)."""
+    """A SEQUENCE over all bytes that starts as a private key (a version), or is a public one (an algorithm and a
+    BIT STRING) or an encrypted one (an algorithm with its parameters and an OCTET STRING)."""
     if len(data) < 16 or data[0] != 0x30:
         return False
     top = _der(data)
@@ -80,25 +84,75 @@ def is_der_key(data: bytes) -> bool:
         return False
     if parts[0][0] == 0x02 and len(parts[0][1]) == 1 and parts[0][1][0] <= 1:
         return len(parts) >= 3
-    if parts[0][0] == 0x30 and parts[1][0] == 0x03:
+    if parts[0][0] == 0x30 and parts[1][0] in (0x03, 0x04):
         names = _der(parts[0][1])
-        return bool(names) and names[0][0] == 0x06
+        if not names or names[0][0] != 0x06:
+            return False
+        # A digest of a signature is an algorithm without parameters (or a NULL) and an OCTET STRING.
+        return parts[1][0] == 0x03 or len(parts) == 2 and len(names) == 2 and names[1][0] == 0x30 and len(parts[1][1]) > 0
     return False
 
 
+def _field(data: bytes, at: int) -> tuple[bytes, int] | None:
+    """The length-prefixed field at a place, and where it ends."""
+    end = at + 4 + int.from_bytes(data[at : at + 4], "big")
+    return (data[at + 4 : end], end) if at + 4 <= len(data) and end <= len(data) else None
+
+
+def _fields(data: bytes) -> list[bytes] | None:
+    """The length-prefixed fields that tile data."""
+    out, at = [], 0
+    while at < len(data):
+        if (found := _field(data, at)) is None:
+            return None
+        out.append(found[0])
+        at = found[1]
+    return out
+
+
+def is_openssh_key(data: bytes) -> bool:
+    """The private container: cipher, key derivation and its options, the public keys and the private part."""
+    at, head = len(OPENSSH), []
+    for _ in range(3):
+        if (found := _field(data, at)) is None:
+            return False
+        head.append(found[0])
+        at = found[1]
+    cipher, kdf, options = head
+    n, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+    if not data.startswith(OPENSSH) or at > len(data) or n < 1 or not cipher or not kdf:
+        return False
+    if (kdf == b"none") != (not options) or (kdf == b"none") != (cipher == b"none"):
+        return False
+    # A salt and the number of rounds.
+    if kdf == b"bcrypt" and ((salt := _field(options, 0)) is None or len(options) != salt[1] + 4):
+        return False
+    for _ in range(n):
+        if (found := _field(data, at)) is None:
+            return False
+        public = _fields(found[0])
+        if not public or len(public) < 2 or not public[0].isascii():
+            return False
+        at = found[1]
+    if (found := _field(data, at)) is None or len(found[0]) < 8 or len(found[0]) % 8:
+        return False
+    private, at = found
+    # Two equal numbers begin a readable private part; ciphers with a tag put its 16 bytes behind.
+    if cipher == b"none":
+        return private[:4] == private[4:8] and at == len(data)
+    return len(data) - at in ((16,) if b"-gcm" in cipher or b"poly1305" in cipher else (0,))
+
+
 def is_ssh_key(data: bytes) -> bool:
     """The private container, or a public key whose length-prefixed fields tile it."""
     if data.startswith(OPENSSH):
-        return True
+        return is_openssh_key(data)
     fields, at = [], 0
     while at < len(data):
-        if at + 4 > len(data):
-            return False
-        size = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + size > len(data):
+        if (found := _field(data, at)) is None:
             return False
-        fields.append(data[at + 4 : at + 4 + size])
-        at += 4 + size
+        fields.append(found[0])
+        at = found[1]
         if fields[0] not in SSH_NAMES:
             return False
     return len(fields) >= 2
@@ -108,6 +162,15 @@ def is_key(data: bytes | None) -> bool:
     return data is not None and (is_der_key(data) or is_ssh_key(data))
 
 
+def is_pem_key(headers: str | None, body: str) -> bool:
+    """A key, or the whole cipher blocks that the headers say it was encrypted to."""
+    data = _unbase64("".join(body.split()))
+    if headers and PROC_TYPE.search(headers):
+        start = DEK_INFO.search(headers)
+        return bool(start and data) and len(data) % (len(start[1]) // 2) == 0
+    return is_key(data)
+
+
 def is_token(text: str) -> bool:
     """A signed token: its first two parts are JSON objects and the header names an algorithm."""
     try:
@@ -126,7 +189,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """What decodes to a key or a signed token."""
     out = [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if is_token(m[0])]
-    out += [(m.start(), m.end(), "pem") for m in PEM.finditer(text) if is_key(_unbase64("".join(m[2].split())))]
+    out += [(m.start(), m.end(), "pem") for m in PEM.finditer(text) if is_pem_key(m[2], m[3])]
     for m in CODED.finditer(text):
         s = m[0]
         if is_key(_unbase64(s)) or len(s) % 2 == 0 and re.fullmatch(r"[0-9a-fA-F]+", s) and is_key(bytes.fromhex(s)):

@@ -177,6 +177,51 @@ def test_secrets():
     assert secrets.base_spans("token:secret:abcdefghij") == []  # the failing match takes the second word
 
 
+def _kinds(text):
+    return [k for _, _, k in secrets.confirmed_spans(text)]
+
+
+def _pem(name, data, headers=""):
+    import base64
+
+    return f"-----BEGIN {name}-----\n{headers}{base64.encodebytes(data).decode()}-----END {name}-----"
+
+
+def test_secrets_of_encrypted_keys():
+    salt = _der(0x30, _der(4, b"s" * 8) + _der(2, b"\x08\x00"))
+    algorithm = _der(0x30, _der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x03") + salt)
+    assert "pem" in _kinds(_pem("ENCRYPTED PRIVATE KEY", _der(0x30, algorithm + _der(4, b"c" * 48))))
+    digest = _der(0x30, _der(6, b"\x60\x86\x48\x01\x65\x03\x04\x02\x01") + _der(5, b""))
+    assert not secrets.is_der_key(_der(0x30, digest + _der(4, b"d" * 32)))
+
+
+def test_secrets_of_keys_with_headers():
+    headers = f"Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{'0A' * 16}\n\n"
+    assert _kinds(_pem("RSA PRIVATE KEY", bytes(range(64)), headers)) == ["pem"]
+    assert _kinds(_pem("RSA PRIVATE KEY", bytes(range(60)), headers)) == []  # no whole blocks
+    assert _kinds(_pem("RSA PRIVATE KEY", bytes(range(64)), "Comment: none\n")) == []
+    key = _der(0x30, _der(2, b"\0") + b"".join(_der(2, bytes([i]) * 20) for i in range(1, 9)))
+    assert "pem" in _kinds(_pem("RSA PRIVATE KEY", key, "Comment: mine,\n  and long\n"))
+
+
+def test_secrets_of_openssh_containers():
+    f = lambda b: len(b).to_bytes(4, "big") + b
+    public = f(b"ssh-ed25519") + f(b"p" * 32)
+    private = b"abcdabcd" + public + f(b"q" * 64) + f(b"me")
+    private += bytes(range(1, 1 + -len(private) % 8))
+    whole = secrets.OPENSSH + f(b"none") + f(b"none") + f(b"") + (1).to_bytes(4, "big") + f(public) + f(private)
+    assert secrets.is_ssh_key(whole) and "pem" in _kinds(_pem("OPENSSH PRIVATE KEY", whole))
+    assert not any(secrets.is_ssh_key(x) for x in (whole[:-8], whole + b"x", secrets.OPENSSH, secrets.OPENSSH + b"\x07" * 80))
+    coded = secrets.OPENSSH + f(b"aes256-ctr") + f(b"bcrypt") + f(f(b"s" * 16) + (16).to_bytes(4, "big")) + (1).to_bytes(4, "big") + f(public) + f(b"z" * 128)
+    assert secrets.is_ssh_key(coded) and not secrets.is_ssh_key(coded[:-1])
+
+
+def test_secrets_with_short_parts(spark):
+    token = "eyJhbGciOiJub25lIn0.eyJzdWIiOiIxIn0."
+    got = secrets.find_secrets(spark.createDataFrame([(1, token), (2, f"{token} {'a' * 30}!")], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.spans for r in got} == {1: f"jwt:0:{len(token)}", 2: f"jwt:0:{len(token)}"}
+
+
 def test_secrets_of_a_table(edge_docs, rows):
     got = secrets.digest(secrets.find_secrets(edge_docs)).collect()
     want = Counter((i, hashlib.sha256(secrets._joined(secrets.base_spans(t or "")).encode()).hexdigest()) for i, t in rows)
