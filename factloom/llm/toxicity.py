@@ -1,8 +1,8 @@
 """Toxicity of texts by their nearest labelled examples.
 
 Features are lower-case words and their first 4, 5 and 6 bytes, hashed. Those that tell toxic from other
-training rows, by the likelihood ratio over all of them, span a TF-IDF space. The nearest examples by exact
-cosine come from an inverted index over a bounded sample of labelled rows, in blocks with the greatest
+training rows, by the likelihood ratio over all of them, span a TF-IDF space; other words do not count. The nearest
+examples by exact cosine over these features come from an inverted index over a bounded sample of labelled rows, in blocks with the greatest
 weight of each feature: blocks are read in the order of their bounds until none can hold a nearer one.
 """
 
