@@ -325,7 +325,8 @@ class Similarity:
     def join(self, docs: DataFrame) -> DataFrame:
         """doc_id, n_shingles, component_id of each row of docs (doc_id, text, ...).
 
-        component_id is the least doc_id reachable by links, itself included. Null and empty texts have no
+        component_id is the least doc_id reachable by links, itself included. Links are found only as far as
+        components need them, not all of them, so links are not counted. Null and empty texts have no
         shingles and link with nothing; texts of fewer than k words have their whole sequence as one
         shingle. Repeated rows are equal sets and so linked; rows under one doc_id are one node. A null
         doc_id links with nothing and has a null component.
