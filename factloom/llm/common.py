@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 #: The characters that separate words, as bytes: space and 0x09 to 0x0D.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -157,11 +159,32 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
 BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 48 << 20
 
 
+def _bytes_beyond(kind: DataType, value: Column) -> Column | None:
+    """What a value takes beyond its place in the row, for columns of any length."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.octet_length(value)
+    if isinstance(kind, ArrayType):
+        inner = _bytes_beyond(kind.elementType, F.lit(None).cast(kind.elementType))
+        flat = F.size(value) * 8
+        return flat if inner is None else flat + F.aggregate(value, F.lit(0).cast("long"), lambda n, x: n + F.coalesce(_bytes_beyond(kind.elementType, x), F.lit(0)))
+    if isinstance(kind, StructType):
+        parts = [F.lit(16), *(F.coalesce(b, F.lit(0)) for f in kind.fields if (b := _bytes_beyond(f.dataType, value[f.name])) is not None)]
+        return reduce(lambda x, y: x + y, parts)
+    return None
+
+
 def small_enough(table: DataFrame, row_bytes: int = 64) -> bool:
-    """Whether a written table may be broadcast; counts it (a read of Parquet footers)."""
-    return table.count() <= min(BROADCAST_ROWS, BROADCAST_BYTES // row_bytes)
+    """Whether a written table may be broadcast: by its rows, each of row_bytes, and what its strings, arrays and structs add.
+
+    Without such columns this reads Parquet footers; else the columns themselves.
+    """
+    more = [b for f in table.schema.fields if (b := _bytes_beyond(f.dataType, F.col(f"`{f.name}`"))) is not None]
+    if not more:
+        return table.count() <= min(BROADCAST_ROWS, BROADCAST_BYTES // row_bytes)
+    found = table.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(b), F.lit(0)).alias(f"b{i}") for i, b in enumerate(more)]).head()
+    return found[0] <= BROADCAST_ROWS and found[0] * row_bytes + sum(found[1:]) <= BROADCAST_BYTES
 
 
 def maybe_broadcast(table: DataFrame, row_bytes: int = 64) -> DataFrame:
-    """A written table, hinted for broadcast only if its counted size is within the bound."""
+    """A written table, hinted for broadcast only if its measured size is within the bound."""
     return F.broadcast(table) if small_enough(table, row_bytes) else table
