@@ -5,27 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import maybe_broadcast, written
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its least reachable node) of every node of edges (a, b).
 
     Both star steps only regroup edges under smaller nodes, so the table never grows beyond two edges a
-    given one, and it is written after each round: a lost executor costs one round at most. Loops and
-    repeated edges do no harm; edges with a null end are dropped.
+    given one, and it is written after each round: a lost executor costs one round at most. What a node's
+    neighbours are grouped by is written, too, and joined back as a table of its own: broadcast while it is small, else
+    both sides are shuffled and Spark can split a hub. Loops and repeated edges do no harm; edges with a null end
+    are dropped.
     """
     now = written(edges.where("a IS NOT NULL AND b IS NOT NULL AND a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while True:
-        # Large star: each node's greater neighbours go under its least neighbour (or itself).
+        # Large star: each node's greater neighbours go under its least neighbour (or itself, which changes nothing).
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = now.withColumnRenamed("v", "w").join(least.withColumnRenamed("u", "w"), "w").select("u", F.col("m").alias("v")).where("u != v").distinct()
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).where("m < u").withColumnRenamed("u", "v"), "least")
+        large = written(now.join(maybe_broadcast(least), "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct(), "large-star")
         # Small star: each node's smaller neighbours and the node go under the least of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v")).where("u != v").distinct()
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        small = large.join(maybe_broadcast(low), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v")).distinct()
         new = written(small, "edges")
-        if new.exceptAll(now).isEmpty() and new.count() == now.count():
+        if new.count() == now.count() and new.exceptAll(now).isEmpty():
             break
         now = new
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

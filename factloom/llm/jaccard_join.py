@@ -4,18 +4,18 @@ A grouped prefix join. Tokens (shingle hashes) have one order over the corpus: f
 merged sketch finds in one document only, then by rising coarse count, then by hash. A set of n tokens can
 only reach the threshold t with another if their prefixes, the first n - ceil(t n) + 1 tokens, share one.
 Equal sets are one row from the start. In the bucket of a prefix token, rows with the same prefix
-and size form a group; pairs of groups are filtered by size and position, then members by a lower bound
-of the symmetric difference (parity bitmaps), and what is left is verified on the whole sets.
-A bucket first links members to leaders instead of emitting all pairs; then, in buckets that
-hold more than one component, pairs across components are filtered and verified: first a few of each
-two components of a bucket, at last all that are left. No task holds a whole bucket: larger ones are
-dealt out in blocks, block against block across components.
+and size form a group; pairs of groups are filtered by size and position, then expanded to members, which are
+filtered by a lower bound of the symmetric difference (parity bitmaps) and verified on the whole sets. A pair counts
+in the bucket of its first common token only, as far as the first tokens that a row carries can tell.
+
+No pairs within a group are emitted. The first round deals each bucket out in blocks and emits a spanning forest of a
+block's likely links, which are verified. The second compares what is then in different components: block
+against block, so that no task holds a bucket; the rows that are still near across components come together again
+with their whole sets, are verified in the block, and again only a forest of true links leaves it.
 """
 
 from __future__ import annotations
 
-from itertools import groupby, islice
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -31,10 +31,12 @@ REGION = 4
 LEAST_WIDTH, MOST_WIDTH = 1 << 20, 1 << 27
 #: Counters for coarse counts of all tokens, kept as one byte each.
 COARSE = 1 << 20
-#: Rows of a bucket that one block holds, more or less; larger buckets are split.
-BUCKET_ROWS = 1024
-#: Pairs tried for each two components of a block in the rounds across components; the last tries all.
-TRIES = (2, 16, None)
+#: Rows of a bucket that one block holds, more or less, in the two rounds, and tokens in the second; larger buckets are split.
+FIRST_ROWS, BUCKET_ROWS, BUCKET_TOKENS = 256, 1024, 1 << 20
+#: Prefix tokens that a row carries to tell whether a pair has met before.
+CARRIED = 8
+#: Rows held before their blocks are compared, pairs compared at once and pairs verified at once.
+HELD_ROWS, PAIRS, VERIFIED = 8192, 1 << 18, 1024
 
 
 def token_sets(data, at, k):
@@ -58,8 +60,175 @@ def _needed(n, num, den):
     return (n * num + den - 1) // den
 
 
-def _bits(n: int) -> int:
-    return min(4096, max(256, 1 << max(0, (n // 2 - 1).bit_length())))
+def _bits(n: int, each: int = 1) -> int:
+    """The width of the parity bitmap of a set of n tokens, about `each` bits a token."""
+    return min(8192 * each, max(512 * each, 1 << max(0, each * n - 1).bit_length()))
+
+
+def parity(tokens: np.ndarray, width: int) -> bytes:
+    odd = np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+class Bitmaps:
+    """Parity bitmaps of rows, of different widths."""
+
+    def __init__(self, bits: list[bytes]):
+        self.bits = bits
+        self.width = np.array([8 * len(b) for b in bits], np.int64)
+        self.made: dict = {}
+
+    def folded(self, width: int):
+        """All bitmaps of at least this width as one matrix of words at that width, and each row's place in it."""
+        if width not in self.made:
+            place, parts, n = np.zeros(len(self.bits), np.int64), [], 0
+            for w in np.unique(self.width[self.width >= width]).tolist():
+                own = np.flatnonzero(self.width == w)
+                m = np.frombuffer(b"".join([self.bits[r] for r in own.tolist()]), np.uint64).reshape(len(own), w // 64)
+                while m.shape[1] * 64 > width:
+                    half = m.shape[1] // 2
+                    m = m[:, :half] ^ m[:, half:]
+                place[own] = n + np.arange(len(own))
+                parts.append(m)
+                n += len(own)
+            self.made[width] = np.concatenate(parts), place
+        return self.made[width]
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """A lower bound of the size of the symmetric difference of rows i and j."""
+        out, to = np.zeros(len(i), np.int64), np.minimum(self.width[i], self.width[j])
+        for width in np.unique(to).tolist():
+            m, place = self.folded(width)
+            own = np.flatnonzero(to == width)
+            step = max(1, (1 << 20) // (width // 64))
+            for s in range(0, len(own), step):
+                x = own[s : s + step]
+                out[x] = np.bitwise_count(m[place[i[x]]] ^ m[place[j[x]]]).sum(1, dtype=np.int64)
+        return out
+
+
+def _chunks(n: np.ndarray, most: int):
+    """Runs (start, end) of items whose n sum up to about `most`."""
+    total, at = np.cumsum(n), 0
+    while at < len(n):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
+        yield at, end
+        at = end
+
+
+def _inside(n: np.ndarray) -> np.ndarray:
+    """0 .. n[k] - 1 for each k in turn."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
+class Blocks:
+    """Rows of whole blocks, sorted by block, side (id = lo first) and group, as columns."""
+
+    def __init__(self, rows: pa.Table, num: int, den: int):
+        self.num, self.den = num, den
+        get = lambda c: rows.column(c).to_numpy()
+        token, lo, hi, side, n, pos, prefix = (get(c) for c in ("token", "lo", "hi", "id", "n", "pos", "prefix"))
+        side = (side != lo).astype(np.int64)
+        order = np.lexsort((pos, n, prefix, side, hi, lo, token))
+        self.rows = rows.take(pa.array(order))
+        token, lo, hi, side, self.n, self.pos, prefix = (x[order] for x in (token, lo, hi, side, n.astype(np.int64), pos.astype(np.int64), prefix))
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+        self.block = np.cumsum(new) - 1
+        group = new.copy()
+        group[1:] |= (side[1:] != side[:-1]) | (prefix[1:] != prefix[:-1]) | (self.n[1:] != self.n[:-1]) | (self.pos[1:] != self.pos[:-1])
+        self.start = np.flatnonzero(group)
+        self.size = np.diff(np.append(self.start, len(token)))
+        # Where the groups that a group meets begin and end: those after it, or those of the other side.
+        block_of, side_of, one = self.block[self.start], side[self.start], (lo == hi)[self.start]
+        ends = np.searchsorted(block_of, np.arange(self.block[-1] + 1 if len(token) else 0), side="right")
+        across = np.searchsorted(block_of * 2 + side_of, 2 * block_of + 1)
+        self.first = np.where(one, np.arange(len(self.start)), np.where(side_of == 0, across, ends[block_of] if len(token) else 0))
+        self.last = ends[block_of] if len(token) else self.first
+
+    def pairs(self, bitmaps: Bitmaps, component: np.ndarray | None, carried=None):
+        """(i, j, distance) of the pairs of rows that pass all filters, in pieces; of different components, if given."""
+        num, den = self.num, self.den
+        count = self.last - self.first
+        for s, e in _chunks(count, PAIRS):
+            g = np.repeat(np.arange(s, e), count[s:e])
+            h = self.first[g] + _inside(count[s:e])
+            a, b = self.n[self.start[g]], self.n[self.start[h]]
+            i, j = self.pos[self.start[g]], self.pos[self.start[h]]
+            both = np.minimum(i, j) + np.minimum(a - i, b - j)  # tokens they can share at most
+            good = (np.minimum(a, b) * den >= np.maximum(a, b) * num) & (both * (num + den) >= num * (a + b))
+            g, h = g[good], h[good]
+            n = self.size[g] * self.size[h]
+            for s2, e2 in _chunks(n, PAIRS):
+                x, y, m = g[s2:e2], h[s2:e2], n[s2:e2]
+                k, wide = _inside(m), np.repeat(self.size[y], m)
+                i, j, same = np.repeat(self.start[x], m) + k // wide, np.repeat(self.start[y], m) + k % wide, np.repeat(x == y, m)
+                keep = ~same | (i < j)
+                if component is not None:
+                    keep &= component[i] != component[j]
+                i, j = i[keep], j[keep]
+                apart = bitmaps.apart(i, j)
+                keep = apart * (num + den) <= (den - num) * (self.n[i] + self.n[j])
+                i, j, apart = i[keep], j[keep], apart[keep]
+                if carried is not None and len(i):
+                    keep = ~carried(i, j)
+                    i, j, apart = i[keep], j[keep], apart[keep]
+                if len(i):
+                    yield i, j, apart / (self.n[i] + self.n[j])
+
+
+class Carried:
+    """Whether two rows share one of the first tokens that come before their bucket's, and so have met before."""
+
+    def __init__(self, tokens: list[bytes], before: np.ndarray):
+        self.n = np.minimum([len(t) // 8 for t in tokens], before)
+        self.tokens = np.frombuffer(b"".join([t.ljust(8 * CARRIED, b"\0") for t in tokens]), np.uint64).reshape(len(tokens), CARRIED)
+
+    def __call__(self, i, j):
+        out = np.zeros(len(i), bool)
+        for s in range(0, len(i), PAIRS // 8):
+            a, b = i[s : s + PAIRS // 8], j[s : s + PAIRS // 8]
+            for x in range(CARRIED):
+                for y in range(CARRIED):
+                    out[s : s + len(a)] |= (self.tokens[a, x] == self.tokens[b, y]) & (x < self.n[a]) & (y < self.n[b])
+        return out
+
+
+def forest(i: np.ndarray, j: np.ndarray, weight: np.ndarray, nodes: int) -> np.ndarray:
+    """Edges (as positions) that join all that the given ones join, light ones first, without a circle."""
+    root, out, live = np.arange(nodes), [], np.arange(len(i))
+    while True:
+        live = live[root[i[live]] != root[j[live]]]
+        if not len(live):
+            return np.array(out, np.int64)
+        a, b = root[i[live]], root[j[live]]
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        order = np.lexsort((weight[live], high))
+        first = order[np.concatenate([[True], high[order][1:] != high[order][:-1]])]
+        out.extend(live[first].tolist())
+        root[high[first]] = low[first]
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def whole_blocks(batches):
+    """Tables of whole blocks (token, lo, hi) of sorted batches."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n < HELD_ROWS:
+            continue
+        rows = pa.Table.from_batches(held).combine_chunks()
+        key = [rows.column(c).to_numpy() for c in ("token", "lo", "hi")]
+        last = np.flatnonzero((key[0] != key[0][-1]) | (key[1] != key[1][-1]) | (key[2] != key[2][-1]))
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if cut:
+            yield rows.slice(0, cut).combine_chunks()
+        held = rows.slice(cut).to_batches()
+        n = rows.num_rows - cut
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 class Similarity:
@@ -133,17 +302,16 @@ class Similarity:
         return parts.repartition("kind", "chunk").mapInArrow(merge, "kind int, chunk int, bits binary")
 
     def index(self, docs: DataFrame, width: int, shared) -> DataFrame:
-        """A row for each prefix token that another document may have: token, doc_id, n, pos, own (tokens of
-        this document alone in its prefix), prefix (hash of it) and the set's parity bitmap."""
+        """A row for each prefix token that another document may have: token, doc_id, n, pos, before (such tokens ahead of
+        it), prefix (hash of all), the set's parity bitmap and the first of its tokens."""
         k, num, den = self.k, self.num, self.den
+        names = ["token", "doc_id", "n", "pos", "before", "prefix", "bits", "carried"]
 
         def run(batches):
             often, coarse = shared.value
             common = np.log2(max(1.0, coarse[1])) + 1
-            names = ["token", "doc_id", "n", "pos", "own", "prefix", "bits"]
             for b in batches:
                 data, at = text_bytes(b.column("text"))
-                ids = b.column("doc_id").to_pylist()
                 for i, j in slices(at):
                     row, token, _ = token_sets(data, at[i : j + 1], k)
                     level = np.maximum(0, coarse[0][(token & np.uint64(COARSE - 1)).astype(np.int64)] - common).astype(np.int8) + 2
@@ -158,47 +326,53 @@ class Similarity:
                     size = np.where(n > 0, n - _needed(n, num, den) + 1, 0)
                     own = np.array([np.count_nonzero(rank_o[f : f + s] == 0) for f, s in zip(first, size)], np.int64)
                     live = np.flatnonzero(own < size)
-                    cols = [[] for _ in names]
+                    if not len(live):
+                        continue
+                    prefix, bits, carried = [], [], []
                     for r in live.tolist():
                         f, s, o, m = int(first[r]), int(size[r]), int(own[r]), int(n[r])
-                        parity = np.bincount((token[f : f + m] & np.uint64(_bits(m) - 1)).astype(np.int64), minlength=_bits(m)) & 1
-                        bits = np.packbits(parity.astype(bool), bitorder="little").tobytes()
+                        bits.append(parity(token[f : f + m], _bits(m)))
+                        carried.append(token_o[f + o : f + min(s, o + CARRIED)].tobytes())
                         with np.errstate(over="ignore"):
-                            prefix = int(mix(np.add.reduce(token_o[f : f + s] * (2 * np.arange(s, dtype=np.uint64) + np.uint64(1))) + np.uint64(m)).view(np.int64))
-                        c = s - o
-                        for col, v in zip(cols, (token_o[f + o : f + s].view(np.int64), [ids[i + r]] * c, [m] * c, list(range(o, s)), [o] * c, [prefix] * c, [bits] * c)):
-                            col.extend(v)
-                    if cols[0]:
-                        out = pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], b.schema.field("doc_id").type), *(pa.array(c, pa.int32()) for c in cols[2:5]), pa.array(cols[5], pa.int64()), pa.array(cols[6], pa.binary())], names)
-                        for c in range(0, out.num_rows, 20_000):
-                            yield out.slice(c, 20_000)
-
-        return docs.select("doc_id", "text").mapInArrow(run, f"token long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n int, pos int, own int, prefix long, bits binary")
-
-    def leaders_dealt(self, index: DataFrame) -> DataFrame:
+                            prefix.append(int(mix(np.add.reduce(token_o[f : f + s] * (2 * np.arange(s, dtype=np.uint64) + np.uint64(1))) + np.uint64(m)).view(np.int64)))
+                    times = (size - own)[live]
+                    of, before = pa.array(np.repeat(np.arange(len(live)), times)), _inside(times)
+                    pos = before + np.repeat(own[live], times)
+                    out = pa.RecordBatch.from_arrays([
+                        pa.array(token_o[np.repeat(first[live], times) + pos].view(np.int64)), b.column("doc_id").take(pa.array(np.repeat(live + i, times))),
+                        *(pa.array(c.astype(np.int32)) for c in (np.repeat(n[live], times), pos, before)),
+                        pa.array(prefix, pa.int64()).take(of), pa.array(bits, pa.binary()).take(of), pa.array(carried, pa.binary()).take(of),
+                    ], names)
+                    for c in range(0, out.num_rows, 20_000):
+                        yield out.slice(c, 20_000)
+
+        return docs.select("doc_id", "text").mapInArrow(run, f"token long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n int, pos int, before int, prefix long, bits binary, carried binary")
+
+    def dealt(self, index: DataFrame) -> DataFrame:
         """The rows of tokens that several have, with the block (lo = hi = id) each is in. Any split will do: the
-        rounds across components try what blocks keep apart. It differs by token, so blocks of other tokens join them."""
+        second round tries what blocks keep apart. It differs by token, so blocks of other tokens join them."""
         # Tokens of one row are gone before the rows with bitmaps are dealt out.
-        many = index.groupBy("token").agg(F.count("*").alias("_n")).where("_n > 1")
-        block = F.pmod(F.xxhash64("doc_id", "token"), F.ceil(F.col("_n") / BUCKET_ROWS)).cast("int")
-        return index.join(many, "token").withColumn("id", block).withColumns({"lo": F.col("id"), "hi": F.col("id")}).drop("_n")
+        many = written(index.groupBy("token").agg(F.count("*").alias("_n")).where("_n > 1"), "shared-tokens")
+        block = F.pmod(F.xxhash64("doc_id", "token"), F.ceil(F.col("_n") / FIRST_ROWS)).cast("long")
+        return index.join(maybe_broadcast(many, 24), "token").withColumn("id", block).withColumns({"lo": F.col("id"), "hi": F.col("id")}).drop("_n")
 
     def across_dealt(self, live: DataFrame, mixed: DataFrame) -> DataFrame:
-        """The rows (live) of tokens with several components (mixed, with their n rows), once for each two blocks (lo, hi) of the token that they are
-        compared in; id is the row's block. All pairs across components meet: a large component has blocks of its own
-        that need not meet each other, smaller ones share blocks, and all other blocks meet, themselves included."""
+        """The rows (live) of tokens with several components (mixed, with the blocks' worth of rows they have), once for each two
+        blocks (lo, hi) of the token that they are compared in; id is the row's block. All pairs across components meet: a
+        large component has blocks of its own that need not meet each other, smaller ones share blocks, and all other blocks
+        meet, themselves included."""
         zero = F.lit(0).cast("long")
-        small = live.join(maybe_broadcast(mixed.where(F.col("n") <= BUCKET_ROWS).select("token"), 24), "token", "left_semi").withColumns({"id": zero, "lo": zero, "hi": zero})
-        wide = mixed.where(F.col("n") > BUCKET_ROWS).select("token")
+        small = live.join(maybe_broadcast(mixed.where("blocks <= 1").select("token"), 24), "token", "left_semi").withColumns({"id": zero, "lo": zero, "hi": zero})
+        wide = mixed.where("blocks > 1").select("token")
         if wide.isEmpty():
             return small
         rows = live.join(maybe_broadcast(wide, 24), "token", "left_semi")
-        sizes = written(rows.groupBy("token", "component").agg(F.count("*").alias("n")), "component-sizes")
-        own = F.col("n") * 2 >= BUCKET_ROWS
-        shared = written(sizes.where(~own).groupBy("token").agg(F.ceil(F.sum("n") / BUCKET_ROWS).cast("long").alias("shared")), "shared-blocks")
+        sizes = written(rows.groupBy("token", "component").agg(self.blocks().alias("blocks")), "component-sizes")
+        own = F.col("blocks") * 2 >= 1
+        shared = written(sizes.where(~own).groupBy("token").agg(F.ceil(F.sum("blocks")).cast("long").alias("shared")), "shared-blocks")
         # A few rows a token: components of half a block or more.
         before = Window.partitionBy("token").orderBy("component").rowsBetween(Window.unboundedPreceding, -1)
-        large = sizes.where(own).select("token", "component", F.ceil(F.col("n") / BUCKET_ROWS).cast("long").alias("parts"))
+        large = sizes.where(own).select("token", "component", F.ceil("blocks").cast("long").alias("parts"))
         large = large.withColumn("before", F.coalesce(F.sum("parts").over(before), zero)).join(shared, "token", "left")
         large = written(large.select("token", "component", "parts", (F.col("before") + F.coalesce("shared", zero)).alias("first")), "own-blocks")
         blocks = large.select("token", F.col("component").alias("owner"), F.explode(F.expr("sequence(first, first + parts - 1)")).alias("id"))
@@ -210,95 +384,86 @@ class Similarity:
         rows = rows.withColumn("id", block).drop("parts", "first", "shared").join(maybe_broadcast(written(meet, "meeting")), ["token", "id"])
         return small.unionByName(rows)
 
-    def candidates(self, dealt: DataFrame, across: bool, tries: int | None = None) -> DataFrame:
-        """Pairs (a, b) of a block that pass the filters: members and their leaders, or (across) pairs of members
-        of two components, all or at most `tries` of each two components of two blocks."""
-        num, den = self.num, self.den
+    @staticmethod
+    def blocks():
+        """The blocks' worth of rows (an aggregate): a block is full by rows or by the tokens of their sets."""
+        return F.sum(F.greatest(F.lit(1.0) / BUCKET_ROWS, F.col("n") / float(BUCKET_TOKENS)))
 
-        def folded(bits, width, to):
-            while width > to:
-                width //= 2
-                bits = (bits ^ bits >> width) & ((1 << width) - 1)
-            return bits
-
-        def group_ok(x, y):
-            a, b = sorted((x["n"], y["n"]))
-            if a * den < b * num:
-                return False
-            i, j = x["pos"], y["pos"]
-            most = min(i, j) + 1 + min(x["n"] - i, y["n"] - j) - 1
-            return most * (num + den) >= num * (a + b)
-
-        def member_ok(x, y):
-            to = min(x["width"], y["width"])
-            apart = (folded(x["int"], x["width"], to) ^ folded(y["int"], y["width"], to)).bit_count()
-            return apart * (num + den) <= (den - num) * (x["n"] + y["n"])
-
-        def between(one, two):
-            """The pairs of two components' groups."""
-            for group in one.values():
-                for other in two.values():
-                    if group_ok(group[0], other[0]):
-                        yield from ((x["doc_id"], y["doc_id"]) for x in group for y in other if member_ok(x, y))
-
-        def bucket(rows, lo, hi):
-            for r in rows:
-                r["width"], r["int"] = 8 * len(r["bits"]), int.from_bytes(r["bits"], "little")
-            if across:
-                sides: dict = {lo: {}, hi: {}}
-                for r in rows:
-                    sides[r["id"]].setdefault(r["component"], {}).setdefault((r["n"], r["pos"], r["prefix"]), []).append(r)
-                for i, (c, one) in enumerate(sides[lo].items()):
-                    others = islice(sides[lo].items(), i) if lo == hi else sides[hi].items()
-                    for d, two in others:
-                        if c != d:
-                            yield from islice(between(one, two), tries)
-                return
-            # Members with few tokens of their own are near many others and make good leaders.
-            rows.sort(key=lambda r: (r["own"], r["n"], r["prefix"], r["doc_id"]))
-            leaders: list[list] = []  # by group
-            for _, members in groupby(rows, key=lambda r: (r["own"], r["n"], r["prefix"])):
-                members = list(members)
-                near = [g for g in leaders if group_ok(members[0], g[0])]
-                new = []
-                for x in members:
-                    met = [y for g in (*near, new) for y in g if x["doc_id"] != y["doc_id"] and member_ok(x, y)]
-                    yield from ((x["doc_id"], y["doc_id"]) for y in met)
-                    if not met:
-                        new.append(x)
-                if new:
-                    leaders.append(new)
+    def likely(self, dealt: DataFrame) -> DataFrame:
+        """Pairs (a, b): a forest of the likely links of each block."""
+        num, den = self.num, self.den
+        kind = dealt.schema["doc_id"].dataType.simpleString()
 
         def run(batches):
-            held, block = [], None
-
-            def done():
-                if len(held) > 1:
-                    yield from bucket(held, block[1], block[2])
+            for table in whole_blocks(batches):
+                rows = Blocks(table, num, den)
+                carried = Carried(rows.rows.column("carried").to_pylist(), rows.rows.column("before").to_numpy())
+                found = [*rows.pairs(Bitmaps(rows.rows.column("bits").to_pylist()), None, carried)]
+                if found:
+                    i, j, weight = (np.concatenate(x) for x in zip(*found))
+                    at, ids = forest(i, j, weight, len(rows.n)), rows.rows.column("doc_id").combine_chunks()
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(i[at])), ids.take(pa.array(j[at]))], ["a", "b"])
+
+        pairs = dealt.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(run, f"a {kind}, b {kind}")
+        return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def near_across(self, dealt: DataFrame) -> DataFrame:
+        """The rows (token, lo, hi, id, doc_id, component) of each block that may link with one of another component there."""
+        num, den = self.num, self.den
+        names = ["token", "lo", "hi", "id", "doc_id", "component"]
 
-            kind = None
-            for b in batches:
-                kind = b.schema.field("doc_id").type
-                out = []
-                rows = b.to_pylist()
-                for t, some in groupby(rows, key=lambda r: (r["token"], r["lo"], r["hi"])):
-                    if t != block:
-                        out += done()
-                        held, block = [], t
-                    held += some
-                out = list(dict.fromkeys((min(p), max(p)) for p in out))
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], kind), pa.array([p[1] for p in out], kind)], ["a", "b"])
-            out = list(dict.fromkeys((min(p), max(p)) for p in done()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], kind), pa.array([p[1] for p in out], kind)], ["a", "b"])
+        def run(batches):
+            for table in whole_blocks(batches):
+                rows = Blocks(table, num, den)
+                component = rows.rows.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
+                carried = Carried(rows.rows.column("carried").to_pylist(), rows.rows.column("before").to_numpy())
+                near = np.zeros(len(rows.n), bool)
+                for i, j, _ in rows.pairs(Bitmaps(rows.rows.column("bits").to_pylist()), component, carried):
+                    near[i] = near[j] = True
+                if near.any():
+                    yield from rows.rows.select(names).filter(pa.array(near)).combine_chunks().to_batches()
+
+        kinds = {f.name: f.dataType.simpleString() for f in dealt.schema}
+        return dealt.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names))
+
+    def links_across(self, near: DataFrame) -> DataFrame:
+        """Links (a, b) that join the components of each block: a forest of them. near has the rows' whole sets (tokens)."""
+        num, den = self.num, self.den
+        kind = near.schema["doc_id"].dataType.simpleString()
 
-        kind = dealt.schema["doc_id"].dataType.simpleString()
-        return dealt.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+        def reach(x, y):
+            both = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
+            return both * den >= num * (len(x) + len(y) - both)
 
-    def verified(self, pairs: DataFrame, docs: DataFrame) -> DataFrame:
-        """pairs (a, b) with linked: whether the whole sets reach the threshold."""
-        k, num, den = self.k, self.num, self.den
-        kind = docs.schema["doc_id"].dataType.simpleString()
+        def run(batches):
+            for table in whole_blocks(batches):
+                sets = [np.frombuffer(t.as_buffer(), np.uint64) for t in table.column("tokens")]
+                n = pa.array([len(t) for t in sets], pa.int64())
+                table = table.append_column("n", n).append_column("pos", pa.array(np.zeros(len(n), np.int64))).append_column("prefix", n).append_column("at", pa.array(np.arange(len(n))))
+                rows = Blocks(table, num, den)
+                sets = [sets[k] for k in rows.rows.column("at").to_pylist()]
+                component = rows.rows.column("component").combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+                _, code = np.unique(rows.block * (component.max() + 1) + component, return_inverse=True)
+                root, links = np.arange(code.max() + 1), []
+                for i, j, weight in rows.pairs(Bitmaps([parity(t, _bits(len(t), 8)) for t in sets]), component):
+                    # The nearest first; most of the others are of one component by then.
+                    order = np.argsort(weight, kind="stable")
+                    for s in range(0, len(order), VERIFIED):
+                        some = order[s : s + VERIFIED]
+                        for k in some[root[code[i[some]]] != root[code[j[some]]]].tolist():
+                            a, b = sorted((root[code[i[k]]], root[code[j[k]]]))
+                            if a != b and reach(sets[i[k]], sets[j[k]]):
+                                root[root == b] = a
+                                links.append((i[k], j[k]))
+                if links:
+                    ids, at = rows.rows.column("doc_id").combine_chunks(), np.array(links)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at[:, 0])), ids.take(pa.array(at[:, 1]))], ["a", "b"])
+
+        return near.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(run, f"a {kind}, b {kind}")
+
+    def sets_of(self, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+        """node and tokens (the whole set, sorted, 8 bytes each) of the documents whose doc_id is in nodes (a written table)."""
+        k, kind = self.k, docs.schema["doc_id"].dataType.simpleString()
 
         def sets(batches):
             for b in batches:
@@ -308,6 +473,13 @@ class Similarity:
                     cut = np.searchsorted(row, np.arange(j - i + 1))
                     yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array([token[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:])], pa.binary())], ["node", "tokens"])
 
+        return written(docs.select("doc_id", "text").join(maybe_broadcast(nodes), "doc_id", "left_semi").mapInArrow(sets, f"node {kind}, tokens binary"), "token-sets")
+
+    def verified(self, pairs: DataFrame, docs: DataFrame) -> DataFrame:
+        """Those pairs (a, b) whose whole sets reach the threshold."""
+        num, den = self.num, self.den
+        kind = docs.schema["doc_id"].dataType.simpleString()
+
         def check(batches):
             for b in batches:
                 good = []
@@ -315,12 +487,11 @@ class Similarity:
                     p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                     both = np.count_nonzero(q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p)
                     good.append(both * den >= num * (len(p) + len(q) - both))
-                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(good, pa.bool_())], ["a", "b", "linked"])
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-        nodes = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "nodes")
-        own = written(docs.select("doc_id", "text").join(maybe_broadcast(nodes), "doc_id", "left_semi").mapInArrow(sets, f"node {kind}, tokens binary"), "token-sets")
+        own = self.sets_of(docs, written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "nodes"))
         both = pairs.join(own.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(check, f"a {kind}, b {kind}, linked boolean")
+        return both.select("a", "b", "x", "y").mapInArrow(check, f"a {kind}, b {kind}")
 
     def join(self, docs: DataFrame) -> DataFrame:
         """doc_id, n_shingles, component_id of each row of docs (doc_id, text, ...).
@@ -333,9 +504,10 @@ class Similarity:
         """
         spark = docs.sparkSession
         docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-        sets = written(self.sets(docs), "sets")
-        full = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
+        whole = written(self.sets(docs), "sets")
+        full = whole.where("n_shingles > 0 AND doc_id IS NOT NULL")
         firsts = full.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+        firsts = maybe_broadcast(written(firsts, "first-copies"))  # else both sides are shuffled, and a large group is split
         copies = written(full.join(firsts, ["n_shingles", "s1", "s2"]).where("doc_id > first").select("doc_id", "key", "first").distinct(), "copies")
         rest = docs.where("doc_id IS NOT NULL").join(maybe_broadcast(copies.select("doc_id", "key")), ["doc_id", "key"], "left_anti").select("doc_id", "text")
 
@@ -351,24 +523,16 @@ class Similarity:
         shared = spark.sparkContext.broadcast((often, (coarse, total / COARSE)))
 
         index = written(self.index(rest, width, shared), "prefixes")
-        pairs = written(self.candidates(self.leaders_dealt(index), False), "candidates")
-        checked = written(self.verified(pairs, rest), "verified")
-        # What the leaders have not joined: buckets of more than one component, across components. Buckets of one
-        # component stay so, so each round reads the rows of the one before.
-        rows = index
-        for tries in TRIES:
-            found = written(components(checked.where("linked").select("a", "b")), "components").withColumnRenamed("node", "doc_id")
-            live = rows.join(maybe_broadcast(found), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-            mixed = live.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-            mixed = written(mixed.select("token", "n"), "mixed")
-            if mixed.isEmpty():
-                break
-            live = written(live.join(maybe_broadcast(mixed.select("token"), 24), "token", "left_semi"), "mixed-rows")
-            rows = live.drop("component")
-            more = written(self.candidates(self.across_dealt(live, mixed), True, tries).join(checked, ["a", "b"], "left_anti"), "candidates")
-            if not more.isEmpty():
-                checked = checked.unionByName(written(self.verified(more, rest), "verified"))
-        links = checked.where("linked").select("a", "b")
-        edges = links.unionByName(copies.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
+        pairs = written(self.likely(self.dealt(index)), "likely-links")
+        links = written(self.verified(pairs, rest), "links")
+        # What the first round has not joined: buckets of more than one component, across components.
+        found = written(components(links), "components").withColumnRenamed("node", "doc_id")
+        live = index.join(maybe_broadcast(found), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        mixed = live.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), self.blocks().alias("blocks")).where("lo < hi")
+        mixed = written(mixed.select("token", "blocks"), "mixed")
+        near = written(self.near_across(self.across_dealt(live, mixed)), "near-rows")
+        sets = self.sets_of(rest, written(near.select("doc_id").distinct(), "nodes"))
+        across = self.links_across(near.join(sets.withColumnRenamed("node", "doc_id"), "doc_id"))
+        edges = links.unionByName(across).unionByName(copies.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
         found = written(components(edges), "components").withColumnRenamed("node", "doc_id")
-        return sets.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        return whole.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
