@@ -11,15 +11,16 @@ from __future__ import annotations
 import math
 import random
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
 SAMPLES = 32
 SEED = 20240601
-#: Documents that go together in a part of the descending order, and the most parts (64 to the third).
-PART_DOCS, MOST_PARTS = 512, 64**3
+#: Documents that go together in a part of the descending order; parts are found through levels of FAN - 1 cuts each,
+#: and so many levels at most.
+PART_DOCS, FAN, MOST_LEVELS = 512, 64, 3
 SPLIT = r"[\x20\x09-\x0D]+"
 
 
@@ -35,24 +36,25 @@ def _gamma_quantiles(n: int) -> list[float]:
     return out
 
 
-def _samples(n: int, low: Column, high: Column, log_weight: Column) -> list[Column]:
-    """The least packed values (ln a above, the word's bits below) of n samples, as aggregates."""
-    draw = random.Random(SEED)
+def _tables(spark: SparkSession) -> DataFrame:
+    """One row with the quantiles of Gamma(2, 1) and their logarithms. As a written table they stand in the plan as two
+    columns, not as 1024 numbers at each use."""
     gamma = _gamma_quantiles(1024)
+    constant = lambda values: F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+    return written(spark.range(1).select(constant(gamma).alias("r_table"), constant([math.log(g) for g in gamma]).alias("c_table")), "quantiles")
 
-    def constant(values: list[float]) -> Column:
-        # One literal when the plan is optimised, instead of a node for each value.
-        return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
 
-    r_table, c_table = constant(gamma), constant([math.log(g) for g in gamma])
+def _samples(n: int, low: Column, high: Column, log_weight: Column) -> list[Column]:
+    """The least packed values (ln a above, the word's bits below) of n samples, as aggregates."""
+    draw = random.Random(SEED)
     out = []
     for _ in range(n):
         # Bits of the word for this sample, from the middle of two products of 31 and 31 bits, which do not
         # overflow; each use pairs other bits.
         x = low.bitwiseXOR(draw.getrandbits(31)) * (draw.getrandbits(30) * 2 + 1)
         y = high.bitwiseXOR(draw.getrandbits(31)) * (draw.getrandbits(30) * 2 + 1)
-        r = F.get(r_table, F.shiftright(x, 20).bitwiseXOR(F.shiftright(y, 27)).bitwiseAND(1023).cast("int"))
-        c = F.get(c_table, F.shiftright(x, 30).bitwiseXOR(F.shiftright(y, 17)).bitwiseAND(1023).cast("int"))
+        r = F.get("r_table", F.shiftright(x, 20).bitwiseXOR(F.shiftright(y, 27)).bitwiseAND(1023).cast("int"))
+        c = F.get("c_table", F.shiftright(x, 30).bitwiseXOR(F.shiftright(y, 17)).bitwiseAND(1023).cast("int"))
         b = F.shiftright(x, 14).bitwiseXOR(F.shiftright(y, 23)).bitwiseAND((1 << 20) - 1) / F.lit(float(1 << 20))
         z = x.bitwiseXOR(y)
         value = c - r * (F.floor(log_weight / r + b) - b + 1)
@@ -65,6 +67,7 @@ def signatures(bags: DataFrame, keys: list[str], n: int = SAMPLES) -> DataFrame:
     h = F.xxhash64("word")
     words = bags.select(*keys, h.bitwiseAND(0x7FFFFFFF).alias("low"), F.shiftright(h, 33).bitwiseAND(0x7FFFFFFF).alias("high"))
     counts = words.groupBy(*keys, "low", "high").agg(F.log(F.count("*").cast("double")).alias("log_weight"))
+    counts = counts.join(F.broadcast(_tables(bags.sparkSession)))  # one row
     least = counts.groupBy(*keys).agg(*[s.alias(f"s{i}") for i, s in enumerate(_samples(n, F.col("low"), F.col("high"), F.col("log_weight")))])
     return least.select(*keys, F.array(*[F.hash(f"s{i}") for i in range(n)]).alias("signature"))
 
@@ -80,37 +83,44 @@ def as_text(signature: Column) -> Column:
     return F.coalesce(F.array_join(hexed, ""), F.lit(""))
 
 
-def _part(doc_id: Column, bounds: list[int]) -> Column:
-    """The number of bounds at or over doc_id, found through levels of 64; 0 holds the greatest ids."""
+def _in_parts(rows: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """rows with part: parts are in descending order of doc_id, rows without one are in the last."""
+    rows = rows.withColumn("part", F.lit(0).cast("long"))
+    for cuts in levels:
+        # At most FAN to the power of MOST_LEVELS - 1 rows.
+        place = F.when(F.col("doc_id").isNull(), FAN).when(F.col("cuts").isNull(), 0).otherwise(F.size(F.filter("cuts", lambda x: x >= F.col("doc_id"))))
+        rows = rows.join(F.broadcast(cuts), "part", "left").withColumn("part", F.col("part") * (FAN + 1) + place).drop("cuts")
+    return rows
 
-    def found(level: list[int]) -> Column:
-        if len(level) <= 64:
-            return F.size(F.filter(F.lit(level), lambda x: x >= doc_id)) if level else F.lit(0)
-        above = found(level[63::64]) * 64
-        return above + F.size(F.filter(F.slice(F.lit(level), above + 1, 64), lambda x: x >= doc_id))
 
-    return F.coalesce(found(bounds), F.lit(len(bounds) + 1))
+def _levels(docs: DataFrame, n: int, part_docs: int) -> list[DataFrame]:
+    """Tables (part, cuts) of the quantiles of doc_id in each part of the level before, until parts are small enough."""
+    levels: list[DataFrame] = []
+    while n > part_docs * FAN ** len(levels) and len(levels) < MOST_LEVELS:
+        cuts = F.percentile_approx("doc_id", [i / FAN for i in range(1, FAN)], 20 * FAN).alias("cuts")
+        levels.append(written(_in_parts(docs.select("doc_id"), levels).groupBy("part").agg(cuts), "cuts"))
+    return levels
 
 
-def compare_with_edits(docs: DataFrame) -> DataFrame:
+def compare_with_edits(docs: DataFrame, part_docs: int = PART_DOCS) -> DataFrame:
     """Fingerprints of every document, of its edited text, and their likeness.
 
-    docs: doc_id, text and other columns, which are ignored. The edited text is the text with its last
-    floor(n / 2) code points replaced by as many first ones of the next document by descending doc_id
+    docs: doc_id (a number), text and other columns, which are ignored whatever their names. The edited text is the text
+    with its last floor(n / 2) code points replaced by as many first ones of the next document by descending doc_id
     (after the last the first). Rows repeated under a doc_id follow one another by a hash of the text;
     rows without doc_id come last, and the order does not go on from the last of them. Null texts count as
-    empty; a text without words has an empty fingerprint. Returns doc_id, n_chars, edited_sha256,
+    empty; a text without words has an empty fingerprint, whatever its length. Long texts are read whole: their words are
+    counted by Spark, row by row. An empty table gives an empty one. Returns doc_id, n_chars, edited_sha256,
     fingerprint, edited_fingerprint, near_edited, near_next.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = rows.count()
-    parts = max(1, min(MOST_PARTS, n // PART_DOCS))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts).alias("q")).head().q if parts > 1 else []
-    bounds = sorted(set(cuts or []), reverse=True)
-    rows = rows.withColumn("part", _part(F.col("doc_id"), bounds))
+    levels = _levels(docs, n, part_docs)
+    parts = max(1, min(FAN**MOST_LEVELS, n // part_docs))
+    rows = _in_parts(rows, levels)
 
     # Each part also gets the head of the part after it, and the last part the head of all.
-    heads = docs.select("doc_id").withColumn("part", _part(F.col("doc_id"), bounds)).groupBy("part").agg(F.max("doc_id").alias("head"))
+    heads = _in_parts(docs.select("doc_id"), levels).groupBy("part").agg(F.max("doc_id").alias("head"))
     order = Window.orderBy("part")
     heads = heads.select("head", F.coalesce(F.lag("part").over(order), F.max("part").over(Window.partitionBy())).alias("to"))
     ahead = rows.join(F.broadcast(heads), F.col("doc_id") == F.col("head")).select("doc_id", "text", "part", "to", F.lit(1).alias("ahead"))
