@@ -21,9 +21,11 @@ KINDS = ["assign", "access", "hex", "jwt", "pem", "key"]
 SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 OPENSSH = b"openssh-key-v1\x00"
 
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-#: With header lines, if any, and their continuations before the body.
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----(?:\s*+((?:[A-Za-z][A-Za-z0-9-]*:[^\r\n]*\r?\n(?:[ \t][^\r\n]*\r?\n)*+)++))?+([A-Za-z0-9+/=\s]+)-----END \1-----")
+#: Runs that a signed token may be in: parts joined by dots.
+DOTTED = re.compile(r"[A-Za-z0-9_.-]+")
+BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
+#: Header lines, if any, and their continuations, then the body.
+ARMOUR = re.compile(r"\s*+((?:[A-Za-z][A-Za-z0-9-]*:[^\r\n]*\r?\n(?:[ \t][^\r\n]*\r?\n)*+)*+)([A-Za-z0-9+/=\s]+)")
 PROC_TYPE = re.compile(r"(?m)^Proc-Type:[ \t]*4,[ \t]*ENCRYPTED[ \t]*\r?$")
 DEK_INFO = re.compile(r"(?m)^DEK-Info:[ \t]*[A-Z0-9-]+,[ \t]*((?:[0-9A-Fa-f]{16}){1,2})[ \t]*\r?$")
 CODED = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
@@ -172,14 +174,48 @@ def is_pem_key(headers: str | None, body: str) -> bool:
 
 
 def is_token(text: str) -> bool:
-    """A signed token: its first two parts are JSON objects and the header names an algorithm."""
+    """A signed token: its first two parts are JSON objects and the header names an algorithm. JSON nested deeper than
+    the parser goes is none."""
     try:
         head, body = (json.loads(_unbase64(x) or b"") for x in text.split(".")[:2])
-    except ValueError:
+    except (ValueError, RecursionError):
         return False
     return isinstance(head, dict) and isinstance(body, dict) and isinstance(head.get("alg"), str)
 
 
+def token_spans(text: str) -> list[tuple[int, int]]:
+    """Signed tokens: three parts joined by dots, from the first "eyJ" of one (an object's start in base64). Each part of
+    a run is decoded in three places at most, so time is linear in the text."""
+    out = []
+    for run in DOTTED.finditer(text):
+        if "eyJ" not in run[0]:
+            continue
+        parts, at, starts = run[0].split("."), run.start(), []
+        for p in parts:
+            starts.append(at)
+            at += len(p) + 1
+        k = 0
+        while k + 2 < len(parts):
+            found = parts[k].find("eyJ")
+            if found >= 0 and len(parts[k]) > found + 3 and parts[k + 1] and is_token(f"{parts[k][found:]}.{parts[k + 1]}"):
+                out.append((starts[k] + found, starts[k + 2] + len(parts[k + 2])))
+                k += 3
+            else:
+                k += 1
+    return out
+
+
+def armour_spans(text: str) -> list[tuple[int, int]]:
+    """Armoured private keys. What stands between two runs of dashes is read once, so time is linear in the text."""
+    out = []
+    for m in BEGIN.finditer(text):
+        end = text.find("-----", m.end())
+        last = f"-----END {m[1]}-----"
+        if end >= 0 and text.startswith(last, end) and (inside := ARMOUR.fullmatch(text, m.end(), end)) and is_pem_key(inside[1], inside[2]):
+            out.append((m.start(), end + len(last)))
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     out = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
@@ -188,8 +224,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """What decodes to a key or a signed token."""
-    out = [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if is_token(m[0])]
-    out += [(m.start(), m.end(), "pem") for m in PEM.finditer(text) if is_pem_key(m[2], m[3])]
+    out = [(a, e, "jwt") for a, e in token_spans(text)] + [(a, e, "pem") for a, e in armour_spans(text)]
     for m in CODED.finditer(text):
         s = m[0]
         if is_key(_unbase64(s)) or len(s) % 2 == 0 and re.fullmatch(r"[0-9a-fA-F]+", s) and is_key(bytes.fromhex(s)):
@@ -204,8 +239,10 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_spans, spans of each row of docs (doc_id, text, ...).
 
-    Spans are kind:start:end, in code points, end exclusive. Null texts count as empty and have none.
-    Repeated rows are each scanned. Rows are independent: no shuffle, one batch in memory.
+    Spans are kind:start:end, in code points, end exclusive; those that start together are in the order of KINDS. Null
+    and empty texts have none. Repeated rows are each scanned, rows without doc_id too; other columns are ignored
+    whatever their names, and an empty table gives an empty one. Rows are independent: no shuffle, one batch in
+    memory, and each text, however long, is scanned in time linear in its length.
     """
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_spans string, spans string"
 
