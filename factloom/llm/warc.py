@@ -1,7 +1,9 @@
 """Web archives: legacy ARC files, their conversion to WARC, and both readers.
 
-All files go through Spark's text writer (gzip, one file a task) and its binaryFile reader, so any
-Hadoop file system serves. A task holds one archive file, whose size the input splits bound.
+Every record is a gzip member of its own, as readers that seek expect. All files go through Spark's text writer
+and its binaryFile reader, so any Hadoop file system serves: a row is a member's bytes, and what the writer puts
+between two rows is a member without content. A file ends after so many records as FILE_BYTES hold on average; a
+task holds one file.
 """
 
 from __future__ import annotations
@@ -25,12 +27,43 @@ ARC_FIELDS = {
     2: ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"],
 }
 REVISIT = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
-#: Fast rather than small: archives are written once and read once here.
-GZIP = {"zlib.compress.level": "BEST_SPEED"}
+#: Bytes of payload that an archive file holds, more or less.
+FILE_BYTES = 64 << 20
 #: Equal payloads under this many bytes are stored each time.
 LEAST_BYTES = 1000
 
 
+def member(data: bytes) -> bytes:
+    """data as a gzip member; fast rather than small, as archives are written once and read once here."""
+    one = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return one.compress(data) + one.flush()
+
+
+def _with_heads(records, head: bytes, each: int):
+    """Record batches of members, with head as the first of every `each` rows, which is where files begin."""
+    n = 0
+    yield pa.RecordBatch.from_pydict({"value": pa.array([head], pa.binary())})
+    for some in records:
+        out = []
+        for r in some:
+            n += 1
+            if n % each == 0:
+                out.append(head)
+                n += 1
+            out.append(r)
+        yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.binary())})
+
+
+def _write(members: DataFrame, path: str, each: int) -> None:
+    """Rows of members as files of `each` rows. The writer separates rows by bytes, which Latin-1 gives unchanged."""
+    between = {"lineSep": member(b"").decode("latin-1"), "encoding": "ISO-8859-1", "maxRecordsPerFile": each}
+    members.select(F.col("value").cast("string")).write.options(**between).text(path)
+
+
+def records_a_file(mean_bytes: float | None) -> int:
+    return max(2, int(FILE_BYTES // max(1.0, mean_bytes or 1.0)))
+
+
 def _arc_line(version: int, url: str, date: str, kind: str, length: int) -> str:
     mid = ["200", "-", "-", "0", "-"] if version == 2 else []
     return " ".join([url, "0.0.0.0", date, kind, *mid, str(length)])
@@ -43,30 +76,38 @@ def write_arc(pages: DataFrame, path: str, captured: str = "20240101000000") ->
     is "-"; white space in a url is percent-encoded, as the header line's fields are split by spaces.
     """
 
+    each = records_a_file(pages.agg(F.avg(F.octet_length("html"))).head()[0])
+
     def run(batches):
         version = 1 + TaskContext.get().partitionId() % 2
         about = f"{version} 0 factloom\n{' '.join(ARC_FIELDS[version])}\n"
-        yield pa.RecordBatch.from_pydict({"value": pa.array([_arc_line(version, "filedesc://part.arc", captured, "text/plain", len(about)) + "\n" + about])})
-        for b in batches:
-            out = []
-            for page, url, html in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html"))):
-                html = html or ""
-                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if page is None else page}\r\n\r\n"
-                url = re.sub(r"\s", lambda m: "".join(f"%{x:02X}" for x in m[0].encode()), url or "-")
-                out.append(_arc_line(version, url, captured, "text/html", len(head) + len(html.encode())) + "\n" + head + html)
-            yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
 
-    pages.select("page_id", "url", "html").mapInArrow(run, "value string").write.options(lineSep="\n", **GZIP).text(path, compression="gzip")
+        def records():
+            for b in batches:
+                out = []
+                for page, url, html in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html"))):
+                    html = html or ""
+                    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if page is None else page}\r\n\r\n"
+                    url = re.sub(r"\s", lambda m: "".join(f"%{x:02X}" for x in m[0].encode()), url or "-")
+                    block = (head + html).encode()
+                    out.append(member(_arc_line(version, url, captured, "text/html", len(block)).encode() + b"\n" + block + b"\n"))
+                yield out
+
+        yield from _with_heads(records(), member(f"{_arc_line(version, 'filedesc://part.arc', captured, 'text/plain', len(about))}\n{about}\n".encode()), each)
+
+    _write(pages.select("page_id", "url", "html").mapInArrow(run, "value binary"), path, each)
 
 
 def _unpacked(content: bytes) -> bytes:
     """All members of a gzip file; other content as it is."""
-    out = []
-    while content[:2] == b"\x1f\x8b":
+    out, at = [], 0
+    while content[at : at + 2] == b"\x1f\x8b":
         one = zlib.decompressobj(31)
-        out.append(one.decompress(content))
-        content = one.unused_data
-    return b"".join([*out, content])
+        while not one.eof and at < len(content):
+            piece = content[at : at + 65536]
+            out.append(one.decompress(piece))
+            at += len(piece) - len(one.unused_data)
+    return b"".join([*out, content[at:]])
 
 
 def arc_records(data: bytes):
@@ -129,10 +170,9 @@ def record_id(page, url: str, date: str, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page} {url} {date} {digest}')}>"
 
 
-def _warc(fields: list[tuple[str, str]], block: str) -> str:
-    raw = block.encode()
-    named = [*fields, ("WARC-Block-Digest", "sha1:" + base64.b32encode(hashlib.sha1(raw).digest()).decode()), ("Content-Length", str(len(raw)))]
-    return "WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in named) + "\r\n" + block
+def _warc(fields: list[tuple[str, str]], block: bytes) -> bytes:
+    named = [*fields, ("WARC-Block-Digest", "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()), ("Content-Length", str(len(block)))]
+    return ("WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in named) + "\r\n").encode() + block + b"\r\n\r\n"
 
 
 def arc_to_warc(spark: SparkSession, arc: str, warc: str, least_bytes: int = LEAST_BYTES) -> None:
@@ -146,27 +186,33 @@ def arc_to_warc(spark: SparkSession, arc: str, warc: str, least_bytes: int = LEA
     same = ["payload_digest", "payload_bytes"]
     top = heads.where(F.col("payload_bytes") >= least_bytes).groupBy(*same).agg(F.max_by(F.struct("page_id", "url", "date"), "page_id").alias("to"), F.count("*").alias("n")).where("n > 1").drop("n")
     revisits = heads.join(top, same).where("page_id != to.page_id").select("page_id", "payload_digest", "to").dropDuplicates(["page_id", "payload_digest"])
-    revisits = maybe_broadcast(written(revisits, "revisits"), 200)  # then no payload passes a shuffle
+    revisits = maybe_broadcast(written(revisits, "revisits"))  # then no payload passes a shuffle
+    each = records_a_file(heads.agg(F.avg("payload_bytes")).head()[0])
 
     def run(batches):
-        yield pa.RecordBatch.from_pydict({"value": pa.array([_warc([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, str(TaskContext.get().partitionId()))}>"), ("WARC-Date", "2024-01-01T00:00:00Z"), ("Content-Type", "application/warc-fields")], "software: factloom\r\nformat: WARC File Format 1.0\r\n")])})
-        for b in batches:
-            out = []
-            for r in b.to_pylist():
-                d, digest = r["date"], r["payload_digest"]
-                fields = [
-                    ("WARC-Type", "response" if r["to"] is None else "revisit"), ("WARC-Record-ID", record_id(r["page_id"], r["url"], d, digest)), ("WARC-Target-URI", r["url"]),
-                    ("WARC-Date", f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"), ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()), ("Content-Type", "application/http; msgtype=response"),
-                ]
-                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if r['page_id'] is None else r['page_id']}\r\nContent-Length: {r['payload_bytes']}\r\n\r\n"
-                if to := r["to"]:
-                    fields += [("WARC-Profile", REVISIT), ("WARC-Refers-To", record_id(to["page_id"], to["url"], to["date"], digest)), ("WARC-Refers-To-Target-URI", to["url"])]
-                out.append(_warc(fields, head if to else head + r["payload"].decode()))
-            yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
+        task = TaskContext.get().partitionId()
+
+        def records():
+            for b in batches:
+                out = []
+                for r in b.to_pylist():
+                    d, digest = r["date"], r["payload_digest"]
+                    fields = [
+                        ("WARC-Type", "response" if r["to"] is None else "revisit"), ("WARC-Record-ID", record_id(r["page_id"], r["url"], d, digest)), ("WARC-Target-URI", r["url"]),
+                        ("WARC-Date", f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"), ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()), ("Content-Type", "application/http; msgtype=response"),
+                    ]
+                    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if r['page_id'] is None else r['page_id']}\r\nContent-Length: {r['payload_bytes']}\r\n\r\n"
+                    if to := r["to"]:
+                        fields += [("WARC-Profile", REVISIT), ("WARC-Refers-To", record_id(to["page_id"], to["url"], to["date"], digest)), ("WARC-Refers-To-Target-URI", to["url"])]
+                    out.append(member(_warc(fields, head.encode() if to else head.encode() + r["payload"])))
+                yield out
+
+        about = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, str(task))}>"), ("WARC-Date", "2024-01-01T00:00:00Z"), ("Content-Type", "application/warc-fields")]
+        yield from _with_heads(records(), member(_warc(about, b"software: factloom\r\nformat: WARC File Format 1.0\r\n")), each)
 
     full = read_arc(spark, arc).alias("r").join(revisits.alias("v"), F.col("r.page_id").eqNullSafe(F.col("v.page_id")) & (F.col("r.payload_digest") == F.col("v.payload_digest")), "left")
     full = full.select("r.*", F.col("v.to").alias("to"))
-    full.mapInArrow(run, "value string").write.options(lineSep="\r\n\r\n", **GZIP).text(warc, compression="gzip")
+    _write(full.mapInArrow(run, "value binary"), warc, each)
 
 
 def warc_records(data: bytes):
@@ -211,7 +257,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive(pages: DataFrame) -> DataFrame:
-    """Pages as ARC, converted to WARC, read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Pages as ARC, converted to WARC, read back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    pages: page_id, url, html and other columns, which are ignored whatever their names. Null html is an empty payload, a
+    null url "-". Of equal payloads of LEAST_BYTES or more that with the largest page_id is the response; rows repeated
+    under that page_id are responses, too, and rows without page_id only revisit. A payload, however long, is one record
+    in one task. An empty table gives archives without records and an empty result.
+    """
     spark = pages.sparkSession
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
     write_arc(pages, arc)
