@@ -112,6 +112,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     all_docs = docs.mapInArrow(sequences, f"doc_id {kind}, key long, n int, sequence binary")
     narrow = written(all_docs, "sequences")
     firsts = narrow.where(f"n >= {WINDOW}").groupBy("sequence").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    firsts = maybe_broadcast(written(firsts, "first-sequences"))
     copies = written(narrow.where(f"n >= {WINDOW}").join(firsts, "sequence").where("doc_id > first").select("doc_id", "key", F.array(F.lit(0), "n").alias("ranges")).distinct(), "copies")
     words = narrow.agg(F.sum("n")).head()[0] or 0
     rest = docs.join(maybe_broadcast(copies.select("doc_id", "key")), ["doc_id", "key"], "left_anti")
@@ -152,6 +153,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 
     found = written(rest.mapInArrow(suspects, f"h1 long, h2 int, doc_id {kind}, key long, start int"), "windows")
     first = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    # A table of its own: broadcast, or joined by a shuffle in which Spark can split a window that very many have.
+    first = maybe_broadcast(written(first, "first-windows"))
     hits = found.join(first, ["h1", "h2"]).where("doc_id > first").groupBy("doc_id", "key").agg(F.collect_list("start").alias("starts"))
 
     def merged(batches):
@@ -178,7 +181,7 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     """
     ranges = repeated_windows(docs).withColumnRenamed("doc_id", "r_id").withColumnRenamed("key", "r_key")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.join(maybe_broadcast(ranges, 100), (F.col("doc_id") == F.col("r_id")) & (F.xxhash64("text") == F.col("r_key")), "left").select("doc_id", "text", "ranges")
+    rows = rows.join(maybe_broadcast(ranges), (F.col("doc_id") == F.col("r_id")) & (F.xxhash64("text") == F.col("r_key")), "left").select("doc_id", "text", "ranges")
 
     def cut(batches):
         for b in batches:
