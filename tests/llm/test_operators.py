@@ -151,10 +151,19 @@ def test_jaccard_blocks_by_tokens(spark, monkeypatch):
     assert got == brute_components(docs, 3, 90, 100)
 
 
-def test_components_of_a_long_path(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5), (None, 3)], "a long, b long")
-    got = {r.node: r.component for r in components(edges).collect()}
-    assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+@pytest.mark.parametrize("local", [1 << 18, 7])
+def test_components_of_a_long_path(spark, monkeypatch, local):
+    """In one part, and in many with rounds between them; ids of any type."""
+    from factloom.llm import components as module
+
+    monkeypatch.setattr(module, "LOCAL_EDGES", local)
+    pairs = [(i, i + 1) for i in range(60)] + [(100, 101), (5, 5), (None, 3), (7, 200), (200, 7), (200, 201)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 200: 0, 201: 0}
+    text = [(f"n{a:03}", f"n{b:03}") for a, b in pairs if a is not None]
+    named = {r.node: r.component for r in components(spark.createDataFrame(text, "a string, b string")).collect()}
+    assert named == {f"n{k:03}": f"n{v:03}" for k, v in got.items()}
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
 def test_exact_groups(edge_docs, rows):
