@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Patterns of dates, placeholders and codes.
 DATES = r"(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})"
@@ -40,3 +44,39 @@ def repetition(text: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
+@F.pandas_udf(StringType())
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def compatible(text: Column) -> Column:
+    """Compatibility letters as plain ones (NFKC). Only texts beyond ASCII go to Python."""
+    return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text)
+
+
+def squeezed(text: Column) -> Column:
+    """Runs of white space and controls as one space, none at the ends; other marks that do not print are removed."""
+    out = F.regexp_replace(F.regexp_replace(text, r"(?U)[\s\p{Cc}]+", " "), r"[\p{Cf}\p{Co}\p{Cn}\p{Cs}]", "")
+    return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
+
+
+def clean_text(text: Column) -> Column:
+    """squeezed, with compatibility letters as plain ones."""
+    return squeezed(compatible(squeezed(text)))
+
+
+def normal(text: Column) -> Column:
+    """Lower case without codes in brackets, end punctuation and doubled spaces."""
+    t = F.regexp_replace(F.trim(F.lower(text)), r"[(\[]\d{4}/\d[)\]]", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(t, "[.;,]+$", ""), r"\s+", " "))
+
+
+def existing_code(text: Column) -> Column:
+    """struct(code, morphology, topography, confidence) of the first joint code, else morphology (both 1.0), else topography (0.8)."""
+    joint = r"(\d{4}/\d)\s*-\s*(C\d{2}\.\d)"
+    m, t = (F.nullif(F.regexp_extract(text, joint, g), F.lit("")) for g in (1, 2))
+    m2, t2 = (F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for p in (r"\d{4}/\d", r"C\d{2}\.\d"))
+    code = F.coalesce(F.concat(m, F.lit("-"), t), m2, t2)
+    return F.struct(code.alias("code"), F.coalesce(m, m2).alias("morphology"), F.coalesce(t, F.when(m2.isNull(), t2)).alias("topography"), F.when(F.coalesce(m, m2).isNotNull(), 1.0).when(t2.isNotNull(), 0.8).alias("confidence"))

@@ -43,3 +43,15 @@ def pivot(rows: DataFrame, keys: list[str], variables: list[str], last: bool = F
     pick = F.max_by if last else F.min_by
     some = rows.where(F.col("core_variable").isin(variables))
     return some.groupBy(*keys).agg(*[pick(F.when(F.col("core_variable") == v, F.col("value")), F.when((F.col("core_variable") == v) & F.col("value").isNotNull(), F.struct("seq", "record_id"))).alias(v.split(".")[1]) for v in variables])
+
+
+def first_integer(value: Column) -> Column:
+    return F.nullif(F.regexp_extract(value, "-?[0-9]+", 0), F.lit(""))
+
+
+def aligned(tables: list[DataFrame], columns: list[str]) -> DataFrame:
+    """Tables under each other with the given columns as strings; what one has not, or is null, is empty."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out.select(*[(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in out.columns else F.lit("")).alias(c) for c in columns])

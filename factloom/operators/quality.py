@@ -14,8 +14,21 @@ def blank() -> Column:
 
 
 
+#: Kinds of rule that a user has added: a condition on the fact (true is a failure).
+ADDED: dict[str, Column] = {}
+
+
+def register(kind: str, condition: Column) -> None:
+    """Adds a kind of rule; rules of that kind then fail where the condition on the fact's columns holds."""
+    ADDED[kind] = condition
+
+
+def unregister(kind: str) -> None:
+    ADDED.pop(kind, None)
+
+
 def failed(as_of: str) -> Column:
-    """Whether the rule of a joined row fails; nulls only fail not_null. New kinds of rule are added here."""
+    """Whether the rule of a joined row fails; nulls only fail not_null."""
     number = F.expr("try_cast(value AS DOUBLE)")
     cases = {
         "not_null": blank(),
@@ -23,7 +36,7 @@ def failed(as_of: str) -> Column:
         "of_type": F.col("value").isNotNull() & F.when(F.col("kind") == "number", number.isNull()).otherwise(F.expr("try_cast(value AS DATE)").isNull()),
         "between": F.coalesce(~number.between(F.col("lo"), F.col("hi")), F.lit(False)),
         "not_future": F.coalesce(F.expr("try_cast(value AS DATE)") > F.lit(as_of).cast("date"), F.lit(False)),
-    }
+    } | ADDED
     out = F.lit(None).cast("boolean")
     for rule, condition in cases.items():
         out = F.when(F.col("rule") == rule, condition).otherwise(out)
@@ -62,8 +75,13 @@ def missing_matrix(facts: DataFrame, variables: list[str]) -> DataFrame:
 
 
 def conflicts(facts: DataFrame, single: list[str]) -> DataFrame:
-    """Variables with more than one value: of a patient for entities in single, of a patient and date for others."""
+    """Variables with more than one value: of a patient for entities in single, of a patient and date for others.
+
+    Exact repeats count once: values are distinct before they are counted, so two partial sums do and no row is expanded.
+    """
     by_date = F.when(F.split_part("core_variable", F.lit("."), F.lit(1)).isin(single), F.lit(None)).otherwise(F.col("date_ref"))
     rows = facts.where(F.col("value").isNotNull()).withColumn("on_date", by_date)
-    out = rows.groupBy("patient_id", "core_variable", "on_date").agg(F.count_distinct("value").alias("n_values"), F.min("value").alias("low"), F.max("value").alias("high"), F.array_join(F.array_sort(F.collect_set("original_source")), ",").alias("sources"))
+    key = ["patient_id", "core_variable", "on_date"]
+    values = rows.groupBy(*key, "value").agg(F.collect_set("original_source").alias("s"))
+    out = values.groupBy(*key).agg(F.count("*").alias("n_values"), F.min("value").alias("low"), F.max("value").alias("high"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))), ",").alias("sources"))
     return out.where("n_values > 1")

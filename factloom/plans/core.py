@@ -350,10 +350,17 @@ def w3_unique_note_ids(spark, sf_dir):
     return n.join(twice, "note_id", "left").select("doc_id", F.when(F.col("twice"), F.concat_ws("_", "note_id", "doc_id")).otherwise(F.col("note_id")).alias("note_id"))
 
 
-@query(r"""WITH n AS (SELECT doc_id, lower(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')) AS t FROM documents) SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS kept FROM n""")
+@query(r"""WITH n AS (SELECT doc_id, CASE WHEN doc_id % 41 != 0 THEN lower(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g'))) END AS t FROM documents) SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS kept FROM n""")
 def w4_duplicate_texts(spark, sf_dir):
-    n = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.lower(F.regexp_replace("text", "[ \t\n\r]+", " "))).alias("digest"))
-    return n.join(n.groupBy("digest").agg(F.min("doc_id").alias("kept")), "digest").select("doc_id", "kept")
+    """The first id of each text, spaces and case aside; rows without a text are one group. Digests only bring likely equals together:
+    the texts themselves are compared, and only those of digests that several rows have are shuffled."""
+    folded = F.lower(F.trim(F.regexp_replace("text", "[ \t\n\r]+", " ")))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 41 != 0, folded).alias("t")).withColumn("digest", F.xxhash64("t"))
+    often = d.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    many = d.join(often, "digest", "left_semi")
+    first = many.groupBy("digest", "t").agg(F.min("doc_id").alias("kept"))
+    found = many.join(first, (many["digest"] == first["digest"]) & many["t"].eqNullSafe(first["t"])).select("doc_id", "kept")
+    return d.join(often, "digest", "left_anti").select("doc_id", F.col("doc_id").alias("kept")).unionByName(found)
 
 
 @query("""WITH x AS (SELECT 1) SELECT o_custkey AS patient_id, min(struct_pack(d := o_orderdate, k := o_orderkey)).k AS first_order FROM orders GROUP BY 1""")

@@ -8,7 +8,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
-from factloom.operators import resolve
 from factloom.plans.core import counts
 from factloom.sources import bind
 from factloom.sources.bind import table
@@ -42,12 +41,6 @@ ANN = "ann AS (SELECT o_orderkey AS order_id, o_custkey AS patient_id, 'Order st
 PLACEHOLDER_SQL = "array_to_string(list_sort(list_distinct(regexp_extract_all(template, '\\[[^\\]]*\\]'))), ',')"
 
 
-@query("""SELECT page_id, regexp_extract(html, 'var ([A-Za-z_]+)="([^"]*)"', 1) AS name, regexp_extract(html, 'var ([A-Za-z_]+)="([^"]*)"', 2) AS literal, CAST(len(regexp_extract_all(html, '<script[^>]*>')) AS BIGINT) AS scripts FROM pages""")
-def s10_script_literals(spark, sf_dir):
-    pattern = 'var ([A-Za-z_]+)="([^"]*)"'
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", pattern, 1).alias("name"), F.regexp_extract("html", pattern, 2).alias("literal"), F.size(F.regexp_extract_all("html", F.lit("<script[^>]*>"), F.lit(0))).cast("long").alias("scripts"))
-
-
 @query("""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.\\n]'), lambda x: trim(x, ' ')), lambda x: length(x) > 20) AS s FROM documents)
 SELECT doc_id, CASE WHEN len(s) < 3 THEN 'none' WHEN 1 - len(list_distinct(s)) / len(s) > 0.8 THEN 'high' WHEN 1 - len(list_distinct(s)) / len(s) >= 0.5 THEN 'medium' ELSE 'none' END AS severity FROM s""")
 def t6_repetition(spark, sf_dir):
@@ -78,23 +71,6 @@ def t14_template_values(spark, sf_dir):
     return annotations(spark, sf_dir).select("order_id", F.regexp_extract("annotation", "status: ([A-Z])", 1).alias("status"), F.regexp_extract("annotation", "priority: ([^;]+)", 1).alias("priority"))
 
 
-@query(f"WITH {ANN} SELECT order_id, regexp_extract(annotation, '([0-9]{{4}}/[0-9])-(C[0-9]{{2}}[.][0-9])', 1) AS morphology, regexp_extract(annotation, '([0-9]{{4}}/[0-9])-(C[0-9]{{2}}[.][0-9])', 2) AS topography FROM ann")
-def t25_codes(spark, sf_dir):
-    return annotations(spark, sf_dir).select("order_id", F.regexp_extract("annotation", tx.CODE, 1).alias("morphology"), F.regexp_extract("annotation", tx.CODE, 2).alias("topography"))
-
-
-@query(f"WITH {ANN} SELECT patient_id, count(DISTINCT t) AS codes, CASE WHEN count(DISTINCT t) = 1 THEN 'auto_resolved' ELSE 'needs_review' END AS status, min(t) AS least FROM (SELECT patient_id, regexp_extract(annotation, 'C[0-9]{{2}}') AS t FROM ann) GROUP BY 1")
-def a43_diagnosis_resolution(spark, sf_dir):
-    n = F.count_distinct("t")
-    rows = annotations(spark, sf_dir).select("patient_id", F.regexp_extract("annotation", r"C\d{2}", 0).alias("t"))
-    return rows.groupBy("patient_id").agg(n.alias("codes"), F.when(n == 1, "auto_resolved").otherwise("needs_review").alias("status"), F.min("t").alias("least"))
-
-
-@query(f"WITH {ANN}, s AS (SELECT patient_id, CASE WHEN count(DISTINCT regexp_extract(annotation, 'C[0-9]{{2}}')) = 1 THEN 'auto_resolved' ELSE 'needs_review' END AS status FROM ann GROUP BY 1) SELECT status, count(*) AS patients FROM s GROUP BY 1")
-def a45_status_counts(spark, sf_dir):
-    return a43_diagnosis_resolution(spark, sf_dir).groupBy("status").agg(F.count("*").alias("patients"))
-
-
 #: First rule by position wins.
 PROMPT_RULES = [(1, "urgent", "1-URGENT"), (2, "high", "HIGH"), (3, "done", "status: F"), (4, "any", "status")]
 
@@ -107,24 +83,6 @@ def j9_w9_first_matching_rule(spark, sf_dir):
     return annotations(spark, sf_dir).select("order_id", pick.alias("prompt")).where("prompt IS NOT NULL")
 
 
-@query("""WITH q AS (SELECT DISTINCT p_name || ' extra' AS query FROM part WHERE p_partkey % 20 = 0), e AS (SELECT DISTINCT p_name AS entry FROM part),
-w AS (SELECT query, list_distinct(list_filter(regexp_split_to_array(lower(query), '[^a-z0-9]+'), lambda x: x != '')) AS qw FROM q), v AS (SELECT entry, list_distinct(list_filter(regexp_split_to_array(lower(entry), '[^a-z0-9]+'), lambda x: x != '')) AS ew FROM e),
-s AS (SELECT query, entry, round(len(list_intersect(qw, ew)) / greatest(len(qw), len(ew), 1), 6) AS score FROM w, v WHERE len(list_intersect(qw, ew)) > 0)
-SELECT query, arg_min(entry, struct_pack(a := -score, b := entry)) AS entry, max(score) AS score FROM s WHERE score >= 0.6 GROUP BY 1""")
-def j11_fuzzy_dictionary(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    return resolve.fuzzy(p.where("p_partkey % 20 = 0").select(F.concat("p_name", F.lit(" extra")).alias("text")), p.select(F.col("p_name").alias("text")))
-
-
-@query("""WITH d AS (SELECT p_type AS category, lower(p_name) AS label, min(p_brand) AS code FROM part WHERE p_partkey % 3 = 0 GROUP BY 1, 2), v AS (SELECT DISTINCT p_type AS category, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE regexp_replace(p_name, ' [^ ]+$', '') END AS value FROM part),
-x AS (SELECT v.*, d.code FROM v LEFT JOIN d ON d.category = v.category AND d.label = lower(value)), n AS (SELECT x.category, value, arg_min(d.code, struct_pack(a := -length(d.label), b := d.label)) AS code FROM x JOIN d ON d.category = x.category AND (contains(d.label, lower(value)) OR contains(lower(value), d.label)) WHERE x.code IS NULL GROUP BY 1, 2)
-SELECT category, value, code, CAST(1.0 AS DOUBLE) AS tier FROM x WHERE code IS NOT NULL UNION ALL SELECT category, value, code, CAST(0.9 AS DOUBLE) FROM n""")
-def j13_label_tiers(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    value = F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.regexp_replace("p_name", " [^ ]+$", ""))
-    return resolve.by_tier(p.select(F.col("p_type").alias("category"), value.alias("value")), p.where("p_partkey % 3 = 0").select(F.col("p_type").alias("category"), F.col("p_name").alias("label"), F.col("p_brand").alias("code")))
-
-
 COMB = "c AS (SELECT p_brand AS morphology, p_size AS topography, 'K' || min(p_partkey) AS code FROM part GROUP BY 1, 2), q AS (SELECT p_partkey AS id, p_brand AS morphology, (p_size + 1) % 50 AS topography FROM part)"
 
 
@@ -134,12 +92,6 @@ def combinations(spark, sf_dir):
     return c, p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("morphology"), ((F.col("p_size") + 1) % 50).alias("topography"))
 
 
-@query(f"WITH {COMB}, t AS (SELECT id, code, 0.9 AS score FROM q JOIN c USING (morphology, topography) UNION ALL SELECT id, code, 0.75 FROM q JOIN c USING (morphology) UNION ALL SELECT id, code, 0.65 FROM q JOIN c USING (topography)), b AS (SELECT id, code, CAST(max(score) AS DOUBLE) AS score FROM t GROUP BY 1, 2) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, code) AS INTEGER) AS rank FROM b) WHERE rank <= 5")
-def j15_w6_top_candidates(spark, sf_dir):
-    c, q = combinations(spark, sf_dir)
-    return resolve.top_candidates(q, c, 5)
-
-
 @query(f"WITH {COMB} SELECT id, c.code IS NOT NULL AS valid, EXISTS (SELECT 1 FROM c m WHERE m.morphology = q.morphology) AS morphology_known, EXISTS (SELECT 1 FROM c t WHERE t.topography = q.topography) AS topography_known FROM q LEFT JOIN c ON c.morphology = q.morphology AND c.topography = q.topography")
 def j16_valid_combinations(spark, sf_dir):
     c, q = combinations(spark, sf_dir)
@@ -163,29 +115,6 @@ def j23_vector_top_k(spark, sf_dir):
     return s.withColumn("r", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "vec_id"))).where("r <= 3").drop("r")
 
 
-PAIRS = "pr AS (SELECT u.conv_id, u.turn, u.text AS gold, a.text AS predicted FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"
-EVAL = "w AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(gold), '[^a-z0-9]+'), lambda x: x != '')) AS g, list_distinct(list_filter(regexp_split_to_array(lower(predicted), '[^a-z0-9]+'), lambda x: x != '')) AS p FROM pr), ev AS (SELECT *, lower(trim(gold)) = lower(trim(predicted)) AS same, round(len(list_intersect(g, p)) / greatest(len(g), len(p), 1), 6) AS similarity FROM w)"
-
-
-def evaluated(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    u = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("gold"))
-    a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("predicted"))
-    pairs = u.join(a, ["conv_id", "turn"])
-    return pairs.withColumn("same", F.lower(F.trim("gold")) == F.lower(F.trim("predicted"))).withColumn("similarity", F.round(tx.token_overlap(tx.words(F.col("gold")), tx.words(F.col("predicted"))), 6))
-
-
-@query(f"WITH {PAIRS}, {EVAL} SELECT conv_id, turn, same, similarity, same OR similarity >= 0.8 AS overall FROM ev")
-def t15_evaluation(spark, sf_dir):
-    return evaluated(spark, sf_dir).select("conv_id", "turn", "same", "similarity", (F.col("same") | (F.col("similarity") >= 0.8)).alias("overall"))
-
-
-@query(f"WITH {PAIRS}, {EVAL} SELECT CAST(turn AS BIGINT) AS turn, count(*) AS n, count_if(same) AS exact, count_if(similarity >= 0.8) AS similar, round(avg(similarity), 4) AS mean_similarity FROM ev GROUP BY GROUPING SETS ((turn), ())")
-def a36_evaluation_totals(spark, sf_dir):
-    out = evaluated(spark, sf_dir).groupingSets([["turn"], []], "turn").agg(F.count("*").alias("n"), F.count_if("same").alias("exact"), F.count_if(F.col("similarity") >= 0.8).alias("similar"), F.round(F.avg("similarity"), 4).alias("mean_similarity"))
-    return out.withColumn("turn", F.col("turn").cast("long"))
-
-
 @query("SELECT event_type, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, count_if(value < 10) AS rejected FROM events GROUP BY 1")
 def a38_confidence_statistics(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), F.count_if(F.col("value") < 10).alias("rejected"))
@@ -219,12 +148,6 @@ def p3_j10_applicable_prompts(spark, sf_dir):
     return n.select(F.col("note_id").alias("doc_id"), F.explode(F.array_intersect(every, allowed)).alias("prompt"))
 
 
-@query("""WITH c AS (SELECT c_custkey, round(c_acctbal / 100 + 60, 2) AS weight, 1.5 + (c_custkey % 50) / 100.0 AS height FROM customer) SELECT c_custkey, CAST(round(weight / (height * height), 2) AS DOUBLE) AS bmi FROM c WHERE weight > 0""")
-def h1_body_mass_index(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.round(F.col("c_acctbal") / 100 + 60, 2).alias("weight"), (F.lit(1.5) + (F.col("c_custkey") % 50) / 100.0).alias("height"))
-    return c.where("weight > 0").select("c_custkey", F.round(F.col("weight") / (F.col("height") * F.col("height")), 2).alias("bmi"))
-
-
 @query("SELECT doc_id, length(text) AS n_chars, 'done' AS status FROM documents WHERE text IS NOT NULL")
 def i1_incremental_notes(spark, sf_dir):
     base = f"{shared_dir(spark)}/incremental-{uuid.uuid4().hex}"

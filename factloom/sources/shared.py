@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -16,3 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-factloom-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
+
+
+def new_path(spark: SparkSession, what: str) -> str:
+    """A path of its own in that folder."""
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"

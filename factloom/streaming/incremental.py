@@ -2,31 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def process_new(spark: SparkSession, source: str, target: str, checkpoint: str, work, key: str) -> None:
-    """Applies work to the rows of new Parquet files under source and appends them to target.
+    """Applies work to the rows of new Parquet files under source and appends them to target, once each.
 
-    The checkpoint keeps which files are done; rows whose key target already has are left out, so a batch that is
-    repeated after a failure adds nothing twice. work maps a DataFrame to one that keeps key; rows it cannot handle
-    should carry their error in a column.
+    The checkpoint keeps which files are done. Each batch is a partition of target named by its number, written over if the batch is
+    repeated after a failure, so nothing is added twice and no batch reads what earlier ones wrote. Rows of a key that a file repeats are
+    worked on once. work maps a DataFrame to one that keeps key; a row's own failure belongs into its status column (see isolated).
     """
 
-    def batch(rows: DataFrame, _: int) -> None:
-        try:
-            done = spark.read.parquet(target).select(key)
-            rows = rows.join(done, key, "left_anti")
-        except Exception as e:  # the first batch has no target yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        work(rows).write.mode("append").parquet(target)
+    def batch(rows: DataFrame, number: int) -> None:
+        work(rows.dropDuplicates([key])).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     rows = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
     rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def isolated(rows: DataFrame, value: Column, problem: Column) -> DataFrame:
+    """rows with status and value: rows whose problem (a text, null if none) is set have status "error: ..." and no value."""
+    return rows.withColumns({"status": F.when(problem.isNotNull(), F.concat(F.lit("error: "), problem)).otherwise("done"), "value": F.when(problem.isNull(), value)})
+
+
 def summary(status: DataFrame) -> DataFrame:
-    """Rows by status."""
-    return status.groupBy("status").agg(F.count("*").alias("n"))
+    """Rows by status with the least, greatest and mean cost of one."""
+    return status.groupBy("status").agg(F.count("*").alias("n"), F.min("cost").alias("min"), F.max("cost").alias("max"), F.round(F.avg("cost"), 4).alias("mean"))
