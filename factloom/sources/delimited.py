@@ -37,12 +37,12 @@ def encoding_of(spark: SparkSession, path: str) -> str:
 def lines_of(spark: SparkSession, path: str, encoding: str) -> DataFrame:
     """line of each line that is not blank. UTF-16 files are decoded whole, one a task."""
     if encoding == "UTF-16":
-        whole = spark.read.format("binaryFile").load(path).select(F.decode("content", F.lit("UTF-16")).alias("t"))
+        whole = spark.read.format("binaryFile").load(path).select(F.decode("content", "UTF-16").alias("t"))
         lines = whole.select(F.explode(F.split("t", "\r?\n")).alias("line"))
     elif encoding == "UTF-8":
         lines = spark.read.text(path).withColumnRenamed("value", "line")
     else:
-        lines = spark.read.text(path).select(F.decode(F.col("value").cast("binary"), F.lit(encoding)).alias("line"))
+        lines = spark.read.text(path).select(F.decode(F.col("value").cast("binary"), encoding).alias("line"))
     return lines.select(F.regexp_replace("line", "^﻿|\r$", "").alias("line")).where(F.trim("line") != "")
 
 
