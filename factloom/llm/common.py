@@ -36,11 +36,22 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch in jobs that write a table: texts are long, and a batch is in memory several times.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and outlives lost executors."""
-    path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a Parquet table in the shared folder: cuts lineage and outlives lost executors. Python tasks get small batches."""
+    spark = df.sparkSession
+    path = new_path(spark, what)
+    name, rows = BATCH_ROWS
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -36,7 +36,7 @@ FIRST_ROWS, BUCKET_ROWS, BUCKET_TOKENS = 256, 1024, 1 << 20
 #: Prefix tokens that a row carries to tell whether a pair has met before.
 CARRIED = 8
 #: Rows held before their blocks are compared, pairs compared at once and pairs verified at once.
-HELD_ROWS, PAIRS, VERIFIED = 8192, 1 << 18, 1024
+HELD_ROWS, PAIRS, VERIFIED = 4096, 1 << 16, 1024
 
 
 def token_sets(data, at, k):
@@ -100,7 +100,7 @@ class Bitmaps:
         for width in np.unique(to).tolist():
             m, place = self.folded(width)
             own = np.flatnonzero(to == width)
-            step = max(1, (1 << 20) // (width // 64))
+            step = max(1, (1 << 18) // (width // 64))
             for s in range(0, len(own), step):
                 x = own[s : s + step]
                 out[x] = np.bitwise_count(m[place[i[x]]] ^ m[place[j[x]]]).sum(1, dtype=np.int64)
