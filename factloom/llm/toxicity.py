@@ -1,9 +1,10 @@
 """Toxicity of texts by their nearest labelled examples.
 
 Features are lower-case words and their first 4, 5 and 6 bytes, hashed. Those that tell toxic from other
-training rows, by the likelihood ratio over all of them, span a TF-IDF space; other words do not count. The nearest
-examples by exact cosine over these features come from an inverted index over a bounded sample of labelled rows, in blocks with the greatest
-weight of each feature: blocks are read in the order of their bounds until none can hold a nearer one.
+training rows, by the likelihood ratio over all of them, span a TF-IDF space; other words do not count, as a cosine over all
+words finds texts of like topics, not of like tone. The nearest examples by exact cosine over these features come from an
+inverted index over a bounded sample of labelled rows. Its postings lie in blocks of rows with the greatest weight of each
+feature: a block's postings are read in the order of its bound, until no block that is left can hold a nearer one.
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ from pyspark.sql.types import DataType
 from .common import Words, maybe_broadcast, mix, slices, text_bytes, written
 
 PREFIXES = (4, 5, 6)
-#: Parameters: features kept, labelled examples of each label in the index, neighbours, rows of a block, the
-#: weight of the prior in a vote, a feature's least likelihood ratio, its least lift (how much more often toxic
-#: rows have it than others) and its least number of toxic rows.
-FEATURES, EXAMPLES, NEIGHBOURS, BLOCK = 4000, 4096, 15, 64
-FIRST_BLOCKS = 4
-PRIOR_WEIGHT, LEAST_RATIO, LEAST_LIFT, LEAST_ROWS = 0.5, 20.0, 1.5, 5
+#: Parameters: labelled examples of each label in the index, neighbours, rows of a block, blocks read at once, the
+#: weight of the prior in a vote, a feature's least likelihood ratio and its least lift (how much more often toxic
+#: rows have it than others). Features must also be in a toxic example of the index, which bounds their number.
+EXAMPLES, NEIGHBOURS, BLOCK = 4096, 15, 64
+READ_BLOCKS = 4
+PRIOR_WEIGHT, LEAST_RATIO, LEAST_LIFT = 0.5, 20.0, 1.5
 THRESHOLD = 0.7
 #: Local counts that a task holds before it passes them on.
 HELD = 1_000_000
@@ -99,14 +100,15 @@ def _counts(train: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """The features (sorted) with their idf, and the examples' unit vectors by blocks."""
+    """The features (sorted) with their idf, and the examples' unit vectors as postings by feature and block."""
 
     names: np.ndarray
     idf: np.ndarray
     doc_ids: list
     toxic: np.ndarray
-    rows: list  # for each feature: the examples that have it, ascending
-    weights: list  # and their weights
+    rows: np.ndarray  # of each posting, by feature and row
+    weights: np.ndarray
+    places: np.ndarray  # feature x (blocks + 1): where the postings of a feature in a block begin
     bounds: np.ndarray  # feature x block: the greatest weight
     prior: float  # of rows that have features
     prior_without: float
@@ -125,26 +127,24 @@ class Model:
     def nearest(self, at: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the greatest cosine, nearest first, ties by position; exact."""
         bound = weights @ self.bounds[at]
-        row = np.concatenate([self.rows[t] for t in at])
-        share = np.concatenate([self.weights[t] * w for t, w in zip(at, weights)])
-        block = row // BLOCK
-
-        def read(postings):
-            ids, own = np.unique(row[postings], return_inverse=True)
-            return ids, np.bincount(own, weights=share[postings])
-
-        # The most promising blocks set the bar; of the others, those whose bound reaches it are read.
-        best = np.zeros(len(bound), bool)
-        best[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
-        first = best[block]
-        ids, sims = read(first)
-        bar = np.partition(sims, -k)[-k] - 1e-12 if len(sims) >= k else 0.0
-        other = ~first & (bound >= bar)[block]
-        if other.any():
-            more = read(other)
-            ids, sims = np.append(ids, more[0]), np.append(sims, more[1])
-        order = np.lexsort((ids, -sims))[:k]
-        return ids[order], sims[order]
+        order = np.argsort(-bound, kind="stable")
+        order = order[: int(np.count_nonzero(bound > 0))]
+        ids, sims, bar = np.zeros(0, np.int64), np.zeros(0), 0.0
+        for s in range(0, len(order), READ_BLOCKS):
+            some = order[s : s + READ_BLOCKS]
+            some = some[bound[some] >= bar]
+            if not len(some):
+                break
+            begin, end = self.places[at[:, None], some], self.places[at[:, None], some + 1]
+            n = (end - begin).ravel()
+            posting = np.repeat(begin.ravel() - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            share = self.weights[posting] * np.repeat(np.repeat(weights, len(some)), n)
+            found, own = np.unique(self.rows[posting], return_inverse=True)
+            ids, sims = np.append(ids, found), np.append(sims, np.bincount(own, weights=share, minlength=len(found)))
+            if len(sims) >= k:
+                bar = np.partition(sims, -k)[-k] - 1e-12
+        best = np.lexsort((ids, -sims))[:k]
+        return ids[best], sims[best]
 
     def score(self, feature: np.ndarray, times: np.ndarray) -> tuple[float, list]:
         """The vote of the nearest examples, each by its squared cosine and for as many rows as it stands for,
@@ -160,9 +160,26 @@ class Model:
         return min(1.0, max(0.0, vote)), [self.doc_ids[i] for i in ids[:3]]
 
 
+def _examples(train: DataFrame, names: np.ndarray | None) -> DataFrame:
+    """doc_id, toxic, features, times of the training rows that have a feature (of names, if given)."""
+
+    def run(batches):
+        for b in batches:
+            data, at = text_bytes(b.column("text"))
+            ids, toxic, out = b.column("doc_id").to_pylist(), b.column("toxic").to_pylist(), []
+            for i, j in slices(at):
+                row, feature, times = features(data, at[i : j + 1], names)
+                cut = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else []
+                for s, e in zip(cut, [*cut[1:], len(row)]):
+                    out.append({"doc_id": ids[i + row[s]], "toxic": int(toxic[i + row[s]] > 0), "features": feature[s:e].view(np.int64).tolist(), "times": times[s:e].tolist()})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", b.schema.field("doc_id").type), ("toxic", pa.int32()), ("features", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))]))
+
+    return train.mapInArrow(run, f"doc_id {train.schema['doc_id'].dataType.simpleString()}, toxic int, features array<long>, times array<long>")
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Feature counts cover all training rows; the index holds EXAMPLES rows of each label at most, those of
-    the least hashes among rows that have a feature."""
+    the least hashes among rows that have a feature. Without rows of both labels there are no features."""
     train = training_rows(docs, labels)
     totals = {bool(r["t"]): r["n"] for r in train.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count("*").alias("n")).collect()}
     pos, neg = totals.get(True, 0), totals.get(False, 0)
@@ -176,46 +193,39 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         p, q = F.col("pos").cast("double"), F.col("neg").cast("double")
         both = p + q
         ratio = 2 * (term(p, both * pos / n) + term(q, both * neg / n) + term(pos - p, (n - both) * pos / n) + term(neg - q, (n - both) * neg / n))
-        useful = _counts(train).where(F.col("pos") >= LEAST_ROWS).where(p / pos >= LEAST_LIFT * q / neg).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
-        chosen = useful.orderBy(F.desc("ratio"), "feature").limit(FEATURES).collect()
+        useful = written(_counts(train).where(p / pos >= LEAST_LIFT * q / neg).where(ratio >= LEAST_RATIO), "useful-features")
+        # Only features of a bounded sample of toxic rows come to the driver, however many the corpus has.
+        sampled = train.where("toxic > 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES)
+        in_sample = _examples(sampled, None).select(F.explode("features").alias("feature")).distinct()
+        chosen = useful.join(in_sample, "feature", "left_semi").collect()
     names = np.array([r["feature"] for r in chosen], np.int64).view(np.uint64)
     order = np.argsort(names)
     names = names[order]
     idf = np.log((pos + neg + 1) / (np.array([r["pos"] + r["neg"] for r in chosen], float)[order] + 1)) + 0.1
 
-    def run(batches):
-        for b in batches:
-            data, at = text_bytes(b.column("text"))
-            ids, toxic, out = b.column("doc_id").to_pylist(), b.column("toxic").to_pylist(), []
-            for i, j in slices(at):
-                row, feature, times = features(data, at[i : j + 1], names)
-                for r in np.unique(row).tolist():
-                    own = row == r
-                    out.append({"doc_id": ids[i + r], "toxic": int(toxic[i + r] > 0), "features": feature[own].view(np.int64).tolist(), "times": times[own].tolist()})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", b.schema.field("doc_id").type), ("toxic", pa.int32()), ("features", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))]))
-
     examples, having = [], {0: 0, 1: 0}
     if len(names):
-        kind = docs.schema["doc_id"].dataType.simpleString()
-        rows = written(train.mapInArrow(run, f"doc_id {kind}, toxic int, features array<long>, times array<long>"), "examples")
+        rows = written(_examples(train, names), "examples")
         having |= {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
         for y in (0, 1):
             examples += rows.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES).collect()
-    model = Model(names, idf, [r["doc_id"] for r in examples], np.array([r["toxic"] for r in examples], float), [np.zeros(0, int)] * len(names), [np.zeros(0)] * len(names), np.zeros((len(names), -(-max(1, len(examples)) // BLOCK))), 0.5, 0.5, docs.schema["doc_id"].dataType, np.ones(2))
+    blocks = -(-max(1, len(examples)) // BLOCK)
+    model = Model(names, idf, [r["doc_id"] for r in examples], np.array([r["toxic"] for r in examples], float), np.zeros(0, int), np.zeros(0), np.zeros((len(names), blocks + 1), np.int64), np.zeros((len(names), blocks)), 0.5, 0.5, docs.schema["doc_id"].dataType, np.ones(2))
     if pos + neg:
         model.prior = (having[1] + 1) / (sum(having.values()) + 2)
         model.prior_without = (pos - having[1] + 0.5) / (pos + neg - sum(having.values()) + 1)
     for y in (0, 1):
         # The index takes less of the label that has more rows; its votes make up for it.
         model.rates[y] = having[y] / max(1, int((model.toxic == y).sum())) if having[y] else 1.0
-    lists: dict = {}
-    for i, r in enumerate(examples):
-        at, weights = model.vector(np.array(r["features"], np.int64).view(np.uint64), np.array(r["times"], float))
-        for t, w in zip(at.tolist(), weights.tolist()):
-            lists.setdefault(t, []).append((i, w))
-            model.bounds[t, i // BLOCK] = max(model.bounds[t, i // BLOCK], w)
-    for t, hits in lists.items():
-        model.rows[t], model.weights[t] = np.array([h[0] for h in hits]), np.array([h[1] for h in hits])
+    if examples:
+        vectors = [model.vector(np.array(r["features"], np.int64).view(np.uint64), np.array(r["times"], float)) for r in examples]
+        feature, weight = (np.concatenate([v[c] for v in vectors]) for c in (0, 1))
+        row = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors])
+        order = np.lexsort((row, feature))
+        feature, model.rows, model.weights = feature[order], row[order], weight[order]
+        slot = feature * blocks + model.rows // BLOCK
+        model.places = np.searchsorted(slot, np.arange(len(names))[:, None] * blocks + np.arange(blocks + 1))
+        np.maximum.at(model.bounds.reshape(-1), slot, model.weights)
     return model
 
 
@@ -225,7 +235,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts, and others without a known feature, get the share of toxic ones among such
     training rows, with no evidence. Without any labels all scores are 0.5. Repeated rows score alike.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by FEATURES and EXAMPLES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by EXAMPLES and what their texts hold
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     evidence_type = to_arrow_type(model.id_type)
@@ -246,7 +256,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, evidence of each row of docs; labels has doc_id and toxic."""
+    """doc_id, held_out, score, predicted, evidence of each row of docs; labels has doc_id and toxic.
+
+    Rows whose crc32 of the doc_id modulo 3 is 1 give no label. Null and empty texts and such without a feature get one score;
+    rows without doc_id are scored and not held out; repeated rows score alike; of repeated labels the greatest counts,
+    null ones are left out. Ties among neighbours go by the hash order of the examples. Other columns are ignored whatever
+    their names; long texts are read whole. An empty table gives an empty one; without labels all scores are 0.5.
+    """
     scored = score(docs, fit(docs, labels))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
