@@ -527,15 +527,55 @@ def test_substring_dedup(edge_docs, rows):
     assert any(r.n_removed for r in got)
 
 
+def dense_examples(model):
+    dense = np.zeros((len(model.doc_ids), len(model.names)))
+    feature = np.repeat(np.arange(len(model.names)), model.places[:, -1] - model.places[:, 0])
+    dense[model.rows, feature] = model.weights
+    return dense
+
+
+def test_scores_of_real_documents(spark):
+    """Scores, votes and predictions by brute force over all examples, and what they are worth on held-out rows."""
+    data = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    dense = dense_examples(model)
+    got = {r.doc_id: r for r in toxicity.classify(docs, labels).collect()}
+    checked = 0
+    for r in docs.where("doc_id % 37 = 0").collect():
+        raw = (r.text or "").encode()
+        _, feature, times = toxicity.features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), model.names)
+        want = model.prior_without
+        if len(feature):
+            at, w = model.vector(feature, times)
+            sims = dense[:, at] @ w
+            best = np.lexsort((np.arange(len(sims)), -sims))[: toxicity.NEIGHBOURS]
+            best = best[sims[best] > 0]
+            near = sims[best] ** 2
+            stands = near * model.rates[model.toxic[best].astype(int)]
+            share = (stands * model.toxic[best]).sum() / (stands.sum() or 1.0)
+            want = (near.sum() * share + toxicity.PRIOR_WEIGHT * model.prior) / (near.sum() + toxicity.PRIOR_WEIGHT)
+            checked += 1
+        assert got[r.doc_id].score == pytest.approx(want, abs=1e-6) and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.7)
+    assert checked > 10
+    toxic = {r.doc_id: r.toxic > 0 for r in labels.where("toxic IS NOT NULL").collect()}
+    held = [(got[i].score, y) for i, y in toxic.items() if i in got and got[i].held_out]
+    found = [y for s, y in held if s >= 0.7]
+    # These are few labelled rows; the README has the figures of larger tables.
+    assert sum(found) >= 0.95 * len(found) and sum(found) >= 0.5 * sum(y for _, y in held)
+    # Calibration: in ten bins of scores, the mean score and the share of toxic rows, by rows.
+    error = sum(abs(sum(s for s, _ in bin) - sum(y for _, y in bin)) for k in range(10) if (bin := [(s, y) for s, y in held if min(9, int(s * 10)) == k])) / len(held)
+    print(f"held out {len(held)}, precision {sum(found) / len(found):.3f}, recall {sum(found) / sum(y for _, y in held):.3f}, calibration error {error:.4f}, features {len(model.names)}")
+    assert error < 0.05
+
+
 def test_nearest_examples_are_exact(spark):
     rng = np.random.default_rng(1)
     docs = [(i, " ".join(rng.choice(["bad", "worse", "worst", "fine", "good", "plain", "dull"], 6)) + (" vile scum" if i % 3 == 0 else "")) for i in range(400)]
     labels = [(i, int(i % 3 == 0)) for i in range(400)]
     table = spark.createDataFrame(docs, "doc_id long, text string")
     model = toxicity.fit(table, spark.createDataFrame(labels, "doc_id long, toxic int"))
-    dense = np.zeros((len(model.doc_ids), len(model.names)))
-    for t, (r, w) in enumerate(zip(model.rows, model.weights)):
-        dense[r, t] = w
+    dense = dense_examples(model)
     for i in range(0, len(model.doc_ids), 7):
         at = np.flatnonzero(dense[i])
         ids, sims = model.nearest(at, dense[i][at], 5)
