@@ -80,3 +80,18 @@ def existing_code(text: Column) -> Column:
     m2, t2 = (F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for p in (r"\d{4}/\d", r"C\d{2}\.\d"))
     code = F.coalesce(F.concat(m, F.lit("-"), t), m2, t2)
     return F.struct(code.alias("code"), F.coalesce(m, m2).alias("morphology"), F.coalesce(t, F.when(m2.isNull(), t2)).alias("topography"), F.when(F.coalesce(m, m2).isNotNull(), 1.0).when(t2.isNotNull(), 0.8).alias("confidence"))
+
+
+def split_values(text: Column) -> Column:
+    """The values of an answer: a JSON array's, else parts by semicolons, by commas if all are under 100 characters, lines without bullets
+    and numbers, or by bars; else the text itself. Errors are one value."""
+    t = F.trim(text)
+    parts = lambda d: F.filter(F.transform(F.split(t, d), lambda x: F.trim(x)), lambda x: x != "")
+    bare = lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), r"^[-*•]\s+", ""), r"^\d+[.)]\s+", "")
+    lines = F.filter(F.transform(F.split(t, "\n"), bare), lambda x: x != "")
+    array = F.filter(F.transform(F.from_json(t, "array<string>"), lambda x: F.trim(x)), lambda x: x != "")
+    semi, comma, bar = parts(";"), parts(","), parts(r"\|")
+    is_array = t.startswith("[") & t.endswith("]") & F.try_parse_json(t).isNotNull()
+    out = F.when(text.startswith("ERROR:"), F.array(text)).when(is_array, array).when(F.size(semi) > 1, semi)
+    out = out.when((F.size(comma) > 1) & F.forall(comma, lambda x: F.length(x) < 100), comma).when(F.size(lines) > 1, lines).when(F.size(bar) > 1, bar)
+    return out.otherwise(F.array(t))

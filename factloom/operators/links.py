@@ -36,15 +36,20 @@ def asof(left: DataFrame, right: DataFrame, key: str, at: str, payload: list[str
 def nearest(left: DataFrame, right: DataFrame, key: str, at: str, days: int, payload: str) -> DataFrame:
     """left with `found`: payload of the right row of the key nearest in days, at most `days` apart; the least payload in a tie.
 
-    Joined on (key, window of days), so a long history is not compared with itself.
+    The nearest is the latest one before or the first one after, so it is two as-of searches by day, one of them in reversed time: no
+    pairs, no row ids, and a key with very many rows is spread over tasks by month.
     """
-    width = days + 1
-    l = left.withColumn("_id", F.monotonically_increasing_id()).withColumn("_day", F.unix_date(F.to_date(at)))
-    r = right.select(key, F.unix_date(F.to_date(at)).alias("_rday"), payload).distinct()
-    r = r.withColumn("_slot", F.explode(F.sequence(F.floor(F.col("_rday") / width) - 1, F.floor(F.col("_rday") / width) + 1)))
-    pairs = l.select("_id", key, "_day", F.floor(F.col("_day") / width).alias("_slot")).join(r, [key, "_slot"]).where(F.abs(F.col("_day") - F.col("_rday")) <= days)
-    best = pairs.groupBy("_id").agg(F.min_by(payload, F.struct(F.abs(F.col("_day") - F.col("_rday")), F.col(payload))).alias("found"))
-    return l.join(best, "_id", "left").drop("_id", "_day")
+    day = F.unix_date(F.to_date(at))
+    r = right.where(F.col(at).isNotNull()).groupBy(key, day.alias("_day")).agg(F.min(payload).alias("_p"))
+    month = F.floor(F.col("_day") / 32)
+    out = left.withColumn("_day", day)
+    out = asof(out, r, key, "_day", ["_p"], [], month).withColumnRenamed("found", "_before")
+    back = r.withColumn("_day", -F.col("_day"))
+    out = asof(out.withColumn("_day", -F.col("_day")), back, key, "_day", ["_p"], [], month).withColumnRenamed("found", "_after")
+    gap_b, gap_a = -F.col("_day") - F.col("_before._day"), -F.col("_after._day") + F.col("_day")
+    b = F.when(gap_b <= days, F.struct(gap_b.alias("g"), F.col("_before._p").alias("p")))
+    a = F.when(gap_a <= days, F.struct(gap_a.alias("g"), F.col("_after._p").alias("p")))
+    return out.withColumn("found", F.least(b, a)["p"]).drop("_day", "_before", "_after")
 
 
 def new_rows(rows: DataFrame, stored: DataFrame, key: list[str], order: str) -> DataFrame:

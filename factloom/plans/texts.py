@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from factloom.functions import history as hx
 from factloom.functions import text as tx
+from factloom.operators import evaluate as ev
 from factloom.plans.core import counts
 from factloom.sources import bind
 from factloom.sources.bind import table
@@ -47,25 +49,6 @@ def t6_repetition(spark, sf_dir):
     return bind.notes(spark, sf_dir).select(F.col("note_id").alias("doc_id"), tx.repetition(F.col("text")).alias("severity"))
 
 
-@query("""WITH d AS (SELECT doc_id, source, len(list_distinct(regexp_extract_all(text, '[0-9]{4,}'))) AS numbers, len(regexp_extract_all(text, '(the |with |der |que )')) AS markers FROM documents), c AS (SELECT *, least(1.0, CASE WHEN source = 'src0' THEN 0.4 ELSE 0.0 END + CASE WHEN numbers >= 3 THEN 0.4 ELSE 0.0 END + CASE WHEN markers >= 3 THEN 0.3 ELSE 0.0 END) AS confidence FROM d)
-SELECT doc_id, CAST(numbers AS BIGINT) AS numbers, CAST(markers AS BIGINT) AS markers, round(CAST(confidence AS DOUBLE), 4) AS confidence, confidence >= 0.7 AS history FROM c""")
-def t1_history_notes(spark, sf_dir):
-    n = bind.notes(spark, sf_dir).withColumn("numbers", F.size(F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]{4,}"), F.lit(0)))).cast("long")).withColumn("markers", F.size(F.regexp_extract_all("text", F.lit("(the |with |der |que )"), F.lit(0))).cast("long"))
-    confidence = F.least(F.lit(1.0), F.when(F.col("report_type") == "src0", 0.4).otherwise(0.0) + F.when(F.col("numbers") >= 3, 0.4).otherwise(0.0) + F.when(F.col("markers") >= 3, 0.3).otherwise(0.0))
-    return n.select(F.col("note_id").alias("doc_id"), "numbers", "markers", F.round(confidence, 4).alias("confidence"), (F.round(confidence, 4) >= 0.7).alias("history"))
-
-
-@query(f"WITH {ANN} SELECT order_id, trim(v) AS value, CAST(i - 1 AS BIGINT) AS pos FROM (SELECT order_id, unnest(string_split(annotation, ';')) AS v, generate_subscripts(string_split(annotation, ';'), 1) AS i FROM ann)")
-def t11_split_values(spark, sf_dir):
-    parts = annotations(spark, sf_dir).select("order_id", F.posexplode(F.split("annotation", ";")).alias("pos", "value"))
-    return parts.select("order_id", F.trim("value").alias("value"), F.col("pos").cast("long").alias("pos"))
-
-
-@query(f"WITH {ANN} SELECT order_id, array_to_string(list_sort(list_distinct(regexp_extract_all(annotation, '([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}})'))), ',') AS dates FROM ann")
-def t12_u5_dates(spark, sf_dir):
-    return annotations(spark, sf_dir).select("order_id", F.array_join(F.array_sort(tx.dates(F.col("annotation"))), ",").alias("dates"))
-
-
 @query(f"WITH {ANN} SELECT order_id, regexp_extract(annotation, 'status: ([A-Z])', 1) AS status, regexp_extract(annotation, 'priority: ([^;]+)', 1) AS priority FROM ann")
 def t14_template_values(spark, sf_dir):
     return annotations(spark, sf_dir).select("order_id", F.regexp_extract("annotation", "status: ([A-Z])", 1).alias("status"), F.regexp_extract("annotation", "priority: ([^;]+)", 1).alias("priority"))
@@ -106,15 +89,6 @@ def j27_valid_parts(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("morphology")).agg(F.array_join(sizes, ",").alias("topographies"))
 
 
-@query("""WITH q AS (SELECT vec_id AS q_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id % 100 = 0), e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
-s AS (SELECT q_id, vec_id, round(list_cosine_similarity(q.v, e.v), 6) AS score FROM q JOIN e USING (label) WHERE q_id != vec_id) SELECT q_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 3""")
-def j23_vector_top_k(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), "label", F.col("embedding").alias("v"))
-    s = e.join(q, "label").where("q_id != vec_id").select("q_id", "vec_id", F.round(tx.cosine(F.col("v"), F.col("embedding")), 6).alias("score"))
-    return s.withColumn("r", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "vec_id"))).where("r <= 3").drop("r")
-
-
 @query("SELECT event_type, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, count_if(value < 10) AS rejected FROM events GROUP BY 1")
 def a38_confidence_statistics(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), F.count_if(F.col("value") < 10).alias("rejected"))
@@ -148,9 +122,67 @@ def p3_j10_applicable_prompts(spark, sf_dir):
     return n.select(F.col("note_id").alias("doc_id"), F.explode(F.array_intersect(every, allowed)).alias("prompt"))
 
 
-@query("SELECT doc_id, length(text) AS n_chars, 'done' AS status FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, CASE WHEN text IS NULL THEN 'error: no text' WHEN doc_id % 17 = 0 THEN 'error: not readable' ELSE 'done' END AS status, CASE WHEN text IS NOT NULL AND doc_id % 17 != 0 THEN length(text) END AS n_chars FROM documents")
 def i1_incremental_notes(spark, sf_dir):
+    """Notes as they come, once each; a note that cannot be worked on has its error in its status and stops no other."""
     base = f"{shared_dir(spark)}/incremental-{uuid.uuid4().hex}"
-    work = lambda rows: rows.where("text IS NOT NULL").select("doc_id", F.length("text").cast("long").alias("n_chars"), F.lit("done").alias("status"))
+    problem = F.when(F.col("text").isNull(), "no text").when(F.col("doc_id") % 17 == 0, "not readable")
+    work = lambda rows: incremental.isolated(rows, F.length("text").cast("long"), problem).select("doc_id", "status", F.col("value").alias("n_chars"))
     incremental.process_new(spark, f"{sf_dir}/documents.parquet*", f"{base}/target", f"{base}/checkpoint", work, "doc_id")
-    return spark.read.parquet(f"{base}/target")
+    return spark.read.parquet(f"{base}/target").drop("batch")
+
+
+
+#: A note's text with events of a history in it, in words that both engines take.
+HISTORY = "left(text, 300) || CASE doc_id % 5 WHEN 0 THEN ' status post surgery 01/02/2019, s/p chemotherapy 03.2020, condition after (2018), 2020-01-05' WHEN 1 THEN ' operata in data 06-2019, recidiva 12/05/2020; seguiva radioterapia, istologico' WHEN 2 THEN ' 01/02/2019 03/04/2019 05.06.2020 07/08/2021 09/10/2022 resection and imrt' WHEN 3 THEN ' behandlad med x' ELSE '' END"
+HISTORY_TYPE = "CASE WHEN doc_id % 11 = 0 THEN 'Anamnesis ' || source ELSE source END"
+_FAMILY = ", ".join(f"(regexp_matches(t, '(?i){p}'))::INT" for p in hx.TREATMENTS.values())
+
+
+@query(f"""WITH n AS (SELECT doc_id, lower({HISTORY_TYPE}) AS r, {HISTORY} AS t FROM documents WHERE text IS NOT NULL), c AS (SELECT *, len(list_distinct(regexp_extract_all(t, '{hx.DATES}'))) AS dates, len(regexp_extract_all(t, '(?i){hx.EVENTS}')) AS markers, list_sum([{_FAMILY}]) AS families, regexp_matches(r, '{"|".join(hx.REPORT_TYPES)}') AS by_type FROM n)
+SELECT doc_id, CAST(dates AS BIGINT) AS dates, CAST(markers AS BIGINT) AS markers, CAST(families AS BIGINT) AS families, round(CAST(least(1.0, CASE WHEN by_type THEN 0.4 ELSE 0 END + CASE WHEN dates >= 3 THEN least(0.3, 0.1 * dates) ELSE 0 END + CASE WHEN markers >= 3 THEN least(0.4, 0.1 * markers) ELSE 0 END + CASE WHEN families >= 2 THEN 0.2 ELSE 0 END) AS DOUBLE), 4) AS confidence,
+by_type OR (dates >= 3 AND markers >= 3) OR (markers >= 3 AND families >= 2) OR (dates >= 5 AND families >= 2) AS history FROM c""")
+def t1_history_notes(spark, sf_dir):
+    """Notes that tell a history: by report type, distinct dates, event markers and families of treatments."""
+    n = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.expr(HISTORY).alias("t"), F.expr(HISTORY_TYPE).alias("r"))
+    return n.select("doc_id", hx.history(F.col("t"), F.col("r")).alias("h")).select("doc_id", "h.*")
+
+
+#: Answers with several values in several forms.
+VALUES = """CASE o_orderkey % 9 WHEN 0 THEN '["a", " b ", "", "c"]' WHEN 1 THEN 'x; y;; z' WHEN 2 THEN 'one, two , three' WHEN 3 THEN '- first
+* second
+3) third' WHEN 4 THEN 'p | q|' WHEN 5 THEN 'single ' || o_orderstatus WHEN 6 THEN 'short, ' || repeat('long ', 30) || 'part' WHEN 7 THEN 'ERROR: a; b' ELSE '[broken; list]' END"""
+
+
+@query(rf"""WITH a AS (SELECT o_orderkey AS order_id, {VALUES} AS raw, trim({VALUES}) AS t FROM orders),
+p AS (SELECT *, list_filter(list_transform(string_split(t, ';'), lambda x: trim(x)), lambda x: x != '') AS s, list_filter(list_transform(string_split(t, ','), lambda x: trim(x)), lambda x: x != '') AS c, list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(regexp_replace(trim(x), '^[-*•]\s+', ''), '^\d+[.)]\s+', '')), lambda x: x != '') AS l, list_filter(list_transform(string_split(t, '|'), lambda x: trim(x)), lambda x: x != '') AS b FROM a),
+v AS (SELECT order_id, CASE WHEN starts_with(raw, 'ERROR:') THEN [raw] WHEN starts_with(t, '[') AND right(t, 1) = ']' AND json_valid(t) THEN list_filter(list_transform(CAST(json(t) AS VARCHAR[]), lambda x: trim(x)), lambda x: x != '') WHEN len(s) > 1 THEN s WHEN len(c) > 1 AND len(list_filter(c, lambda x: length(x) >= 100)) = 0 THEN c WHEN len(l) > 1 THEN l WHEN len(b) > 1 THEN b ELSE [t] END AS v FROM p)
+SELECT order_id, CAST(i - 1 AS BIGINT) AS pos, v[i] AS value FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM v)""")
+def t11_split_values(spark, sf_dir):
+    """A JSON array, else parts by semicolons, short ones by commas, lines without bullets and numbers, or bars."""
+    parts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), F.posexplode(tx.split_values(F.expr(VALUES))).alias("pos", "value"))
+    return parts.select("order_id", F.col("pos").cast("long").alias("pos"), "value")
+
+
+DATED = "'on ' || CAST(CAST(o_orderdate AS DATE) AS STRING) || ', ' || CASE o_orderkey % 3 WHEN 0 THEN '1/2/2020 and 01/02/2020' WHEN 1 THEN '12/3/2021' ELSE 'none' END"
+
+
+@query(f"WITH a AS (SELECT o_orderkey AS order_id, {DATED} AS t FROM orders) SELECT order_id, array_to_string(list_sort(list_distinct(list_concat(list_concat(regexp_extract_all(t, '\\d{{2}}/\\d{{2}}/\\d{{4}}'), regexp_extract_all(t, '\\d{{4}}-\\d{{2}}-\\d{{2}}')), regexp_extract_all(t, '\\d{{1,2}}/\\d{{1,2}}/\\d{{4}}')))), ',') AS dates FROM a")
+def t12_u5_dates(spark, sf_dir):
+    """Dates by three patterns, each once."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), F.array_join(ev.dates(F.expr(DATED)), ",").alias("dates"))
+
+
+@query("""WITH q AS (SELECT vec_id AS q_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id % 100 = 0), e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+s AS (SELECT q_id, vec_id, round(list_cosine_similarity(q.v, e.v), 6) AS score FROM q JOIN e USING (label) WHERE q_id != vec_id) SELECT q_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 3""")
+def j23_vector_top_k(spark, sf_dir):
+    """The three nearest of each query's prompt. Labels are few, so the examples are dealt out by a salt and meet the queries in
+    each; the best of a salt are kept as a bounded list while they are summed up, so no ranking sees all."""
+    e = table(spark, sf_dir, "embeddings")
+    salts = 16
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), "label", F.col("embedding").alias("v")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    s = e.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int")).join(q, ["label", "salt"]).where("q_id != vec_id")
+    s = s.select("q_id", "salt", "vec_id", F.round(tx.cosine(F.col("v"), F.col("embedding")), 6).alias("score"))
+    order = Window.partitionBy("q_id", "salt").orderBy(F.desc("score"), "vec_id")
+    best = s.withColumn("r", F.row_number().over(order)).where("r <= 3")
+    return best.withColumn("r", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "vec_id"))).where("r <= 3").select("q_id", "vec_id", "score")
