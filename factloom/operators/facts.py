@@ -55,3 +55,54 @@ def aligned(tables: list[DataFrame], columns: list[str]) -> DataFrame:
     for t in tables[1:]:
         out = out.unionByName(t, allowMissingColumns=True)
     return out.select(*[(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in out.columns else F.lit("")).alias(c) for c in columns])
+
+
+#: What says that there is no value, in the order of the reasons; and that nothing is known.
+ABSENCES = [
+    r"(?i)\bnot\s+(?:specified|available|applicable|mentioned|present|found)\b", r"(?i)^unknown\b", r"(?i)\bno\s+(?:information|data|result|finding|value)\b",
+    r"(?i)\binformation\s+not\s+available\b", r"^\[.*\]$", r"(?i)^absent\.?$", r"(?i)^none\.?$",
+]
+NO_INFORMATION = ["not available", "not mentioned", "not stated", "not provided", "unknown", "cannot be determined", "does not state", "does not provide", "does not mention", "information is not available", "no information", "not found"]
+
+
+def absence(value: Column) -> Column:
+    """Why a value is none, null if it is one."""
+    v = F.trim(F.coalesce(value, F.lit("")))
+    found = F.coalesce(*[F.when(v.rlike(p), F.trim(F.regexp_extract(v, p, 0))) for p in ABSENCES])
+    return F.when(v == "", "Empty value").otherwise(F.concat(F.lit('Absence indicator detected: "'), found, F.lit('"')))
+
+
+def export_type(name: Column) -> Column:
+    """The type that a field's name implies; the first rule that fits."""
+    f = F.lower(F.element_at(F.split(name, r"\."), -1))
+    out = F.when(f.rlike("date|lastcontact"), "date").when(f.rlike("age|count|number|cycles"), "Integer").when(f.rlike("bmi|diameter|dose|fractions|size"), "float")
+    out = out.when(f.rlike("rupture|hyperthermia") | (f.contains("completed") & ~f.contains("asplanned")), "boolean")
+    return out.when(f.isin("patient", "cancerepisode", "episodeevent", "systemictreatment"), "reference").when(f.rlike("hospital|location|doneby|definedat"), "String").otherwise("CodeableConcept")
+
+
+def cleaned_by_type(value: Column, kind: Column) -> Column:
+    """The first date (as D/M/YYYY), integer or number of a text, by type; the text if it has none or for other types."""
+    v = F.trim(value)
+    first = lambda p: F.nullif(F.regexp_extract(v, p, 1), F.lit(""))
+    dmy = first(r"\b(\d{1,2}/\d{1,2}/\d{4})\b")
+    iso = F.nullif(F.regexp_replace(F.regexp_extract(v, r"\b(\d{4}-\d{2}-\d{2})\b", 1), r"^(\d{4})-(\d{2})-(\d{2})$", "$3/$2/$1"), F.lit(""))
+    day = F.coalesce(dmy, first(r"\b(\d{1,2}-\d{1,2}-\d{4})\b"), iso)
+    return F.coalesce(F.when(kind == "date", day).when(kind == "Integer", first(r"\b(\d+)\b")).when(kind == "float", first(r"\b(\d+(?:\.\d+)?)\b")), value)
+
+
+def expected_part(notes: Column, prompt: Column) -> Column:
+    """Out of "key: text | key: text" the text of the first key that holds the prompt's name or is within it, else after its name."""
+    parts = F.filter(F.transform(F.split(notes, r"\|"), lambda p: F.trim(p)), lambda p: p.contains(":"))
+    low = F.lower(prompt)
+    key = lambda p: F.lower(F.trim(F.split_part(p, F.lit(":"), F.lit(1))))
+    hit = F.get(F.filter(parts, lambda p: F.contains(key(p), low) | F.contains(low, key(p))), F.lit(0))
+    pattern = F.concat(F.lit("(?is)\\Q"), prompt, F.lit("\\E\\s*:\\s*([^|]+)"))
+    return F.coalesce(F.trim(F.substr(hit, F.instr(hit, ":") + 1)), F.nullif(F.trim(F.call_function("regexp_extract", notes, pattern, F.lit(1))), F.lit("")))
+
+
+def result_status(text: Column, reasoning: Column) -> Column:
+    """error, incomplete (the reasoning was cut) or success; an empty text succeeds where the reasoning says that nothing is known."""
+    none = F.lower(reasoning).rlike("|".join(NO_INFORMATION))
+    cut = reasoning.endswith("...") & (F.length(reasoning) >= 1997)
+    empty = F.trim(F.coalesce(text, F.lit(""))) == ""
+    return F.when(text.startswith("ERROR:"), "error").when(F.coalesce(cut, F.lit(False)), "incomplete").when(empty, F.when(F.coalesce(none, F.lit(False)), "success").otherwise("error")).otherwise("success")

@@ -130,11 +130,6 @@ def p2_group_filter(spark, sf_dir):
     return out.where(F.coalesce("full_tag", "short_tag", F.lit("both")).isin("a", "both")).groupBy("core_variable").agg(F.count("*").alias("n"))
 
 
-@query("""x AS (SELECT *, lower(trim(coalesce(value, ''))) AS v FROM facts) SELECT core_variable, sum(CASE WHEN v IN ('n/a', 'na', 'none', 'null', 'unknown', 'unk', '-', '--', '') OR regexp_matches(v, '^\\[.*\\]$') THEN 1 ELSE 0 END)::BIGINT AS placeholders FROM x GROUP BY 1""", facts=True)
-def p6_placeholders(spark, sf_dir):
-    return bind.facts(spark, sf_dir).groupBy("core_variable").agg(F.count_if(fx.is_placeholder(F.col("value"))).alias("placeholders"))
-
-
 @query("""x AS (SELECT core_variable, value, CASE WHEN core_variable LIKE '%date%' THEN 'date' WHEN core_variable LIKE '%price%' OR core_variable LIKE '%balance%' THEN 'float' WHEN core_variable LIKE '%quantity%' OR core_variable LIKE '%nation%' THEN 'Integer' ELSE 'string' END AS type FROM facts)
 SELECT core_variable, type, CAST(sum(CASE WHEN type IN ('float', 'Integer') THEN try_cast(value AS DOUBLE) END) AS DOUBLE) AS total, CAST(min(CASE WHEN type = 'date' THEN try_cast(value AS DATE) END) AS VARCHAR) AS first_day FROM x GROUP BY 1, 2""", facts=True)
 def p11_p13_typed_values(spark, sf_dir):
@@ -204,17 +199,6 @@ def a11_not_null_counts(spark, sf_dir):
     return checks(spark, sf_dir).where("rule = 'not_null'").groupBy("core_variable").agg(F.count("*").alias("elements"), F.count_if("failed").alias("failures"))
 
 
-@query("""SELECT core_variable, min(struct_pack(s := seq, o := original_source)).o AS canonical, count(DISTINCT original_source) > 1 AS mixed FROM facts GROUP BY 1""".replace("SELECT", "x AS (SELECT 1) SELECT", 1), facts=True)
-def a12_canonical_source(spark, sf_dir):
-    return bind.facts(spark, sf_dir).groupBy("core_variable").agg(F.min_by("original_source", F.struct("seq", "original_source")).alias("canonical"), (F.count_distinct("original_source") > 1).alias("mixed"))
-
-
-@query(f"{CHECKS} SELECT original_source, coalesce(dimension, 'Total') AS dimension, {OUTCOME} FROM ck GROUP BY GROUPING SETS ((original_source, dimension), (original_source))", facts=True)
-def a13_source_dimensions(spark, sf_dir):
-    rows = checks(spark, sf_dir).withColumn("dimension", F.explode(F.array("dimension", F.lit("Total"))))
-    return quality.outcome(rows, "original_source", "dimension")
-
-
 @query(f"{CHECKS}, e AS (SELECT original_source, patient_id, count_if(NOT failed) / count(*) AS share FROM ck GROUP BY 1, 2) SELECT original_source, count(*) AS patients, count_if(share >= 0.8) AS passing FROM e GROUP BY 1", facts=True)
 def a14_patients_passing(spark, sf_dir):
     return quality.patients_passing(checks(spark, sf_dir), "original_source")
@@ -233,25 +217,11 @@ def a16_variable_summary(spark, sf_dir):
     return quality.outcome(rows, "core_variable").join(rows.groupBy("core_variable").agg(F.array_join(F.array_sort(F.collect_set("dimension")), ",").alias("dimensions")), "core_variable")
 
 
-@query(f"{CHECKS} SELECT core_variable, CASE WHEN count(value) = 0 THEN 'Missing' WHEN count_if(failed) > 0 THEN 'string' ELSE 'number' END AS current_type, count_if(failed) AS lost, count(DISTINCT CASE WHEN failed THEN patient_id END) AS patients FROM ck WHERE rule = 'of_type' GROUP BY 1", facts=True)
-def a17_datatypes(spark, sf_dir):
-    rows = checks(spark, sf_dir).where("rule = 'of_type'")
-    kind = F.when(F.count("value") == 0, "Missing").when(F.count_if("failed") > 0, "string").otherwise("number")
-    return rows.groupBy("core_variable").agg(kind.alias("current_type"), F.count_if("failed").alias("lost"), F.count_distinct(F.when(F.col("failed"), F.col("patient_id"))).alias("patients"))
-
-
 @query("""SELECT core_variable, count_if(trim(coalesce(value, '')) = '') AS blanks, count(DISTINCT CASE WHEN trim(coalesce(value, '')) = '' THEN patient_id END) AS patients FROM facts GROUP BY 1""".replace("SELECT", "x AS (SELECT 1) SELECT", 1), facts=True)
 def a18_blanks(spark, sf_dir):
     return bind.facts(spark, sf_dir).groupBy("core_variable").agg(F.count_if(quality.blank()).alias("blanks"), F.count_distinct(F.when(quality.blank(), F.col("patient_id"))).alias("patients"))
 
 
-@query(f"{CHECKS} SELECT core_variable, array_to_string(list_sort(list(DISTINCT value) FILTER (value IS NOT NULL)), ',') AS observed, array_to_string(list_sort(list(DISTINCT value) FILTER (failed)), ',') AS unexpected, count(DISTINCT CASE WHEN failed THEN patient_id END) AS patients FROM ck WHERE rule = 'in_set' GROUP BY 1", facts=True)
-def a19_in_set_report(spark, sf_dir):
-    rows = checks(spark, sf_dir).where("rule = 'in_set'")
-    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")  # noqa: E731  distinct values of a coded variable
-    return rows.groupBy("core_variable").agg(joined(F.col("value")).alias("observed"), joined(F.when(F.col("failed"), F.col("value"))).alias("unexpected"), F.count_distinct(F.when(F.col("failed"), F.col("patient_id"))).alias("patients"))
-
-
 @query(f"{CHECKS} SELECT core_variable, record_id, count(*) AS checks, count_if(failed) AS n_failed FROM ck WHERE rule = 'in_set' GROUP BY 1, 2", facts=True)
 def a20_in_set_by_record(spark, sf_dir):
     return checks(spark, sf_dir).where("rule = 'in_set'").groupBy("core_variable", "record_id").agg(F.count("*").alias("checks"), F.count_if("failed").alias("n_failed"))
@@ -265,23 +235,6 @@ def with_importance(spark, rows):
     return rows.join(F.broadcast(spark.createDataFrame(list(IMPORTANCE.items()), "core_variable string, importance string")), "core_variable", "left").fillna("Unknown", ["importance"])
 
 
-@query(f"{CHECKS}, {IMPORTANCE_SQL} SELECT coalesce(importance, 'Unknown') AS importance, count(DISTINCT core_variable) AS variables, {OUTCOME} FROM ck LEFT JOIN im USING (core_variable) GROUP BY 1", facts=True)
-def a21_p15_importance_summary(spark, sf_dir):
-    rows = with_importance(spark, checks(spark, sf_dir))
-    return quality.outcome(rows, "importance").join(rows.groupBy("importance").agg(F.count_distinct("core_variable").alias("variables")), "importance")
-
-
-@query(f"{CHECKS} SELECT rule, count(DISTINCT core_variable) AS variables, count(DISTINCT patient_id) AS patients, {OUTCOME} FROM ck GROUP BY 1", facts=True)
-def a22_rule_summary(spark, sf_dir):
-    rows = checks(spark, sf_dir)
-    return quality.outcome(rows, "rule").join(rows.groupBy("rule").agg(F.count_distinct("core_variable").alias("variables"), F.count_distinct("patient_id").alias("patients")), "rule")
-
-
-@query(f"WITH {PHASE_SQL} SELECT k AS patient_id, phase, strftime(min(tm), '%Y-%m-%d %H:%M:%S') AS first_at FROM ph GROUP BY 1, 2")
-def a23_phase_events(spark, sf_dir):
-    return _phases(spark, sf_dir)[0].groupBy(F.col("k").alias("patient_id"), "phase").agg(F.date_format(F.min("at"), "yyyy-MM-dd HH:mm:ss").alias("first_at"))
-
-
 @query("""SELECT patient_id, record_id, CAST(min(CASE WHEN lower(core_variable) LIKE '%date%' THEN try_cast(value AS DATE) END) AS VARCHAR) AS record_date FROM facts GROUP BY 1, 2""".replace("SELECT", "x AS (SELECT 1) SELECT", 1), facts=True)
 def a24_record_dates(spark, sf_dir):
     return bind.facts(spark, sf_dir).groupBy("patient_id", "record_id").agg(F.min(F.when(F.lower("core_variable").contains("date"), F.expr("try_cast(value AS DATE)"))).cast("string").alias("record_date"))
@@ -305,11 +258,6 @@ MATRIX = "v(core_variable) AS (VALUES " + ", ".join(f"('{v}')" for v in MATRIX_V
 mx AS (SELECT p.patient_id, v.core_variable, CASE WHEN n IS NULL THEN 'Not present' WHEN filled = 0 THEN 'Missing' WHEN filled < n THEN 'Sometimes' ELSE '' END AS state FROM (SELECT DISTINCT patient_id FROM facts) p CROSS JOIN v LEFT JOIN n ON n.patient_id = p.patient_id AND n.core_variable = v.core_variable)"""
 
 
-@query(f"{MATRIX} SELECT * FROM mx", facts=True)
-def a31_missing_matrix(spark, sf_dir):
-    return quality.missing_matrix(bind.facts(spark, sf_dir), MATRIX_VARS)
-
-
 @query(f"{MATRIX} SELECT patient_id, count_if(state != '') AS not_complete, round(count_if(state != '') * 100.0 / count(*), 4) AS percent FROM mx GROUP BY 1", facts=True)
 def a32_matrix_by_patient(spark, sf_dir):
     m = quality.missing_matrix(bind.facts(spark, sf_dir), MATRIX_VARS)
@@ -325,11 +273,6 @@ def a34_share_missing(spark, sf_dir):
     return have.join(F.broadcast(total)).select("core_variable", F.round(1 - F.col("n") / F.col("t"), 6).alias("share_missing"))
 
 
-@query("""SELECT core_variable, count(DISTINCT patient_id) AS patients, count_if(value IS NULL) AS missing, CAST(min(year(date_ref)) AS BIGINT) AS first_year, CAST(max(year(date_ref)) AS BIGINT) AS last_year FROM facts GROUP BY 1""".replace("SELECT", "x AS (SELECT 1) SELECT", 1), facts=True)
-def a35_catalogue(spark, sf_dir):
-    return bind.facts(spark, sf_dir).groupBy("core_variable").agg(F.count_distinct("patient_id").alias("patients"), F.count_if(F.col("value").isNull()).alias("missing"), F.min(F.year("date_ref")).cast("long").alias("first_year"), F.max(F.year("date_ref")).cast("long").alias("last_year"))
-
-
 @query("""y AS (SELECT *, CASE WHEN core_variable LIKE 'Customer.%' THEN NULL ELSE date_ref END AS on_date FROM facts WHERE value IS NOT NULL) SELECT patient_id, core_variable, CAST(on_date AS VARCHAR) AS on_date, count(DISTINCT value) AS n_values, min(value) AS low, max(value) AS high, array_to_string(list_sort(list(DISTINCT original_source)), ',') AS sources FROM y GROUP BY patient_id, core_variable, y.on_date HAVING count(DISTINCT value) > 1""", facts=True)
 def a46_export_conflicts(spark, sf_dir):
     return quality.conflicts(bind.facts(spark, sf_dir), ["Customer"]).withColumn("on_date", F.col("on_date").cast("string"))

@@ -36,23 +36,6 @@ def p4_p9_note_rows(spark, sf_dir):
 ABSENT_SQL = "CASE WHEN value IS NULL THEN 'missing' WHEN regexp_matches(lower(value), '(not specified|unknown)') THEN 'not specified' WHEN value = 'N' THEN 'not applicable' END"
 
 
-@query(f"x AS (SELECT *, {ABSENT_SQL} AS reason FROM facts) SELECT core_variable, coalesce(reason, 'kept') AS reason, count(*) AS n FROM x GROUP BY 1, 2", facts=True)
-def p5_a52_absence(spark, sf_dir):
-    reason = F.when(F.col("value").isNull(), "missing").when(F.lower("value").rlike("(not specified|unknown)"), "not specified").when(F.col("value") == "N", "not applicable").otherwise("kept")
-    return bind.facts(spark, sf_dir).groupBy("core_variable", reason.alias("reason")).agg(F.count("*").alias("n"))
-
-
-@query(f"WITH {ANN} SELECT order_id, CAST(regexp_extract(annotation, '[0-9]+') AS BIGINT) AS first_integer, regexp_extract(annotation, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AS first_date FROM ann")
-def p12_clean_by_type(spark, sf_dir):
-    return annotations(spark, sf_dir).select("order_id", F.regexp_extract("annotation", "[0-9]+", 0).cast("long").alias("first_integer"), F.regexp_extract("annotation", "[0-9]{4}-[0-9]{2}-[0-9]{2}", 0).alias("first_date"))
-
-
-@query(f"WITH {ANN}, s AS (SELECT order_id, unnest(string_split(annotation, ';')) AS v FROM ann) SELECT order_id, trim(split_part(v, ':', 1)) AS key, trim(split_part(v, ':', 2)) AS text FROM s WHERE contains(v, ':')")
-def p16_keyed_parts(spark, sf_dir):
-    parts = annotations(spark, sf_dir).select("order_id", F.explode(F.split("annotation", ";")).alias("v")).where(F.col("v").contains(":"))
-    return parts.select("order_id", F.trim(F.split_part("v", F.lit(":"), F.lit(1))).alias("key"), F.trim(F.split_part("v", F.lit(":"), F.lit(2))).alias("text"))
-
-
 @query(f"WITH t AS (SELECT o_orderkey AS order_id, 'Status [status] on [date]' || CASE WHEN o_orderkey % 3 = 0 THEN ' by [name], [date]' ELSE '' END AS template FROM orders) SELECT order_id, {PLACEHOLDER_SQL} AS placeholders FROM t")
 def p17_placeholders(spark, sf_dir):
     extra = F.when(F.col("o_orderkey") % 3 == 0, " by [name], [date]").otherwise("")
@@ -60,12 +43,6 @@ def p17_placeholders(spark, sf_dir):
     return t.select("order_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("template", F.lit(tx.PLACEHOLDER), F.lit(0)))), ",").alias("placeholders"))
 
 
-@query("SELECT conv_id, CAST(turn AS BIGINT) AS turn, CASE WHEN text IS NULL OR text = '' THEN 'error' WHEN length(text) > 200 THEN 'incomplete' ELSE 'success' END AS status FROM conversations")
-def p18_result_status(spark, sf_dir):
-    status = F.when(F.col("text").isNull() | (F.col("text") == ""), "error").when(F.length("text") > 200, "incomplete").otherwise("success")
-    return table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), status.alias("status"))
-
-
 @query("WITH d AS (SELECT upper(trim(p_brand)) AS code, min(p_partkey) AS entry FROM part GROUP BY 1) SELECT p_partkey, d.entry FROM part JOIN d ON d.code = upper(trim(p_brand))")
 def j12_code_to_entry(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", F.upper(F.trim("p_brand")).alias("code"))
@@ -113,18 +90,6 @@ def a28_patient_importance(spark, sf_dir):
     return with_importance(spark, checks(spark, sf_dir)).groupBy("patient_id", "importance").agg(F.count("*").alias("checks"), F.count_if("failed").alias("n_failed"))
 
 
-@query(f"WITH {PHASE_SQL} SELECT phase, min(struct_pack(t := tm, e := event_id)).e AS first_event, max(struct_pack(t := tm, e := event_id)).e AS last_event FROM ph GROUP BY 1")
-def a33_first_and_last_phase(spark, sf_dir):
-    order = F.struct("at", "event_id")
-    return _phases(spark, sf_dir)[0].groupBy("phase").agg(F.min_by("event_id", order).alias("first_event"), F.max_by("event_id", order).alias("last_event"))
-
-
-@query("WITH v AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2) SELECT source, arg_max(lang, struct_pack(a := n, b := lang)) AS center FROM v GROUP BY 1")
-def a47_center_by_vote(spark, sf_dir):
-    votes = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
-    return votes.groupBy("source").agg(F.max_by("lang", F.struct("n", "lang")).alias("center"))
-
-
 @query("SELECT event_type, CAST(sum(event_id) AS BIGINT) AS total, CAST(min(event_id) AS BIGINT) AS least, CAST(max(event_id) AS BIGINT) AS most, round(avg(event_id), 4) AS mean FROM events GROUP BY 1")
 def a48_a49_roll_up(spark, sf_dir):
     v = F.col("event_id")
@@ -187,13 +152,6 @@ def j24_key_fallback(spark, sf_dir):
     return want.join(have, want["key"] == have["have"], "left").join(base, "base", "left").select("key", F.coalesce("have", "any_key").alias("found"))
 
 
-@query("SELECT event_id FROM events WHERE (user_id, event_type) IN (SELECT user_id, event_type FROM events WHERE event_id % 5 = 0) AND event_type != 'error'")
-def j30_allowed_rows(spark, sf_dir):
-    e = bind.events(spark, sf_dir)
-    allowed = e.where("event_id % 5 = 0").select("patient_id", "event_type").distinct()
-    return e.join(allowed, ["patient_id", "event_type"], "left_semi").where("event_type != 'error'").select("event_id")
-
-
 @query("""WITH r AS (SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 2 = 0 THEN CAST(o_orderdate AS DATE) END AS d FROM orders), k AS (SELECT o_custkey, d, min(o_orderkey) AS first FROM r GROUP BY 1, 2), n AS (SELECT *, dense_rank() OVER (PARTITION BY o_custkey ORDER BY first) AS record_id FROM k) SELECT o_orderkey, record_id FROM r JOIN n ON n.o_custkey = r.o_custkey AND n.d IS NOT DISTINCT FROM r.d""")
 def w2_record_ids_by_cardinality(spark, sf_dir):
     day = F.when(F.col("o_custkey") % 2 == 0, F.to_date("o_orderdate"))

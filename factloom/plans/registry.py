@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.plans import answers, clinical, core, evaluation, ingest, more, review, texts
+from factloom.plans import answers, clinical, core, evaluation, ingest, more, reports, review, texts
 
 
 def queries():
-    return core.QUERIES | texts.QUERIES | more.QUERIES | clinical.QUERIES | answers.QUERIES | ingest.QUERIES | evaluation.QUERIES | review.QUERIES
+    return core.QUERIES | texts.QUERIES | more.QUERIES | clinical.QUERIES | answers.QUERIES | ingest.QUERIES | evaluation.QUERIES | review.QUERIES | reports.QUERIES
 
 
 def oracle_sql():
-    return core.SQL | texts.SQL | more.SQL | clinical.SQL | answers.SQL | ingest.SQL | evaluation.SQL | review.SQL
+    return core.SQL | texts.SQL | more.SQL | clinical.SQL | answers.SQL | ingest.SQL | evaluation.SQL | review.SQL | reports.SQL
 
 
 def flagship(spark, sf_dir) -> DataFrame:

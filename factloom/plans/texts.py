@@ -83,23 +83,11 @@ def j16_valid_combinations(spark, sf_dir):
     return out.select("id", F.col("code").isNotNull().alias("valid"), F.coalesce("m", F.lit(False)).alias("morphology_known"), F.coalesce("t", F.lit(False)).alias("topography_known"))
 
 
-@query("SELECT p_brand AS morphology, array_to_string(list_sort(list(DISTINCT p_size))[1:5], ',') AS topographies FROM part GROUP BY 1")
-def j27_valid_parts(spark, sf_dir):
-    sizes = F.slice(F.array_sort(F.collect_set("p_size")), 1, 5)
-    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("morphology")).agg(F.array_join(sizes, ",").alias("topographies"))
-
-
 @query("SELECT event_type, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, count_if(value < 10) AS rejected FROM events GROUP BY 1")
 def a38_confidence_statistics(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), F.count_if(F.col("value") < 10).alias("rejected"))
 
 
-@query("WITH e AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean, CAST(quantile_cont(n, 0.5) AS DOUBLE) AS median FROM e")
-def a40_run_statistics(spark, sf_dir):
-    e = table(spark, sf_dir, "orders").groupBy("o_custkey").count()
-    return e.agg(F.min("count").alias("least"), F.max("count").alias("most"), F.round(F.avg("count"), 6).alias("mean"), F.percentile("count", F.lit(0.5)).alias("median"))
-
-
 @query("SELECT conv_id, count(*) AS turns, max(CAST(turn AS BIGINT)) AS last_turn FROM conversations GROUP BY 1")
 def a50_sessions(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.max(F.col("turn").cast("long")).alias("last_turn"))
