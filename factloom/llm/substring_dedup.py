@@ -3,7 +3,8 @@
 A window is 50 consecutive words. Its key is the least hash of the 10-word runs in it, so equal windows
 have equal keys and a document has about one key for every twenty words. Each task counts the documents
 of its keys in a sketch; merged, the sketches overestimate the documents of every window. Only windows
-whose key is estimated in two documents or more are grouped, by 96 bits of two independent hashes.
+whose key is estimated in two documents or more are grouped, by 96 bits of two independent hashes; then the words of every
+run of windows are compared with those of the run they repeat, and windows of runs that differ are grouped by their words.
 """
 
 from __future__ import annotations
@@ -94,11 +95,12 @@ def _sketches(rows: DataFrame, width: int):
     return parts.repartition("d", "chunk").mapInArrow(merge, "d int, chunk int, bits binary")
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
+def repeated_windows(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
     """doc_id, key (xxhash64 of the text) and ranges of the words to remove, of the documents that have any.
 
-    ranges holds start and end (exclusive) of each range in turn; a document whose words all equal those
-    of one with a smaller doc_id has the range from 0 to its end.
+    ranges holds start and end (exclusive) of each range in turn, by start; they may overlap. A document whose words all equal those
+    of one with a smaller doc_id has the range from 0 to its end. hash_bits: of each of two hashes that group windows; fewer
+    make more work, never another result.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
@@ -145,41 +147,89 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
                 starts = starts[often]
                 if not len(starts):
                     continue
-                h1, h2 = (w.windows(WINDOW, k)[starts] for k in (0, 1))
+                h1, h2 = (w.windows(WINDOW, k)[starts] >> np.uint64(64 - hash_bits) << np.uint64(64 - hash_bits) for k in (0, 1))
                 row = w.row[starts]
                 out = pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), ids.take(pa.array(row + i)), keys.take(pa.array(row + i)), pa.array((starts - w.first[row]).astype(np.int32))], names)
                 for k in range(0, out.num_rows, ROWS_OUT):
                     yield out.slice(k, ROWS_OUT)
 
     found = written(rest.mapInArrow(suspects, f"h1 long, h2 int, doc_id {kind}, key long, start int"), "windows")
-    first = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "key", "start")).alias("f"), F.max("doc_id").alias("last")).where("f.doc_id < last").drop("last")
     # A table of its own: broadcast, or joined by a shuffle in which Spark can split a window that very many have.
-    first = maybe_broadcast(written(first, "first-windows"))
-    hits = found.join(first, ["h1", "h2"]).where("doc_id > first").groupBy("doc_id", "key").agg(F.collect_list("start").alias("starts"))
+    hits = found.join(maybe_broadcast(written(first, "first-windows")), ["h1", "h2"]).where("doc_id > f.doc_id")
+    hits = hits.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "f")).alias("hits"))
+    names = ["doc_id", "key", "start", "stop", "f_id", "f_key", "f_start"]
 
-    def merged(batches):
+    def in_runs(batches):
         for b in batches:
+            id_type = b.schema.field("doc_id").type
             out = []
             for r in b.to_pylist():
-                s = np.unique(np.array(r["starts"], np.int64))
-                new = np.flatnonzero(np.concatenate([[True], s[1:] > s[:-1] + WINDOW]))
-                ends = s[np.append(new[1:], len(s)) - 1] + WINDOW
-                out.append({"doc_id": r["doc_id"], "key": r["key"], "ranges": np.column_stack([s[new], ends]).ravel().tolist()})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", b.schema.field("doc_id").type), ("key", pa.int64()), ("ranges", pa.list_(pa.int32()))]))
+                now = None
+                for h in sorted(r["hits"], key=lambda h: h["start"]):
+                    f, s = h["f"], h["start"]
+                    if now and s == now[3] - WINDOW + 1 and (f["doc_id"], f["key"], f["start"] - s) == (now[4], now[5], now[6] - now[2]):
+                        now[3] += 1
+                    elif not now or s > now[3] - WINDOW:
+                        now = [r["doc_id"], r["key"], s, s + WINDOW, f["doc_id"], f["key"], f["start"]]
+                        out.append(now)
+            cols = list(zip(*out)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (id_type, pa.int64(), pa.int32(), pa.int32(), id_type, pa.int64(), pa.int32()))], names)
+
+    runs = written(hits.mapInArrow(in_runs, f"doc_id {kind}, key long, start int, stop int, f_id {kind}, f_key long, f_start int"), "runs")
+    own = passages(rest, runs.withColumn("about", F.struct("f_id", "f_key", "f_start")))
+    theirs = passages(rest, runs.select(F.col("f_id").alias("doc_id"), F.col("f_key").alias("key"), F.col("f_start").alias("start"), (F.col("f_start") + F.col("stop") - F.col("start")).alias("stop")).distinct().withColumn("about", F.lit(None).cast("int")))
+    theirs = written(theirs.select(F.col("doc_id").alias("f_id"), F.col("key").alias("f_key"), F.col("start").alias("f_start"), (F.col("stop") - F.col("start")).alias("length"), F.col("words").alias("wanted")), "passages")
+    own = own.select("doc_id", "key", "start", "stop", "about.*", (F.col("stop") - F.col("start")).alias("length"), "words")
+    odd = written(own.join(maybe_broadcast(theirs), ["f_id", "f_key", "f_start", "length"]).where("words != wanted").select("doc_id", "key", "start", "stop").distinct(), "odd-runs")
+    ranges = runs.select("doc_id", "key", "start", "stop")
+    if not odd.isEmpty():
+        # Hashes that agree for different words: all windows of their groups are grouped by their words.
+        o = odd.select(F.col("doc_id").alias("o_id"), F.col("key").alias("o_key"), F.col("start").alias("o_start"), F.col("stop").alias("o_stop"))
+        same = (F.col("doc_id") == F.col("o_id")) & (F.col("key") == F.col("o_key")) & F.col("start").between(F.col("o_start"), F.col("o_stop") - WINDOW)
+        again = found.join(maybe_broadcast(written(found.join(maybe_broadcast(o), same).select("h1", "h2").distinct(), "odd-groups")), ["h1", "h2"])
+        each = written(passages(rest, again.select("doc_id", "key", "start", (F.col("start") + WINDOW).alias("stop"), F.lit(None).cast("int").alias("about"))), "odd-windows")
+        least = written(each.groupBy("words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last"), "odd-firsts")
+        exact = each.join(maybe_broadcast(least), "words").where("doc_id > first").select("doc_id", "key", "start", "stop")
+        ranges = ranges.join(maybe_broadcast(odd), ["doc_id", "key", "start", "stop"], "left_anti").unionByName(exact)
+    ranges = ranges.groupBy("doc_id", "key").agg(F.flatten(F.transform(F.array_sort(F.collect_set(F.struct("start", "stop"))), lambda r: F.array(r["start"], r["stop"]))).alias("ranges"))
+    return written(ranges.unionByName(copies), "ranges")
+
+
+def passages(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """places (doc_id, key, start, stop, about) with words: those of docs (doc_id, text, key) there, joined by one space.
+
+    Places go to texts while they are small enough to broadcast; beyond that both are shuffled by document.
+    """
+    about = places.schema["about"].dataType.simpleString()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    lists = written(places.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "stop", "about")).alias("places")), "places")
+
+    def cut(batches):
+        for b in batches:
+            cols = [[] for _ in range(6)]
+            for i, k, t, places in zip(*(b.column(c).to_pylist() for c in ("doc_id", "key", "text", "places"))):
+                words = t.encode().split()
+                for p in places:
+                    for col, v in zip(cols, (i, k, p["start"], p["stop"], p["about"], b" ".join(words[p["start"] : p["stop"]]))):
+                        col.append(v)
+            about_type = b.schema.field("places").type.value_type.field("about").type
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (b.schema.field("doc_id").type, pa.int64(), pa.int32(), pa.int32(), about_type, pa.binary()))], ["doc_id", "key", "start", "stop", "about", "words"])
 
-    return written(hits.mapInArrow(merged, f"doc_id {kind}, key long, ranges array<int>").unionByName(copies), "ranges")
+    some = docs.join(maybe_broadcast(lists), ["doc_id", "key"]).select("doc_id", "key", "text", "places")
+    return some.mapInArrow(cut, f"doc_id {kind}, key long, start int, stop int, about {about}, words binary")
 
 
-def dedup_passages(docs: DataFrame) -> DataFrame:
+def dedup_passages(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text of each row of docs (doc_id, text, ...).
 
     Words are runs of characters other than 0x20 and 0x09 to 0x0D; kept ones are joined by one space.
     Every word goes that a window covers whose words also start in a document with a smaller doc_id.
-    Null and empty texts have no words. Rows repeated under one doc_id do not remove each other's words;
+    Null and empty texts have no words; an empty table gives an empty one; other columns are ignored whatever their names. Rows repeated under one doc_id do not remove each other's words;
     a row without doc_id loses none and removes none. No text passes a shuffle while the ranges to
     remove are small enough to broadcast; beyond that Spark joins by shuffle.
     """
-    ranges = repeated_windows(docs).withColumnRenamed("doc_id", "r_id").withColumnRenamed("key", "r_key")
+    ranges = repeated_windows(docs, hash_bits).withColumnRenamed("doc_id", "r_id").withColumnRenamed("key", "r_key")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.join(maybe_broadcast(ranges), (F.col("doc_id") == F.col("r_id")) & (F.xxhash64("text") == F.col("r_key")), "left").select("doc_id", "text", "ranges")
 
@@ -193,7 +243,7 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
                     left, at = [], 0
                     for s, e in zip(ranges[::2], ranges[1::2]):
                         left += words[at:s]
-                        at = e
+                        at = max(at, e)
                     words = left + words[at:]
                 removed.append(total[-1] - len(words))
                 kept.append(b" ".join(words).decode())
