@@ -146,11 +146,11 @@ class Blocks:
         self.first = np.where(one, np.arange(len(self.start)), np.where(side_of == 0, across, ends[block_of] if len(token) else 0))
         self.last = ends[block_of] if len(token) else self.first
 
-    def pairs(self, bitmaps: Bitmaps, component: np.ndarray | None, carried=None):
+    def pairs(self, bitmaps: Bitmaps, component: np.ndarray | None, carried=None, most: int = PAIRS):
         """(i, j, distance) of the pairs of rows that pass all filters, in pieces; of different components, if given."""
         num, den = self.num, self.den
         count = self.last - self.first
-        for s, e in _chunks(count, PAIRS):
+        for s, e in _chunks(count, most):
             g = np.repeat(np.arange(s, e), count[s:e])
             h = self.first[g] + _inside(count[s:e])
             a, b = self.n[self.start[g]], self.n[self.start[h]]
@@ -159,7 +159,7 @@ class Blocks:
             good = (np.minimum(a, b) * den >= np.maximum(a, b) * num) & (both * (num + den) >= num * (a + b))
             g, h = g[good], h[good]
             n = self.size[g] * self.size[h]
-            for s2, e2 in _chunks(n, PAIRS):
+            for s2, e2 in _chunks(n, most):
                 x, y, m = g[s2:e2], h[s2:e2], n[s2:e2]
                 k, wide = _inside(m), np.repeat(self.size[y], m)
                 i, j, same = np.repeat(self.start[x], m) + k // wide, np.repeat(self.start[y], m) + k % wide, np.repeat(x == y, m)
@@ -211,13 +211,13 @@ def forest(i: np.ndarray, j: np.ndarray, weight: np.ndarray, nodes: int) -> np.n
             root = root[root]
 
 
-def whole_blocks(batches):
-    """Tables of whole blocks (token, lo, hi) of sorted batches."""
+def whole_blocks(batches, most: int):
+    """Tables of whole blocks (token, lo, hi) of sorted batches, of about `most` rows if blocks are smaller."""
     held, n = [], 0
     for b in batches:
         held.append(b)
         n += b.num_rows
-        if n < HELD_ROWS:
+        if n < most:
             continue
         rows = pa.Table.from_batches(held).combine_chunks()
         key = [rows.column(c).to_numpy() for c in ("token", "lo", "hi")]
@@ -391,14 +391,14 @@ class Similarity:
 
     def likely(self, dealt: DataFrame) -> DataFrame:
         """Pairs (a, b): a forest of the likely links of each block."""
-        num, den = self.num, self.den
+        num, den, held, most = self.num, self.den, HELD_ROWS, PAIRS
         kind = dealt.schema["doc_id"].dataType.simpleString()
 
         def run(batches):
-            for table in whole_blocks(batches):
+            for table in whole_blocks(batches, held):
                 rows = Blocks(table, num, den)
                 carried = Carried(rows.rows.column("carried").to_pylist(), rows.rows.column("before").to_numpy())
-                found = [*rows.pairs(Bitmaps(rows.rows.column("bits").to_pylist()), None, carried)]
+                found = [*rows.pairs(Bitmaps(rows.rows.column("bits").to_pylist()), None, carried, most)]
                 if found:
                     i, j, weight = (np.concatenate(x) for x in zip(*found))
                     at, ids = forest(i, j, weight, len(rows.n)), rows.rows.column("doc_id").combine_chunks()
@@ -409,16 +409,16 @@ class Similarity:
 
     def near_across(self, dealt: DataFrame) -> DataFrame:
         """The rows (token, lo, hi, id, doc_id, component) of each block that may link with one of another component there."""
-        num, den = self.num, self.den
+        num, den, held, most = self.num, self.den, HELD_ROWS, PAIRS
         names = ["token", "lo", "hi", "id", "doc_id", "component"]
 
         def run(batches):
-            for table in whole_blocks(batches):
+            for table in whole_blocks(batches, held):
                 rows = Blocks(table, num, den)
                 component = rows.rows.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
                 carried = Carried(rows.rows.column("carried").to_pylist(), rows.rows.column("before").to_numpy())
                 near = np.zeros(len(rows.n), bool)
-                for i, j, _ in rows.pairs(Bitmaps(rows.rows.column("bits").to_pylist()), component, carried):
+                for i, j, _ in rows.pairs(Bitmaps(rows.rows.column("bits").to_pylist()), component, carried, most):
                     near[i] = near[j] = True
                 if near.any():
                     yield from rows.rows.select(names).filter(pa.array(near)).combine_chunks().to_batches()
@@ -428,7 +428,7 @@ class Similarity:
 
     def links_across(self, near: DataFrame) -> DataFrame:
         """Links (a, b) that join the components of each block: a forest of them. near has the rows' whole sets (tokens)."""
-        num, den = self.num, self.den
+        num, den, held, most, verified = self.num, self.den, HELD_ROWS, PAIRS, VERIFIED
         kind = near.schema["doc_id"].dataType.simpleString()
 
         def reach(x, y):
@@ -436,7 +436,7 @@ class Similarity:
             return both * den >= num * (len(x) + len(y) - both)
 
         def run(batches):
-            for table in whole_blocks(batches):
+            for table in whole_blocks(batches, held):
                 sets = [np.frombuffer(t.as_buffer(), np.uint64) for t in table.column("tokens")]
                 n = pa.array([len(t) for t in sets], pa.int64())
                 table = table.append_column("n", n).append_column("pos", pa.array(np.zeros(len(n), np.int64))).append_column("prefix", n).append_column("at", pa.array(np.arange(len(n))))
@@ -445,11 +445,11 @@ class Similarity:
                 component = rows.rows.column("component").combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
                 _, code = np.unique(rows.block * (component.max() + 1) + component, return_inverse=True)
                 root, links = np.arange(code.max() + 1), []
-                for i, j, weight in rows.pairs(Bitmaps([parity(t, _bits(len(t), 8)) for t in sets]), component):
+                for i, j, weight in rows.pairs(Bitmaps([parity(t, _bits(len(t), 8)) for t in sets]), component, None, most):
                     # The nearest first; most of the others are of one component by then.
                     order = np.argsort(weight, kind="stable")
-                    for s in range(0, len(order), VERIFIED):
-                        some = order[s : s + VERIFIED]
+                    for s in range(0, len(order), verified):
+                        some = order[s : s + verified]
                         for k in some[root[code[i[some]]] != root[code[j[some]]]].tolist():
                             a, b = sorted((root[code[i[k]]], root[code[j[k]]]))
                             if a != b and reach(sets[i[k]], sets[j[k]]):
