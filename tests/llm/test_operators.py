@@ -506,8 +506,10 @@ def test_mixing(edge_docs, rows):
     assert all(abs(taken[s] - t) <= 1 for s, t in by_size.items())
 
 
-def test_substring_dedup(edge_docs, rows):
-    got = substring_dedup.dedup_passages(edge_docs).collect()
+@pytest.mark.parametrize("bits", [64, 2])
+def test_substring_dedup(edge_docs, rows, bits):
+    """With hashes as they are, and with so few of their bits that windows of different words agree."""
+    got = substring_dedup.dedup_passages(edge_docs, bits).collect()
     first: dict = {}
     for i, t in rows:
         w = WORD.findall(t or "")
