@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept and returns the rows that
 stay with the columns of documents; the last returns their token ids. Rows without doc_id pass the filters
-of the first three stages except as exact copies; empty tables give empty results.
+of the first three stages except as exact copies; null and empty texts are texts without words; long texts are
+read whole; empty tables give empty results. Rows that share a doc_id are told apart by their text in the first
+two stages; in the third and fourth they are one document: they go together and are taken equally often.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text is not predicted to be toxic."""
+    """Rows whose text is not predicted to be toxic. Repeated rows score alike, so they stay or go together."""
     keyed = docs.withColumn("_key", F.xxhash64("text"))
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     toxic = toxicity.score(keyed.select(F.struct("doc_id", "_key").alias("doc_id"), "text"), model).where(F.col("score") >= toxicity.THRESHOLD)
@@ -34,7 +36,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal but for white space, the longest original, then the smallest doc_id."""
+    """Of texts equal but for white space, the longest original, then the smallest doc_id, and of fully repeated rows one."""
     groups = written(exact_dedup.exact_groups(docs), "exact-groups")
     dropped = groups.where("NOT kept").select("doc_id").distinct()
     kept = groups.where("kept").select("doc_id", "text_sha256")
@@ -56,12 +58,14 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles, directly or through others, the smallest doc_id."""
+    """Of documents linked by five-word shingles, directly or through others, the smallest doc_id, so there are no ties. All rows of
+    a doc_id stay or go together."""
     return _without(docs, NEAR.join(docs).where("component_id != doc_id"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
+    """Each document as many times as the mix takes it; rows of one doc_id as often as the one of them taken most. Ties of the
+    sampling order go by the hash of the doc_id, so reruns agree."""
     taken = mixing.mix_sources(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "m_id")
     taken = maybe_broadcast(written(taken.where("_copies > 0"), "taken"), 32)
     return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("m_id"))).withColumn("_nth", F.explode(F.expr("sequence(1L, _copies)"))).select(*docs.columns)
