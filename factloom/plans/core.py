@@ -265,14 +265,6 @@ def a32_matrix_by_patient(spark, sf_dir):
     return m.groupBy("patient_id").agg(bad.alias("not_complete"), F.round(bad * 100.0 / F.count("*"), 4).alias("percent"))
 
 
-@query("""y AS (SELECT count(DISTINCT patient_id) AS t FROM facts) SELECT core_variable, round(1 - count(DISTINCT CASE WHEN trim(coalesce(value, '')) != '' THEN patient_id END) / max(t), 6) AS share_missing FROM facts, y GROUP BY 1""", facts=True)
-def a34_share_missing(spark, sf_dir):
-    f = bind.facts(spark, sf_dir)
-    total = f.agg(F.count_distinct("patient_id").alias("t"))
-    have = f.groupBy("core_variable").agg(F.count_distinct(F.when(~quality.blank(), F.col("patient_id"))).alias("n"))
-    return have.join(F.broadcast(total)).select("core_variable", F.round(1 - F.col("n") / F.col("t"), 6).alias("share_missing"))
-
-
 @query("""y AS (SELECT *, CASE WHEN core_variable LIKE 'Customer.%' THEN NULL ELSE date_ref END AS on_date FROM facts WHERE value IS NOT NULL) SELECT patient_id, core_variable, CAST(on_date AS VARCHAR) AS on_date, count(DISTINCT value) AS n_values, min(value) AS low, max(value) AS high, array_to_string(list_sort(list(DISTINCT original_source)), ',') AS sources FROM y GROUP BY patient_id, core_variable, y.on_date HAVING count(DISTINCT value) > 1""", facts=True)
 def a46_export_conflicts(spark, sf_dir):
     return quality.conflicts(bind.facts(spark, sf_dir), ["Customer"]).withColumn("on_date", F.col("on_date").cast("string"))

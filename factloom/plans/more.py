@@ -119,14 +119,6 @@ def u6_never_checked(spark, sf_dir):
     return f.subtract(checks(spark, sf_dir).select("core_variable"))
 
 
-@query("""WITH s AS (SELECT vec_id, embedding AS e FROM embeddings) SELECT vec_id, round(list_avg(list_transform(e, lambda x: CAST(x AS DOUBLE))), 6) AS mean, round(CAST(list_min(e) AS DOUBLE), 6) AS least, round(CAST(e[1] AS DOUBLE), 6) AS first, list_min(e) < -0.15 AND e[1] < 0 AS rejected FROM s""")
-def t19_confidence(spark, sf_dir):
-    e = F.col("embedding")
-    mean = F.aggregate(e, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(e)
-    first, least = F.get(e, F.lit(0)).cast("double"), F.array_min(e).cast("double")
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(mean, 6).alias("mean"), F.round(least, 6).alias("least"), F.round(first, 6).alias("first"), ((least < -0.15) & (first < 0)).alias("rejected"))
-
-
 @query("SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations WHERE text IS NOT NULL")
 def s15_backup_and_restore(spark, sf_dir):
     path = f"{shared_dir(spark)}/backup-{uuid.uuid4().hex}"

@@ -328,3 +328,57 @@ def k6_sessions_by_update(spark, sf_dir):
     """The sessions that were updated last: a top-k of one aggregate."""
     h = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.max(F.col("turn").cast("long")).alias("updated"))
     return h.orderBy(F.desc("updated"), "conv_id").limit(15)
+
+
+OUTPUT = "CASE vec_id % 6 WHEN 0 THEN 'Grade [select grade]' WHEN 1 THEN 'It is unclear' WHEN 2 THEN '' WHEN 3 THEN 'Not stated at all' ELSE 'Grade high' END"
+LIMITS = {0: -0.02, 1: -0.05}
+_CONFIDENCE = f"s AS (SELECT vec_id, label, {OUTPUT} AS out, list_transform(list_filter(embedding, lambda x: x < 0.4), lambda x: CAST(x AS DOUBLE) - 0.1) AS e FROM embeddings), c AS (SELECT vec_id, label, out, list_avg(e) AS mean, list_min(e) AS least, e[1] AS first FROM s), d AS (SELECT *, CASE label WHEN 0 THEN -0.02 WHEN 1 THEN -0.05 ELSE -0.1 END AS t, out = '' OR regexp_matches(lower(out), '\\[[^\\]]+\\]|unknown|not applicable|no information|not mentioned|not stated|unclear') AS odd FROM c)"
+
+
+def _confidence(spark, sf_dir):
+    """Token scores of each output (null ones left out) with their mean, least and first, the prompt's threshold and whether it is rejected."""
+    e = F.transform(F.filter("embedding", lambda x: x < 0.4), lambda x: x.cast("double") - 0.1)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.expr(OUTPUT).alias("out"), e.alias("e"))
+    mean = F.try_divide(F.aggregate("e", F.lit(0.0), lambda s, x: s + x), F.size("e"))
+    limit = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in LIMITS.items() for x in kv]), F.col("label")), F.lit(-0.1))
+    odd = (F.col("out") == "") | F.lower("out").rlike(r"\[[^\]]+\]|unknown|not applicable|no information|not mentioned|not stated|unclear")
+    rows = rows.select("vec_id", "label", mean.alias("mean"), F.array_min("e").alias("least"), F.get("e", F.lit(0)).alias("first"), limit.alias("limit"), odd.alias("odd"))
+    return rows.withColumn("rejected", (F.col("mean") < F.col("limit")) & F.col("odd"))
+
+
+@query(f"WITH {_CONFIDENCE} SELECT vec_id, round(mean, 6) AS mean, round(least, 6) AS least, round(first, 6) AS first, round((greatest(-10, least(0, mean)) + 10) / 10, 6) AS normal, mean < t AND odd AS rejected FROM d")
+def t19_confidence(spark, sf_dir):
+    """Scores of outputs, the mean also on a scale from 0 to 1; rejected ones are under the prompt's threshold and look like placeholders."""
+    c = _confidence(spark, sf_dir)
+    normal = (F.greatest(F.lit(-10.0), F.least(F.lit(0.0), F.col("mean"))) + 10) / 10
+    return c.select("vec_id", *[F.round(x, 6).alias(x) for x in ("mean", "least", "first")], F.round(normal, 6).alias("normal"), "rejected")
+
+
+@query(f"WITH {_CONFIDENCE} SELECT label, count(*) AS n, round(avg(mean), 6) AS mean, round(min(mean), 6) AS least, round(max(mean), 6) AS most, count_if(mean < t AND odd) AS rejected, round(count_if(mean < t AND odd) / count(*), 6) AS rejection_rate FROM d GROUP BY 1")
+def a38_confidence_statistics(spark, sf_dir):
+    """Statistics of the scores by prompt and the share of rejected outputs."""
+    c = _confidence(spark, sf_dir)
+    bad = F.count_if("rejected")
+    return c.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("mean"), 6).alias("mean"), F.round(F.min("mean"), 6).alias("least"), F.round(F.max("mean"), 6).alias("most"), bad.alias("rejected"), F.round(bad / F.count("*"), 6).alias("rejection_rate"))
+
+
+@query(f"{_IM}, y AS (SELECT count(DISTINCT patient_id) AS t FROM facts), v AS (SELECT core_variable, CASE WHEN min(date_ref) IS NULL THEN '' WHEN min(date_ref) < DATE '1997-01-01' THEN 'early' ELSE 'late' END AS first_phase, count(DISTINCT CASE WHEN trim(coalesce(value, '')) != '' THEN patient_id END) AS n FROM facts GROUP BY 1) SELECT core_variable AS variable, {_GRADE} AS importance, first_phase, round((1 - n / t) * 100, 2) AS percent_missing FROM v, y", facts=True)
+def a34_reduced_matrix(spark, sf_dir):
+    """The four columns for outside users: variable, importance, first phase and the percent of patients without a value."""
+    f = bind.facts(spark, sf_dir)
+    total = f.agg(F.count_distinct("patient_id").alias("t"))
+    day = F.min("date_ref")
+    phase = F.when(day.isNull(), "").when(day < F.lit("1997-01-01").cast("date"), "early").otherwise("late")
+    v = f.groupBy("core_variable").agg(phase.alias("first_phase"), F.count_distinct(F.when(~quality.blank(), F.col("patient_id"))).alias("n"))
+    return v.join(F.broadcast(total)).select(F.col("core_variable").alias("variable"), importance(F.col("core_variable")).alias("importance"), "first_phase", F.round((1 - F.col("n") / F.col("t")) * 100, 2).alias("percent_missing"))
+
+
+@query(f"{CHECKS}, sel AS (SELECT ck.*, split_part(core_variable, '.', 1) AS entity FROM ck WHERE core_variable NOT IN ('Order.date') AND NOT (rule = 'not_null' AND core_variable LIKE 'Customer.%')) SELECT CASE WHEN entity = 'Customer' THEN 'patients' ELSE entity END AS frame, rule, count(DISTINCT CASE WHEN entity = 'Customer' THEN CAST(patient_id AS VARCHAR) ELSE patient_id || '/' || record_id END) AS rows_checked, count_if(failed) AS n_failed FROM sel GROUP BY 1, 2", facts=True)
+def a9_routed_rules(spark, sf_dir):
+    """Rules by the frame that they go to: the patients' for entities of one instance, else the entity's; variables of another group
+    are left out, and not-null rules of optional entities of one instance."""
+    c = checks(spark, sf_dir).withColumn("entity", fx.entity(F.col("core_variable")))
+    c = c.where("core_variable != 'Order.date' AND NOT (rule = 'not_null' AND entity = 'Customer')")
+    single = F.col("entity") == "Customer"
+    row = F.when(single, F.col("patient_id").cast("string")).otherwise(F.concat_ws("/", "patient_id", "record_id"))
+    return c.groupBy(F.when(single, "patients").otherwise(F.col("entity")).alias("frame"), "rule").agg(F.count_distinct(row).alias("rows_checked"), F.count_if("failed").alias("n_failed"))

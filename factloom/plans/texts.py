@@ -83,11 +83,6 @@ def j16_valid_combinations(spark, sf_dir):
     return out.select("id", F.col("code").isNotNull().alias("valid"), F.coalesce("m", F.lit(False)).alias("morphology_known"), F.coalesce("t", F.lit(False)).alias("topography_known"))
 
 
-@query("SELECT event_type, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, count_if(value < 10) AS rejected FROM events GROUP BY 1")
-def a38_confidence_statistics(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), F.count_if(F.col("value") < 10).alias("rejected"))
-
-
 @query("SELECT conv_id, count(*) AS turns, max(CAST(turn AS BIGINT)) AS last_turn FROM conversations GROUP BY 1")
 def a50_sessions(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.max(F.col("turn").cast("long")).alias("last_turn"))
