@@ -349,24 +349,25 @@ class Similarity:
         return docs.select("doc_id", "text").mapInArrow(run, f"token long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n int, pos int, before int, prefix long, bits binary, carried binary")
 
     def dealt(self, index: DataFrame) -> DataFrame:
-        """The rows of tokens that several have, with the block (lo = hi = id) each is in. Any split will do: the
-        second round tries what blocks keep apart. It differs by token, so blocks of other tokens join them."""
-        # Tokens of one row are gone before the rows with bitmaps are dealt out.
-        many = written(index.groupBy("token").agg(F.count("*").alias("_n")).where("_n > 1"), "shared-tokens")
-        block = F.pmod(F.xxhash64("doc_id", "token"), F.ceil(F.col("_n") / FIRST_ROWS)).cast("long")
-        return index.join(maybe_broadcast(many, 24), "token").withColumn("id", block).withColumns({"lo": F.col("id"), "hi": F.col("id")}).drop("_n")
-
-    def across_dealt(self, live: DataFrame, mixed: DataFrame) -> DataFrame:
-        """The rows (live) of tokens with several components (mixed, with the blocks' worth of rows they have), once for each two
-        blocks (lo, hi) of the token that they are compared in; id is the row's block. All pairs across components meet: a
+        """The rows with the block (lo = hi = id) of their token that each is in. Any split will do: the second round tries what
+        blocks keep apart. It differs by token, so blocks of other tokens join them. Only tokens of more than one block, a
+        few, are joined."""
+        hot = written(index.groupBy("token").agg(F.count("*").alias("_n")).where(F.col("_n") > FIRST_ROWS), "hot-tokens")
+        block = F.coalesce(F.pmod(F.xxhash64("doc_id", "token"), F.ceil(F.col("_n") / FIRST_ROWS)), F.lit(0)).cast("long")
+        return index.join(maybe_broadcast(hot, 24), "token", "left").withColumn("id", block).withColumns({"lo": F.col("id"), "hi": F.col("id")}).drop("_n")
+
+    def across_dealt(self, live: DataFrame, wide: DataFrame) -> DataFrame:
+        """The rows (live), once for each two blocks (lo, hi) of their token that they are compared in; id is the row's block.
+        wide has the tokens of more than one block and whether they are mixed, of several components; those that are not have nothing
+        to compare and are left out. Other tokens are one block. All pairs across components meet: a
         large component has blocks of its own that need not meet each other, smaller ones share blocks, and all other blocks
         meet, themselves included."""
         zero = F.lit(0).cast("long")
-        small = live.join(maybe_broadcast(mixed.where("blocks <= 1").select("token"), 24), "token", "left_semi").withColumns({"id": zero, "lo": zero, "hi": zero})
-        wide = mixed.where("blocks > 1").select("token")
-        if wide.isEmpty():
+        small = live.join(maybe_broadcast(wide.select("token"), 24), "token", "left_anti").withColumns({"id": zero, "lo": zero, "hi": zero})
+        mixed = wide.where("mixed").select("token")
+        if mixed.isEmpty():
             return small
-        rows = live.join(maybe_broadcast(wide, 24), "token", "left_semi")
+        rows = live.join(maybe_broadcast(mixed, 24), "token", "left_semi")
         sizes = written(rows.groupBy("token", "component").agg(self.blocks().alias("blocks")), "component-sizes")
         own = F.col("blocks") * 2 >= 1
         shared = written(sizes.where(~own).groupBy("token").agg(F.ceil(F.sum("blocks")).cast("long").alias("shared")), "shared-blocks")
@@ -528,9 +529,9 @@ class Similarity:
         # What the first round has not joined: buckets of more than one component, across components.
         found = written(components(links), "components").withColumnRenamed("node", "doc_id")
         live = index.join(maybe_broadcast(found), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        mixed = live.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), self.blocks().alias("blocks")).where("lo < hi")
-        mixed = written(mixed.select("token", "blocks"), "mixed")
-        near = written(self.near_across(self.across_dealt(live, mixed)), "near-rows")
+        wide = live.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), self.blocks().alias("blocks")).where("blocks > 1")
+        wide = written(wide.select("token", (F.col("lo") < F.col("hi")).alias("mixed")), "wide-tokens")
+        near = written(self.near_across(self.across_dealt(live, wide)), "near-rows")
         sets = self.sets_of(rest, written(near.select("doc_id").distinct(), "nodes"))
         across = self.links_across(near.join(sets.withColumnRenamed("node", "doc_id"), "doc_id"))
         edges = links.unionByName(across).unionByName(copies.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
