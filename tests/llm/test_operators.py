@@ -131,9 +131,9 @@ def test_blocks_meet_across_components(spark, monkeypatch, sizes):
     monkeypatch.setattr(jaccard_join, "BUCKET_ROWS", 8)
     component = [c for c, n in enumerate(sizes) for _ in range(n)]
     live = spark.createDataFrame([(1, i, c, 10) for i, c in enumerate(component)], "token long, doc_id long, component long, n int")
-    mixed = spark.createDataFrame([(1, len(component) / 8)], "token long, blocks double")
+    wide = spark.createDataFrame([(1, True), (2, False)], "token long, mixed boolean")
     blocks = defaultdict(list)
-    for r in Similarity(3, 90, 100).across_dealt(live, mixed).collect():
+    for r in Similarity(3, 90, 100).across_dealt(live, wide).collect():
         blocks[r.lo, r.hi].append((r.doc_id, r.id))
     met = Counter()
     for (lo, hi), rows in blocks.items():
