@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -54,6 +55,23 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trimmed(run):
+    """run (over Arrow batches), after which the worker gives free memory back: workers are used again, and what one task needed
+    would else stay theirs while other tasks need it."""
+
+    def go(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return go
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser over uint64."""
     h = h ^ (h >> np.uint64(30))

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, written
+from .common import maybe_broadcast, trimmed, written
 
 
 #: Edges that a task makes into stars at once.
@@ -51,7 +51,7 @@ def contracted(edges: DataFrame) -> tuple[DataFrame, bool]:
     n = edges.count()
     parts = -(-n // LOCAL_EDGES)
     kind = edges.schema["u"].dataType.simpleString()
-    return written(edges.coalesce(max(1, parts)).mapInArrow(run, f"u {kind}, v {kind}"), "stars"), parts <= 1 and n < LOCAL_EDGES
+    return written(edges.coalesce(max(1, parts)).mapInArrow(trimmed(run), f"u {kind}, v {kind}"), "stars"), parts <= 1 and n < LOCAL_EDGES
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, maybe_broadcast, written
+from .common import SPACE, maybe_broadcast, trimmed, written
 
 FIRST_DIGIT = 16
 GROWTH = 16
@@ -51,7 +51,7 @@ def _normalised(rows: DataFrame, with_text: bool) -> DataFrame:
             })
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, nth long, n_chars long, text_sha256 string, ended boolean, bytes binary")
+    return rows.mapInArrow(trimmed(run), f"doc_id {kind}, nth long, n_chars long, text_sha256 string, ended boolean, bytes binary")
 
 
 def _same(columns: list[str], prefix: str) -> Column:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, maybe_broadcast, mix, slices, text_bytes, windows, written
+from .common import Words, maybe_broadcast, mix, slices, text_bytes, trimmed, windows, written
 from .components import components
 
 CHUNK = 1 << 16
@@ -256,7 +256,7 @@ class Similarity:
                     yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("key").slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])], ["doc_id", "key", "n_shingles", "s1", "s2"])
 
         kind = docs.schema["doc_id"].dataType.simpleString()
-        return docs.mapInArrow(run, f"doc_id {kind}, key long, n_shingles long, s1 long, s2 long")
+        return docs.mapInArrow(trimmed(run), f"doc_id {kind}, key long, n_shingles long, s1 long, s2 long")
 
     def counts(self, docs: DataFrame, width: int):
         """Rows of the merged sketches: a bitmap of region counters that two documents reached, and coarse counts."""
@@ -298,8 +298,8 @@ class Similarity:
                 bits = np.log2(np.maximum(c, 1)).astype(np.uint8) if kind else np.packbits(c > 1)
                 yield pa.RecordBatch.from_pylist([{"kind": kind, "chunk": chunk, "bits": bits.tobytes()}], pa.schema([("kind", pa.int32()), ("chunk", pa.int32()), ("bits", pa.binary())]))
 
-        parts = docs.select("text").mapInArrow(count, "kind int, chunk int, seen binary, again binary")
-        return parts.repartition("kind", "chunk").mapInArrow(merge, "kind int, chunk int, bits binary")
+        parts = docs.select("text").mapInArrow(trimmed(count), "kind int, chunk int, seen binary, again binary")
+        return parts.repartition("kind", "chunk").mapInArrow(trimmed(merge), "kind int, chunk int, bits binary")
 
     def index(self, docs: DataFrame, width: int, shared) -> DataFrame:
         """A row for each prefix token that another document may have: token, doc_id, n, pos, before (such tokens ahead of
@@ -346,7 +346,7 @@ class Similarity:
                     for c in range(0, out.num_rows, 20_000):
                         yield out.slice(c, 20_000)
 
-        return docs.select("doc_id", "text").mapInArrow(run, f"token long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n int, pos int, before int, prefix long, bits binary, carried binary")
+        return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"token long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n int, pos int, before int, prefix long, bits binary, carried binary")
 
     def dealt(self, index: DataFrame) -> DataFrame:
         """The rows with the block (lo = hi = id) of their token that each is in. Any split will do: the second round tries what
@@ -405,7 +405,7 @@ class Similarity:
                     at, ids = forest(i, j, weight, len(rows.n)), rows.rows.column("doc_id").combine_chunks()
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(i[at])), ids.take(pa.array(j[at]))], ["a", "b"])
 
-        pairs = dealt.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(run, f"a {kind}, b {kind}")
+        pairs = dealt.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(trimmed(run), f"a {kind}, b {kind}")
         return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def near_across(self, dealt: DataFrame) -> DataFrame:
@@ -425,7 +425,7 @@ class Similarity:
                     yield from rows.rows.select(names).filter(pa.array(near)).combine_chunks().to_batches()
 
         kinds = {f.name: f.dataType.simpleString() for f in dealt.schema}
-        return dealt.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names))
+        return dealt.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(trimmed(run), ", ".join(f"{c} {kinds[c]}" for c in names))
 
     def links_across(self, near: DataFrame) -> DataFrame:
         """Links (a, b) that join the components of each block: a forest of them. near has the rows' whole sets (tokens)."""
@@ -460,7 +460,7 @@ class Similarity:
                     ids, at = rows.rows.column("doc_id").combine_chunks(), np.array(links)
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(at[:, 0])), ids.take(pa.array(at[:, 1]))], ["a", "b"])
 
-        return near.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(run, f"a {kind}, b {kind}")
+        return near.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(trimmed(run), f"a {kind}, b {kind}")
 
     def sets_of(self, docs: DataFrame, nodes: DataFrame) -> DataFrame:
         """node and tokens (the whole set, sorted, 8 bytes each) of the documents whose doc_id is in nodes (a written table)."""
@@ -474,7 +474,7 @@ class Similarity:
                     cut = np.searchsorted(row, np.arange(j - i + 1))
                     yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array([token[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:])], pa.binary())], ["node", "tokens"])
 
-        return written(docs.select("doc_id", "text").join(maybe_broadcast(nodes), "doc_id", "left_semi").mapInArrow(sets, f"node {kind}, tokens binary"), "token-sets")
+        return written(docs.select("doc_id", "text").join(maybe_broadcast(nodes), "doc_id", "left_semi").mapInArrow(trimmed(sets), f"node {kind}, tokens binary"), "token-sets")
 
     def verified(self, pairs: DataFrame, docs: DataFrame) -> DataFrame:
         """Those pairs (a, b) whose whole sets reach the threshold."""
@@ -492,7 +492,7 @@ class Similarity:
 
         own = self.sets_of(docs, written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "nodes"))
         both = pairs.join(own.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(check, f"a {kind}, b {kind}")
+        return both.select("a", "b", "x", "y").mapInArrow(trimmed(check), f"a {kind}, b {kind}")
 
     def join(self, docs: DataFrame) -> DataFrame:
         """doc_id, n_shingles, component_id of each row of docs (doc_id, text, ...).

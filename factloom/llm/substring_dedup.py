@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, maybe_broadcast, mix, slices, text_bytes, windows, written
+from .common import Words, maybe_broadcast, mix, slices, text_bytes, trimmed, windows, written
 
 WINDOW, RUN = 50, 10
 CHUNK = 1 << 16
@@ -91,8 +91,8 @@ def _sketches(rows: DataFrame, width: int):
         for (d, chunk), c in counts.items():
             yield pa.RecordBatch.from_pylist([{"d": d, "chunk": chunk, "bits": np.packbits(c > 1).tobytes()}], pa.schema([("d", pa.int32()), ("chunk", pa.int32()), ("bits", pa.binary())]))
 
-    parts = rows.select("text").mapInArrow(count, "d int, chunk int, seen binary, again binary")
-    return parts.repartition("d", "chunk").mapInArrow(merge, "d int, chunk int, bits binary")
+    parts = rows.select("text").mapInArrow(trimmed(count), "d int, chunk int, seen binary, again binary")
+    return parts.repartition("d", "chunk").mapInArrow(trimmed(merge), "d int, chunk int, bits binary")
 
 
 def repeated_windows(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
@@ -111,7 +111,7 @@ def repeated_windows(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
             words = [t.as_py().encode().split() for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array([len(w) for w in words], pa.int32()), pa.array([hashlib.sha256(b" ".join(w)).digest() for w in words], pa.binary())], ["doc_id", "key", "n", "sequence"])
 
-    all_docs = docs.mapInArrow(sequences, f"doc_id {kind}, key long, n int, sequence binary")
+    all_docs = docs.mapInArrow(trimmed(sequences), f"doc_id {kind}, key long, n int, sequence binary")
     narrow = written(all_docs, "sequences")
     firsts = narrow.where(f"n >= {WINDOW}").groupBy("sequence").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     firsts = maybe_broadcast(written(firsts, "first-sequences"))
@@ -153,7 +153,7 @@ def repeated_windows(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
                 for k in range(0, out.num_rows, ROWS_OUT):
                     yield out.slice(k, ROWS_OUT)
 
-    found = written(rest.mapInArrow(suspects, f"h1 long, h2 int, doc_id {kind}, key long, start int"), "windows")
+    found = written(rest.mapInArrow(trimmed(suspects), f"h1 long, h2 int, doc_id {kind}, key long, start int"), "windows")
     first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "key", "start")).alias("f"), F.max("doc_id").alias("last")).where("f.doc_id < last").drop("last")
     # A table of its own: broadcast, or joined by a shuffle in which Spark can split a window that very many have.
     hits = found.join(maybe_broadcast(written(first, "first-windows")), ["h1", "h2"]).where("doc_id > f.doc_id")
@@ -176,7 +176,7 @@ def repeated_windows(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
             cols = list(zip(*out)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (id_type, pa.int64(), pa.int32(), pa.int32(), id_type, pa.int64(), pa.int32()))], names)
 
-    runs = written(hits.mapInArrow(in_runs, f"doc_id {kind}, key long, start int, stop int, f_id {kind}, f_key long, f_start int"), "runs")
+    runs = written(hits.mapInArrow(trimmed(in_runs), f"doc_id {kind}, key long, start int, stop int, f_id {kind}, f_key long, f_start int"), "runs")
     own = passages(rest, runs.withColumn("about", F.struct("f_id", "f_key", "f_start")))
     theirs = passages(rest, runs.select(F.col("f_id").alias("doc_id"), F.col("f_key").alias("key"), F.col("f_start").alias("start"), (F.col("f_start") + F.col("stop") - F.col("start")).alias("stop")).distinct().withColumn("about", F.lit(None).cast("int")))
     theirs = written(theirs.select(F.col("doc_id").alias("f_id"), F.col("key").alias("f_key"), F.col("start").alias("f_start"), (F.col("stop") - F.col("start")).alias("length"), F.col("words").alias("wanted")), "passages")
@@ -217,7 +217,7 @@ def passages(docs: DataFrame, places: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (b.schema.field("doc_id").type, pa.int64(), pa.int32(), pa.int32(), about_type, pa.binary()))], ["doc_id", "key", "start", "stop", "about", "words"])
 
     some = docs.join(maybe_broadcast(lists), ["doc_id", "key"]).select("doc_id", "key", "text", "places")
-    return some.mapInArrow(cut, f"doc_id {kind}, key long, start int, stop int, about {about}, words binary")
+    return some.mapInArrow(trimmed(cut), f"doc_id {kind}, key long, start int, stop int, about {about}, words binary")
 
 
 def dedup_passages(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
@@ -249,7 +249,7 @@ def dedup_passages(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
                 kept.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    return rows.mapInArrow(cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_text string")
+    return rows.mapInArrow(trimmed(cut), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_text string")
 
 
 def digest(kept: DataFrame) -> DataFrame:

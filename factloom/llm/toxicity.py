@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
-from .common import Words, maybe_broadcast, mix, slices, text_bytes, written
+from .common import Words, maybe_broadcast, mix, slices, text_bytes, trimmed, written
 
 PREFIXES = (4, 5, 6)
 #: Parameters: labelled examples of each label in the index, neighbours, rows of a block, blocks read at once, the
@@ -95,7 +95,7 @@ def _counts(train: DataFrame) -> DataFrame:
         if size:
             yield from out()
 
-    return train.mapInArrow(run, "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return train.mapInArrow(trimmed(run), "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
 @dataclass
@@ -174,7 +174,7 @@ def _examples(train: DataFrame, names: np.ndarray | None) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (feature.view(np.int64), times.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(own)), pa.array(toxic[own]), *lists], ["doc_id", "toxic", "features", "times"])
 
-    return train.mapInArrow(run, f"doc_id {train.schema['doc_id'].dataType.simpleString()}, toxic int, features array<long>, times array<long>")
+    return train.mapInArrow(trimmed(run), f"doc_id {train.schema['doc_id'].dataType.simpleString()}, toxic int, features array<long>, times array<long>")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -252,7 +252,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     scores[i + row[s]], evidence[i + row[s]] = model.score(feature[s:e], times[s:e])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores), pa.array(evidence, pa.list_(evidence_type))], ["doc_id", "score", "evidence"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, evidence array<{model.id_type.simpleString()}>")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, score double, evidence array<{model.id_type.simpleString()}>")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
