@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators, and SQL where it can express them."""
+"""The registered queries of the operators, and SQL where it can express them."""
 
 from __future__ import annotations
 
 import public_tokenizers
 
 from .common import table
-from . import byte_bpe, exact_dedup, fingerprints, jaccard_join, mixing, secrets, substring_dedup, token_files, toxicity, warc
+from . import byte_bpe, exact_dedup, fingerprints, jaccard_join, mixing, phrases, secrets, simhash_join, substring_dedup, token_files, toxicity, vector_codes, warc
 
 
 def op1_jaccard_join(spark, sf_dir):
@@ -49,9 +49,21 @@ def op10_byte_bpe(spark, sf_dir):
     return byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, decoded=True).drop("decoded")
 
 
+def op11_simhash_join(spark, sf_dir):
+    return simhash_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark, sf_dir):
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_phrases(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql():
-    return {"op2_exact_dedup": exact_dedup.ORACLE, "op5_warc": warc.ORACLE}
+    return {"op2_exact_dedup": exact_dedup.ORACLE, "op5_warc": warc.ORACLE, "op12_vector_codes": vector_codes.ORACLE, "op13_phrases": phrases.ORACLE}
