@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from factloom.operators.facts import PLACEHOLDERS
+from factloom.operators.patterns import Finder, folded, needed
 
 #: Sentences that only one prompt may give, and the phrases that tell them.
 STATUS_PROMPT = "patient-status-int"
@@ -57,74 +61,113 @@ def invalid(kind: Column, value: Column) -> Column:
     return v.isin(PLACEHOLDERS) | v.rlike(r"^\[[^\]]+\]$") | ((kind == "DATE") & ~v.rlike(r"\d{1,2}/\d{1,2}/\d{4}|\d{4}-\d{2}-\d{2}"))
 
 
-def _plain_match(sentence: Sentence, text: Column) -> Column:
-    """Whether a sentence without parameters is in the text (or the text in it, with half of its words)."""
-    content, low = sentence.content.lower().strip(), F.lower(F.trim(text))
-    either = low.contains(content) | F.contains(F.lit(content), low)
-    if sentence.id in STATUS_PHRASES:
-        phrase = F.lit(False)
-        for p in STATUS_PHRASES[sentence.id]:
-            phrase = phrase | low.contains(p)
-        return phrase & (low.contains("status") | low.contains("follow-up") | low.contains("followup")) & either
-    words = sorted(set(content.split()))
-    shared = F.size(F.array_intersect(F.array(*[F.lit(w) for w in words]), F.split(low, r"\s+")))
-    return (low.contains(content) | (shared * 2 >= len(words))) & either
+class Matcher:
+    """Finds sentences in annotations: the ones that an automaton over their needed letters leaves are tried."""
+
+    def __init__(self, sentences: list[Sentence]):
+        self.sentences = sentences
+        self.patterns = [re.compile(s.pattern, re.IGNORECASE) if s.pattern else None for s in sentences]
+        self.contents = [s.content.lower().strip() for s in sentences]
+        self.words = [set(c.split()) for c in self.contents]
+        self.finder = Finder([needed(s.pattern) if s.pattern else folded(s.content).strip() for s in sentences])
+        self.statuses = [i for i, s in enumerate(sentences) if s.id in STATUS_PHRASES]
+        self.by_word: dict[str, list[int]] = {}
+        for i, s in enumerate(sentences):
+            if not s.pattern:
+                for w in self.words[i]:
+                    self.by_word.setdefault(w, []).append(i)
+
+    def _plain(self, i: int, low: str, words: set[str]) -> bool:
+        """Whether a sentence without parameters is in the text (or the text in it, with half of its words)."""
+        content, phrases = self.contents[i], STATUS_PHRASES.get(self.sentences[i].id)
+        if content not in low and low not in content:
+            return False
+        if phrases:
+            return any(p in low for p in phrases) and any(w in low for w in ("status", "follow-up", "followup"))
+        return content in low or 2 * len(self.words[i] & words) >= len(self.words[i])
+
+    def find(self, text: str, prompt: str | None) -> list[tuple[int, int, str, str]]:
+        """(order, place, first group, second group) of each match; without groups, the match is the first."""
+        low = text.lower().strip()
+        words = set(low.split())
+        # A text that is inside a sentence counts only if it has half of its words.
+        tried = set(self.finder.candidates(text))
+        for w in words:
+            tried.update(self.by_word.get(w, ()))
+        if prompt == STATUS_PROMPT:
+            tried.update(self.statuses)
+        out = []
+        for i in sorted(tried):
+            if self.sentences[i].id in STATUS_PHRASES and prompt != STATUS_PROMPT:
+                continue
+            if self.patterns[i] is None:
+                if self._plain(i, low, words):
+                    out.append((i, 0, "", ""))
+                continue
+            for pos, m in enumerate(self.patterns[i].finditer(text)):
+                groups = [g or "" for g in m.groups()]
+                out.append((i, pos, groups[0] if groups else m.group(), groups[1] if len(groups) > 1 else ""))
+        return out
 
 
 def matches(annotations: DataFrame, sentences: list[Sentence]) -> DataFrame:
-    """A row for each sentence found in each annotation, again for each place: sentence_id, pos, g1, g2 beside the columns.
+    """A row for each sentence found in each annotation, again for each place: order, sentence_id, pos, g1, g2 beside the columns.
 
-    annotations: text, prompt_type, seq and others. Those that begin with "ERROR:" are dropped. The patterns are literals of
-    one projection over the annotations, however many sentences there are: no join, no loop over rows.
+    annotations: text, prompt_type, seq and others. Those that begin with "ERROR:" are dropped, null texts find nothing. Equal annotations
+    of a batch are searched once; how many sentences there are hardly matters, as those that cannot match are not tried.
     """
     rows = annotations.withColumn("text", cleaned(F.col("text"))).where(~F.col("text").startswith("ERROR:"))
-    def place(order: int, s: Sentence, second: Column | None):
-        def one(v, i):
-            g2 = F.get(second, i) if second is not None else F.lit("")
-            return F.struct(F.lit(order).alias("order"), F.lit(s.id).alias("sentence_id"), i.alias("pos"), v.alias("g1"), g2.alias("g2"))
-
-        return one
-
-    parts = []
-    for order, s in enumerate(sentences):
-        if s.pattern:
-            found = [F.regexp_extract_all("text", F.lit(f"(?i){s.pattern}"), F.lit(g)) for g in range(min(1, s.groups), min(2, s.groups) + 1)]
-            part = F.transform(found[0], place(order, s, found[1] if len(found) > 1 else None))
-        else:
-            one_row = F.array(F.struct(F.lit(order).alias("order"), F.lit(s.id).alias("sentence_id"), F.lit(0).alias("pos"), F.lit("").alias("g1"), F.lit("").alias("g2")))
-            part = F.when(_plain_match(s, F.col("text")), one_row)
-        if s.id in STATUS_PHRASES:
-            part = F.when(F.col("prompt_type") == STATUS_PROMPT, part)
-        parts.append(F.coalesce(part, F.array().cast("array<struct<order:int,sentence_id:string,pos:int,g1:string,g2:string>>")))
-    return rows.withColumn("_m", F.explode(F.flatten(F.array(*parts)))).select("*", "_m.*").drop("_m")
+    schema = StructType(rows.schema.fields + StructType.fromDDL("order int, sentence_id string, pos int, g1 string, g2 string").fields)
 
+    def run(batches):
+        matcher = Matcher(sentences)
+        for b in batches:
+            seen: dict[tuple[str, str], list] = {}
+            own, found = [], []
+            for n, pair in enumerate(zip(b.column("text").to_pylist(), b.column("prompt_type").to_pylist())):
+                if pair not in seen:
+                    seen[pair] = matcher.find(*pair)
+                own += [n] * len(seen[pair])
+                found += seen[pair]
+            order, pos, g1, g2 = ([m[k] for m in found] for k in range(4))
+            ids = [sentences[i].id for i in order]
+            columns = b.take(pa.array(own, pa.int64())).columns
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(order, pa.int32()), pa.array(ids, pa.string()), pa.array(pos, pa.int32()), pa.array(g1, pa.string()), pa.array(g2, pa.string())], names=schema.names)
 
-def default_rows(found: DataFrame, sentences: list[Sentence]) -> DataFrame:
-    """found with core_variable, kind, value of the parameter at the place of each match (the first beyond the last).
+    return rows.mapInArrow(run, schema)
+
+
+def parameter_values(sentences: list[Sentence]) -> Column:
+    """Of a match (sentence_id, pos, g1, day), a struct: core_variable, kind and value of the parameter at its place, the first beyond the last.
 
     ENUM: the concept of the first choice that the first group contains; NUMBER, DATE and TEXT: the first group; DEFAULT: the
-    constant. An age (Patient.birthYear of sentence 74) becomes the year of birth by the note's date. Rows without a valid
-    value are dropped.
+    constant. An age (Patient.birthYear of sentence 74) becomes the year of birth by the note's date. Null without a value that is valid.
+    The parameters are one literal map, however many there are.
     """
-    variable = kind = value = F.lit(None).cast("string")
+    kind = "array<struct<variable:string,kind:string,value:string,choices:array<struct<part:string,concept:string>>>>"
+    choices = "array<struct<part:string,concept:string>>"
+    entries = []
     for s in sentences:
-        for k, p in reversed(list(enumerate(s.parameters))):
-            here = (F.col("sentence_id") == s.id) & ((F.col("pos") == k) if k else F.lit(True))
-            if p.kind == "ENUM":
-                v = F.lit(None).cast("string")
-                for part, concept in reversed(p.choices):
-                    v = F.when(F.lower("g1").contains(part.lower()), concept).otherwise(v)
-            elif p.kind == "DEFAULT":
-                v = F.lit(p.value)
-            else:
-                v = F.col("g1")
-            if s.id == "74" and p.variable == "Patient.birthYear":
-                v = (F.year("day") - F.expr("try_cast(g1 AS DOUBLE)").cast("int")).cast("string")
-            if k == 0 and len(s.parameters) > 1:
-                here = here & ((F.col("pos") == 0) | (F.col("pos") >= len(s.parameters)))
-            variable, kind, value = (F.when(here, new).otherwise(old) for new, old in ((F.lit(p.variable), variable), (F.lit(p.kind), kind), (v, value)))
-    rows = found.withColumns({"core_variable": variable, "kind": kind, "value": value})
-    return rows.where(F.col("core_variable").isNotNull() & ~invalid(F.col("kind"), F.col("value")))
+        if s.parameters:
+            parameters = []
+            for p in s.parameters:
+                some = F.array(*[F.struct(F.lit(part.lower()).alias("part"), F.lit(concept).alias("concept")) for part, concept in p.choices]).cast(choices)
+                parameters.append(F.struct(F.lit(p.variable).alias("variable"), F.lit(p.kind).alias("kind"), F.lit(p.value).cast("string").alias("value"), some.alias("choices")))
+            entries += [F.lit(s.id), F.array(*parameters).cast(kind)]
+    if not entries:
+        return F.lit(None).cast("struct<core_variable:string,kind:string,value:string>")
+    own = F.try_element_at(F.create_map(*entries), F.col("sentence_id"))
+    p = F.get(own, F.when(F.col("pos") < F.size(own), F.col("pos")).otherwise(0))
+    age = (F.col("sentence_id") == "74") & (p["variable"] == "Patient.birthYear")
+    enum = F.get(F.filter(p["choices"], lambda c: F.contains(F.lower("g1"), c["part"])), F.lit(0))["concept"]
+    value = F.when(p["kind"] == "ENUM", enum).when(p["kind"] == "DEFAULT", p["value"])
+    value = value.when(age, (F.year("day") - F.expr("try_cast(g1 AS DOUBLE)").cast("int")).cast("string")).otherwise(F.col("g1"))
+    return F.when(p.isNotNull() & ~invalid(p["kind"], value), F.struct(p["variable"].alias("core_variable"), p["kind"].alias("kind"), value.alias("value")))
+
+
+def default_rows(found: DataFrame, sentences: list[Sentence]) -> DataFrame:
+    """found with core_variable, kind, value of each match's parameter (see parameter_values); rows without a valid value are dropped."""
+    return found.withColumn("_p", parameter_values(sentences)).where("_p IS NOT NULL").select("*", "_p.*").drop("_p")
 
 
 #: What a handler gives: rows (core_variable, value, types) of a match, from its groups and date.
@@ -300,14 +343,18 @@ def perfusion_drugs() -> Column:
     return F.flatten(F.transform(drugs, lambda d: F.array(row("DrugsForTreatments.isolatedLimbPerfusion", "true", "boolean"), row("DrugsForTreatments.drug", d, "string"))))
 
 
-def handled_rows(found: DataFrame, handlers: dict[str, Callable[[], Column]] | None = None) -> DataFrame:
-    """found with the rows of its sentences' handlers: core_variable, value, types, nth. Invalid values are dropped."""
+def handled_array(handlers: dict[str, Callable[[], Column]] | None = None) -> Column:
+    """The rows (ROW) that a match's handler gives; none without a handler. Invalid values are left out."""
     handlers = HANDLERS if handlers is None else handlers
     rows = _none()
     for f in dict.fromkeys(handlers.values()):
         rows = F.when(F.col("sentence_id").isin([i for i, g in handlers.items() if g is f]), f()).otherwise(rows)
-    out = found.select("*", F.posexplode(rows).alias("nth", "_r")).select("*", "_r.*").drop("_r")
-    return out.where(~invalid(F.lit("TEXT"), F.col("value")))
+    return F.filter(rows, lambda r: ~invalid(F.lit("TEXT"), r["value"]))
+
+
+def handled_rows(found: DataFrame, handlers: dict[str, Callable[[], Column]] | None = None) -> DataFrame:
+    """found with the rows of its sentences' handlers: core_variable, value, types, nth."""
+    return found.select("*", F.posexplode(handled_array(handlers)).alias("nth", "_r")).select("*", "_r.*").drop("_r")
 
 
 def read_sentences(spark: SparkSession, dictionary: str, patterns: str) -> list[Sentence]:

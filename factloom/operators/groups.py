@@ -2,13 +2,39 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_left, insort
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.sources.shared import written
+
 DAYS = 14
 
 
+class Days:
+    """Days with the least id of each, in order; the nearest is found by bisection."""
+
+    def __init__(self):
+        self.days: list[int] = []
+        self.least: dict[int, tuple] = {}
+
+    def add(self, day: int, one: tuple) -> None:
+        if day in self.least:
+            self.least[day] = min(self.least[day], one)
+        else:
+            insort(self.days, day)
+            self.least[day] = one
+
+    def nearest(self, day: int, within: int) -> tuple | None:
+        """The id of the nearest day; the least of two equally near ones."""
+        at = bisect_left(self.days, day)
+        near = [(abs(d - day), self.least[d]) for d in self.days[max(0, at - 1) : at + 1]]
+        best = min(near, default=None)
+        return best[1] if best and best[0] <= within else None
+
+
 def assign(rows: DataFrame, stored: DataFrame, days: int = DAYS) -> DataFrame:
     """rows with place: the group's stored record_id, or null and made: the seq of the row that made the group; created.
 
@@ -17,8 +43,9 @@ def assign(rows: DataFrame, stored: DataFrame, days: int = DAYS) -> DataFrame:
     `days` apart, stored or earlier in the run; of equally near ones the least id, where stored ids come before new ones
     and new ones are in the order they were made. A row without a day makes a group of its own.
 
-    Rows more than `days` apart in a line never meet, so a patient's line is cut where days are missing: what one task folds is
-    a run of near dates, not a patient.
+    rows are read several times and the result is written, so rows that are costly to make should be written before. Rows more than
+    `days` apart in a line never meet, so a patient's line is cut where days are missing: what one task folds is
+    a run of near dates, not a patient, in time that grows as n log n.
     """
     key = ["patient_id", "entity"]
     line = Window.partitionBy(*key).orderBy("day")
@@ -30,21 +57,30 @@ def assign(rows: DataFrame, stored: DataFrame, days: int = DAYS) -> DataFrame:
     old = stored.groupBy(*key, "day").agg(F.min("record_id").alias("record_id")).join(runs, [*key, "day"])
     old = old.join(new.select(*key, "run").distinct(), [*key, "run"], "left_semi").withColumns({"seq": F.lit(None).cast("long"), "fresh": F.lit(False)})
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        known = [(d, (0, int(i))) for d, i in zip(frame["day"], frame["record_id"]) if pd.notna(i)]
-        out = []
-        for d, seq, fresh in frame[frame["seq"].notna()].sort_values("seq")[["day", "seq", "fresh"]].itertuples(index=False):
-            near = min(((abs(d - e), i) for e, i in known if abs(d - e) <= days), default=None)
-            created = fresh or near is None
-            one = (1, int(seq)) if created else near[1]
-            known.append((d, one))
-            out.append((int(seq), one[1] if one[0] == 0 else None, one[1] if one[0] else None, created))
-        return pd.DataFrame(out, columns=["seq", "place", "made", "created"]).astype({"place": "Int64", "made": "Int64"})
-
-    folded = new.unionByName(old).groupBy(*key, "run").applyInPandas(fold, "seq long, place long, made long, created boolean")
+    def fold(batches):
+        at, days = None, Days()
+        for b in batches:
+            out = []
+            for *where, day, seq, fresh, record in zip(*(b.column(c).to_pylist() for c in names)):
+                if where != at:
+                    at, days = where, Days()
+                if seq is None:
+                    days.add(day, (0, record))
+                    continue
+                near = None if fresh else days.nearest(day, within)
+                one = near or (1, seq)
+                days.add(day, one)
+                out.append((seq, None if one[0] else one[1], one[1] if one[0] else None, near is None))
+            columns = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], ["seq", "place", "made", "created"])
+
+    # Runs are dealt out by patient, entity and run, and passed once in their order, stored rows first.
+    names, within = [*key, "run", "day", "seq", "fresh", "record_id"], days
+    ordered = new.unionByName(old).select(*names).repartition(*key, "run").sortWithinPartitions(*key, "run", F.col("seq").asc_nulls_first())
+    folded = ordered.mapInArrow(fold, "seq long, place long, made long, created boolean")
     out = rows.join(folded, "seq", "left")
     alone = F.col("created").isNull()
-    return out.withColumns({"made": F.when(alone, F.col("seq")).otherwise(F.col("made")), "created": F.coalesce("created", F.lit(True))})
+    return written(out.withColumns({"made": F.when(alone, F.col("seq")).otherwise(F.col("made")), "created": F.coalesce("created", F.lit(True))}), "groups")
 
 
 def numbered(made: DataFrame, start: DataFrame) -> DataFrame:

@@ -6,11 +6,11 @@ import json
 
 from pyspark.sql import functions as F
 
-from factloom.operators import extract, groups, links
+from factloom.operators import annotate, extract, groups, links
 from factloom.operators.extract import Parameter, Sentence
 from factloom.plans.core import counts
 from factloom.sources.bind import table
-from factloom.sources.shared import new_path
+from factloom.sources.shared import new_path, written
 
 QUERIES, SQL = {}, {}
 
@@ -46,6 +46,8 @@ SENTENCES = [
     Sentence("227", "Patient status: Dead of Unknown Cause (DUC)"),
     Sentence("228", "Patient status: Alive, No Evidence of Disease (NED)"),
     Sentence("230", "Patient status: Alive With Disease (AWD), nodes"),
+    Sentence("239", "", r"episode on ([0-9-]+)", [Parameter("EpisodeEvent.dateOfEpisode", "DATE")]),
+    Sentence("240", "", r"cancer from ([0-9-]+)", [Parameter("CancerEpisode.cancerStartDate", "DATE")]),
     Sentence("241", "", r"episode status: ([a-z]+)", [Parameter("EpisodeEvent.diseaseStatus", "ENUM", [("progression", "32949"), ("recurrence", "32945")])]),
     Sentence("242", "", r"recurrence type: (local and metastatic|metastatic|local)(?: in (.+))?", [Parameter("DiseaseExtent.recurrence", "TEXT")]),
 ]
@@ -71,6 +73,7 @@ WHEN 15 THEN 'ERROR: no answer'
 WHEN 16 THEN 'Grade: high, then grade: low, then grade: ' || CASE WHEN o_custkey % 2 = 0 THEN 'low' ELSE 'none' END
 WHEN 17 THEN 'Age at diagnosis: ' || CAST(20 + o_custkey % 60 AS STRING)
 WHEN 18 THEN 'Episode status: ' || CASE WHEN o_custkey % 2 = 0 THEN 'progression' ELSE 'Recurrence' END
+WHEN 19 THEN CASE o_custkey % 3 WHEN 0 THEN 'Cancer from ' || CAST(CAST(o_orderdate AS DATE) - 40 AS STRING) WHEN 1 THEN 'Episode on ' || CAST(CAST(o_orderdate AS DATE) - 5 AS STRING) ELSE 'unknown' END
 ELSE 'unknown' END"""
 PROMPT = "CASE WHEN o_orderkey % 20 = 10 AND o_custkey % 5 != 0 THEN 'patient-status-int' ELSE 'other-int' END"
 STORED = {0: "DiseaseExtent", 1: "ClinicalStage", 2: "PatientFollowUp", 3: "EpisodeEvent", 4: "CancerEpisode", 5: "Patient"}
@@ -211,7 +214,7 @@ def grouped(spark, sf_dir, ids=None):
     rows = rows.withColumns({"date": F.col("day"), "day": F.unix_date("day"), "fresh": F.col("sentence_id") == "242"})
     if ids is None or "242" in ids:
         rows = _with_recent_episode(spark, sf_dir, rows)
-    return groups.assign(rows.where("entity IS NOT NULL").dropDuplicates(["seq"]), stored(spark, sf_dir))
+    return groups.assign(written(rows.where("entity IS NOT NULL").dropDuplicates(["seq"]), "run-rows"), written(stored(spark, sf_dir), "stored-records"))
 
 
 #: The entity of a handler's group.
@@ -270,94 +273,120 @@ def _placed(spark, sf_dir, ids):
     return with_ids(grouped(spark, sf_dir, ids), spark, sf_dir)
 
 
-def _rows_of(placed):
-    out = extract.handled_rows(placed.withColumn("pos", F.lit(0)))
-    return out.select("note_id", "core_variable", "value", "record_id")
-
-
-def _extra(placed, variable, value):
-    return placed.where("created").select("note_id", F.lit(variable).alias("core_variable"), value.cast("string").alias("value"), "record_id").where("value IS NOT NULL")
-
-
-FOLDED = "ha.note_id, ha.core_variable, ha.value, CAST(gi.record_id AS BIGINT) AS record_id FROM ha JOIN gi ON gi.note_id = ha.note_id AND gi.sentence_id = ha.sentence_id"
-EXTENT = ("91", "92", "242")
-
-
-@query(f"WITH {_grouped_sql(('91',))} SELECT {FOLDED} UNION ALL SELECT note_id, 'DiseaseExtent.episodeEvent', CAST(latest AS VARCHAR), CAST(record_id AS BIGINT) FROM gi WHERE created AND latest IS NOT NULL")
+def stored_facts(spark, sf_dir):
+    """The stored records as facts, and some that annotations repeat."""
+    held = stored(spark, sf_dir)
+    variable = F.concat("entity", F.when(F.col("entity") == "EpisodeEvent", ".dateOfEpisode").when(F.col("entity") == "CancerEpisode", ".cancerStartDate").otherwise(".note"))
+    date = F.date_from_unix_date("day")
+    value = F.when(F.col("entity").isin("EpisodeEvent", "CancerEpisode"), date.cast("string")).otherwise(F.col("record_id").cast("string"))
+    again = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 2 AND o_custkey % 2 = 0")
+    again = again.select(F.col("o_custkey").alias("patient_id"), F.lit("Patient.noGeneticSyndrome").alias("core_variable"), F.lit("true").alias("value"), F.to_date("o_orderdate").alias("day"), (F.col("o_orderkey") * 8).alias("record_id"))
+    return held.select("patient_id", variable.alias("core_variable"), value.alias("value"), date.alias("day"), "record_id").unionByName(again)
+
+
+def facts(spark, sf_dir, *ids):
+    """The facts of the run over all annotations; of the sentences ids, if any are given."""
+    out = annotate.facts_of(annotations(spark, sf_dir), stored_facts(spark, sf_dir), SENTENCES)
+    return out.where(F.col("sentence_id").isin(list(ids))) if ids else out
+
+
+_RULES = ", ".join(f"('{k}', '{g.entity}', {repr(g.link[0]) if g.link else 'NULL'}, {repr(g.link[1]) if g.link else 'NULL'}, {g.recent})" for k, g in annotate.GROUPED.items())
+_AFTER = ", ".join(f"('{k}', '{v}')" for k, vs in annotate.AFTER.items() for v in sorted(vs))
+_NEAR = "list_sort(list_transform(list_filter(l, lambda x: x.e = en AND abs(x.d - d) <= 14), lambda x: {'g': abs(x.d - d), 'i': x.i}))[1].i"
+_PRIOR = "list_sort(list_filter({0}, lambda x: x.d <= d))"
+#: The run in SQL: static rows are events in order, which a recursion over each patient's places, with the records, rows, episodes so far as lists.
+RUN = f"""RECURSIVE {HANDLED}{DEFAULTS.removeprefix(FOUND)}, rul(sentence_id, entity, link, how, recent) AS (VALUES {_RULES}), aft(sentence_id, variable) AS (VALUES {_AFTER}),
+st AS (SELECT o_custkey AS p, CASE l_partkey % 6 {_STORED} END AS e, CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS d, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS i, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+sf AS (SELECT p, e, d, i, e || CASE e WHEN 'EpisodeEvent' THEN '.dateOfEpisode' WHEN 'CancerEpisode' THEN '.cancerStartDate' ELSE '.note' END AS variable, CASE WHEN e IN ('EpisodeEvent', 'CancerEpisode') THEN v ELSE CAST(i AS VARCHAR) END AS value FROM st
+  UNION ALL SELECT o_custkey, 'Patient', CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT), CAST(o_orderkey * 8 AS BIGINT), 'Patient.noGeneticSyndrome', 'true' FROM orders WHERE o_orderkey % 20 = 2 AND o_custkey % 2 = 0),
+e0 AS (SELECT fo.seq, ord, pos, 0 AS sub, 'a' AS kind, sentence_id, link AS variable, NULL AS value FROM fo JOIN rul USING (sentence_id)
+  UNION ALL SELECT fo.seq, ord, pos, 1, CASE WHEN rul.entity IS NULL THEN 'p' ELSE 'h' END, sentence_id, ha.core_variable, ha.value FROM fo JOIN ha USING (note_id, sentence_id) LEFT JOIN rul USING (sentence_id) WHERE sentence_id NOT IN (SELECT sentence_id FROM aft)
+  UNION ALL SELECT seq, ord, pos, 2, 'd', sentence_id, core_variable, CAST(value AS VARCHAR) FROM de
+  UNION ALL SELECT fo.seq, fo.ord, fo.pos, 3, 'b', fo.sentence_id, ha.core_variable, ha.value FROM fo JOIN ha USING (note_id, sentence_id) JOIN de ON de.seq = fo.seq AND de.ord = fo.ord AND de.pos = fo.pos JOIN aft ON aft.sentence_id = fo.sentence_id AND aft.variable = de.core_variable
+  UNION ALL SELECT fo.seq, fo.ord, fo.pos, 3, CASE fo.sentence_id WHEN '241' THEN 'c' ELSE 'r' END, fo.sentence_id, CASE fo.sentence_id WHEN '241' THEN 'EpisodeEvent.cancerEpisode' ELSE 'Radiotherapy.regionalDeepHyperthemia' END, NULL FROM fo JOIN de ON de.seq = fo.seq AND de.ord = fo.ord AND de.pos = fo.pos JOIN aft ON aft.sentence_id = fo.sentence_id AND aft.variable = de.core_variable WHERE fo.sentence_id = '241' OR fo.sentence_id = '219' AND contains(lower(g1), 'radiotherapy')),
+big AS (SELECT max(i) + 1 AS b FROM sf),
+e1 AS (SELECT e0.*, ann.note_id, ann.patient_id AS p, CAST(date_diff('day', DATE '1970-01-01', ann.day) AS BIGINT) AS d, coalesce(rul.entity, split_part(variable, '.', 1)) AS en, how, coalesce(recent, FALSE) AS recent, b + row_number() OVER (ORDER BY e0.seq, ord, pos, sub, variable, value) AS new,
+  row_number() OVER (PARTITION BY ann.patient_id ORDER BY e0.seq, ord, pos, sub, variable, value) AS rn FROM e0 JOIN ann USING (seq) LEFT JOIN rul ON e0.kind = 'a' AND rul.sentence_id = e0.sentence_id, big),
+hl AS (SELECT p, list({{'e': e, 'd': d, 'i': i}}) AS l, list({{'d': d, 'i': i}}) FILTER (variable = 'EpisodeEvent.dateOfEpisode') AS ep, list({{'d': d, 'i': i}}) FILTER (variable = 'CancerEpisode.cancerStartDate') AS ca FROM sf GROUP BY p),
+hk AS (SELECT p, list({{'k': k, 'i': i}}) AS k FROM (SELECT p, variable || '|' || value || '|' || d AS k, min(i) AS i FROM sf GROUP BY 1, 2) GROUP BY p),
+fold AS (SELECT p, CAST(0 AS BIGINT) AS rn, coalesce(l, []) AS l, coalesce(k, []) AS k, coalesce(ep, []) AS ep, coalesce(ca, []) AS ca, CAST(NULL AS BIGINT) AS cur, CAST(NULL AS VARCHAR) AS value, FALSE AS put FROM (SELECT DISTINCT p FROM e1) LEFT JOIN hl USING (p) LEFT JOIN hk USING (p)
+UNION ALL SELECT p, rn, CASE WHEN put THEN list_append(l, {{'e': split_part(variable, '.', 1), 'd': d, 'i': id}}) ELSE l END, CASE WHEN put THEN list_append(k, {{'k': key, 'i': id}}) ELSE k END,
+  CASE WHEN put AND variable = 'EpisodeEvent.dateOfEpisode' THEN list_append(ep, {{'d': own, 'i': id}}) ELSE ep END, CASE WHEN put AND variable = 'CancerEpisode.cancerStartDate' THEN list_append(ca, {{'d': own, 'i': id}}) ELSE ca END, id, v, put FROM (
+  SELECT *, coalesce(id IS NOT NULL AND v IS NOT NULL AND variable IS NOT NULL AND NOT list_contains(list_transform(k, lambda x: x.k), key) AND (kind != 'a' OR recent OR near IS NULL) AND (kind != 'c' OR len(list_filter(k, lambda x: x.i = id AND starts_with(x.k, 'EpisodeEvent.cancerEpisode|'))) = 0), FALSE) AS put FROM (
+  SELECT *, variable || '|' || v || '|' || d AS key, CAST(date_diff('day', DATE '1970-01-01', TRY_CAST(v AS DATE)) AS BIGINT) AS own FROM (
+  SELECT *, CASE kind WHEN 'a' THEN CASE how WHEN 'patient' THEN CAST(p AS VARCHAR) ELSE CAST(epi AS VARCHAR) END WHEN 'r' THEN CAST(id AS VARCHAR) WHEN 'c' THEN CAST(can AS VARCHAR) ELSE value END AS v FROM (
+  SELECT *, CASE WHEN kind = 'a' AND recent THEN CASE WHEN epi IS NOT NULL THEN new END WHEN kind IN ('h', 'b', 'c', 'r') THEN cur WHEN kind = 'd' THEN coalesce(was, near, new) ELSE coalesce(near, new) END AS id FROM (
+  SELECT e1.* EXCLUDE (new), CAST(new AS BIGINT) AS new, l, k, ep, ca, cur, {_NEAR} AS near, list_filter(k, lambda x: x.k = variable || '|' || e1.value || '|' || d)[1].i AS was,
+    CASE WHEN recent THEN CASE WHEN {_PRIOR.format('ep')}[-1].d >= d - 14 THEN {_PRIOR.format('ep')}[-1].i END ELSE coalesce({_PRIOR.format('ep')}[-1].i, list_sort(ep)[-1].i) END AS epi,
+    list_min(list_transform(list_filter(ca, lambda x: x.d = {_PRIOR.format('ca')}[-1].d), lambda x: x.i)) AS can FROM fold JOIN e1 ON e1.p = fold.p AND e1.rn = fold.rn + 1)))))),
+pu AS (SELECT e1.*, cur AS id, fold.value AS v FROM fold JOIN e1 USING (p, rn) WHERE put),
+nw AS (SELECT id, (SELECT max(i) FROM sf) + row_number() OVER (ORDER BY id) AS rid FROM (SELECT DISTINCT id FROM pu, big WHERE id >= b)),
+facts AS (SELECT note_id, p AS patient_id, sentence_id, coalesce(pu.variable, '') AS core_variable, CASE WHEN kind IN ('c', 'r') OR kind = 'a' AND how = 'episode' THEN CAST(coalesce(y.rid, TRY_CAST(v AS BIGINT)) AS VARCHAR) ELSE v END AS value, CAST(coalesce(x.rid, pu.id) AS BIGINT) AS record_id,
+  CASE kind WHEN 'a' THEN 'link' WHEN 'd' THEN 'default' WHEN 'p' THEN 'handler' WHEN 'h' THEN 'handler' ELSE 'after' END AS step FROM pu LEFT JOIN nw x ON x.id = pu.id LEFT JOIN nw y ON pu.kind IN ('a', 'c', 'r') AND y.id = TRY_CAST(v AS BIGINT) AND coalesce(how, '') != 'patient')"""
+
+
+def _facts_sql(where):
+    return f"WITH {RUN} SELECT note_id, core_variable, value, record_id FROM facts WHERE {where}"
+
+
+def _rows(facts):
+    return facts.select("note_id", "core_variable", "value", "record_id")
+
+
+@query(f"WITH {RUN} SELECT note_id, patient_id, sentence_id, core_variable, value, record_id, step FROM facts")
+def t31_facts(spark, sf_dir):
+    """The whole run: sentences found, rows of handlers, default rows and what follows them, each with its record."""
+    return facts(spark, sf_dir).select("note_id", "patient_id", "sentence_id", "core_variable", "value", "record_id", "step")
+
+
+@query(_facts_sql("sentence_id = '91' AND step != 'default'"))
 def h4_localized(spark, sf_dir):
     """The group of 14 days or a new one; a new one gets the latest episode, if possible before."""
-    placed = _placed(spark, sf_dir, ("91",))
-    episodes = _episodes(spark, sf_dir)
-    latest = episodes.groupBy("patient_id").agg(F.max_by("episode", F.struct("day", "episode")).alias("last"))
-    linked = links.asof(placed, episodes, "patient_id", "day", ["episode"], [F.col("episode")], _bucket()).join(latest, "patient_id", "left")
-    return _rows_of(placed).unionByName(_extra(linked, "DiseaseExtent.episodeEvent", F.coalesce("found.episode", "last")))
+    return _rows(facts(spark, sf_dir, "91").where("step != 'default'"))
 
 
-@query(f"WITH {_grouped_sql(('91', '92'))} SELECT {FOLDED} WHERE gi.sentence_id = '92'")
+@query(_facts_sql("sentence_id = '92' AND step != 'default'"))
 def h5_loco_regional(spark, sf_dir):
-    placed = _placed(spark, sf_dir, ("91", "92"))
-    return _rows_of(placed.where("sentence_id = '92'"))
-
+    return _rows(facts(spark, sf_dir, "92").where("step != 'default'"))
 
-CLINICAL = f"SELECT {FOLDED} WHERE gi.sentence_id = '{{}}' UNION ALL SELECT note_id, 'ClinicalStage.diagnosisReference', CAST(p AS VARCHAR), CAST(record_id AS BIGINT) FROM gi WHERE created AND sentence_id = '{{}}'"
 
-
-@query(f"WITH {_grouped_sql(('93', '94'))} {CLINICAL.format('93', '93')}")
+@query(_facts_sql("sentence_id = '93' AND step != 'default'"))
 def h6_regional_nodes(spark, sf_dir):
-    placed = _placed(spark, sf_dir, ("93", "94")).where("sentence_id = '93'")
-    return _rows_of(placed).unionByName(_extra(placed, "ClinicalStage.diagnosisReference", F.col("patient_id")))
+    return _rows(facts(spark, sf_dir, "93").where("step != 'default'"))
 
 
-@query(f"WITH {_grouped_sql(EXTENT)} SELECT {FOLDED} WHERE gi.sentence_id = '242' UNION ALL SELECT note_id, 'DiseaseExtent.episodeEvent', CAST(episode AS VARCHAR), CAST(record_id AS BIGINT) FROM gi WHERE sentence_id = '242'")
+@query(_facts_sql("sentence_id = '242' AND step != 'default'"))
 def h9_recurrence_extent(spark, sf_dir):
     """Recurrences with an episode in the 14 days before, each in a new group with a reference to it."""
-    placed = _placed(spark, sf_dir, EXTENT).where("sentence_id = '242'")
-    return _rows_of(placed).unionByName(_extra(placed, "DiseaseExtent.episodeEvent", F.col("episode")))
-
-
-STATUSES = ("225", "227", "228", "230")
-
-
-def _follow_up_sql(ids):
-    return f"WITH {_grouped_sql(STATUSES)} SELECT {FOLDED} WHERE gi.sentence_id IN ({ids}) UNION ALL SELECT note_id, 'PatientFollowUp.patient', CAST(p AS VARCHAR), CAST(record_id AS BIGINT) FROM gi WHERE created AND sentence_id IN ({ids})"
-
-
-def _follow_up(spark, sf_dir, ids):
-    placed = _placed(spark, sf_dir, STATUSES).where(F.col("sentence_id").isin(list(ids)))
-    return _rows_of(placed).unionByName(_extra(placed, "PatientFollowUp.patient", F.col("patient_id")))
+    return _rows(facts(spark, sf_dir, "242").where("step != 'default'"))
 
 
-@query(_follow_up_sql("'225', '227', '230', '231'"))
+@query(_facts_sql("sentence_id IN ('225', '227', '230', '231')"))
 def h10_follow_up(spark, sf_dir):
-    return _follow_up(spark, sf_dir, ("225", "227", "230", "231"))
+    return _rows(facts(spark, sf_dir, "225", "227", "230", "231"))
 
 
-@query(_follow_up_sql("'226', '228', '229'"))
+@query(_facts_sql("sentence_id IN ('226', '228', '229')"))
 def h11_follow_up_after(spark, sf_dir):
     """The other statuses, in the same form as H10."""
-    return _follow_up(spark, sf_dir, ("226", "228", "229"))
+    return _rows(facts(spark, sf_dir, "226", "228", "229"))
 
 
-@query(f"WITH {_grouped_sql(('211',))} SELECT {FOLDED} UNION ALL SELECT note_id, 'IsolatedLimbPerfusion.startDate', g1, CAST(record_id AS BIGINT) FROM gi")
+@query(_facts_sql("sentence_id = '211'"))
 def h13_perfusion_drugs(spark, sf_dir):
-    placed = _placed(spark, sf_dir, ("211",))
-    start = placed.select("note_id", F.lit("IsolatedLimbPerfusion.startDate").alias("core_variable"), F.col("g1").alias("value"), "record_id")
-    return _rows_of(placed).unionByName(start)
+    """Drugs in the record of the start date."""
+    return _rows(facts(spark, sf_dir, "211"))
 
 
-@query(f"WITH {_grouped_sql(('241',))} SELECT note_id, 'EpisodeEvent.cancerEpisode' AS core_variable, CAST(arg_min(cancer, seq) AS VARCHAR) AS value, CAST(record_id AS BIGINT) AS record_id FROM gi WHERE cancer IS NOT NULL AND seq = (SELECT min(x.seq) FROM gi x WHERE x.id = gi.id AND x.p = gi.p AND x.cancer IS NOT NULL) GROUP BY note_id, record_id")
+@query(_facts_sql("sentence_id = '241' AND step = 'after'"))
 def h14_episode_link(spark, sf_dir):
     """A link to the latest earlier cancer episode, once for each record."""
-    placed = _placed(spark, sf_dir, ("241",))
-    linked = links.asof(placed, _episodes(spark, sf_dir, "CancerEpisode"), "patient_id", "day", ["episode"], [-F.col("episode")], _bucket()).where("found.episode IS NOT NULL")
-    first = linked.groupBy("patient_id", "record_id").agg(F.min_by(F.struct("note_id", F.col("found.episode").alias("episode")), "seq").alias("r"))
-    return first.select("r.note_id", F.lit("EpisodeEvent.cancerEpisode").alias("core_variable"), F.col("r.episode").cast("string").alias("value"), "record_id")
+    return _rows(facts(spark, sf_dir, "241").where("step = 'after'"))
 
 
-@query(f"WITH {_grouped_sql(('219',))} SELECT note_id, 'Radiotherapy.regionalDeepHyperthemia' AS core_variable, CAST(record_id AS VARCHAR) AS value, CAST(record_id AS BIGINT) AS record_id FROM gi WHERE contains(lower(g1), 'radiotherapy')")
+@query(_facts_sql("sentence_id = '219' AND step = 'after'"))
 def h15_hyperthermia_link(spark, sf_dir):
-    placed = _placed(spark, sf_dir, ("219",)).where(F.lower("g1").contains("radiotherapy"))
-    return placed.select("note_id", F.lit("Radiotherapy.regionalDeepHyperthemia").alias("core_variable"), F.col("record_id").cast("string").alias("value"), "record_id")
+    return _rows(facts(spark, sf_dir, "219").where("step = 'after'"))
 
 
 J4_SQL = _grouped_sql(("91", "92", "93", "94", "225", "227", "228", "230"))
