@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,20 +30,39 @@ TREATMENTS = {
     "radiotherapy": r"radioterapii|brachyterapi[aie]|napromienianie|radiotherapy|rth\b|brachytherapy|imrt|radioterapia|brachiterapia|irradiazione|str[åa]lbehandling|str[åa]lterapi",
     "recurrence": r"wznow[aey]|nawrot|progresj[aie]|recurrence|progression|relapse|recidiva|progressione|ripresa\s+di\s+malattia|recidiv|[åa]terfall|progress",
 }
+YEARS = r"\b((?:19|20)\d{2})\b"
 LEAST_DATES, LEAST_MARKERS, LEAST_FAMILIES, MANY_DATES = 3, 3, 2, 5
 
 
-def history(text: Column, report_type: Column) -> Column:
-    """struct(dates, markers, families, confidence, history): distinct dates, marks of events, families of treatments, the summed
-    confidence, and whether one of four signs holds: the report's type, dates and marks, marks and families, many dates and families."""
-    dates = F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({DATES})"), F.lit(1)))).cast("long")
-    markers = F.size(F.regexp_extract_all(text, F.lit(f"(?i)({EVENTS})"), F.lit(1))).cast("long")
-    families = F.lit(0).cast("long")
-    for pattern in TREATMENTS.values():
-        families = families + text.rlike(f"(?i){pattern}").cast("long")
+def explicit(pattern: str) -> str:
+    """The pattern with its word boundaries as what they stand for, letters and digits of any script, whatever the engine's own are."""
+    return re.sub(r"\\b(?=\\d|\(\(?)", r"(?<![\\p{L}\\p{N}_])", pattern).replace(r"\b", r"(?![\p{L}\p{N}_])")
+
+
+def history(text: Column, report_type: Column, least_dates: int = LEAST_DATES, least_markers: int = LEAST_MARKERS, least_families: int = LEAST_FAMILIES) -> Column:
+    """What tells that a note is a history of several events, over its whole text (null: empty).
+
+    struct(history, confidence, events, methods, dates, years, markers, families): dates and years are distinct ones, markers the marks of
+    events, families the names of the kinds of treatment found; methods names the signs that count, events is the greatest of dates,
+    markers and families. A history has a report type that says so, dates and marks, marks and families, or many dates and families.
+    """
+    text = F.coalesce(text, F.lit(""))
+    distinct = lambda p, g: F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(p), F.lit(g)))).cast("long")
+    dates, years = distinct(f"({explicit(DATES)})", 1), distinct(explicit(YEARS), 1)
+    markers = F.size(F.regexp_extract_all(text, F.lit(f"(?iu)({explicit(EVENTS)})"), F.lit(1))).cast("long")
+    families = F.array_compact(F.array(*[F.when(text.rlike(f"(?iu){explicit(p)}"), F.lit(name)) for name, p in TREATMENTS.items()]))
     by_type = F.coalesce(F.lower(report_type).rlike("|".join(REPORT_TYPES)), F.lit(False))
-    d, m, f = dates >= LEAST_DATES, markers >= LEAST_MARKERS, families >= LEAST_FAMILIES
-    zero = F.lit(0.0)
-    confidence = F.when(by_type, 0.4).otherwise(zero) + F.when(d, F.least(F.lit(0.3), 0.1 * dates)).otherwise(zero) + F.when(m, F.least(F.lit(0.4), 0.1 * markers)).otherwise(zero) + F.when(f, 0.2).otherwise(zero)
-    yes = by_type | (d & m) | (m & f) | ((dates >= MANY_DATES) & f)
-    return F.struct(dates.alias("dates"), markers.alias("markers"), families.alias("families"), F.round(F.least(F.lit(1.0), confidence), 4).alias("confidence"), yes.alias("history"))
+    found = F.struct(dates.alias("dates"), years.alias("years"), markers.alias("markers"), families.alias("families"), by_type.alias("by_type"))
+
+    def decided(x: Column) -> Column:
+        n = F.size(x["families"])
+        d, m, f = x["dates"] >= least_dates, x["markers"] >= least_markers, n >= least_families
+        zero = F.lit(0.0)
+        confidence = F.when(x["by_type"], 0.4).otherwise(zero) + F.when(d, F.least(F.lit(0.3), 0.1 * x["dates"])).otherwise(zero)
+        confidence = confidence + F.when(m, F.least(F.lit(0.4), 0.1 * x["markers"])).otherwise(zero) + F.when(f, 0.2).otherwise(zero)
+        methods = F.array_compact(F.array(F.when(x["by_type"], "report_type"), F.when(d, "date_count"), F.when(m, "event_markers"), F.when(f, "diverse_treatments")))
+        yes = x["by_type"] | (d & m) | (m & f) | ((x["dates"] >= MANY_DATES) & f)
+        return F.struct(yes.alias("history"), F.round(F.least(F.lit(1.0), confidence), 4).alias("confidence"), F.greatest(x["dates"], x["markers"], n.cast("long")).alias("events"), methods.alias("methods"), x["dates"].alias("dates"), x["years"].alias("years"), x["markers"].alias("markers"), x["families"].alias("families"))
+
+    # Bound once, so that no pattern is searched again for each use of what it found.
+    return F.get(F.transform(F.array(found), decided), F.lit(0))

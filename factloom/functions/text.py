@@ -29,16 +29,56 @@ def dates(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(DATES), F.lit(1)))
 
 
-def sentences(text: Column, least: int) -> Column:
-    """Trimmed parts between full stops, longer than least."""
-    return F.filter(F.transform(F.split(text, r"[.\n]"), lambda s: F.trim(s)), lambda s: F.length(s) > least)
+def repetition(text: Column, least: float = 0.5) -> Column:
+    """struct(severity, ratio, total, distinct) of a text whose sentences repeat, null of others.
 
+    Sentences end with a full stop, an exclamation or a question mark before white space, or with a line; those of over 20 characters count,
+    from three on, in texts of 50 characters or more. ratio is the share of repeated ones with two digits; from `least` on it is medium, over 0.8 high.
+    """
+    parts = F.filter(F.transform(F.split(text, r"(?U)[.!?]\s+|\n"), stripped), lambda s: F.length(s) > 20)
 
-def repetition(text: Column) -> Column:
-    """high, medium or none: the share of repeated sentences of over 20 characters, from three sentences on."""
-    s = sentences(text, 20)
-    ratio = 1 - F.size(F.array_distinct(s)) / F.size(s)
-    return F.when(F.size(s) < 3, "none").when(ratio > 0.8, "high").when(ratio >= 0.5, "medium").otherwise("none")
+    def flag(s: Column) -> Column:
+        total, distinct = F.size(s), F.size(F.array_distinct(s))
+        ratio = 1 - distinct / total
+        return F.when((total >= 3) & (ratio >= least), F.struct(F.when(ratio > 0.8, "high").otherwise("medium").alias("severity"), F.round(ratio, 2).alias("ratio"), total.cast("long").alias("total"), distinct.cast("long").alias("distinct")))
+
+    return F.when(F.length(text) >= 50, F.get(F.transform(F.array(parts), flag), F.lit(0)))
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def repetition_flags(fields: dict[str, Column]) -> Column:
+    """A flag (type, field, severity, duplicate_ratio, message) for each of the fields whose sentences repeat, in their order."""
+
+    def of(name: str, text: Column) -> Column:
+        def flag(r: Column) -> Column:
+            message = F.concat(F.lit("Repetitive output detected: "), r["distinct"], F.lit("/"), r["total"], F.lit(" unique sentences"))
+            return F.struct(F.lit("repetition_loop").alias("type"), F.lit(name).alias("field"), r["severity"].alias("severity"), r["ratio"].alias("duplicate_ratio"), message.alias("message"))
+
+        return F.transform(F.array_compact(F.array(repetition(text))), flag)
+
+    return F.concat(*[of(name, text) for name, text in fields.items()])
+
+
+#: The forms of template sentences, the first that fits counts.
+TEMPLATES = [
+    r"^Biopsy grading.*?:\s*(.+?)\.?$", r"^Patient's gender\s+(.+?)\.?$", r"^Histological type:\s*(.+?)\.?$", r"^Tumor site.*?:\s*(.+?)\.?$",
+    r"^Age at diagnosis:\s*(.+?)\.?$", r"^Margins after surgery:\s*(.+?)\.?$", r"^[^:]+:\s*(.+?)\.?$", r"^Annotation:\s*(.+?)\.?$",
+]
+
+
+def template_value(text: Column) -> Column:
+    """The value that a template sentence ends with, without its full stop; a sentence of no such form itself, without full stops at its end.
+
+    Null texts have the empty value.
+    """
+    t = stripped(F.coalesce(text, F.lit("")))
+    values = [F.when(t.rlike(f"(?is){p}"), stripped(F.regexp_extract(t, f"(?is){p}", 1))) for p in TEMPLATES]
+    found = F.coalesce(*values)
+    return F.coalesce(F.when(found.endswith("."), stripped(F.regexp_replace(found, r"\.$", ""))).otherwise(found), F.regexp_replace(t, r"\.+$", ""))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -43,15 +43,35 @@ ANN = "ann AS (SELECT o_orderkey AS order_id, o_custkey AS patient_id, 'Order st
 PLACEHOLDER_SQL = "array_to_string(list_sort(list_distinct(regexp_extract_all(template, '\\[[^\\]]*\\]'))), ',')"
 
 
-@query("""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.\\n]'), lambda x: trim(x, ' ')), lambda x: length(x) > 20) AS s FROM documents)
-SELECT doc_id, CASE WHEN len(s) < 3 THEN 'none' WHEN 1 - len(list_distinct(s)) / len(s) > 0.8 THEN 'high' WHEN 1 - len(list_distinct(s)) / len(s) >= 0.5 THEN 'medium' ELSE 'none' END AS severity FROM s""")
+#: White space of any kind, for an engine whose own is that of ASCII.
+WHITE = r"[\s\p{Z}\x0b\x85]"
+#: A model's two texts of a note, whole: the second repeats itself in every third note.
+FIELDS = {"reasoning": "text", "raw_output": "CASE WHEN doc_id % 3 = 0 THEN repeat('The same finding again and again! ', doc_id % 7) || text ELSE 'Short. ' || lang END"}
+_PARTS = " UNION ALL ".join(f"SELECT doc_id, '{f}' AS field, {t} AS t FROM documents" for f, t in FIELDS.items())
+
+
+@query(rf"""WITH f AS ({_PARTS}), s AS (SELECT doc_id, field, list_filter(list_transform(string_split_regex(t, '[.!?]{WHITE}+|\n'), lambda x: regexp_replace(x, '^{WHITE}+|{WHITE}+$', '', 'g')), lambda x: length(x) > 20) AS s FROM f WHERE length(t) >= 50),
+r AS (SELECT doc_id, field, len(s) AS n, len(list_distinct(s)) AS d, 1 - len(list_distinct(s)) / len(s) AS r FROM s WHERE len(s) >= 3)
+SELECT doc_id, 'repetition_loop' AS type, field, CASE WHEN r > 0.8 THEN 'high' ELSE 'medium' END AS severity, round(r, 2) AS duplicate_ratio, 'Repetitive output detected: ' || d || '/' || n || ' unique sentences' AS message FROM r WHERE r >= 0.5""")
 def t6_repetition(spark, sf_dir):
-    return bind.notes(spark, sf_dir).select(F.col("note_id").alias("doc_id"), tx.repetition(F.col("text")).alias("severity"))
+    """A flag for each field of a note whose sentences repeat, over whole texts."""
+    d = table(spark, sf_dir, "documents")
+    flags = tx.repetition_flags({f: F.expr(t) for f, t in FIELDS.items()})
+    return d.select("doc_id", F.explode(flags).alias("f")).select("doc_id", "f.*")
+
 
+#: Template sentences of all forms, and some of none.
+TEMPLATE = """CASE o_orderkey % 11 WHEN 0 THEN 'Biopsy grading (FNCLCC): ' || o_custkey % 4 || '.' WHEN 1 THEN 'Patient''s gender ' || CASE WHEN o_custkey % 2 = 0 THEN 'male.' ELSE 'FEMALE' END WHEN 2 THEN ' Histological type: Undifferentiated sarcoma (8805/' || o_custkey % 4 || ')..'
+WHEN 3 THEN 'tumor site (Trunk wall): ' || o_orderpriority || '. ' WHEN 4 THEN 'Age at diagnosis:' || o_custkey % 90 WHEN 5 THEN 'Margins after surgery: R' || o_custkey % 3 || chr(10) || 'second line.' WHEN 6 THEN 'Status: ' || o_orderstatus || ': more.'
+WHEN 7 THEN 'Annotation: none. ' WHEN 8 THEN ': ' || o_orderstatus WHEN 9 THEN 'no form at all...' END"""
+_FORMS = "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(t, {x}) THEN regexp_replace(regexp_extract(t, {x}, 1), '^{WHITE}+|{WHITE}+$', '', 'g') END" for x in ("'(?is)" + p.replace("'", "''") + "'" for p in tx.TEMPLATES)) + ")"
 
-@query(f"WITH {ANN} SELECT order_id, regexp_extract(annotation, 'status: ([A-Z])', 1) AS status, regexp_extract(annotation, 'priority: ([^;]+)', 1) AS priority FROM ann")
+
+@query(rf"""WITH a AS (SELECT o_orderkey AS order_id, regexp_replace(coalesce({TEMPLATE}, ''), '^{WHITE}+|{WHITE}+$', '', 'g') AS t FROM orders), v AS (SELECT *, {_FORMS} AS v FROM a)
+SELECT order_id, coalesce(CASE WHEN ends_with(v, '.') THEN regexp_replace(left(v, length(v) - 1), '^{WHITE}+|{WHITE}+$', '', 'g') ELSE v END, regexp_replace(t, '\.+$', '')) AS value FROM v""")
 def t14_template_values(spark, sf_dir):
-    return annotations(spark, sf_dir).select("order_id", F.regexp_extract("annotation", "status: ([A-Z])", 1).alias("status"), F.regexp_extract("annotation", "priority: ([^;]+)", 1).alias("priority"))
+    """The value of a template sentence, by the first form that it has."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), tx.template_value(F.expr(TEMPLATE)).alias("value"))
 
 
 #: First rule by position wins.
@@ -117,18 +137,24 @@ def i1_incremental_notes(spark, sf_dir):
 
 
 #: A note's text with events of a history in it, in words that both engines take.
-HISTORY = "left(text, 300) || CASE doc_id % 5 WHEN 0 THEN ' status post surgery 01/02/2019, s/p chemotherapy 03.2020, condition after (2018), 2020-01-05' WHEN 1 THEN ' operata in data 06-2019, recidiva 12/05/2020; seguiva radioterapia, istologico' WHEN 2 THEN ' 01/02/2019 03/04/2019 05.06.2020 07/08/2021 09/10/2022 resection and imrt' WHEN 3 THEN ' behandlad med x' ELSE '' END"
+HISTORY = "text || CASE doc_id % 5 WHEN 0 THEN ' status post surgery 01/02/2019, s/p chemotherapy 03.2020, condition after (2018), 2020-01-05' WHEN 1 THEN ' operata in data 06-2019, recidiva 12/05/2020; seguiva radioterapia, istologico' WHEN 2 THEN ' 01/02/2019 03/04/2019 05.06.2020 07/08/2021 09/10/2022 resection and imrt' WHEN 3 THEN ' behandlad med x' ELSE '' END"
 HISTORY_TYPE = "CASE WHEN doc_id % 11 = 0 THEN 'Anamnesis ' || source ELSE source END"
-_FAMILY = ", ".join(f"(regexp_matches(t, '(?i){p}'))::INT" for p in hx.TREATMENTS.values())
-
-
-@query(f"""WITH n AS (SELECT doc_id, lower({HISTORY_TYPE}) AS r, {HISTORY} AS t FROM documents WHERE text IS NOT NULL), c AS (SELECT *, len(list_distinct(regexp_extract_all(t, '{hx.DATES}'))) AS dates, len(regexp_extract_all(t, '(?i){hx.EVENTS}')) AS markers, list_sum([{_FAMILY}]) AS families, regexp_matches(r, '{"|".join(hx.REPORT_TYPES)}') AS by_type FROM n)
-SELECT doc_id, CAST(dates AS BIGINT) AS dates, CAST(markers AS BIGINT) AS markers, CAST(families AS BIGINT) AS families, round(CAST(least(1.0, CASE WHEN by_type THEN 0.4 ELSE 0 END + CASE WHEN dates >= 3 THEN least(0.3, 0.1 * dates) ELSE 0 END + CASE WHEN markers >= 3 THEN least(0.4, 0.1 * markers) ELSE 0 END + CASE WHEN families >= 2 THEN 0.2 ELSE 0 END) AS DOUBLE), 4) AS confidence,
-by_type OR (dates >= 3 AND markers >= 3) OR (markers >= 3 AND families >= 2) OR (dates >= 5 AND families >= 2) AS history FROM c""")
+#: The boundaries of words of any script in the other engine: letters beyond ASCII as one of ASCII for dates, the character that follows for words.
+_PLAIN = r"regexp_replace(t, '[^\x00-\x7F\P{L}]|[^\x00-\x7F\P{N}]', 'q', 'g')"
+_ENDS = r"(?:$|[^\p{L}\p{N}_])"
+_FAMILIES = ", ".join(f"CASE WHEN regexp_matches(t, '(?i){p.replace(chr(92) + 'b', _ENDS)}') THEN '{name}' END" for name, p in hx.TREATMENTS.items())
+
+
+@query(rf"""WITH n AS (SELECT doc_id, lower({HISTORY_TYPE}) AS r, coalesce({HISTORY}, '') AS t FROM documents),
+c AS (SELECT doc_id, len(list_distinct(regexp_extract_all({_PLAIN}, '{hx.DATES}'))) AS dates, len(list_distinct(regexp_extract_all({_PLAIN}, '{hx.YEARS}'))) AS years, len(regexp_extract_all(t, '(?i){hx.EVENTS.replace(chr(92) + "b", _ENDS)}')) AS markers, list_filter([{_FAMILIES}], lambda x: x IS NOT NULL) AS f, coalesce(regexp_matches(r, '{"|".join(hx.REPORT_TYPES)}'), FALSE) AS by_type FROM n)
+SELECT doc_id, by_type OR (dates >= 3 AND markers >= 3) OR (markers >= 3 AND len(f) >= 2) OR (dates >= 5 AND len(f) >= 2) AS history,
+round(CAST(least(1.0, CASE WHEN by_type THEN 0.4 ELSE 0 END + CASE WHEN dates >= 3 THEN least(0.3, 0.1 * dates) ELSE 0 END + CASE WHEN markers >= 3 THEN least(0.4, 0.1 * markers) ELSE 0 END + CASE WHEN len(f) >= 2 THEN 0.2 ELSE 0 END) AS DOUBLE), 4) AS confidence,
+CAST(greatest(dates, markers, len(f)) AS BIGINT) AS events, concat_ws(',', CASE WHEN by_type THEN 'report_type' END, CASE WHEN dates >= 3 THEN 'date_count' END, CASE WHEN markers >= 3 THEN 'event_markers' END, CASE WHEN len(f) >= 2 THEN 'diverse_treatments' END) AS methods,
+CAST(dates AS BIGINT) AS dates, CAST(years AS BIGINT) AS years, CAST(markers AS BIGINT) AS markers, coalesce(array_to_string(f, ','), '') AS families FROM c""")
 def t1_history_notes(spark, sf_dir):
-    """Notes that tell a history: by report type, distinct dates, event markers and families of treatments."""
-    n = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.expr(HISTORY).alias("t"), F.expr(HISTORY_TYPE).alias("r"))
-    return n.select("doc_id", hx.history(F.col("t"), F.col("r")).alias("h")).select("doc_id", "h.*")
+    """Notes that tell a history: by report type, distinct dates, event markers and families of treatments, over whole texts."""
+    h = table(spark, sf_dir, "documents").select("doc_id", hx.history(F.expr(HISTORY), F.expr(HISTORY_TYPE)).alias("h")).select("doc_id", "h.*")
+    return h.withColumns({"methods": F.array_join("methods", ","), "families": F.array_join("families", ",")})
 
 
 #: Answers with several values in several forms.
