@@ -13,7 +13,7 @@ from factloom.operators import evaluate as ev
 from factloom.plans.core import counts
 from factloom.sources import bind
 from factloom.sources.bind import table
-from factloom.sources.shared import shared_dir
+from factloom.sources.shared import new_path, shared_dir
 from factloom.streaming import incremental
 
 QUERIES, SQL = {}, {}
@@ -135,6 +135,21 @@ def i1_incremental_notes(spark, sf_dir):
     return spark.read.parquet(f"{base}/target").drop("batch")
 
 
+@query("""WITH f AS (SELECT *, 0 AS run FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT *, 1 FROM documents WHERE doc_id % 3 != 2), p(run, prompt) AS (VALUES (0, 'site'), (1, 'site'), (1, 'stage')),
+g AS (SELECT f.doc_id, f.run, prompt, length(text) AS n, CASE WHEN text IS NULL THEN 'no text' WHEN doc_id % 17 = 0 THEN 'not readable' END AS problem FROM f JOIN p ON p.run = f.run WHERE NOT (prompt = 'stage' AND doc_id % 5 = 0))
+SELECT doc_id, prompt, CAST(run AS BIGINT) AS batch, coalesce('error: ' || problem, 'done') AS status, CASE WHEN problem IS NULL THEN n END AS n_chars FROM g QUALIFY problem IS NOT NULL OR row_number() OVER (PARTITION BY doc_id, prompt ORDER BY run) = 1""")
+def i1_notes_by_prompt(spark, sf_dir):
+    """Notes and prompts once each: a second file brings some notes again, and a prompt that is new to all."""
+    base = new_path(spark, "by-prompt")
+    d = table(spark, sf_dir, "documents")
+    problem = F.when(F.col("text").isNull(), "no text").when(F.col("doc_id") % 17 == 0, "not readable")
+    work = lambda rows: incremental.isolated(rows, F.length("text").cast("long"), F.col("problem")).select("doc_id", "prompt", "status", F.col("value").alias("n_chars"))
+    stage = F.when(F.col("doc_id") % 5 != 0, "stage")
+    for some, applicable in (("doc_id % 2 = 0", F.array(F.lit("site"))), ("doc_id % 3 != 2", F.array(F.lit("site"), stage))):
+        d.where(some).write.mode("append").parquet(f"{base}/notes")
+        incremental.process_prompts(spark, f"{base}/notes", f"{base}/target", f"{base}/checkpoint", "doc_id", applicable, problem, work)
+    return spark.read.parquet(f"{base}/target").withColumn("batch", F.col("batch").cast("long"))
+
 
 #: A note's text with events of a history in it, in words that both engines take.
 HISTORY = "text || CASE doc_id % 5 WHEN 0 THEN ' status post surgery 01/02/2019, s/p chemotherapy 03.2020, condition after (2018), 2020-01-05' WHEN 1 THEN ' operata in data 06-2019, recidiva 12/05/2020; seguiva radioterapia, istologico' WHEN 2 THEN ' 01/02/2019 03/04/2019 05.06.2020 07/08/2021 09/10/2022 resection and imrt' WHEN 3 THEN ' behandlad med x' ELSE '' END"

@@ -21,6 +21,36 @@ def process_new(spark: SparkSession, source: str, target: str, checkpoint: str,
     rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+STORE = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def process_prompts(spark: SparkSession, source: str, target: str, checkpoint: str, key: str, applicable: Column, problem: Column, work) -> None:
+    """Applies work to each new pair of a row (key) and a prompt, and appends what it gives to target, once each, with resume.
+
+    source: a folder of Parquet files, each read once. applicable: a row's prompts, an array; rows without any are skipped, and a null one is
+    left out. A pair is done once it has come without a problem (a text, null if none): a row that comes again, in another file or the same,
+    is left out but for prompts that are new to it. Pairs with a problem are given to work each time they come, so they can be
+    made good later. Of repeated rows of a key in one batch, one counts.
+
+    Which pairs are done is keyed state of the stream, on the executors' disks and in the checkpoint; a batch looks up its own keys only. State
+    and files commit together: a batch that fails is repeated from the state before it, and its partition of target is written over.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
+        work(rows.dropDuplicates([key, "prompt"])).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    rows = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    pairs = rows.withColumn("prompt", F.explode(F.array_distinct(F.array_compact(applicable)))).withColumn("problem", problem).where(F.col(key).isNotNull())
+    new = pairs.where("problem IS NULL").dropDuplicates([key, "prompt"])
+    name, provider = STORE
+    before = spark.conf.get(name)
+    spark.conf.set(name, provider)
+    try:
+        new.unionByName(pairs.where("problem IS NOT NULL")).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+
+
 def isolated(rows: DataFrame, value: Column, problem: Column) -> DataFrame:
     """rows with status and value: rows whose problem (a text, null if none) is set have status "error: ..." and no value."""
     return rows.withColumns({"status": F.when(problem.isNotNull(), F.concat(F.lit("error: "), problem)).otherwise("done"), "value": F.when(problem.isNull(), value)})
