@@ -1,11 +1,12 @@
 """Phrase collocations by stripes: every prefix keys an associative counter of the words that follow it.
 
-Tasks build the stripes of the prefixes in a block of texts; merged entry by entry, a stripe holds all that is asked of its prefix: its
-entries are the counts of the phrases that extend it, their sum is its own count (what is followed by nothing, or by a word
-that cannot make a frequent phrase, is one entry without a word), and the greatest entry tells whether an extension is as frequent as it.
-Prefixes grow by one word a round, from none, whose stripe counts the words, to four. A round follows only prefixes and words that
-the round before found often enough: a Bloom filter of bounded size tells tasks which; it passes some too many,
-which are counted exactly and dropped, and none too few.
+Tasks build the stripes of their texts' prefixes, from the empty one, whose stripe counts the words, to those of four words. Merged entry by
+entry, the stripes hold all that is asked: an entry is the count of a phrase as an extension of its prefix and, of that phrase as a prefix or as
+the rest of another, its total; the greatest entry of a stripe tells whether some extension is as frequent as the prefix.
+
+Only phrases that are frequent enough are in the stripes. Which these are is found word by word, over 64-bit hashes: a round counts
+phrases of one more word whose two parts the round before found frequent. Bloom filters of bounded size tell tasks; they, and hashes that
+collide, let some phrases too many into the stripes, which count words exactly and drop them, and keep none out.
 
 Stripes of frequent prefixes may have any number of words, so a merged stripe is a set of rows (prefix, word, count), summed up
 before they are shuffled, and no group of them is ever collected.
@@ -28,6 +29,8 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 LEAST_BITS, MOST_BITS, PROBES = 1 << 16, 1 << 27, 2
 #: Bytes of text of a block, and parts of a language that are sorted before its first phrases are taken.
 BLOCK, SALTS = 1 << 22, 64
+#: Entries of stripes that a task holds before it merges them, and rows of a batch that it passes on.
+HELD, ROWS_OUT = 1 << 20, 50_000
 #: Multipliers of phrase hashes.
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
@@ -93,64 +96,48 @@ def _passes(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def stripes(block: Block, blooms: list[np.ndarray]) -> pa.RecordBatch:
-    """The stripes (lang, prefix, words, counts) of a block, for prefixes of as many words as there are filters.
+def grown(block: Block, blooms: list[np.ndarray], longest: int):
+    """For phrases of 1, 2 .. longest words of a block: their places, the number of the phrase at each place, the hash of each number, and for
+    each number that of the phrase without its last word and the last word's number.
 
-    Filter k is of the frequent phrases of k + 1 words. Words that end a prefix's piece, or that with the prefix's last words are not in the last
-    filter, are counted under null.
+    A phrase is there only if the filters may hold all shorter ones in it; filter k is of the frequent phrases of k + 1 words.
     """
-    k = len(blooms)
-    number, h = block.number, block.hash  # phrases of j words by place of their first, and the hash of each number
-    first, last = np.arange(len(h)), np.arange(len(h))  # of each number: the number of the phrase without its last word, and that word's
-    chain = []
-    place = np.arange(len(number))
-    often = np.ones(len(number), bool)
-    with np.errstate(over="ignore"):
-        for j, bloom in enumerate(blooms):
-            # number, place: the phrases of j + 1 words that may be frequent up to their last words but one.
-            chain.append((first, last))
-            good = _passes(bloom, h)[number]
-            place, number = place[good], number[good]
-            often = np.zeros(len(block.number), bool)
-            often[place] = True
-            if j == k - 1:
-                break
-            # The phrase of one more word: both of its parts are frequent, and they are in one piece.
-            follows = block.next[place + j] & often[np.minimum(place + 1, len(often) - 1)]
-            place, number = place[follows], number[follows]
-            pair, number = np.unique(number * len(block.hash) + block.number[place + j + 1], return_inverse=True)
-            first, last = pair // max(1, len(block.hash)), pair % max(1, len(block.hash))
-            h = mix(h[first] * _A + block.hash[last] * _B)
-    none = len(block.hash)
-    if k == 0:
-        prefix, following = block.lang[number], number
-    else:
-        prefix = number
-        at = np.minimum(place + k, len(block.number) - 1)
-        goes_on = block.next[np.minimum(place + k - 1, len(block.next) - 1)] & often[np.minimum(place + 1, len(often) - 1)]
-        following = np.where(goes_on, block.number[at], none)
-    pair, n = np.unique(prefix * (none + 1) + following, return_counts=True)
-    prefix, following = pair // (none + 1), pair % (none + 1)
-    cut = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]])) if len(pair) else np.zeros(0, np.int64)
-    owner = prefix[cut]
-    words = []
-    if k == 0:
-        lang = owner
-    else:
-        x = owner
-        for first, last in reversed(chain[1:]):
-            words.insert(0, last[x])
-            x = first[x]
-        words.insert(0, x)
-        lang = block.lang[x]
-    text = [block.words.take(pa.array(block.word[w])).cast(pa.large_string()) for w in words]
-    text = pc.binary_join_element_wise(*text, pa.scalar(" ", pa.large_string())) if text else pa.array([""] * len(owner), pa.large_string())
-    names = block.words.take(pa.array(np.append(block.word, 0)[following], mask=following == none)).cast(pa.large_string())
-    offsets = pa.array(np.append(cut, len(pair)).astype(np.int32))
-    return pa.RecordBatch.from_arrays(
-        [block.langs.take(pa.array(lang)).cast(pa.string()), text.cast(pa.string()), pa.ListArray.from_arrays(offsets, names.cast(pa.string())), pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int64)))],
-        ["lang", "prefix", "words", "counts"],
-    )
+    words = block.number
+    place, number, h = np.arange(len(words)), words, block.hash
+    first = last = np.arange(len(h))
+    for k in range(longest):
+        yield place, number, h, first, last
+        if k == longest - 1:
+            return
+        good = _passes(blooms[k], h)[number]
+        place, number = place[good], number[good]
+        often = np.zeros(len(words) + 1, bool)
+        often[place] = True
+        follows = block.next[place + k] & often[place + 1]
+        place, number = place[follows], number[follows]
+        width = max(1, len(block.hash))
+        pair, number = np.unique(number * width + words[place + k + 1], return_inverse=True)
+        first, last = pair // width, pair % width
+        h = mix(h[first] * _A + block.hash[last] * _B)
+
+
+def stripes(block: Block, blooms: list[np.ndarray]) -> pa.Table:
+    """The entries (lang, prefix, word, n) of the stripes of a block, of phrases (prefix and word) that the filters may hold."""
+    out, texts, langs = [], [], []
+    names = block.words.take(pa.array(block.word)).cast(pa.large_string()) if len(block.word) else pa.array([], pa.large_string())
+    for k, (_, number, h, first, last) in enumerate(grown(block, blooms, len(blooms))):
+        if k == 0:
+            prefix = pa.array([""], pa.large_string()).take(pa.array(np.zeros(len(h), np.int64)))
+            texts, langs = names, block.lang
+        else:
+            prefix, langs = texts.take(pa.array(first)), langs[first]
+            texts = pc.binary_join_element_wise(prefix, names.take(pa.array(last)), pa.scalar(" ", pa.large_string()))
+        n = np.bincount(number, minlength=len(h))
+        kept = np.flatnonzero(_passes(blooms[k], h) & (n > 0))
+        rows = pa.array(kept)
+        columns = [block.langs.take(pa.array(langs[kept])), prefix.take(rows), names.take(pa.array(last[kept])), pa.array(n[kept].astype(np.int64))]
+        out.append(pa.table([x.cast(pa.large_string()) if i < 3 else x for i, x in enumerate(columns)], ["lang", "prefix", "word", "n"]))
+    return pa.concat_tables(out)
 
 
 def _blocks(batches):
@@ -161,20 +148,22 @@ def _blocks(batches):
                 yield Block(b.column("lang").slice(i, j - i), data, at[i : j + 1])
 
 
-def merged(docs: DataFrame, blooms: list[np.ndarray]) -> DataFrame:
-    """(lang, prefix, word, n): the stripes of all texts (lang, text), merged entry by entry; word is null for what no frequent phrase begins with."""
+def _frequent_hashes(docs: DataFrame, blooms: list[np.ndarray], least: int) -> DataFrame:
+    """h: the hashes of phrases of one word more than there are filters that occur `least` times, or collide with others until they do."""
 
     def run(batches):
         for block in _blocks(batches):
-            yield stripes(block, blooms)
+            for _, number, h, _, _ in grown(block, blooms, len(blooms) + 1):
+                pass
+            n = np.bincount(number, minlength=len(h))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], ["h", "n"])
 
-    each = docs.select("lang", "text").mapInArrow(trimmed(run), "lang string, prefix string, words array<string>, counts array<long>")
-    entries = each.select("lang", "prefix", F.explode(F.arrays_zip("words", "counts")).alias("e")).select("lang", "prefix", F.col("e.words").alias("word"), F.col("e.counts").alias("n"))
-    return entries.groupBy("lang", "prefix", "word").agg(F.sum("n").alias("n"))
+    each = docs.select("lang", "text").mapInArrow(trimmed(run), "h long, n int")
+    return each.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
 
 
-def _bloom(phrases: DataFrame, count: int) -> np.ndarray:
-    """A filter of phrases (lang, prefix, word), as bytes: parts of at most 16 MB in each task, joined bit by bit."""
+def _bloom(hashes: DataFrame, count: int) -> np.ndarray:
+    """A filter of hashes, as bytes: parts of at most 16 MB in each task, joined bit by bit."""
     bits = LEAST_BITS
     while bits < min(MOST_BITS, 16 * count):
         bits *= 2
@@ -183,17 +172,7 @@ def _bloom(phrases: DataFrame, count: int) -> np.ndarray:
     def run(batches):
         bloom = np.zeros(bits // 8, np.uint8)
         for b in batches:
-            langs, h = _hashed(b.column("lang").dictionary_encode().dictionary), None
-            langs = langs[b.column("lang").dictionary_encode().indices.to_numpy(zero_copy_only=False)]
-            parts = pc.split_pattern(b.column("phrase"), " ")
-            sizes = np.diff(parts.offsets.to_numpy())
-            with np.errstate(over="ignore"):
-                words = mix(np.repeat(langs, sizes) * _A + _hashed(parts.flatten()))
-                at = np.cumsum(sizes) - sizes
-                h = words[at]
-                for j in range(1, int(sizes.max(initial=1))):
-                    h = mix(h * _A + words[at + j] * _B)
-            for place in _probes(h, bits):
+            for place in _probes(b.column("h").to_numpy().view(np.uint64), bits):
                 np.bitwise_or.at(bloom, (place >> np.uint64(3)).astype(np.int64), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
         for i in range(0, len(bloom), chunk):
             if bloom[i : i + chunk].any():
@@ -208,13 +187,56 @@ def _bloom(phrases: DataFrame, count: int) -> np.ndarray:
         for c, x in of.items():
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "bits": pa.array([x.tobytes()], pa.binary())})
 
-    parts = phrases.select("lang", "phrase").mapInArrow(trimmed(run), "chunk int, bits binary")
+    parts = hashes.mapInArrow(trimmed(run), "chunk int, bits binary")
     out = np.zeros(bits // 8, np.uint8)
     for r in parts.repartition("chunk").mapInArrow(trimmed(union), "chunk int, bits binary").collect():  # of bounded size
         out[r.chunk * chunk : (r.chunk + 1) * chunk] = np.frombuffer(r.bits, np.uint8)
     return out
 
 
+def merged(docs: DataFrame, blooms: list[np.ndarray]) -> DataFrame:
+    """(lang, prefix, word, n): the stripes of all texts (lang, text), merged entry by entry; a task merges those of its own blocks first.
+
+    The empty prefix's entry without a word counts all words of the language.
+    """
+
+    def joined(held):
+        return pa.concat_tables(held).group_by(["lang", "prefix", "word"]).aggregate([("n", "sum")]).rename_columns(["lang", "prefix", "word", "n"])
+
+    def out(table):
+        # A row for each prefix: its words and their counts.
+        table = table.sort_by([("lang", "ascending"), ("prefix", "ascending")]).combine_chunks()
+        lang, prefix = (table.column(c).combine_chunks() for c in ("lang", "prefix"))
+        n = len(table)
+        same = pc.and_(pc.equal(lang.slice(1), lang.slice(0, n - 1)), pc.equal(prefix.slice(1), prefix.slice(0, n - 1))).to_numpy(zero_copy_only=False)
+        cut = np.concatenate([[0], np.flatnonzero(~same) + 1])
+        ends, rows = pa.array(np.append(cut, n).astype(np.int32)), pa.array(cut)
+        lists = [pa.ListArray.from_arrays(ends, table.column(c).combine_chunks().cast(t)) for c, t in (("word", pa.string()), ("n", pa.int64()))]
+        whole = pa.RecordBatch.from_arrays([lang.take(rows).cast(pa.string()), prefix.take(rows).cast(pa.string()), *lists], ["lang", "prefix", "words", "counts"])
+        for i in range(0, whole.num_rows, ROWS_OUT):
+            yield whole.slice(i, ROWS_OUT)
+
+    def run(batches):
+        held, rows = [], 0
+        for block in _blocks(batches):
+            held.append(stripes(block, blooms))
+            words = np.bincount(block.lang[block.number], minlength=len(block.langs))
+            held.append(pa.table([block.langs.cast(pa.large_string()), *[pa.array([x] * len(words), pa.large_string()) for x in ("", None)], pa.array(words.astype(np.int64))], ["lang", "prefix", "word", "n"]))
+            rows += len(held[-2])
+            if rows > HELD:
+                held = [joined(held)]
+                rows = len(held[0])
+                if rows > HELD // 2:
+                    yield from out(held[0])
+                    held, rows = [], 0
+        if held:
+            yield from out(joined(held))
+
+    each = docs.select("lang", "text").mapInArrow(trimmed(run), "lang string, prefix string, words array<string>, counts array<long>")
+    entries = each.select("lang", "prefix", F.explode(F.arrays_zip("words", "counts")).alias("e")).select("lang", "prefix", F.col("e.words").alias("word"), F.col("e.counts").alias("n"))
+    return entries.groupBy("lang", "prefix", "word").agg(F.sum("n").alias("n"))
+
+
 def _first(scored: DataFrame, top: int) -> DataFrame:
     """The first rows of each language: first those of each of its parts, so that no language is sorted in one task."""
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
@@ -234,30 +256,23 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     exact decimals of 38 digits. A language without candidates has no row, an empty table none at all.
     """
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
-    phrase = F.when(F.col("prefix") == "", F.col("word")).otherwise(F.concat_ws(" ", "prefix", "word"))
-    rounds, blooms, frequent = [], [], []
+    blooms: list[np.ndarray] = []
     for k in range(LONGEST):
-        # Of entries that are not frequent only their sum is asked for.
-        entries = merged(docs, blooms)
-        word = F.when(F.col("n") >= least, F.col("word"))
-        rounds.append(written(entries.groupBy("lang", "prefix", word.alias("word")).agg(F.sum("n").alias("n")), f"stripes-{k}"))
-        frequent.append(rounds[k].where("word IS NOT NULL").select("lang", phrase.alias("phrase"), "prefix", "n"))
-        count = frequent[k].count()
-        if k == LONGEST - 1 or not count:
+        hashes = written(_frequent_hashes(docs, blooms, least), f"phrase-hashes-{k}")
+        count = hashes.count()
+        if not count:
             break
-        blooms.append(_bloom(frequent[k], count))
-    every = reduce(DataFrame.unionByName, rounds)
-    stripe = every.groupBy("lang", "prefix").agg(F.sum("n").alias("total"), F.max(F.when(F.col("word").isNotNull(), F.col("n"))).alias("extended"))
-    # Of a filter's errors, stripes of prefixes that are not frequent themselves.
-    stripe = written(stripe.where((F.col("total") >= least) | (F.col("prefix") == "")), "stripe-totals")
-    totals = stripe.select(F.col("lang").alias("t_lang"), F.col("prefix").alias("t_phrase"), "total")
-    candidates = reduce(DataFrame.unionByName, frequent[1:], frequent[0].limit(0)).withColumnRenamed("n", "a")
-    candidates = written(candidates, "phrase-candidates")
+        blooms.append(_bloom(hashes, count))
+    every = written(merged(docs, blooms).where(F.col("word").isNull() | (F.col("n") >= least)), "stripes")
+    stripe = every.where("word IS NOT NULL")
+    phrase = F.when(F.col("prefix") == "", F.col("word")).otherwise(F.concat_ws(" ", "prefix", "word"))
+    totals = stripe.select(F.col("lang").alias("t_lang"), phrase.alias("t_phrase"), F.col("n").alias("total"))
+    candidates = stripe.where("prefix != ''").select("lang", phrase.alias("phrase"), F.col("n").alias("a"))
 
     # A word before the phrase, or one after it, that all its occurrences have.
     rest = candidates.select(F.col("lang").alias("c_lang"), F.expr("substring(phrase, instr(phrase, ' ') + 1)").alias("c_phrase"), "a")
     ahead = rest.groupBy("c_lang", "c_phrase").agg(F.max("a").alias("most"))
-    behind = stripe.where("extended IS NOT NULL AND prefix != ''").select(F.col("lang").alias("c_lang"), F.col("prefix").alias("c_phrase"), F.col("extended").alias("most"))
+    behind = stripe.where("instr(prefix, ' ') > 0").groupBy(F.col("lang").alias("c_lang"), F.col("prefix").alias("c_phrase")).agg(F.max("n").alias("most"))
     longer = written(ahead.unionByName(behind).groupBy("c_lang", "c_phrase").agg(F.max("most").alias("most")).where("instr(c_phrase, ' ') > 0"), "phrase-extended")
     kept = candidates.join(maybe_broadcast(longer), (F.col("lang") == F.col("c_lang")) & (F.col("phrase") == F.col("c_phrase")), "left")
     kept = written(kept.where("most IS NULL OR most < a").select("lang", "phrase", "a"), "phrase-kept")
@@ -267,7 +282,7 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     cuts = cuts.withColumn("left", F.expr("substring_index(phrase, ' ', k)")).withColumn("right", F.expr("substring(phrase, char_length(left) + 2)"))
     for side, name in (("left", "l"), ("right", "r")):
         cuts = cuts.join(totals, (F.col("lang") == F.col("t_lang")) & (F.col(side) == F.col("t_phrase"))).withColumnRenamed("total", name).drop("t_lang", "t_phrase")
-    sizes = written(stripe.where("prefix = ''").select(F.col("lang").alias("t_lang"), F.col("total").alias("n")), "words-of-languages")
+    sizes = written(every.where("word IS NULL").select(F.col("lang").alias("t_lang"), "n"), "words-of-languages")
     cuts = cuts.join(maybe_broadcast(sizes), F.col("lang") == F.col("t_lang"))
     a, n, l, r = (F.col(c).cast("decimal(19,0)") for c in ("a", "n", "l", "r"))
     cuts = cuts.withColumn("above", F.lit(1000).cast("decimal(4,0)") * (a * n)).withColumn("below", l * r).withColumn("score", F.expr("above DIV below"))
