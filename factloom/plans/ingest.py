@@ -72,6 +72,22 @@ def s4_s6_s7_notes_file(spark, sf_dir):
     return delimited.read_notes(spark, path, NOTES)
 
 
+@query("""WITH q AS (SELECT doc_id, trim(replace(text, chr(13), '')) AS t FROM documents WHERE text IS NOT NULL AND trim(replace(text, chr(13), '')) != '')
+SELECT CAST(doc_id AS VARCHAR) AS note_id, CASE WHEN doc_id % 4 = 0 THEN '"' ELSE '' END || 'Note ' || doc_id || chr(10) || chr(10) || t || chr(10) || '; end' AS text, 'p' || doc_id % 50 AS p_id FROM q UNION ALL SELECT 'note_id', 'text', 'p_id'""")
+def s1_s4_quoted_line_breaks(spark, sf_dir):
+    """A notes file whose quoted texts hold line breaks, blank lines, delimiters and quotes, with a row that is like the header."""
+    t = F.trim(F.replace(F.col("text"), F.lit("\r"), F.lit("")))
+    d = table(spark, sf_dir, "documents").where(t.isNotNull() & (t != ""))
+    text = F.concat(F.when(F.col("doc_id") % 4 == 0, '"').otherwise(""), F.lit("Note "), "doc_id", F.lit("\n\n"), t, F.lit("\n; end"))
+    rows = d.select(F.col("doc_id").cast("string").alias("note_id"), text.alias("text"), F.concat(F.lit("p"), F.col("doc_id") % 50).alias("p_id"))
+    quoted = F.concat(F.lit('"'), F.replace(F.col("text"), F.lit('"'), F.lit('""')), F.lit('"'))
+    lines = rows.select(F.concat_ws(";", "note_id", quoted, "p_id").alias("value"))
+    path = new_path(spark, "quoted-notes")
+    header = spark.createDataFrame([("note_id;text;p_id",)] * 2, "value string").coalesce(1)
+    header.unionByName(lines).coalesce(1).write.text(path)  # an upload is one file
+    return delimited.read_notes(spark, path, ["note_id", "text", "p_id"])
+
+
 @query(r"SELECT CAST(doc_id AS VARCHAR) AS note_id, trim(regexp_replace(text, '[^\x20-\xff]+', ' ', 'g')) AS text, lang FROM documents WHERE text IS NOT NULL")
 def s5_encodings(spark, sf_dir):
     """Files in UTF-16 and Latin-1, told apart by their bytes."""

@@ -1,18 +1,23 @@
 """Delimited files of unknown delimiter, encoding and quoting as tables of strings.
 
-The driver reads a file's first lines only; what has to be known of all lines (whether any is not UTF-8, has too many fields or an
-open quote) is an aggregate over them. Lines are split by Spark's own CSV functions.
+The driver reads a file's first record only; what has to be known of all lines (whether any is not UTF-8, has too many fields or an
+open quote) is an aggregate over them. Records are split by Spark's own CSV functions.
 """
 
 from __future__ import annotations
 
 import csv
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factloom.sources.shared import written
+
 #: A first line with a field of this length is data, not a header.
 DATA_CHARS = 50
+#: Characters of a record whose quotes are taken to span lines.
+MOST_RECORD = 1 << 24
 DELIMITERS = (";", ",", "\t", "|")
 
 
@@ -35,15 +40,72 @@ def encoding_of(spark: SparkSession, path: str) -> str:
 
 
 def lines_of(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """line of each line that is not blank. UTF-16 files are decoded whole, one a task."""
+    """file, block, id and line of each line: the last three tell a line's place in its file, whose blocks are read by different tasks.
+
+    UTF-16 files are decoded whole, one a task.
+    """
+    file = F.col("_metadata.file_path").alias("file")
     if encoding == "UTF-16":
-        whole = spark.read.format("binaryFile").load(path).select(F.decode("content", "UTF-16").alias("t"))
-        lines = whole.select(F.explode(F.split("t", "\r?\n")).alias("line"))
-    elif encoding == "UTF-8":
-        lines = spark.read.text(path).withColumnRenamed("value", "line")
+        whole = spark.read.format("binaryFile").load(path).select(file, F.decode("content", "UTF-16").alias("t"))
+        lines = whole.select("file", F.lit(0).cast("long").alias("block"), F.posexplode(F.split("t", "\r?\n")).alias("id", "line")).withColumn("id", F.col("id").cast("long"))
     else:
-        lines = spark.read.text(path).select(F.decode(F.col("value").cast("binary"), encoding).alias("line"))
-    return lines.select(F.regexp_replace("line", "^﻿|\r$", "").alias("line")).where(F.trim("line") != "")
+        value = F.col("value") if encoding == "UTF-8" else F.decode(F.col("value").cast("binary"), encoding)
+        lines = spark.read.text(path).select(file, F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), value.alias("line"))
+    return lines.withColumn("line", F.regexp_replace("line", "^\ufeff|\r$", ""))
+
+
+def _not_blank(lines: DataFrame) -> DataFrame:
+    return lines.where(F.trim("line") != "")
+
+
+def _odd_quotes(line: Column) -> Column:
+    return F.pmod(F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit(""))), F.lit(2)).cast("long")
+
+
+def records_of(lines: DataFrame) -> DataFrame | None:
+    """Lines (file, block, id, line) joined to records: lines that end within quotes go on with the next, after a line feed; blank ones
+    between records are left out. None if the quotes of a file do not pair, or a record would be over MOST_RECORD characters.
+
+    A line begins within quotes if an odd number of quotes is before it: the count of each block is added up over the blocks before (a row for
+    each block), then within the block, so that one file is read by as many tasks as it has blocks. Only lines of records that have
+    several are shuffled.
+    """
+    lines = lines.withColumn("odd", _odd_quotes(F.col("line")))
+    if lines.where("odd = 1").isEmpty():
+        return _not_blank(lines).drop("odd")
+    lines = written(lines, "lines")
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.partitionBy("file", "block").orderBy("id")
+    blocks = written(lines.groupBy("file", "block").agg(F.sum("odd").alias("odd")), "quote-blocks")
+    if not blocks.groupBy("file").agg((F.sum("odd") % 2).alias("open")).where("open = 1").isEmpty():
+        return None
+    blocks = blocks.select("file", "block", F.coalesce(F.sum("odd").over(earlier), F.lit(0)).alias("before"))
+    inside = F.pmod(F.col("before") + F.coalesce(F.sum("odd").over(above.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), F.lit(2)) == 1
+    marked = lines.join(blocks, ["file", "block"]).withColumn("inside", inside).drop("before")
+    marked = written(marked.where(F.col("inside") | (F.trim("line") != "")), "marked-lines")
+    whole = marked.where("NOT inside AND odd = 0").select("file", "block", "id", "line")
+    # The number of a record is that of the lines that begin one, up to it.
+    begins = F.sum((~F.col("inside")).cast("long"))
+    starts = marked.groupBy("file", "block").agg(begins.alias("n")).select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    parts = marked.join(starts, ["file", "block"]).withColumn("record", F.col("base") + begins.over(above.rowsBetween(Window.unboundedPreceding, 0))).where("inside OR odd = 1")
+    parts = written(parts.select("file", "block", "id", "line", "record"), "parts-of-records")
+    if not parts.groupBy("file", "record").agg(F.sum(F.length("line") + 1).alias("n")).where(F.col("n") > MOST_RECORD).isEmpty():
+        return None
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "id", "line"))), lambda x: x["line"]), "\n")
+    several = parts.groupBy("file", "record").agg(F.min(F.struct("block", "id")).alias("at"), text.alias("line"))
+    return whole.unionByName(several.select("file", "at.block", "at.id", "line"))
+
+
+def header_of(records: DataFrame) -> str | None:
+    """The first record of the first file."""
+    first = records.orderBy("file", "block", "id").select("line").limit(1).collect()
+    return first[0].line if first else None
+
+
+def without_header(records: DataFrame, header: str) -> DataFrame:
+    """Records without the first of each file, where that is the header; others like it are rows."""
+    first = records.groupBy("file").agg(F.min(F.struct("block", "id", "line")).alias("f")).where(F.col("f.line") == header).select("file", "f.block", "f.id")
+    return records.join(first, ["file", "block", "id"], "left_anti")
 
 
 def fields(line: str, delimiter: str) -> list[str]:
@@ -66,7 +128,7 @@ def _unquoted(value: Column) -> Column:
 def quoted_rows(lines: DataFrame, names: list[str], delimiter: str) -> DataFrame:
     """Lines by the usual quoting; missing fields are empty."""
     schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    row = F.from_csv("line", F.lit(schema), {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE"})
+    row = F.from_csv("line", F.lit(schema), {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"})
     return lines.select(row.alias("r")).select(*[F.coalesce(f"r.c{i}", F.lit("")).alias(n) for i, n in enumerate(names)])
 
 
@@ -88,14 +150,30 @@ def _odd_lines(lines: DataFrame, n: int, delimiter: str) -> bool:
     return not lines.where((quotes % 2 == 1) | many).isEmpty()
 
 
+def _swallows(records: DataFrame, delimiter: str) -> bool:
+    """Whether a record of several lines has a quote that neither begins nor ends a field."""
+    d = f"\\{delimiter}" if delimiter == "|" else delimiter
+    left = F.regexp_replace(F.replace(F.col("line"), F.lit('""'), F.lit("")), f'(^|{d})"[^"]*+"(?={d}|\\z)', "$1")
+    return not records.where(F.col("line").contains("\n") & left.contains('"')).isEmpty()
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A table of strings: by commas, or where a line has too many fields for that by the delimiter of the first line."""
+    """A table of strings: by commas, or where a record has too many fields for that by the delimiter of the first one.
+
+    Quoted fields may hold line breaks. ValueError if there is no line.
+    """
     lines = lines_of(spark, path, encoding_of(spark, path))
-    header = lines.head().line
+    records = records_of(lines)
+    records = _not_blank(lines) if records is None else records
+    header = header_of(records)
+    if header is None:
+        raise ValueError("the file has no lines")
     delimiter = ","
-    if len(fields(header, ",")) < 2 or _odd_lines(lines, len(fields(header, ",")), ","):
+    if len(fields(header, ",")) < 2 or _odd_lines(records, len(fields(header, ",")), ","):
         delimiter = most_frequent_delimiter(header, (",", ";", "\t", "|"))
-    return quoted_rows(lines.where(F.col("line") != header), [clean_name(c) for c in fields(header, delimiter)], delimiter)
+    if _swallows(records, delimiter):
+        records = _not_blank(lines)
+    return quoted_rows(without_header(records, header), [clean_name(c) for c in fields(header, delimiter)], delimiter)
 
 
 def read_cohort(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -104,8 +182,10 @@ def read_cohort(spark: SparkSession, paths: list[str]) -> DataFrame:
     for path in paths:
         try:
             tables.append(read_table(spark, path))
-        except Exception as e:  # not there, or no line in it
-            if not isinstance(e, AttributeError) and "PATH_NOT_FOUND" not in str(e):
+        except ValueError:  # no line in it
+            continue
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
                 raise
     out = tables[0]
     for t in tables[1:]:
@@ -116,25 +196,31 @@ def read_cohort(spark: SparkSession, paths: list[str]) -> DataFrame:
 def read_notes(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
     """A notes file as a table of strings with at least the required columns.
 
-    In order: semicolons, commas, tabs, the most frequent delimiter, by the usual quoting; a file of semicolons in which lines
-    have surplus fields or open quotes is split at every one and repaired, one of commas is split without quotes; a file whose first line is
-    data gets the required names. ValueError tells the columns that were found.
+    In order: semicolons, commas, tabs, the most frequent delimiter, by the usual quoting, in which fields may hold line breaks; a file of
+    semicolons in which records have surplus fields or quotes stay open is split at every line and delimiter and repaired, one of commas is
+    split without quotes; a file whose first record is data gets the required names. ValueError tells the columns that were found.
     """
     lines = lines_of(spark, path, encoding_of(spark, path))
-    found = lines.head()
-    if found is None:
+    records = records_of(lines)
+    paired = records is not None
+    records = records if paired else _not_blank(lines)
+    header = header_of(records)
+    if header is None:
         raise ValueError("the file has no lines")
-    header = found.line
     best: list[str] = []
     for delimiter in dict.fromkeys([";", ",", "\t", most_frequent_delimiter(header)]):
         names = [clean_name(c) for c in fields(header, delimiter)]
         best = names if len(names) > len(best) else best
         if set(required) <= set(names):
-            rows = lines.where(F.col("line") != header)
-            odd = delimiter in ";," and _odd_lines(rows, len(names), delimiter)
-            return repaired_rows(rows, names, delimiter) if odd else quoted_rows(rows, names, delimiter)
+            rows = without_header(records, header)
+            paired = paired and not _swallows(rows, delimiter)
+            if not paired and delimiter not in ";,":
+                rows = without_header(_not_blank(lines), header)
+            if delimiter in ";," and (not paired or _odd_lines(rows, len(names), delimiter)):
+                return repaired_rows(without_header(_not_blank(lines), header), names, delimiter)
+            return quoted_rows(rows, names, delimiter)
     for delimiter in (",", ";", "\t"):
         values = fields(header, delimiter)
         if len(values) == len(required) and any(len(v.strip()) >= DATA_CHARS for v in values):
-            return quoted_rows(lines, required, delimiter).select(*[_unquoted(F.col(c)).alias(c) for c in required])
+            return quoted_rows(records, required, delimiter).select(*[_unquoted(F.col(c)).alias(c) for c in required])
     raise ValueError(f"required columns {required}, found {best}")
