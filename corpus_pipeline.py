@@ -3,14 +3,14 @@
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept and returns the rows that
 stay with the columns of documents; the last returns their token ids. Rows without doc_id pass the filters
 of the first three stages except as exact copies; null and empty texts are texts without words; long texts are
-read whole; empty tables give empty results. Rows that share a doc_id are told apart by their text in the first
+read whole; empty tables give empty results; other columns pass through, whatever their names. Rows that share a doc_id are told apart by their text in the first
 two stages; in the third and fourth they are one document: they go together and are taken equally often.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm import byte_bpe, exact_dedup, mixing, toxicity
@@ -21,39 +21,42 @@ from factloom.llm.jaccard_join import Similarity
 NEAR = Similarity(5, 80, 100)
 
 
+def _packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """docs with each row as one struct, beside columns of a stage's own: no name in docs can clash with those."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), *more)
+
+
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows of the given ids; ids are broadcast while they are few."""
-    return docs.join(maybe_broadcast(written(dropped.select("doc_id").distinct(), "dropped")), "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows of the given ids (doc_id); ids are broadcast while they are few."""
+    dropped = maybe_broadcast(written(dropped.select(F.col("doc_id").alias("gone")).distinct(), "dropped"))
+    return _packed(docs).join(dropped, F.col("id") == F.col("gone"), "left_anti").select("row.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text is not predicted to be toxic. Repeated rows score alike, so they stay or go together."""
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    toxic = toxicity.score(keyed.select(F.struct("doc_id", "_key").alias("doc_id"), "text"), model).where(F.col("score") >= toxicity.THRESHOLD)
-    toxic = maybe_broadcast(written(toxic.select("doc_id.*").distinct().withColumnsRenamed({"doc_id": "t_id", "_key": "t_key"}), "toxic"))
-    return keyed.join(toxic, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("_key") == F.col("t_key")), "left_anti").select(*docs.columns)
+    keyed = docs.select(F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key")).alias("doc_id"), "text")
+    toxic = toxicity.score(keyed, model).where(F.col("score") >= toxicity.THRESHOLD)
+    toxic = maybe_broadcast(written(toxic.select(F.col("doc_id.id").alias("toxic_id"), F.col("doc_id.key").alias("toxic_key")).distinct(), "toxic"))
+    same = F.col("id").eqNullSafe(F.col("toxic_id")) & (F.col("key") == F.col("toxic_key"))
+    return _packed(docs, F.xxhash64("text").alias("key")).join(toxic, same, "left_anti").select("row.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal but for white space, the longest original, then the smallest doc_id, and of fully repeated rows one."""
     groups = written(exact_dedup.exact_groups(docs), "exact-groups")
-    dropped = groups.where("NOT kept").select("doc_id").distinct()
-    kept = groups.where("kept").select("doc_id", "text_sha256")
-    rest = _without(docs, dropped)
+    dropped = groups.where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
+    kept = groups.where("kept").select(F.col("doc_id").alias("kept_id"), "text_sha256")
     # Ids that have kept and dropped rows: repeated rows, or other texts under one id.
-    both = written(kept.join(dropped, kept["doc_id"].eqNullSafe(dropped["doc_id"]), "left_semi").withColumnsRenamed({"doc_id": "k_id"}), "kept-and-dropped")
+    both = written(kept.join(dropped, F.col("kept_id").eqNullSafe(F.col("gone")), "left_semi"), "kept-and-dropped")
+    dropped = maybe_broadcast(written(dropped, "dropped"))
+    same = F.col("id").eqNullSafe(F.col("gone"))
+    rest = _packed(docs).join(dropped, same, "left_anti").select("row.*")
     sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]", ""), 256)
-    some = docs.withColumn("_sha", sha).join(maybe_broadcast(both, 150), F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("_sha") == F.col("text_sha256")), "left_semi")
-    first = Window.partitionBy("doc_id", "_sha").orderBy(F.length("text").desc_nulls_last(), F.xxhash64(*docs.columns))
-    some = some.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*docs.columns)
-    # An anti join keeps rows without doc_id; they are in the second part if any of them was dropped.
-    null_dropped = not dropped.where("doc_id IS NULL").isEmpty()
-    null_kept = kept.where("doc_id IS NULL").select("text_sha256")
-    if null_dropped:
-        nulls = docs.where("doc_id IS NULL").withColumn("_sha", sha).join(null_kept.withColumnRenamed("text_sha256", "_sha"), "_sha", "left_semi")
-        nulls = nulls.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*docs.columns)
-        return rest.where("doc_id IS NOT NULL").unionByName(some.where("doc_id IS NOT NULL")).unionByName(nulls)
+    some = _packed(docs, sha.alias("sha"), F.length("text").alias("length"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("hash"))
+    some = some.join(maybe_broadcast(both, 150), F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("text_sha256")), "left_semi")
+    first = Window.partitionBy("id", "sha").orderBy(F.col("length").desc_nulls_last(), "hash")
+    some = some.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("row.*")
     return rest.unionByName(some)
 
 
@@ -66,9 +69,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it; rows of one doc_id as often as the one of them taken most. Ties of the
     sampling order go by the hash of the doc_id, so reruns agree."""
-    taken = mixing.mix_sources(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "m_id")
-    taken = maybe_broadcast(written(taken.where("_copies > 0"), "taken"), 32)
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("m_id"))).withColumn("_nth", F.explode(F.expr("sequence(1L, _copies)"))).select(*docs.columns)
+    taken = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").alias("copies"))
+    taken = maybe_broadcast(written(taken.where("copies > 0"), "taken"), 32)
+    times = _packed(docs).join(taken, F.col("id").eqNullSafe(F.col("taken_id"))).select("row", F.explode(F.expr("sequence(1L, copies)")).alias("nth"))
+    return times.select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,6 +98,12 @@ def _counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(trimmed(run), "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
+def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the ranges begin .. end, and which range each is of."""
+    n = end - begin
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum())), np.repeat(np.arange(len(n)), n)
+
+
 @dataclass
 class Model:
     """The features (sorted) with their idf, and the examples' unit vectors as postings by feature and block."""
@@ -108,8 +114,10 @@ class Model:
     toxic: np.ndarray
     rows: np.ndarray  # of each posting, by feature and row
     weights: np.ndarray
-    places: np.ndarray  # feature x (blocks + 1): where the postings of a feature in a block begin
-    bounds: np.ndarray  # feature x block: the greatest weight
+    own: np.ndarray  # where a feature's slots begin; a slot is a block in which it has postings
+    block: np.ndarray  # of each slot
+    bounds: np.ndarray  # of each slot: its greatest weight
+    places: np.ndarray  # where a slot's postings begin
     prior: float  # of rows that have features
     prior_without: float
     id_type: DataType  # of doc_ids
@@ -126,19 +134,22 @@ class Model:
 
     def nearest(self, at: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the greatest cosine, nearest first, ties by position; exact."""
-        bound = weights @ self.bounds[at]
+        slot, of = _ranges(self.own[at], self.own[at + 1])
+        bound = np.bincount(self.block[slot], weights=weights[of] * self.bounds[slot], minlength=1)
         order = np.argsort(-bound, kind="stable")
         order = order[: int(np.count_nonzero(bound > 0))]
+        turn = np.empty(len(bound), np.int64)
+        turn[order] = np.arange(len(order))
+        by_turn = np.argsort(turn[self.block[slot]], kind="stable")
+        slot, of = slot[by_turn], of[by_turn]
+        starts = np.searchsorted(turn[self.block[slot]], np.arange(0, len(order) + READ_BLOCKS, READ_BLOCKS))
         ids, sims, bar = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for s in range(0, len(order), READ_BLOCKS):
-            some = order[s : s + READ_BLOCKS]
-            some = some[bound[some] >= bar]
-            if not len(some):
+        for n, s in enumerate(range(0, len(order), READ_BLOCKS)):
+            if bound[order[s]] < bar:
                 break
-            begin, end = self.places[at[:, None], some], self.places[at[:, None], some + 1]
-            n = (end - begin).ravel()
-            posting = np.repeat(begin.ravel() - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            share = self.weights[posting] * np.repeat(np.repeat(weights, len(some)), n)
+            some = slice(starts[n], starts[n + 1])
+            posting, which = _ranges(self.places[slot[some]], self.places[slot[some] + 1])
+            share = self.weights[posting] * weights[of[some]][which]
             found, own = np.unique(self.rows[posting], return_inverse=True)
             ids, sims = np.append(ids, found), np.append(sims, np.bincount(own, weights=share, minlength=len(found)))
             if len(sims) >= k:
@@ -210,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         for y in (0, 1):
             examples += rows.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES).collect()
     blocks = -(-max(1, len(examples)) // BLOCK)
-    model = Model(names, idf, [r["doc_id"] for r in examples], np.array([r["toxic"] for r in examples], float), np.zeros(0, int), np.zeros(0), np.zeros((len(names), blocks + 1), np.int64), np.zeros((len(names), blocks)), 0.5, 0.5, docs.schema["doc_id"].dataType, np.ones(2))
+    model = Model(names, idf, [r["doc_id"] for r in examples], np.array([r["toxic"] for r in examples], float), np.zeros(0, int), np.zeros(0), np.zeros(len(names) + 1, int), np.zeros(0, int), np.zeros(0), np.zeros(1, int), 0.5, 0.5, docs.schema["doc_id"].dataType, np.ones(2))
     if pos + neg:
         model.prior = (having[1] + 1) / (sum(having.values()) + 2)
         model.prior_without = (pos - having[1] + 0.5) / (pos + neg - sum(having.values()) + 1)
@@ -224,8 +235,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         order = np.lexsort((row, feature))
         feature, model.rows, model.weights = feature[order], row[order], weight[order]
         slot = feature * blocks + model.rows // BLOCK
-        model.places = np.searchsorted(slot, np.arange(len(names))[:, None] * blocks + np.arange(blocks + 1))
-        np.maximum.at(model.bounds.reshape(-1), slot, model.weights)
+        begin = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else np.zeros(0, int)
+        model.places, model.block = np.append(begin, len(slot)), slot[begin] % blocks
+        model.bounds = np.maximum.reduceat(model.weights, begin) if len(begin) else np.zeros(0)
+        model.own = np.searchsorted(slot[begin] // blocks, np.arange(len(names) + 1))
     return model
 
 

@@ -185,7 +185,7 @@ def arc_to_warc(spark: SparkSession, arc: str, warc: str, least_bytes: int = LEA
     heads = written(read_arc(spark, arc, False).drop("payload"), "arc-heads")
     same = ["payload_digest", "payload_bytes"]
     top = heads.where(F.col("payload_bytes") >= least_bytes).groupBy(*same).agg(F.max_by(F.struct("page_id", "url", "date"), "page_id").alias("to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = heads.join(top, same).where("page_id != to.page_id").select("page_id", "payload_digest", "to").dropDuplicates(["page_id", "payload_digest"])
+    revisits = heads.join(top, same).where("to.page_id IS NOT NULL AND NOT (page_id <=> to.page_id)").select("page_id", "payload_digest", "to").dropDuplicates(["page_id", "payload_digest"])
     revisits = maybe_broadcast(written(revisits, "revisits"))  # then no payload passes a shuffle
     each = records_a_file(heads.agg(F.avg("payload_bytes")).head()[0])
 
@@ -261,7 +261,8 @@ def archive(pages: DataFrame) -> DataFrame:
 
     pages: page_id, url, html and other columns, which are ignored whatever their names. Null html is an empty payload, a
     null url "-". Of equal payloads of LEAST_BYTES or more that with the largest page_id is the response; rows repeated
-    under that page_id are responses, too, and rows without page_id only revisit. A payload, however long, is one record
+    under that page_id are responses, too, and rows without page_id only revisit (where no equal payload has a page_id, all are
+    responses). A payload, however long, is one record
     in one task. An empty table gives archives without records and an empty result.
     """
     spark = pages.sparkSession

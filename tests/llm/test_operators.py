@@ -410,6 +410,13 @@ def test_warc(spark):
         assert (got[i].record_type, got[i].refers_to) == (("revisit", 5) if i in (1, 3) else ("response", None))
 
 
+def test_pages_without_id_revisit(spark):
+    """A null page_id revisits an equal payload that has one; where none has, all are responses."""
+    pages = spark.createDataFrame([(None, "u", "x" * 2000), (5, "u", "x" * 2000), (3, "u", "x" * 2000), (None, "v", "y" * 2000), (None, "w", "y" * 2000)], "page_id long, url string, html string")
+    got = sorted((r.page_id or 0, r.record_type, r.refers_to or 0) for r in warc.archive(pages).collect())
+    assert got == [(0, "response", 0), (0, "response", 0), (0, "revisit", 5), (3, "revisit", 5), (5, "response", 0)]
+
+
 def test_archives_are_members_of_records_in_files_of_some(spark, monkeypatch, tmp_path):
     """Each record is a gzip member, files end by size and each begins with its version block or warcinfo."""
     import zlib
@@ -531,7 +538,7 @@ def test_substring_dedup(edge_docs, rows, bits):
 
 def dense_examples(model):
     dense = np.zeros((len(model.doc_ids), len(model.names)))
-    feature = np.repeat(np.arange(len(model.names)), model.places[:, -1] - model.places[:, 0])
+    feature = np.repeat(np.repeat(np.arange(len(model.names)), np.diff(model.own)), np.diff(model.places))
     dense[model.rows, feature] = model.weights
     return dense
 

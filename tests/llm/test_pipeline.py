@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from factloom.llm.common import written
 
 from .test_operators import WORD, groups, shingles
@@ -44,3 +45,17 @@ def test_stages(spark, edge_docs):
 
 def test_run_equals_its_stages(spark):
     assert corpus_pipeline.run(spark, DATA).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_any_other_column_passes_through(spark, edge_docs):
+    """Columns with the names of the stages' own ones come out as they went in."""
+    names = ["_key", "_nth", "_copies", "_sha", "t_id", "k_id", "m_id", "id", "row", "key", "gone", "sha", "hash", "nth", "copies", "taken_id", "kept_id", "kept", "toxic_id", "toxic_key", "text_sha256", "component_id", "score", "a.b"]
+    docs = edge_docs.select("doc_id", "text", "lang", "source", "n_chars")
+    docs = written(docs.select("*", *[F.concat(F.lit(n), F.xxhash64("doc_id", "text")).alias(n) for n in names]), "clashing")
+    whole = Counter(map(tuple, docs.collect()))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns
+        got = Counter(map(tuple, out.collect()))
+        assert got and set(got) <= set(whole)
+    assert corpus_pipeline.STAGES[4][1](spark, docs, DATA).count() == docs.count()
