@@ -5,8 +5,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
+
+from factloom.sources.shared import written
 
 #: What tells that no annotation is there or wanted.
 NO_ANNOTATION = "|".join([
@@ -74,14 +78,61 @@ def numbers(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.zip_with(values[0], values[1], lambda n, u: F.concat_ws(" ", n, F.lower(u)))))
 
 
+_BLANK = " \t\n\r\f\v"
+
+
+def keyed(text: str) -> list[str]:
+    """The "key: value" and "key [value]" pairs of a text in lower case as "key=value", distinct and sorted.
+
+    A key is what stands between the end of the pair before and the next colon (or opening bracket); a value goes on to the end of its line,
+    a comma or semicolon (or to the closing bracket) and may not be empty. One pass from delimiter to delimiter, so time is linear in the text.
+    """
+    found, n = [], len(text)
+    stops = [i for i, c in enumerate(text) if c in "\n,;"]
+    stops.append(n)
+    at = stop = 0
+    while (colon := text.find(":", at)) >= 0:
+        if colon == at:
+            at += 1
+            continue
+        start = colon + 1
+        while start < n and text[start] in _BLANK:
+            start += 1
+        if start == n or text[start] in ",;":
+            # White space alone may be the value, but for line ends.
+            start -= 1
+            while start > colon and text[start] == "\n":
+                start -= 1
+        if start == colon:
+            at = colon + 1
+            continue
+        while stops[stop] < start:
+            stop += 1
+        found.append((text[at:colon], text[start : stops[stop]]))
+        at = stops[stop]
+    at = 0
+    while (opening := text.find("[", at)) >= 0:
+        closing = text.find("]", opening + 1)
+        if closing < 0:
+            break
+        if opening == at or closing == opening + 1:
+            at = opening + 1
+            continue
+        found.append((text[at:opening], text[opening + 1 : closing]))
+        at = closing + 1
+    pairs = ((k.lower().strip(_BLANK), v.lower().strip(_BLANK)) for k, v in found)
+    return sorted({f"{k}={v}" for k, v in pairs if k and v}, key=lambda p: p.encode())
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _keyed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: keyed(t or ""))
+
+
 def pairs_of(text: Column) -> Column:
-    """"key: value" and "key [value]" pairs, normalised, as "key=value"."""
-    out = []
-    for pattern in (r"([^:]+):\s*([^\n,;]+)", r"([^\[]+)\[\s*([^\]]+)\]"):
-        keys, values = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (1, 2))
-        both = F.zip_with(keys, values, lambda k, v: F.struct(F.trim(F.regexp_replace(F.lower(k), r"^\s+|\s+$", "")).alias("k"), F.regexp_replace(F.lower(v), r"^\s+|\s+$", "").alias("v")))
-        out.append(F.transform(F.filter(both, lambda x: (x["k"] != "") & (x["v"] != "")), lambda x: F.concat_ws("=", x["k"], x["v"])))
-    return F.array_sort(F.array_distinct(F.concat(*out)))
+    """"key: value" and "key [value]" pairs, normalised, as "key=value". Texts without a colon or bracket are not looked at."""
+    some = F.when(text.contains(":") | text.contains("["), text)
+    return F.when(some.isNotNull(), _keyed(some)).otherwise(F.array().cast("array<string>"))
 
 
 def enumeration(text: Column) -> Column:
@@ -92,38 +143,35 @@ def enumeration(text: Column) -> Column:
     return F.array_sort(F.array_distinct(out))
 
 
-def values_compared(a: Column, b: Column) -> tuple[Column, Column]:
-    """The kinds of values that either text has, and of these the kinds in which both have the same."""
-    total = matched = F.lit(0)
-    for kind in (dates, numbers, pairs_of, enumeration):
-        x, y = kind(a), kind(b)
-        there = (F.size(x) > 0) | (F.size(y) > 0)
-        total = total + there.cast("int")
-        matched = matched + (there & (x == y)).cast("int")
-    return total, matched
+def values_compared(a: Column, b: Column) -> Column:
+    """struct(total, matched): the kinds of values that either text has, and of these the kinds in which both have the same."""
+    found = F.array(*[F.struct(kind(a).alias("x"), kind(b).alias("y")) for kind in (dates, numbers, pairs_of, enumeration)])
+    there = F.filter(found, lambda f: (F.size(f["x"]) > 0) | (F.size(f["y"]) > 0))
+    return F.get(F.transform(F.array(there), lambda t: F.struct(F.size(t).alias("total"), F.size(F.filter(t, lambda f: f["x"] == f["y"])).alias("matched"))), F.lit(0))
 
 
 def evaluated(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """pairs (keys, expected, predicted and others) with exact, similarity, overall, match_type, total_values, values_matched.
 
-    Two texts that say nothing match; one that does is a false positive or negative; others match if equal or at least SIMILAR.
+    Two texts that say nothing match; one that does is a false positive or negative; others match if equal or at least SIMILAR. pairs are
+    written first, as they are read twice.
     """
+    pairs = written(pairs, "pairs")
     e, p = F.trim(F.coalesce("expected", F.lit(""))), F.trim(F.coalesce("predicted", F.lit("")))
     rows = pairs.withColumns({"expected": e, "predicted": p}).join(cosines(pairs, keys, "expected", "predicted"), keys, "left")
-    no_e, no_p = says_nothing(F.col("expected")), says_nothing(F.col("predicted"))
-    case = F.when(no_e & no_p, "both_empty").when(no_e, "false_positive").when(no_p, "false_negative")
-    same = exact(F.col("expected"), F.col("predicted"))
-    total, matched = values_compared(F.col("expected"), F.col("predicted"))
-    similar = F.round(F.coalesce("similarity", same.cast("double")), 4)
+    rows = rows.withColumns({"no_e": says_nothing(F.col("expected")), "no_p": says_nothing(F.col("predicted")), "same": exact(F.col("expected"), F.col("predicted"))})
+    case = F.when(F.col("no_e") & F.col("no_p"), "both_empty").when(F.col("no_e"), "false_positive").when(F.col("no_p"), "false_negative")
     rows = rows.withColumn("case", case)
     plain = F.col("case").isNull()
+    rows = rows.withColumn("values", values_compared(F.when(plain, F.col("expected")).otherwise(""), F.when(plain, F.col("predicted")).otherwise("")))
+    similar = F.round(F.coalesce("similarity", F.col("same").cast("double")), 4)
     rows = rows.withColumns({
-        "exact": F.when(plain, same).otherwise(F.col("case") == "both_empty"), "similarity": F.when(plain, similar).otherwise((F.col("case") == "both_empty").cast("double")),
-        "total_values": F.when(plain, total).otherwise(0), "values_matched": F.when(plain, matched).otherwise(0),
+        "exact": F.when(plain, F.col("same")).otherwise(F.col("case") == "both_empty"), "similarity": F.when(plain, similar).otherwise((F.col("case") == "both_empty").cast("double")),
+        "total_values": F.col("values.total"), "values_matched": F.col("values.matched"),
     })
     high = F.col("similarity") >= SIMILAR
     rows = rows.withColumns({"high": high, "overall": F.col("exact") | high})
-    return rows.withColumn("match_type", F.coalesce("case", F.when(F.col("overall"), "match").otherwise("mismatch"))).drop("case")
+    return rows.withColumn("match_type", F.coalesce("case", F.when(F.col("overall"), "match").otherwise("mismatch"))).drop("case", "no_e", "no_p", "same", "values")
 
 
 def totals(rows: DataFrame, by: str) -> DataFrame:
