@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from factloom.functions.text import normal
+from factloom.sources.shared import written
 
 
 def _grams(text: Column, n: int) -> Column:
@@ -83,12 +84,71 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+#: Texts of this length or more are looked up by pairs of letters.
+LONG = 10
+
+
+def _matched(least: float, both: Column) -> Column:
+    """The letters that two texts of so many together must match for a ratio of `least`."""
+    return F.ceil(both * (least / 2) - 1e-9)
+
+
+def _tokens(texts: DataFrame, size: int) -> DataFrame:
+    """text, n (its length), token of every run of `size` letters, where a run that comes again has a number of its own."""
+    t = texts.select("text", F.length("text").alias("n")).where(F.col("n") >= size)
+    runs = t.select("text", "n", F.explode(F.expr(f"transform(sequence(1, n - {size - 1}), i -> struct(i AS i, substring(text, i, {size}) AS run))")).alias("r")).select("text", "n", "r.*")
+    nth = F.row_number().over(Window.partitionBy("text", "run").orderBy("i"))
+    return runs.select("text", "n", F.concat_ws("#", nth, "run").alias("token"))
+
+
+def _rarest(tokens: DataFrame, frequency: DataFrame, kept: Column) -> DataFrame:
+    """The first `kept` tokens of each text, rare ones first."""
+    t = tokens.join(frequency, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    t = t.withColumn("at", F.row_number().over(Window.partitionBy("text").orderBy("df", "token"))).where(F.col("at") <= kept)
+    return t.select("text", "token")
+
+
+def similar_pairs(values: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """category, value, label: every pair of a category whose SequenceMatcher ratio may be `least` (over 2/3), and few others.
+
+    values: category, value; labels: category, label, both distinct. For a ratio of r, texts of a and b letters match M >= r (a + b) / 2 of them, in
+    blocks that are one more than the letters left over at most (between two blocks one side has one). So they have M letters in common, and
+    3 M - a - b - 1 pairs of letters. Texts that have so many of their tokens in common have one in common among the rarest of each, all but so
+    many: pairs come from equality joins on these, by pairs of letters if both texts are long and else by letters. Then both numbers are checked.
+    """
+    v, d = values.select(F.col("value").alias("text")).distinct(), labels.select(F.col("label").alias("text")).distinct()
+    share = least / (2 - least)  # of the longer text, the shorter has this at least
+    found = []
+    for size in (1, 2):
+        near = LONG / share + 1
+        some = F.col("n") < near if size == 1 else F.col("n") >= LONG
+        x, y = (_tokens(t, size).where(some) for t in (v, d))
+        frequency = y.groupBy("token").agg(F.count("*").alias("df"))
+        least_both = F.col("n") + F.ceil(F.col("n") * share - 1e-9)
+        need = _matched(least, least_both) if size == 1 else 3 * _matched(least, least_both) - least_both - 1
+        # Rounding up makes it fall at places, by two at most.
+        kept = F.col("n") - size + 1 - F.greatest(need - (0 if size == 1 else 2), F.lit(1)) + 1
+        left = _rarest(x, frequency, kept).join(values.withColumnRenamed("value", "text"), "text").select("category", "token", F.col("text").alias("value"))
+        right = _rarest(y, frequency, kept).join(labels.select("category", F.col("label").alias("text")), "text").select("category", "token", F.col("text").alias("label"))
+        a, b = F.length("value"), F.length("label")
+        found.append(left.join(right, ["category", "token"]).where(2 * F.least(a, b) >= least * (a + b) - 1e-9).select("category", "value", "label").distinct())
+    pairs = found[0].unionByName(found[1]).distinct()
+    for size in (1, 2):
+        for side, texts in (("value", v), ("label", d)):
+            lists = _tokens(texts, size).groupBy("text").agg(F.collect_list("token").alias(f"{side}_{size}")).withColumnRenamed("text", side)
+            pairs = pairs.join(lists, side, "left").withColumn(f"{side}_{size}", F.coalesce(f"{side}_{size}", F.array().cast("array<string>")))
+    common = lambda size: F.size(F.array_intersect(f"value_{size}", f"label_{size}"))
+    both = F.length("value") + F.length("label")
+    m = _matched(least, both)
+    return pairs.where((common(1) >= m) & (common(2) >= 3 * m - both - 1)).select("category", "value", "label")
+
+
 def by_tier(values: DataFrame, dictionary: DataFrame, least: float = 0.75) -> DataFrame:
     """value, category, code, tier, method of each distinct value: the exact label 1.0; the longest label of the category that contains the
     value or is within it 0.9; the most similar label from `least` on; else unresolved (no code, 0).
 
     dictionary: category, label, code, seq (of equal labels the last stays, of equally good ones the first). Each tier sees
-    what the one before left; similarity is computed for labels of the category of a like length only, in Arrow batches.
+    what the one before left; similarity is computed, in Arrow batches, for pairs that an index of letters leaves (see similar_pairs).
     """
     v = values.select("category", normal(F.col("value")).alias("value")).distinct()
     d = dictionary.select("category", normal(F.col("label")).alias("label"), "code", "seq").groupBy("category", "label").agg(F.max_by("code", "seq").alias("code"), F.min("seq").alias("seq"))
@@ -100,9 +160,9 @@ def by_tier(values: DataFrame, dictionary: DataFrame, least: float = 0.75) -> Da
     near = rest.join(inside.unionByName(around).distinct(), "value").join(d, ["category", "label"])
     near = near.groupBy("category", "value").agg(F.min_by("code", F.struct(-F.length("label"), "seq")).alias("code"))
     left = rest.join(near, ["category", "value"], "left_anti")
-    a, b = F.length("value"), F.length("label")
-    # Matching letters are at most the shorter text: 2 short / (short + long) bounds the ratio.
-    like = left.join(d, "category").where(2 * F.least(a, b) >= least * (a + b)).withColumn("ratio", _ratio("value", "label")).where(F.col("ratio") >= least)
+    left = written(left, "unresolved-values")
+    pairs = written(similar_pairs(left, d, least), "similar-pairs")
+    like = pairs.join(d, ["category", "label"]).withColumn("ratio", _ratio("value", "label")).where(F.col("ratio") >= least)
     like = like.groupBy("category", "value").agg(F.max_by(F.struct("code", "ratio"), F.struct("ratio", -F.col("seq"))).alias("b")).select("category", "value", "b.code", F.round("b.ratio", 3).alias("tier"), F.lit("fuzzy").alias("method"))
     none = exact.where("code IS NULL").join(near, ["category", "value"], "left_anti").join(like, ["category", "value"], "left_anti").select("category", "value", "code", F.lit(0.0).alias("tier"), F.lit("unresolved").alias("method"))
     return done.unionByName(near.withColumns({"tier": F.lit(0.9), "method": F.lit("contains")})).unionByName(like).unionByName(none)
