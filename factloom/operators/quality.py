@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,11 +79,41 @@ def missing_matrix(facts: DataFrame, variables: list[str]) -> DataFrame:
 def conflicts(facts: DataFrame, single: list[str]) -> DataFrame:
     """Variables with more than one value: of a patient for entities in single, of a patient and date for others.
 
-    Exact repeats count once: values are distinct before they are counted, so two partial sums do and no row is expanded.
+    The least and greatest value of each key tell whether it has several, in one partial sum of fixed size; values and sources
+    are looked at for those keys only.
     """
     by_date = F.when(F.split_part("core_variable", F.lit("."), F.lit(1)).isin(single), F.lit(None)).otherwise(F.col("date_ref"))
-    rows = facts.where(F.col("value").isNotNull()).withColumn("on_date", by_date)
+    rows = facts.where(F.col("value").isNotNull()).select("patient_id", "core_variable", by_date.alias("on_date"), "value", "original_source")
     key = ["patient_id", "core_variable", "on_date"]
-    values = rows.groupBy(*key, "value").agg(F.collect_set("original_source").alias("s"))
-    out = values.groupBy(*key).agg(F.count("*").alias("n_values"), F.min("value").alias("low"), F.max("value").alias("high"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))), ",").alias("sources"))
-    return out.where("n_values > 1")
+    several = rows.groupBy(*[F.col(c).alias(f"k_{c}") for c in key]).agg(F.min("value").alias("low"), F.max("value").alias("high")).where("low < high")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in key])
+    found = rows.join(several, same).groupBy(*key, "low", "high")
+    return found.agg(F.count_distinct("value").alias("n_values"), F.array_join(F.array_sort(F.collect_set("original_source")), ",").alias("sources")).select(*key, "n_values", "low", "high", "sources")
+
+
+#: Texts that stand for no value.
+NO_VALUES = ["", "nan", "None", "NaT"]
+
+
+def in_set(rows: DataFrame, *by: str) -> DataFrame:
+    """Of rows of in_set rules (see checked) by the given columns: checks, n_failed, expected, observed, unexpected and patients.
+
+    expected: the values allowed; observed: the values there are, trimmed, without those that stand for none; unexpected: those of
+    them that are not allowed; sorted lists. patients: how many have one of those. Values are distinct before they are listed,
+    in two partial sums, so a list holds what a coded variable can have.
+    """
+    value = F.when(~F.trim("value").isin(NO_VALUES), F.trim("value"))
+    each = rows.groupBy(*by, value.alias("v")).agg(F.count("*").alias("n"), F.count_if("failed").alias("bad"), F.first("allowed").alias("allowed"))
+    seen = each.groupBy(*by).agg(F.sum("n").alias("checks"), F.sum("bad").alias("n_failed"), F.array_sort(F.first("allowed")).alias("expected"), F.array_sort(F.collect_list("v")).alias("observed"))
+    seen = seen.withColumn("unexpected", F.array_except("observed", "expected"))
+    patients = rows.where(F.col("failed") & value.isNotNull()).groupBy(*[F.col(c).alias(f"p_{c}") for c in by]).agg(F.count_distinct("patient_id").alias("patients"))
+    out = seen.join(patients, [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in by], "left")
+    return out.select(*by, "checks", "n_failed", "expected", "observed", "unexpected", F.coalesce("patients", F.lit(0)).alias("patients"))
+
+
+def failing_records(rows: DataFrame) -> DataFrame:
+    """core_variable, record ("patient:record", either may be empty) and the values of each record that fails an in_set rule: a row each,
+    however many there are."""
+    record = F.concat_ws(":", F.coalesce(F.col("patient_id").cast("string"), F.lit("")), F.coalesce(F.col("record_id").cast("string"), F.lit("")))
+    bad = rows.where(F.col("failed") & ~F.trim("value").isin(NO_VALUES)).select("core_variable", record.alias("record"), F.trim("value").alias("value")).distinct()
+    return bad.groupBy("core_variable", "record").agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("values"))

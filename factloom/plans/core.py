@@ -222,9 +222,20 @@ def a18_blanks(spark, sf_dir):
     return bind.facts(spark, sf_dir).groupBy("core_variable").agg(F.count_if(quality.blank()).alias("blanks"), F.count_distinct(F.when(quality.blank(), F.col("patient_id"))).alias("patients"))
 
 
-@query(f"{CHECKS} SELECT core_variable, record_id, count(*) AS checks, count_if(failed) AS n_failed FROM ck WHERE rule = 'in_set' GROUP BY 1, 2", facts=True)
+#: The report on coded variables for the SQL twins, by any columns.
+_ALLOWED = "CASE core_variable WHEN 'Order.status' THEN ['F', 'O'] ELSE ['BUILDING', 'MACHINERY'] END"
+IN_SET = "s AS (SELECT *, trim(value) AS v, {0} AS allowed FROM ck WHERE rule = 'in_set'), i AS (SELECT {1}, count(*) AS checks, count_if(failed) AS n_failed, any_value(allowed) AS a, list_sort(coalesce(list(DISTINCT v) FILTER (v NOT IN ('', 'nan', 'None', 'NaT')), [])) AS o, count(DISTINCT patient_id) FILTER (failed AND v NOT IN ('', 'nan', 'None', 'NaT')) AS patients FROM s GROUP BY {1}), it AS (SELECT {1}, checks, n_failed, array_to_string(list_sort(a), ',') AS expected, array_to_string(o, ',') AS observed, array_to_string(list_filter(o, lambda x: NOT list_contains(a, x)), ',') AS unexpected, patients FROM i)"
+
+
+def in_set(spark, sf_dir, *by):
+    out = quality.in_set(checks(spark, sf_dir).where("rule = 'in_set'"), *by)
+    return out.withColumns({c: F.array_join(c, ",") for c in ("expected", "observed", "unexpected")})
+
+
+@query(f"{CHECKS}, {IN_SET.format(_ALLOWED, 'core_variable, record_id')} SELECT * FROM it", facts=True)
 def a20_in_set_by_record(spark, sf_dir):
-    return checks(spark, sf_dir).where("rule = 'in_set'").groupBy("core_variable", "record_id").agg(F.count("*").alias("checks"), F.count_if("failed").alias("n_failed"))
+    """Expected, observed and unexpected values of every coded variable in each record, and the patients concerned."""
+    return in_set(spark, sf_dir, "core_variable", "record_id")
 
 
 IMPORTANCE = {"Order.status": "High", "Order.totalprice": "High", "Line.quantity": "Medium", "Line.returnflag": "Low"}

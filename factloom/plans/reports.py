@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factloom.operators import facts as fx
 from factloom.operators import quality
 from factloom.operators.extract import invalid
-from factloom.plans.core import CHECKS, IMPORTANCE, MATRIX, MATRIX_VARS, ORDER_VARS, PHASE_SQL, RULES, checks, counts, j2_asof_phase
+from factloom.plans.core import _ALLOWED, CHECKS, IMPORTANCE, IN_SET, MATRIX, MATRIX_VARS, ORDER_VARS, PHASE_SQL, RULES, checks, counts, in_set, j2_asof_phase
 from factloom.plans.review import a43_diagnosis_resolution
 from factloom.plans.review import SQL as REVIEW
 from factloom.sources import bind
@@ -178,15 +178,16 @@ def a17_datatypes(spark, sf_dir):
     return t.groupBy("core_variable").agg(F.lit("number").alias("expected"), kind.alias("current_type"), F.round(F.try_divide((F.count("value") - bad) * 100.0, F.count("value")), 2).alias("percent"), F.array_join(F.array_sort(F.collect_set("original_source")), ",").alias("sources"), F.count_distinct(F.when(F.col("failed"), F.col("patient_id"))).alias("patients"))
 
 
-@query(f"{CHECKS}, s AS (SELECT * FROM ck WHERE rule = 'in_set' AND core_variable = 'Order.status') SELECT core_variable, 'F,O' AS expected, array_to_string(list_sort(list(DISTINCT value) FILTER (value IS NOT NULL)), ',') AS observed, array_to_string(list_sort(list(DISTINCT value) FILTER (failed)), ',') AS unexpected, count(DISTINCT CASE WHEN failed THEN patient_id END) AS patients, array_to_string(list_sort(list(DISTINCT patient_id || ':' || record_id) FILTER (failed))[1:20], ',') AS records FROM s GROUP BY 1", facts=True)
+@query(f"{CHECKS}, {IN_SET.format(_ALLOWED, 'core_variable')} SELECT core_variable, checks, n_failed, expected, observed, unexpected, patients, unexpected = '' AS succeeded FROM it", facts=True)
 def a19_in_set_report(spark, sf_dir):
-    """Expected, observed and other values of a coded variable, the patients, and the first twenty pid:rid records that have others."""
-    s = checks(spark, sf_dir).where("rule = 'in_set' AND core_variable = 'Order.status'")
-    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    # Distinct records are sorted and cut before they are a list.
-    first = s.where("failed").select("core_variable", F.concat_ws(":", "patient_id", "record_id").alias("r")).distinct().orderBy("r").limit(20).groupBy("core_variable").agg(joined("r").alias("records"))
-    out = s.groupBy("core_variable").agg(F.array_join(F.array_sort(F.first("allowed")), ",").alias("expected"), joined("value").alias("observed"), joined(F.when(F.col("failed"), F.col("value"))).alias("unexpected"), F.count_distinct(F.when(F.col("failed"), F.col("patient_id"))).alias("patients"))
-    return out.join(first, "core_variable", "left")
+    """Expected, observed and unexpected values of every coded variable, and the patients concerned."""
+    return in_set(spark, sf_dir, "core_variable").withColumn("succeeded", F.col("unexpected") == "")
+
+
+@query(f"{CHECKS}, s AS (SELECT DISTINCT core_variable, coalesce(CAST(patient_id AS VARCHAR), '') || ':' || coalesce(record_id, '') AS record, trim(value) AS v FROM ck WHERE rule = 'in_set' AND failed AND trim(value) NOT IN ('', 'nan', 'None', 'NaT')) SELECT core_variable, record, string_agg(v, ',' ORDER BY v) AS values FROM s GROUP BY 1, 2", facts=True)
+def a19_in_set_records(spark, sf_dir):
+    """Every record of every coded variable that has a value outside its set, a row each."""
+    return quality.failing_records(checks(spark, sf_dir).where("rule = 'in_set'"))
 
 
 @query(f"{CHECKS}, {_IM}, s AS (SELECT rule, count(*) AS checks, count_if(failed) AS n_failed, count(DISTINCT core_variable) AS variables, count(DISTINCT patient_id) AS patients FROM ck GROUP BY 1), t AS (SELECT CAST(count(*) AS BIGINT) AS model FROM md) SELECT rule, checks, n_failed, variables, patients, model AS model_variables, model - variables AS never_checked, round((checks - n_failed) * 100.0 / (checks + model - variables), 4) AS percent_of_model FROM s, t", facts=True)
