@@ -180,8 +180,8 @@ def facts_of(annotations: DataFrame, stored: DataFrame, sentences: list[extract.
     """
     annotations = annotations.where("patient_id IS NOT NULL")
     found = extract.matches(annotations, sentences)
-    handled = extract.handled_array(handlers)
-    rows = found.select("patient_id", F.lit(False).alias("stored"), "seq", "sentence_id", F.unix_date("day").alias("day"), "order", "pos", handled.alias("handled"), extract.parameter_values(sentences).alias("default"), "g1")
+    rows = found.withColumns({"handled": extract.handled_array(handlers), "default": extract.parameter_values(sentences)})
+    rows = rows.select("patient_id", F.lit(False).alias("stored"), "seq", "sentence_id", F.unix_date("day").alias("day"), "order", "pos", "handled", "default", "g1")
     value_day = F.unix_date(F.to_date(F.expr("try_to_timestamp(value)")))
     held = stored.where("patient_id IS NOT NULL AND record_id IS NOT NULL").withColumn("at", F.when(F.col("core_variable").isin(EPISODE, CANCER), value_day))
     held = held.select("patient_id", F.lit(True).alias("stored"), F.unix_date("day").alias("day"), "core_variable", F.col("value").cast("string").alias("value"), "at", "record_id")

@@ -142,27 +142,25 @@ def parameter_values(sentences: list[Sentence]) -> Column:
 
     ENUM: the concept of the first choice that the first group contains; NUMBER, DATE and TEXT: the first group; DEFAULT: the
     constant. An age (Patient.birthYear of sentence 74) becomes the year of birth by the note's date. Null without a value that is valid.
-    The parameters are one literal map, however many there are.
+    The parameters are one literal of the plan, however many there are.
     """
-    kind = "array<struct<variable:string,kind:string,value:string,choices:array<struct<part:string,concept:string>>>>"
-    choices = "array<struct<part:string,concept:string>>"
-    entries = []
-    for s in sentences:
-        if s.parameters:
-            parameters = []
-            for p in s.parameters:
-                some = F.array(*[F.struct(F.lit(part.lower()).alias("part"), F.lit(concept).alias("concept")) for part, concept in p.choices]).cast(choices)
-                parameters.append(F.struct(F.lit(p.variable).alias("variable"), F.lit(p.kind).alias("kind"), F.lit(p.value).cast("string").alias("value"), some.alias("choices")))
-            entries += [F.lit(s.id), F.array(*parameters).cast(kind)]
-    if not entries:
-        return F.lit(None).cast("struct<core_variable:string,kind:string,value:string>")
-    own = F.try_element_at(F.create_map(*entries), F.col("sentence_id"))
-    p = F.get(own, F.when(F.col("pos") < F.size(own), F.col("pos")).otherwise(0))
-    age = (F.col("sentence_id") == "74") & (p["variable"] == "Patient.birthYear")
-    enum = F.get(F.filter(p["choices"], lambda c: F.contains(F.lower("g1"), c["part"])), F.lit(0))["concept"]
-    value = F.when(p["kind"] == "ENUM", enum).when(p["kind"] == "DEFAULT", p["value"])
-    value = value.when(age, (F.year("day") - F.expr("try_cast(g1 AS DOUBLE)").cast("int")).cast("string")).otherwise(F.col("g1"))
-    return F.when(p.isNotNull() & ~invalid(p["kind"], value), F.struct(p["variable"].alias("core_variable"), p["kind"].alias("kind"), value.alias("value")))
+    known = {s.id: [{"variable": p.variable, "kind": p.kind, "value": p.value, "choices": [{"part": part.lower(), "concept": c} for part, c in p.choices]} for p in s.parameters] for s in sentences if s.parameters}
+    kind = "map<string, array<struct<variable:string,kind:string,value:string,choices:array<struct<part:string,concept:string>>>>>"
+    own = F.try_element_at(F.from_json(F.lit(json.dumps(known)), kind), F.col("sentence_id"))
+
+    def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+        """use of a value that is worked out once."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def valued(p: Column) -> Column:
+        age = (F.col("sentence_id") == "74") & (p["variable"] == "Patient.birthYear")
+        enum = F.get(F.filter(p["choices"], lambda c: F.contains(F.lower("g1"), c["part"])), F.lit(0))["concept"]
+        value = F.when(p["kind"] == "ENUM", enum).when(p["kind"] == "DEFAULT", p["value"])
+        value = value.when(age, (F.year("day") - F.expr("try_cast(g1 AS DOUBLE)").cast("int")).cast("string")).otherwise(F.col("g1"))
+        return F.when(p.isNotNull(), F.struct(p["variable"].alias("core_variable"), p["kind"].alias("kind"), value.alias("value")))
+
+    of_place = bound(own, lambda o: F.get(o, F.when(F.col("pos") < F.size(o), F.col("pos")).otherwise(0)))
+    return bound(bound(of_place, valued), lambda x: F.when(x.isNotNull() & ~invalid(x["kind"], x["value"]), x))
 
 
 def default_rows(found: DataFrame, sentences: list[Sentence]) -> DataFrame:

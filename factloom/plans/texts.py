@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.functions import history as hx
+from factloom.functions import prompts
 from factloom.functions import text as tx
 from factloom.operators import evaluate as ev
 from factloom.plans.core import counts
@@ -74,16 +75,18 @@ def t14_template_values(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), tx.template_value(F.expr(TEMPLATE)).alias("value"))
 
 
-#: First rule by position wins.
-PROMPT_RULES = [(1, "urgent", "1-URGENT"), (2, "high", "HIGH"), (3, "done", "status: F"), (4, "any", "status")]
+#: Annotations of all prompts, some of several, in words that both engines take.
+ANNOTATION = """CASE o_orderkey % 16 WHEN 0 THEN 'Biopsy grading (FNCLCC): ' || o_custkey % 4 WHEN 1 THEN ' Patient''s gender male. ' WHEN 2 THEN 'Tumor site: trunk; biopsy has been performed' WHEN 3 THEN 'Pre-operative Chemotherapy was started on 2020-01-01 and chemotherapy ended on 2020-02-01'
+WHEN 4 THEN 'Post-operative radiotherapy in total of ' || o_custkey % 60 || ' Gy' WHEN 5 THEN 'Type of recurrence/progression: local' WHEN 6 THEN 'Unknown surgical specimen mitotic count' WHEN 7 THEN 'Surgical specimen grading (FNCLCC): 3; necrosis in surgical specimen' WHEN 8 THEN 'ICD-O-3 8805/3'
+WHEN 9 THEN 'Re-excision or radicalization' WHEN 10 THEN 'There was a PROGRESSION at last follow-up' WHEN 11 THEN 'Response to ' || CASE WHEN o_custkey % 2 = 0 THEN 'radiotherapy' ELSE 'chemotherapy' END WHEN 12 THEN 'The stage is an unknown stage' WHEN 13 THEN 'no previous cancer and no previous or concurrent cancers' WHEN 14 THEN o_orderpriority END"""
+_RULES = ", ".join(f"({i}, '{k}', '{p.replace(chr(92) + chr(39), chr(39)).replace(chr(39), chr(39) * 2)}')" for i, (k, ps) in enumerate(prompts.PROMPT_PATTERNS.items()) for p in ps)
 
 
-@query(f"WITH {ANN}, r(pos, prompt, pattern) AS (VALUES " + ", ".join(f"({a}, '{b}', '{c}')" for a, b, c in PROMPT_RULES) + ") SELECT order_id, arg_min(prompt, pos) AS prompt FROM ann JOIN r ON contains(annotation, pattern) GROUP BY 1")
+@query(f"WITH a AS (SELECT o_orderkey AS order_id, trim(lower({ANNOTATION})) AS t FROM orders), r(pos, prompt, pattern) AS (VALUES {_RULES}), m AS (SELECT DISTINCT order_id, pos, prompt FROM a JOIN r ON regexp_matches(t, pattern)) SELECT order_id, arg_min(prompt, pos) AS prompt, string_agg(prompt, ',' ORDER BY pos) AS prompts FROM m GROUP BY 1")
 def j9_w9_first_matching_rule(spark, sf_dir):
-    pick = F.lit(None).cast("string")
-    for _, prompt, pattern in reversed(PROMPT_RULES):
-        pick = F.when(F.col("annotation").contains(pattern), prompt).otherwise(pick)
-    return annotations(spark, sf_dir).select("order_id", pick.alias("prompt")).where("prompt IS NOT NULL")
+    """The first prompt by position of whose patterns an annotation has one, and all such prompts."""
+    found = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), prompts.prompts_of(F.expr(ANNOTATION)).alias("p"))
+    return found.where(F.size("p") > 0).select("order_id", F.get("p", F.lit(0)).alias("prompt"), F.array_join("p", ",").alias("prompts"))
 
 
 COMB = "c AS (SELECT p_brand AS morphology, p_size AS topography, 'K' || min(p_partkey) AS code FROM part GROUP BY 1, 2), q AS (SELECT p_partkey AS id, p_brand AS morphology, (p_size + 1) % 50 AS topography FROM part)"
