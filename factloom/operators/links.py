@@ -6,8 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _packed(rows: DataFrame) -> Column:
+    """A row as one struct, so that none of its names meets one of ours; a column `found` gives way to the one found."""
+    return F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != "found"]).alias("_row")
+
+
 def asof(left: DataFrame, right: DataFrame, key: str, at: str, payload: list[str], prefer: list[Column], bucket: Column | None = None) -> DataFrame:
-    """left with `found`: the struct (at, payload) of the latest right row of the same key at or before its own time.
+    """left with `found` (in place of a column of that name): the struct (at, payload) of the latest right row of the same key at or before its own time.
 
     Ties go to the greatest of prefer (columns of right). Rows without key or time find nothing. One shuffle on
     (key, bucket) and no pair is made: right rows run along with left ones and a running maximum carries them.
@@ -19,12 +24,12 @@ def asof(left: DataFrame, right: DataFrame, key: str, at: str, payload: list[str
     r = right.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key), F.col(at), best.alias("_best"))
     r = r.withColumn("_bucket", bucket)
     last = r.groupBy(key, "_bucket").agg(F.max("_best").alias("_last"))
-    l = left.withColumn("_bucket", bucket)
+    l = left.select(_packed(left), F.col(key), F.col(at), bucket.alias("_bucket"))
     # What each bucket of the left rows gets from the buckets before it.
     line = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     spine = l.select(key, "_bucket").where(F.col("_bucket").isNotNull()).distinct().join(last, [key, "_bucket"], "full")
     carried = spine.select(key, "_bucket", F.max("_last").over(line).alias("_carried"))
-    rows = l.select(F.struct(*left.columns).alias("_row"), key, at, "_bucket", F.lit(None).cast(r.schema["_best"].dataType).alias("_best"), F.lit(True).alias("_left"))
+    rows = l.select("_row", key, at, "_bucket", F.lit(None).cast(r.schema["_best"].dataType).alias("_best"), F.lit(True).alias("_left"))
     rows = rows.unionByName(r.select(F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), key, at, "_bucket", "_best", F.lit(False).alias("_left")))
     inside = Window.partitionBy(key, "_bucket").orderBy(at).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_near", F.max("_best").over(inside)).where("_left")
@@ -42,14 +47,14 @@ def nearest(left: DataFrame, right: DataFrame, key: str, at: str, days: int, pay
     day = F.unix_date(F.to_date(at))
     r = right.where(F.col(at).isNotNull()).groupBy(key, day.alias("_day")).agg(F.min(payload).alias("_p"))
     month = F.floor(F.col("_day") / 32)
-    out = left.withColumn("_day", day)
+    out = left.select(_packed(left).alias("_whole"), F.col(key), day.alias("_day"))
     out = asof(out, r, key, "_day", ["_p"], [], month).withColumnRenamed("found", "_before")
     back = r.withColumn("_day", -F.col("_day"))
     out = asof(out.withColumn("_day", -F.col("_day")), back, key, "_day", ["_p"], [], month).withColumnRenamed("found", "_after")
     gap_b, gap_a = -F.col("_day") - F.col("_before._day"), -F.col("_after._day") + F.col("_day")
     b = F.when(gap_b <= days, F.struct(gap_b.alias("g"), F.col("_before._p").alias("p")))
     a = F.when(gap_a <= days, F.struct(gap_a.alias("g"), F.col("_after._p").alias("p")))
-    return out.withColumn("found", F.least(b, a)["p"]).drop("_day", "_before", "_after")
+    return out.select("_whole.*", F.least(b, a)["p"].alias("found"))
 
 
 def new_rows(rows: DataFrame, stored: DataFrame, key: list[str], order: str) -> DataFrame:

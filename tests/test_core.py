@@ -50,6 +50,16 @@ def test_nearest_takes_the_closest_then_the_least(spark):
     assert {r.i: r.found for r in links.nearest(left, right, "k", "t", 14, "id").collect()} == {1: 4, 2: None}
 
 
+def test_links_keep_columns_of_any_name(spark):
+    names = ["found", "_bucket", "_day", "_left", "_best", "_row", "_near", "_whole", "_carried"]
+    left = spark.createDataFrame([(1, "a", "2024-01-20")], "i int, k string, t string").select("i", "k", F.col("t").cast("date").alias("t"), *[F.lit(n).alias(n) for n in names])
+    right = spark.createDataFrame([("a", "2024-01-15", 9)], "k string, t string, id int").withColumn("t", F.col("t").cast("date"))
+    for out in (links.asof(left, right, "k", "t", ["id"], []), links.nearest(left, right, "k", "t", 14, "id")):
+        r = out.head()
+        assert out.columns == ["i", "k", "t", *names[1:], "found"] and all(r[n] == n for n in names[1:])
+        assert (r.found if isinstance(r.found, int) else r.found.id) == 9
+
+
 def test_pivot_has_all_columns_on_empty_input(spark):
     empty = spark.createDataFrame([], "patient_id long, record_id string, seq long, core_variable string, value string")
     assert facts.pivot(empty, ["patient_id"], ["Order.status", "Order.x"]).columns == ["patient_id", "status", "x"]
