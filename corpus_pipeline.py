@@ -5,17 +5,22 @@ stay with the columns of documents; the last returns their token ids. Rows witho
 of the first three stages except as exact copies; null and empty texts are texts without words; long texts are
 read whole; empty tables give empty results; other columns pass through, whatever their names. Rows that share a doc_id are told apart by their text in the first
 two stages; in the third and fourth they are one document: they go together and are taken equally often.
+
+A stage's result must be written before the next one is called, as STAGES asks: that removes the tables that the stage before wrote for itself.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm import byte_bpe, exact_dedup, mixing, toxicity
-from factloom.llm.common import maybe_broadcast, table, written
+from factloom.llm.common import made, maybe_broadcast, removed, table, written
 from factloom.llm.jaccard_join import Similarity
+from factloom.plans.shipping import ship
 
 #: The near-duplicate stage: shingles of five words, similarity of 0.8 or more.
 NEAR = Similarity(5, 80, 100)
@@ -81,12 +86,29 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+#: Tables of the stage before.
+_tables: list[str] = []
+
+
+def _stage(work):
+    """The stage as a function that first removes what the stage before has written for itself: its result is a table of its own by then."""
+
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        removed(spark, _tables)
+        with made(_tables):
+            return work(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("exact dedup", drop_exact_copies),
-    ("n-gram Jaccard join", drop_near_copies),
-    ("mixing sources", mix_sources),
-    ("byte-level BPE", encode),
+    ("toxicity", _stage(drop_toxic)),
+    ("exact dedup", _stage(drop_exact_copies)),
+    ("n-gram Jaccard join", _stage(drop_near_copies)),
+    ("mixing sources", _stage(mix_sources)),
+    ("byte-level BPE", _stage(encode)),
 ]
 #: The scores, the sampling order and the merges cannot be expressed in SQL; tests compare with brute force.
 ORACLE_SQL = None

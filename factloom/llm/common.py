@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -37,6 +38,27 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+#: Lists that take the paths of the tables written from now on (see made).
+_takers: list[list[str]] = []
+
+
+@contextmanager
+def made(paths: list[str]):
+    """Adds to paths those of the tables that are written within."""
+    _takers.append(paths)
+    try:
+        yield
+    finally:
+        _takers.pop()
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Removes tables that nothing reads any more, and empties the list of their paths."""
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Rows of an Arrow batch in jobs that write a table: texts are long, and a batch is in memory several times.
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"
 
@@ -45,6 +67,8 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and outlives lost executors. Python tasks get small batches."""
     spark = df.sparkSession
     path = new_path(spark, what)
+    for paths in _takers:
+        paths.append(path)
     name, rows = BATCH_ROWS
     before = spark.conf.get(name)
     spark.conf.set(name, rows)
