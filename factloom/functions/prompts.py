@@ -77,3 +77,11 @@ def prompts_of(annotation: Column, rules: dict[str, list[str]] | None = None) ->
         return texts.map(lambda t: known.get(t, []))
 
     return find(stripped(F.lower(annotation)))
+
+
+def shown_prompts(mapped: Column, exclusions: Column, overrides: Column) -> Column:
+    """The prompts of a note as a reviewer's page has them: those mapped to its report type (none without a mapping) but for the exclusions,
+    then the overrides that are not among them. So a prompt that is excluded and added stays, other than where exclusions come last."""
+    none = F.array().cast("array<string>")
+    kept = F.filter(F.coalesce(mapped, none), lambda p: ~F.array_contains(F.coalesce(exclusions, none), p))
+    return F.concat(kept, F.filter(F.array_distinct(F.coalesce(overrides, none)), lambda p: ~F.array_contains(kept, p)))

@@ -128,6 +128,20 @@ def p3_j10_applicable_prompts(spark, sf_dir):
     return n.select(F.col("note_id").alias("doc_id"), F.explode(F.array_intersect(every, allowed)).alias("prompt"))
 
 
+@query("""WITH m(source, allowed) AS (VALUES ('src0', ['p1', 'p2']), ('src1', ['p3'])), n AS (SELECT doc_id, list_filter(coalesce(allowed, []), lambda x: NOT (doc_id % 7 = 0 AND x IN ('p1', 'p3'))) AS k, CASE WHEN doc_id % 5 = 0 THEN ['p4', 'p1', 'p4'] ELSE [] END AS o FROM documents LEFT JOIN m USING (source)),
+s AS (SELECT doc_id, list_concat(k, list_filter(CASE WHEN len(o) > 0 THEN ['p4', 'p1'] ELSE [] END, lambda x: NOT list_contains(k, x))) AS l FROM n)
+SELECT doc_id, CAST(i - 1 AS BIGINT) AS place, l[i] AS prompt FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM s)""")
+def p3c_shown_prompts(spark, sf_dir):
+    """The prompts of each note with exclusions first, then overrides."""
+    mapping = spark.createDataFrame([("src0", ["p1", "p2"]), ("src1", ["p3"])], "report_type string, allowed array<string>")
+    n = bind.notes(spark, sf_dir).drop("text").join(F.broadcast(mapping), "report_type", "left")
+    array = lambda *p: F.array(*[F.lit(x) for x in p]).cast("array<string>")
+    less = F.when(F.col("note_id") % 7 == 0, array("p1", "p3")).otherwise(array())
+    more = F.when(F.col("note_id") % 5 == 0, array("p4", "p1", "p4")).otherwise(array())
+    out = n.select(F.col("note_id").alias("doc_id"), F.posexplode(prompts.shown_prompts(F.col("allowed"), less, more)).alias("place", "prompt"))
+    return out.withColumn("place", F.col("place").cast("long"))
+
+
 @query("SELECT doc_id, CASE WHEN text IS NULL THEN 'error: no text' WHEN doc_id % 17 = 0 THEN 'error: not readable' ELSE 'done' END AS status, CASE WHEN text IS NOT NULL AND doc_id % 17 != 0 THEN length(text) END AS n_chars FROM documents")
 def i1_incremental_notes(spark, sf_dir):
     """Notes as they come, once each; a note that cannot be worked on has its error in its status and stops no other."""
