@@ -189,6 +189,13 @@ def t1_history_notes(spark, sf_dir):
     return h.withColumns({"methods": F.array_join("methods", ","), "families": F.array_join("families", ",")})
 
 
+@query("SELECT doc_id, confidence, events FROM (" + SQL["t1_history_notes"] + ") WHERE history ORDER BY confidence DESC, events DESC, doc_id LIMIT 20")
+def k6_history_notes(spark, sf_dir):
+    """The twenty notes that are histories with the greatest confidence."""
+    h = table(spark, sf_dir, "documents").select("doc_id", hx.history(F.expr(HISTORY), F.expr(HISTORY_TYPE)).alias("h")).where("h.history")
+    return h.select("doc_id", "h.confidence", "h.events").orderBy(F.desc("confidence"), F.desc("events"), "doc_id").limit(20)
+
+
 #: Answers with several values in several forms.
 VALUES = """CASE o_orderkey % 9 WHEN 0 THEN '["a", " b ", "", "c"]' WHEN 1 THEN 'x; y;; z' WHEN 2 THEN 'one, two , three' WHEN 3 THEN '- first
 * second
