@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm import byte_bpe, exact_dedup, mixing, toxicity
-from factloom.llm.common import made, maybe_broadcast, removed, table, written
+from factloom.llm.common import BATCH_ROWS, made, maybe_broadcast, removed, table, written
 from factloom.llm.jaccard_join import Similarity
 from factloom.plans.shipping import ship
 
@@ -83,7 +83,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the text they decode to, of each row."""
     ranks = byte_bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded=True, texts=False)
 
 
 #: Tables of the stage before.
@@ -91,11 +91,13 @@ _tables: list[str] = []
 
 
 def _stage(work):
-    """The stage as a function that first removes what the stage before has written for itself: its result is a table of its own by then."""
+    """The stage as a function that first removes what the stage before has written for itself: its result is a table of its own by then.
+    Its own result, which the caller writes, is made in small batches, too: the session keeps that setting."""
 
     @wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship(spark)
+        spark.conf.set(*BATCH_ROWS)
         removed(spark, _tables)
         with made(_tables):
             return work(spark, docs, sf_dir)

@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 #: A block ends with the document that brings it to this many pieces.
-BLOCK_PIECES = 1_000_000
-#: Pieces whose ids a Python worker remembers.
-CACHE_PIECES = 600_000
+BLOCK_PIECES = 250_000
+#: Pieces whose ids a task remembers.
+CACHE_PIECES = 200_000
 #: Pieces of more bytes are merged with a heap in the task, as a fold takes quadratic time.
 LONG = 256
 NO_PAIR = 1 << 20
@@ -252,7 +254,7 @@ class Block:
 
 
 class Encoder:
-    """The ids of pieces, with memory of those met before."""
+    """The ids of pieces, with memory of those that a task met before."""
 
     def __init__(self, ranks: dict[bytes, int], pairs: dict[int, int], pattern: str):
         self.ranks, self.pairs = ranks, pairs
@@ -329,13 +331,13 @@ def _blocks(batches, find):
         yield block, kind
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, native: bool = False, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, native: bool = False, decoded: bool = False, texts: bool = True) -> DataFrame:
     """doc_id and ids (packed little-endian unsigned 32-bit integers) of each row of docs (doc_id, text, ...).
 
     Null and empty texts have no ids. Every match of the pattern is a piece of its own; a piece that is a
     token is that token. Special tokens are ordinary text. Repeated rows are encoded alike. native makes the
     merges with Spark's higher-order functions; otherwise tasks make the same fold over numpy arrays. decoded gives
-    the rows of decode() instead, made in the same tasks.
+    the rows of decode() instead, made in the same tasks; without texts, of what they decode to only the digest leaves the tasks.
     """
     spark = docs.sparkSession
     pairs = pair_ranks(ranks)
@@ -354,14 +356,18 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, native: bool
 
     def arrays(batches):
         encoder = _encoder(shared, pattern)
-        for block, name_type in _blocks(batches, encoder.split):
-            flat, length = encoder.ids(block.number)
-            yield from rows(block.names, name_type, *_gathered(np.array(block.sizes, np.int64), np.array(block.places, np.int64), flat, length))
+        try:
+            for block, name_type in _blocks(batches, encoder.split):
+                flat, length = encoder.ids(block.number)
+                yield from rows(block.names, name_type, *_gathered(np.array(block.sizes, np.int64), np.array(block.places, np.int64), flat, length))
+        finally:
+            encoder.known.clear()  # the worker may go on with other work
 
     if not native and decoded:
-        return docs.select("doc_id", "text").mapInArrow(lambda batches: _decoded(arrays(batches), ranks_of(shared)), f"doc_id {kind}, {DECODED}")
+        shape = DECODED if texts else DECODED.replace(" decoded binary,", "")
+        return docs.select("doc_id", "text").mapInArrow(trimmed(lambda batches: _decoded(arrays(batches), ranks_of(shared), texts)), f"doc_id {kind}, {shape}")
     if not native:
-        return docs.select("doc_id", "text").mapInArrow(arrays, out_schema)
+        return docs.select("doc_id", "text").mapInArrow(trimmed(arrays), out_schema)
 
     table = PairTable(pairs)
     slots = spark.sparkContext.broadcast(table.slots)
@@ -399,19 +405,24 @@ def ranks_of(shared) -> dict[bytes, int]:
     return shared.value[0]
 
 
-def _decoded(batches, ranks: dict[bytes, int]):
+def _decoded(batches, ranks: dict[bytes, int], texts: bool = True):
     size = max(ranks.values()) + 1
     raw, text = [b""] * size, [str(i).encode() for i in range(size)]
     for token, rank in ranks.items():
         raw[rank] = token
+    names = ["doc_id", "n_tokens", "ids_sha256", *["decoded"] * texts, "decoded_sha256"]
     for b in batches:
-        count, digest, whole = [], [], []
+        count, digest, whole, of_whole = [], [], [], []
         for x in b.column("ids"):
             ids = np.frombuffer(x.as_buffer(), "<u4").tolist()
             count.append(len(ids))
             digest.append(hashlib.sha256(b",".join(map(text.__getitem__, ids))).hexdigest())
-            whole.append(b"".join(map(raw.__getitem__, ids)))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array(whole, pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in whole], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded", "decoded_sha256"])
+            piece = b"".join(map(raw.__getitem__, ids))
+            of_whole.append(hashlib.sha256(piece).hexdigest())
+            if texts:
+                whole.append(piece)
+        columns = [pa.array(count, pa.int64()), pa.array(digest, pa.string()), *[pa.array(whole, pa.binary())] * texts, pa.array(of_whole, pa.string())]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], names)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:

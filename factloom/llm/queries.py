@@ -46,7 +46,7 @@ def op9_toxicity(spark, sf_dir):
 
 def op10_byte_bpe(spark, sf_dir):
     ranks = byte_bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, decoded=True).drop("decoded")
+    return byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, decoded=True, texts=False)
 
 
 def op11_simhash_join(spark, sf_dir):
