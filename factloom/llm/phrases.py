@@ -8,8 +8,8 @@ Only phrases that are frequent enough are in the stripes. Which these are is fou
 phrases of one more word whose two parts the round before found frequent. Bloom filters of bounded size tell tasks; they, and hashes that
 collide, let some phrases too many into the stripes, which count words exactly and drop them, and keep none out.
 
-Stripes of frequent prefixes may have any number of words, so a merged stripe is a set of rows (prefix, word, count), summed up
-before they are shuffled, and no group of them is ever collected.
+Stripes are merged in the tasks that made them, then by prefix, elementwise. The longest ones, of the empty prefix and of prefixes of one word, are
+cut by their words into parts that are merged apart; every merged stripe has frequent words only, each once.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 LEAST_BITS, MOST_BITS, PROBES = 1 << 16, 1 << 27, 2
 #: Bytes of text of a block, and parts of a language that are sorted before its first phrases are taken.
 BLOCK, SALTS = 1 << 22, 64
-#: Entries of stripes that a task holds before it merges them, and rows of a batch that it passes on.
-HELD, ROWS_OUT = 1 << 20, 50_000
+#: Entries of stripes that a task holds before it merges them, rows of a batch that it passes on, and parts of the stripe of a short prefix.
+HELD, ROWS_OUT, PARTS = 1 << 20, 50_000, 16
 #: Multipliers of phrase hashes.
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
@@ -194,27 +194,43 @@ def _bloom(hashes: DataFrame, count: int) -> np.ndarray:
     return out
 
 
-def merged(docs: DataFrame, blooms: list[np.ndarray]) -> DataFrame:
-    """(lang, prefix, word, n): the stripes of all texts (lang, text), merged entry by entry; a task merges those of its own blocks first.
-
-    The empty prefix's entry without a word counts all words of the language.
+def _stripes_of(table: pa.Table, keys: list[str]):
+    """Rows of a stripe each (its keys, words and their counts), from entries."""
+    table = table.sort_by([(k, "ascending") for k in keys]).combine_chunks()
+    columns = [table.column(c).combine_chunks() for c in keys]
+    n = len(table)
+    if not n:
+        return
+    same = np.ones(n - 1, bool)
+    for x in columns:
+        same &= pc.equal(x.slice(1), x.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    cut = np.concatenate([[0], np.flatnonzero(~same) + 1])
+    ends, rows = pa.array(np.append(cut, n).astype(np.int32)), pa.array(cut)
+    lists = [pa.ListArray.from_arrays(ends, table.column(c).combine_chunks().cast(t)) for c, t in (("word", pa.string()), ("n", pa.int64()))]
+    firsts = [x.take(rows) for x in columns]
+    whole = pa.RecordBatch.from_arrays([*[x.cast(pa.string()) if pa.types.is_large_string(x.type) else x for x in firsts], *lists], [*keys, "words", "counts"])
+    for i in range(0, whole.num_rows, ROWS_OUT):
+        yield whole.slice(i, ROWS_OUT)
+
+
+def _joined(held: list[pa.Table], keys: list[str]) -> pa.Table:
+    """Entries with equal keys and words as one."""
+    return pa.concat_tables(held).group_by([*keys, "word"]).aggregate([("n", "sum")]).rename_columns([*keys, "word", "n"])
+
+
+def merged(docs: DataFrame, blooms: list[np.ndarray], least: int = 1) -> DataFrame:
+    """(lang, prefix, word, n): the stripes of all texts (lang, text), merged elementwise, with entries of `least` or more.
+
+    A task merges the stripes of its own blocks; those of all tasks are dealt out by prefix and merged again, in order, so that a task holds
+    one merged stripe and what it has read since. Stripes of short prefixes, which may be long, are dealt out in parts by their words.
+    The empty prefix's entry without a word counts all words of the language and is always there.
     """
-
-    def joined(held):
-        return pa.concat_tables(held).group_by(["lang", "prefix", "word"]).aggregate([("n", "sum")]).rename_columns(["lang", "prefix", "word", "n"])
+    keys = ["lang", "prefix", "part"]
 
     def out(table):
-        # A row for each prefix: its words and their counts.
-        table = table.sort_by([("lang", "ascending"), ("prefix", "ascending")]).combine_chunks()
-        lang, prefix = (table.column(c).combine_chunks() for c in ("lang", "prefix"))
-        n = len(table)
-        same = pc.and_(pc.equal(lang.slice(1), lang.slice(0, n - 1)), pc.equal(prefix.slice(1), prefix.slice(0, n - 1))).to_numpy(zero_copy_only=False)
-        cut = np.concatenate([[0], np.flatnonzero(~same) + 1])
-        ends, rows = pa.array(np.append(cut, n).astype(np.int32)), pa.array(cut)
-        lists = [pa.ListArray.from_arrays(ends, table.column(c).combine_chunks().cast(t)) for c, t in (("word", pa.string()), ("n", pa.int64()))]
-        whole = pa.RecordBatch.from_arrays([lang.take(rows).cast(pa.string()), prefix.take(rows).cast(pa.string()), *lists], ["lang", "prefix", "words", "counts"])
-        for i in range(0, whole.num_rows, ROWS_OUT):
-            yield whole.slice(i, ROWS_OUT)
+        short = pc.invert(pc.match_substring(table.column("prefix"), " ")).to_numpy()
+        part = np.where(short, _hashed(table.column("word").combine_chunks()) % np.uint64(PARTS), np.uint64(0))
+        yield from _stripes_of(table.append_column("part", pa.array(part.astype(np.int32))), keys)
 
     def run(batches):
         held, rows = [], 0
@@ -224,17 +240,41 @@ def merged(docs: DataFrame, blooms: list[np.ndarray]) -> DataFrame:
             held.append(pa.table([block.langs.cast(pa.large_string()), *[pa.array([x] * len(words), pa.large_string()) for x in ("", None)], pa.array(words.astype(np.int64))], ["lang", "prefix", "word", "n"]))
             rows += len(held[-2])
             if rows > HELD:
-                held = [joined(held)]
+                held = [_joined(held, keys[:2])]
                 rows = len(held[0])
                 if rows > HELD // 2:
                     yield from out(held[0])
                     held, rows = [], 0
         if held:
-            yield from out(joined(held))
+            yield from out(_joined(held, keys[:2]))
+
+    def merge(batches):
+        held, rows = [], 0
+
+        def often(table):
+            return table.filter(pc.or_(pc.is_null(table.column("word")), pc.greater_equal(table.column("n"), least)))
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            words, counts = b.column("words"), b.column("counts")
+            row = pc.list_parent_indices(words)
+            held.append(pa.table([*[b.column(k).take(row) for k in keys], words.flatten(), counts.flatten()], [*keys, "word", "n"]))
+            rows += len(row)
+            if rows > HELD:
+                whole = _joined(held, keys)
+                # Rows come in order: of all stripes but the last nothing more follows.
+                last = pc.and_(pc.and_(*[pc.equal(whole.column(k), b.column(k)[-1]) for k in keys[:2]]), pc.equal(whole.column("part"), b.column("part")[-1]))
+                yield from _stripes_of(often(whole.filter(pc.invert(last))), keys)
+                held = [whole.filter(last)]
+                rows = len(held[0])
+        if held:
+            yield from _stripes_of(often(_joined(held, keys)), keys)
 
-    each = docs.select("lang", "text").mapInArrow(trimmed(run), "lang string, prefix string, words array<string>, counts array<long>")
-    entries = each.select("lang", "prefix", F.explode(F.arrays_zip("words", "counts")).alias("e")).select("lang", "prefix", F.col("e.words").alias("word"), F.col("e.counts").alias("n"))
-    return entries.groupBy("lang", "prefix", "word").agg(F.sum("n").alias("n"))
+    shape = "lang string, prefix string, part int, words array<string>, counts array<long>"
+    each = docs.select("lang", "text").mapInArrow(trimmed(run), shape)
+    whole = each.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(trimmed(merge), shape)
+    return whole.select("lang", "prefix", F.explode(F.arrays_zip("words", "counts")).alias("e")).select("lang", "prefix", F.col("e.words").alias("word"), F.col("e.counts").alias("n"))
 
 
 def _first(scored: DataFrame, top: int) -> DataFrame:
@@ -263,7 +303,7 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
         if not count:
             break
         blooms.append(_bloom(hashes, count))
-    every = written(merged(docs, blooms).where(F.col("word").isNull() | (F.col("n") >= least)), "stripes")
+    every = written(merged(docs, blooms, least), "stripes")
     stripe = every.where("word IS NOT NULL")
     phrase = F.when(F.col("prefix") == "", F.col("word")).otherwise(F.concat_ws(" ", "prefix", "word"))
     totals = stripe.select(F.col("lang").alias("t_lang"), phrase.alias("t_phrase"), F.col("n").alias("total"))
