@@ -18,22 +18,29 @@ def _grams(text: Column, n: int) -> Column:
     return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
 
+#: Lengths of the runs by which a text is looked up in others.
+RUNS = (1, 2, 3, 4, 6, 8)
+
+
 def containments(short: DataFrame, long: DataFrame, least: int = 1) -> DataFrame:
-    """(short, long) of the texts of short (column short) that are within texts of long (column long), of `least` characters or more.
+    """(short, long) of the texts of short (column short) that are within texts of long (column long), of `least` characters or more, each pair once.
 
-    A text within another shares all its runs of three characters with it (shorter texts: themselves), so one of them, the
-    rarest in long, is its key; a common key would bring together texts that have little in common.
+    A text within another shares all its runs of characters with it, so one of them, of the greatest length of RUNS that the text has
+    and the rarest in long, is its key; a common key would bring together texts that have little in common. Runs are many times the
+    texts they are of, so they are joined by shuffles only, dealt out before they are multiplied.
     """
     s = short.select("short").distinct().where(F.length("short") >= least)
-    keys = F.when(F.length("short") < 3, F.array("short")).otherwise(_grams(F.col("short"), 3))
-    l = long.select("long").distinct()
-    sizes = [n for n in (1, 2, 3) if n >= min(least, 3)]
-    grams = l.select("long", F.explode(F.array_distinct(F.flatten(F.array(*[_grams(F.col("long"), n) for n in sizes])))).alias("key"))
+    keys = F.array("short")
+    for n in RUNS:
+        keys = F.when(F.length("short") >= n, _grams(F.col("short"), n)).otherwise(keys)
+    sizes = [n for n in RUNS if n >= max(m for m in RUNS if m <= max(least, 1))]
+    parts = int(s.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = s.select("short", F.explode(keys).alias("key"))
+    grams = long.select("long").distinct().select("long", F.explode(F.flatten(F.array(*[_grams(F.col("long"), n) for n in sizes]))).alias("key")).repartition(parts, "key")
     often = grams.groupBy("key").agg(F.count("*").alias("n"))
-    own = s.select("short", F.explode(keys).alias("key")).join(often, "key", "left")
     # A key that no long text has rules the text out.
-    own = own.groupBy("short").agg(F.min_by("key", F.coalesce("n", F.lit(0))).alias("key"))
-    return own.join(grams, "key").where(F.contains("long", "short")).select("short", "long")
+    own = own.hint("merge").join(often, "key", "left").groupBy("short").agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), "key")).alias("key"))
+    return own.repartition(parts, "key").hint("merge").join(grams, "key").where(F.contains("long", "short")).select("short", "long")
 
 
 def shared_words(queries: DataFrame, entries: DataFrame, least: float) -> DataFrame:

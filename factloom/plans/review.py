@@ -217,13 +217,14 @@ def j19_note_of_annotation(spark, sf_dir):
     """By the same id, else by an id that is within the other, the first by order: equality joins on parts of ids."""
     a = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr(NOTE_OF).alias("wanted"))
     n = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("note"), F.col("c_custkey").alias("seq"))
+    n = n.hint("merge")  # as many as customers, whatever their file's size says
     wanted = a.select("wanted").distinct()
     same = wanted.join(n, F.col("wanted") == F.col("note")).select("wanted", "note")
     rest = wanted.join(same, "wanted", "left_anti")
     inside = resolve.containments(n.select(F.col("note").alias("short")), rest.select(F.col("wanted").alias("long"))).select(F.col("long").alias("wanted"), F.col("short").alias("note"))
     around = resolve.containments(rest.select(F.col("wanted").alias("short")), n.select(F.col("note").alias("long"))).select(F.col("short").alias("wanted"), F.col("long").alias("note"))
-    first = inside.unionByName(around).distinct().join(n, "note").groupBy("wanted").agg(F.min_by("note", "seq").alias("note"))
-    return a.join(same.unionByName(first), "wanted", "left").select("id", "note")
+    first = inside.unionByName(around).join(n, "note").groupBy("wanted").agg(F.min_by("note", "seq").alias("note"))
+    return a.join(same.unionByName(first).hint("merge"), "wanted", "left").select("id", "note")
 
 
 @query("SELECT o_orderkey AS id, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END, 'v' || o_custkey % 9) AS value, coalesce(CASE WHEN o_orderkey % 4 = 0 THEN '01/02/2020' END, strftime(o_orderdate, '%Y-%m-%d')) AS date FROM orders")
