@@ -7,6 +7,7 @@ open quote) is an aggregate over them. Records are split by Spark's own CSV func
 from __future__ import annotations
 
 import csv
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,6 +20,8 @@ DATA_CHARS = 50
 #: Characters of a record whose quotes are taken to span lines.
 MOST_RECORD = 1 << 24
 DELIMITERS = (";", ",", "\t", "|")
+#: Where a row of a text file stands.
+PLACE = ("_metadata.file_path AS file", "_metadata.file_block_start AS block", "monotonically_increasing_id() AS id")
 
 
 def clean_name(name: str) -> str:
@@ -40,20 +43,38 @@ def encoding_of(spark: SparkSession, path: str) -> str:
 
 
 def lines_of(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """file, block, id and line of each line: the last three tell a line's place in its file, whose blocks are read by different tasks.
-
-    UTF-16 files are decoded whole, one a task.
-    """
-    file = F.col("_metadata.file_path").alias("file")
+    """file, block, id and line of each line: the last three tell a line's place in its file, whose blocks are read by different tasks."""
     if encoding == "UTF-16":
-        whole = spark.read.format("binaryFile").load(path).select(file, F.decode("content", "UTF-16").alias("t"))
-        lines = whole.select("file", F.lit(0).cast("long").alias("block"), F.posexplode(F.split("t", "\r?\n")).alias("id", "line")).withColumn("id", F.col("id").cast("long"))
+        lines = _wide_lines(spark, path)
     else:
         value = F.col("value") if encoding == "UTF-8" else F.decode(F.col("value").cast("binary"), encoding)
-        lines = spark.read.text(path).select(file, F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), value.alias("line"))
+        lines = spark.read.text(path).selectExpr(*PLACE, "value").select("file", "block", "id", value.alias("line"))
     return lines.withColumn("line", F.regexp_replace("line", "^\ufeff|\r$", ""))
 
 
+def _wide_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of UTF-16 files, each in the order of bytes that its mark tells (high bytes first without one).
+
+    Files are split at the two bytes of a line feed. Where these are of two letters, a piece has an odd number of bytes; such pieces
+    are put together again by the parity of the bytes before them, as lines are within quotes.
+    """
+    marks = spark.read.text(path).selectExpr(*PLACE, "value").select("file", "block", "id", F.hex(F.substring(F.col("value").cast("binary"), 1, 2)).alias("mark")).where("block = 0")
+    files = marks.groupBy("file").agg(F.min_by("mark", "id").alias("mark")).collect()  # a row a file
+    out = None
+    for order, feed in (("UTF-16LE", "0A00"), ("UTF-16BE", "000A")):
+        mine = [r.file for r in files if (r.mark == "FFFE") == (order == "UTF-16LE")]
+        if not mine:
+            continue
+        pieces = spark.read.options(encoding=order, lineSep="\n").text([unquote(f) for f in mine]).selectExpr(*PLACE, "value").select("file", "block", "id", F.col("value").cast("binary").alias("line"))
+        odd = F.length("line") % 2
+        if not pieces.where(odd == 1).isEmpty():
+            whole = records_of(pieces.withColumn("line", F.hex("line")), F.length("line") / 2 % 2, feed, blank=True)
+            pieces = pieces if whole is None else whole.withColumn("line", F.unhex("line"))
+        lines = pieces.withColumn("line", F.decode("line", order))
+        out = lines if out is None else out.unionByName(lines)
+    return out
+
+
 def _not_blank(lines: DataFrame) -> DataFrame:
     return lines.where(F.trim("line") != "")
 
@@ -62,15 +83,15 @@ def _odd_quotes(line: Column) -> Column:
     return F.pmod(F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit(""))), F.lit(2)).cast("long")
 
 
-def records_of(lines: DataFrame) -> DataFrame | None:
-    """Lines (file, block, id, line) joined to records: lines that end within quotes go on with the next, after a line feed; blank ones
-    between records are left out. None if the quotes of a file do not pair, or a record would be over MOST_RECORD characters.
+def records_of(lines: DataFrame, odd: Column | None = None, feed: str = "\n", blank: bool = False) -> DataFrame | None:
+    """Lines (file, block, id, line) joined to records: lines that end within quotes (after an odd sum of `odd`) go on with the next, after
+    `feed`; blank ones between records are left out, but for `blank`. None if the quotes of a file do not pair, or a record would be over MOST_RECORD characters.
 
     A line begins within quotes if an odd number of quotes is before it: the count of each block is added up over the blocks before (a row for
     each block), then within the block, so that one file is read by as many tasks as it has blocks. Only lines of records that have
     several are shuffled.
     """
-    lines = lines.withColumn("odd", _odd_quotes(F.col("line")))
+    lines = lines.withColumn("odd", (_odd_quotes(F.col("line")) if odd is None else odd).cast("long"))
     if lines.where("odd = 1").isEmpty():
         return _not_blank(lines).drop("odd")
     lines = written(lines, "lines")
@@ -82,7 +103,7 @@ def records_of(lines: DataFrame) -> DataFrame | None:
     blocks = blocks.select("file", "block", F.coalesce(F.sum("odd").over(earlier), F.lit(0)).alias("before"))
     inside = F.pmod(F.col("before") + F.coalesce(F.sum("odd").over(above.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), F.lit(2)) == 1
     marked = lines.join(blocks, ["file", "block"]).withColumn("inside", inside).drop("before")
-    marked = written(marked.where(F.col("inside") | (F.trim("line") != "")), "marked-lines")
+    marked = written(marked.where(F.col("inside") | F.lit(blank) | (F.trim("line") != "")), "marked-lines")
     whole = marked.where("NOT inside AND odd = 0").select("file", "block", "id", "line")
     # The number of a record is that of the lines that begin one, up to it.
     begins = F.sum((~F.col("inside")).cast("long"))
@@ -91,7 +112,7 @@ def records_of(lines: DataFrame) -> DataFrame | None:
     parts = written(parts.select("file", "block", "id", "line", "record"), "parts-of-records")
     if not parts.groupBy("file", "record").agg(F.sum(F.length("line") + 1).alias("n")).where(F.col("n") > MOST_RECORD).isEmpty():
         return None
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "id", "line"))), lambda x: x["line"]), "\n")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "id", "line"))), lambda x: x["line"]), feed)
     several = parts.groupBy("file", "record").agg(F.min(F.struct("block", "id")).alias("at"), text.alias("line"))
     return whole.unionByName(several.select("file", "at.block", "at.id", "line"))
 
