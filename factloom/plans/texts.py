@@ -192,8 +192,9 @@ def t1_history_notes(spark, sf_dir):
 @query("SELECT doc_id, confidence, events FROM (" + SQL["t1_history_notes"] + ") WHERE history ORDER BY confidence DESC, events DESC, doc_id LIMIT 20")
 def k6_history_notes(spark, sf_dir):
     """The twenty notes that are histories with the greatest confidence."""
-    h = table(spark, sf_dir, "documents").select("doc_id", hx.history(F.expr(HISTORY), F.expr(HISTORY_TYPE)).alias("h")).where("h.history")
-    return h.select("doc_id", "h.confidence", "h.events").orderBy(F.desc("confidence"), F.desc("events"), "doc_id").limit(20)
+    # Through inline, as a filter on a projected column would search every text twice.
+    h = table(spark, sf_dir, "documents").select("doc_id", F.inline(F.array(hx.history(F.expr(HISTORY), F.expr(HISTORY_TYPE))))).where("history")
+    return h.select("doc_id", "confidence", "events").orderBy(F.desc("confidence"), F.desc("events"), "doc_id").limit(20)
 
 
 #: Answers with several values in several forms.
