@@ -30,6 +30,10 @@ STATUS_PHRASES = {
 TYPES = {"ENUM": "CodeableConcept", "NUMBER": "float", "DATE": "date in the ISO format ISO8601  https://en.wikipedia.org/wiki/ISO_8601 ", "TEXT": "string", "DEFAULT": "CodeableConcept"}
 
 
+#: Annotations whose sentences a task keeps at most.
+REMEMBERED = 20_000
+
+
 @dataclass
 class Parameter:
     variable: str
@@ -114,18 +118,21 @@ def matches(annotations: DataFrame, sentences: list[Sentence]) -> DataFrame:
     """A row for each sentence found in each annotation, again for each place: order, sentence_id, pos, g1, g2 beside the columns.
 
     annotations: text, prompt_type, seq and others. Those that begin with "ERROR:" are dropped, null texts find nothing. Equal annotations
-    of a batch are searched once; how many sentences there are hardly matters, as those that cannot match are not tried.
+    of a task are searched once, as far as it keeps them (REMEMBERED); how many sentences there are hardly matters, as those that cannot
+    match are not tried.
     """
     rows = annotations.withColumn("text", cleaned(F.col("text"))).where(~F.col("text").startswith("ERROR:"))
     schema = StructType(rows.schema.fields + StructType.fromDDL("order int, sentence_id string, pos int, g1 string, g2 string").fields)
 
     def run(batches):
         matcher = Matcher(sentences)
+        seen: dict[tuple[str, str], list] = {}
         for b in batches:
-            seen: dict[tuple[str, str], list] = {}
             own, found = [], []
             for n, pair in enumerate(zip(b.column("text").to_pylist(), b.column("prompt_type").to_pylist())):
                 if pair not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
                     seen[pair] = matcher.find(*pair)
                 own += [n] * len(seen[pair])
                 found += seen[pair]

@@ -27,6 +27,13 @@ class Days:
             insort(self.days, day)
             self.least[day] = one
 
+    def add_all(self, rows) -> None:
+        """Days and ids, in order only once."""
+        for day, one in rows:
+            if day not in self.least or one < self.least[day]:
+                self.least[day] = one
+        self.days = sorted(self.least)
+
     def nearest(self, day: int, within: int) -> tuple | None:
         """The id of the nearest day; the least of two equally near ones."""
         at = bisect_left(self.days, day)

@@ -2,6 +2,7 @@
 
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from factloom.operators import annotate
@@ -48,3 +49,21 @@ def test_one_patient_with_all_rows(spark):
         assert annotate.facts_of(rows, spark.createDataFrame([], S), SENTENCES).count() == min(n, 40_000)
         took.append(time.time() - began)
     assert took[1] < 8 * took[0] + 5
+
+
+def test_stored_facts_are_looked_into_when_asked_for(monkeypatch):
+    """Over batches that cut patients: of the stored facts only those of an entity that a row asks for are put in order, once."""
+    asked = []
+    add_all = annotate.Days.add_all
+    monkeypatch.setattr(annotate.Days, "add_all", lambda days, rows: asked.append(rows := list(rows)) or add_all(days, rows))
+    stored = [{"patient_id": p, "stored": True, "day": 10 * i, "core_variable": f"{e}.note", "value": str(i), "record_id": i} for p in (1, 2, 3) for i in range(40) for e in ("DiseaseExtent", "Other")]
+    new = [{"patient_id": p, "stored": False, "seq": 10 * p + k, "sentence_id": "92", "day": 100 * k + 4, "handled": [{"core_variable": "DiseaseExtent.locoRegional", "value": "true", "types": "boolean"}]} for p in (1, 3) for k in range(3)]
+    rows = sorted(stored + new, key=lambda r: (r["patient_id"], not r["stored"]))
+    row = pa.struct([("core_variable", pa.string()), ("value", pa.string()), ("types", pa.string())])
+    kinds = {"patient_id": pa.int64(), "stored": pa.bool_(), "seq": pa.int64(), "sentence_id": pa.string(), "day": pa.int32(), "core_variable": pa.string(), "value": pa.string(), "at": pa.int32(), "record_id": pa.int64(), "handled": pa.list_(row), "default": pa.struct([("core_variable", pa.string()), ("kind", pa.string()), ("value", pa.string())]), "g1": pa.string()}
+    whole = pa.RecordBatch.from_pylist(rows, schema=pa.schema(list(kinds.items())))
+    for size in (7, 1000):
+        asked.clear()
+        out = pa.Table.from_batches(annotate._fold(whole.slice(i, size) for i in range(0, len(rows), size))).to_pylist()
+        assert [(r["patient_id"], r["seq"], r["place"]) for r in out] == [(p, 10 * p + k, 10 * k) for p in (1, 3) for k in range(3)]
+        assert [len(a) for a in asked] == [40, 40]
