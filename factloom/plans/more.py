@@ -115,8 +115,9 @@ def k5_k6_latest(spark, sf_dir):
 
 @query("x AS (SELECT 1) SELECT DISTINCT core_variable FROM facts WHERE core_variable NOT IN ('Order.status', 'Order.totalprice', 'Order.date', 'Line.returnflag', 'Line.quantity', 'Customer.segment')", facts=True)
 def u6_never_checked(spark, sf_dir):
-    f = bind.facts(spark, sf_dir).select("core_variable")
-    return f.subtract(checks(spark, sf_dir).select("core_variable"))
+    # Distinct before the difference, which deals rows out by variable.
+    f = bind.facts(spark, sf_dir).select("core_variable").distinct()
+    return f.subtract(checks(spark, sf_dir).select("core_variable").distinct())
 
 
 @query("SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations WHERE text IS NOT NULL")
