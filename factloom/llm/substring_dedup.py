@@ -3,8 +3,9 @@
 A window is 50 consecutive words. Its key is the least hash of the 10-word runs in it, so equal windows
 have equal keys and a document has about one key for every twenty words. Each task counts the documents
 of its keys in a sketch; merged, the sketches overestimate the documents of every window. Only windows
-whose key is estimated in two documents or more are grouped, by 96 bits of two independent hashes; then the words of every
-run of windows are compared with those of the run they repeat, and windows of runs that differ are grouped by their words.
+whose key is estimated in two documents or more are dealt out, consecutive ones of one key as one row, and grouped by the key and a
+hash of their words; windows of a key that very many rows have are dealt out one by one. Then the words of every
+run of windows are compared, by SHA-256, with those of the run they repeat, and windows of runs that differ are grouped by their words.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ CHUNK = 1 << 16
 #: Counters of a sketch row: four for each key expected, within these bounds (the most is 16 MB a row).
 LEAST_WIDTH, MOST_WIDTH, DEPTH = 1 << 20, 1 << 27, 2
 ROWS_OUT = 50_000
+#: Rows of a key from which on its windows are dealt out one by one, and windows that a task groups at once if no key has more.
+HOT_ROWS, HELD_WINDOWS = 4096, 1 << 18
 
 
 def _window_keys(hashes: np.ndarray) -> np.ndarray:
@@ -130,7 +133,7 @@ def repeated_windows(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
 
     def suspects(batches):
         bits = shared.value
-        names = ["h1", "h2", "doc_id", "key", "start"]
+        names = ["anchor", "doc_id", "key", "start", "hashes"]
         for b in batches:
             data, at = text_bytes(b.column("text"))
             ids, keys = b.column("doc_id"), b.column("key")
@@ -144,20 +147,32 @@ def repeated_windows(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
                 for d in range(DEPTH):
                     place = _places(key, d, width)
                     often &= (bits[d, (place >> np.uint64(3)).astype(np.int64)] >> (7 - (place & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
-                starts = starts[often]
+                starts, key = starts[often], key[often]
                 if not len(starts):
                     continue
-                h1, h2 = (w.windows(WINDOW, k)[starts] >> np.uint64(64 - hash_bits) << np.uint64(64 - hash_bits) for k in (0, 1))
+                least = np.uint64(64 - hash_bits)
+                key, h = (x >> least << least for x in (key, w.windows(WINDOW, 1)[starts]))
                 row = w.row[starts]
-                out = pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), ids.take(pa.array(row + i)), keys.take(pa.array(row + i)), pa.array((starts - w.first[row]).astype(np.int32))], names)
+                cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (starts[1:] != starts[:-1] + 1) | (row[1:] != row[:-1])]))
+                of = row[cut]
+                offsets = pa.py_buffer(np.append(cut * 8, len(h) * 8).astype(np.int32))
+                hashes = pa.BinaryArray.from_buffers(pa.binary(), len(cut), [None, offsets, pa.py_buffer(np.ascontiguousarray(h))])
+                out = pa.RecordBatch.from_arrays([pa.array(key[cut].view(np.int64)), ids.take(pa.array(of + i)), keys.take(pa.array(of + i)), pa.array((starts[cut] - w.first[of]).astype(np.int32)), hashes], names)
                 for k in range(0, out.num_rows, ROWS_OUT):
                     yield out.slice(k, ROWS_OUT)
 
-    found = written(rest.mapInArrow(trimmed(suspects), f"h1 long, h2 int, doc_id {kind}, key long, start int"), "windows")
-    first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "key", "start")).alias("f"), F.max("doc_id").alias("last")).where("f.doc_id < last").drop("last")
-    # A table of its own: broadcast, or joined by a shuffle in which Spark can split a window that very many have.
-    hits = found.join(maybe_broadcast(written(first, "first-windows")), ["h1", "h2"]).where("doc_id > f.doc_id")
-    hits = hits.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "f")).alias("hits"))
+    rest_ids = rest.where("doc_id IS NOT NULL")
+    found = written(rest_ids.mapInArrow(trimmed(suspects), f"anchor long, doc_id {kind}, key long, start int, hashes binary"), "windows")
+    hot = written(found.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).select("anchor"), "hot-anchors")
+    pieces = first_places(found.join(maybe_broadcast(hot), "anchor", "left_anti"))
+    if not hot.isEmpty():
+        each = written(single_windows(found.join(maybe_broadcast(hot), "anchor", "left_semi")), "hot-windows")
+        first = each.groupBy("anchor", "h").agg(F.min(F.struct("doc_id", "key", "start")).alias("f"), F.max("doc_id").alias("last")).where("f.doc_id < last").drop("last")
+        # A table of its own: broadcast, or joined by a shuffle in which Spark can split a window that very many have.
+        more = each.join(maybe_broadcast(written(first, "first-windows")), ["anchor", "h"]).where("doc_id > f.doc_id")
+        more = more.select("doc_id", "key", "start", (F.col("start") + WINDOW).alias("stop"), F.col("f.doc_id").alias("f_id"), F.col("f.key").alias("f_key"), F.col("f.start").alias("f_start"))
+        pieces = pieces.unionByName(more)
+    hits = pieces.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "stop", "f_id", "f_key", "f_start")).alias("hits"))
     names = ["doc_id", "key", "start", "stop", "f_id", "f_key", "f_start"]
 
     def in_runs(batches):
@@ -167,11 +182,11 @@ def repeated_windows(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
             for r in b.to_pylist():
                 now = None
                 for h in sorted(r["hits"], key=lambda h: h["start"]):
-                    f, s = h["f"], h["start"]
-                    if now and s == now[3] - WINDOW + 1 and (f["doc_id"], f["key"], f["start"] - s) == (now[4], now[5], now[6] - now[2]):
-                        now[3] += 1
+                    s = h["start"]
+                    if now and s == now[3] - WINDOW + 1 and (h["f_id"], h["f_key"], h["f_start"] - s) == (now[4], now[5], now[6] - now[2]):
+                        now[3] = h["stop"]
                     elif not now or s > now[3] - WINDOW:
-                        now = [r["doc_id"], r["key"], s, s + WINDOW, f["doc_id"], f["key"], f["start"]]
+                        now = [r["doc_id"], r["key"], s, h["stop"], h["f_id"], h["f_key"], h["f_start"]]
                         out.append(now)
             cols = list(zip(*out)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (id_type, pa.int64(), pa.int32(), pa.int32(), id_type, pa.int64(), pa.int32()))], names)
@@ -179,15 +194,16 @@ def repeated_windows(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
     runs = written(hits.mapInArrow(trimmed(in_runs), f"doc_id {kind}, key long, start int, stop int, f_id {kind}, f_key long, f_start int"), "runs")
     own = passages(rest, runs.withColumn("about", F.struct("f_id", "f_key", "f_start")))
     theirs = passages(rest, runs.select(F.col("f_id").alias("doc_id"), F.col("f_key").alias("key"), F.col("f_start").alias("start"), (F.col("f_start") + F.col("stop") - F.col("start")).alias("stop")).distinct().withColumn("about", F.lit(None).cast("int")))
-    theirs = written(theirs.select(F.col("doc_id").alias("f_id"), F.col("key").alias("f_key"), F.col("start").alias("f_start"), (F.col("stop") - F.col("start")).alias("length"), F.col("words").alias("wanted")), "passages")
-    own = own.select("doc_id", "key", "start", "stop", "about.*", (F.col("stop") - F.col("start")).alias("length"), "words")
+    theirs = written(theirs.select(F.col("doc_id").alias("f_id"), F.col("key").alias("f_key"), F.col("start").alias("f_start"), (F.col("stop") - F.col("start")).alias("length"), F.sha2("words", 256).alias("wanted")), "passages")
+    own = own.select("doc_id", "key", "start", "stop", "about.*", (F.col("stop") - F.col("start")).alias("length"), F.sha2("words", 256).alias("words"))
     odd = written(own.join(maybe_broadcast(theirs), ["f_id", "f_key", "f_start", "length"]).where("words != wanted").select("doc_id", "key", "start", "stop").distinct(), "odd-runs")
     ranges = runs.select("doc_id", "key", "start", "stop")
     if not odd.isEmpty():
         # Hashes that agree for different words: all windows of their groups are grouped by their words.
         o = odd.select(F.col("doc_id").alias("o_id"), F.col("key").alias("o_key"), F.col("start").alias("o_start"), F.col("stop").alias("o_stop"))
         same = (F.col("doc_id") == F.col("o_id")) & (F.col("key") == F.col("o_key")) & F.col("start").between(F.col("o_start"), F.col("o_stop") - WINDOW)
-        again = found.join(maybe_broadcast(written(found.join(maybe_broadcast(o), same).select("h1", "h2").distinct(), "odd-groups")), ["h1", "h2"])
+        every = written(single_windows(found), "all-windows")
+        again = every.join(maybe_broadcast(written(every.join(maybe_broadcast(o), same).select("anchor", "h").distinct(), "odd-groups")), ["anchor", "h"])
         each = written(passages(rest, again.select("doc_id", "key", "start", (F.col("start") + WINDOW).alias("stop"), F.lit(None).cast("int").alias("about"))), "odd-windows")
         least = written(each.groupBy("words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last"), "odd-firsts")
         exact = each.join(maybe_broadcast(least), "words").where("doc_id > first").select("doc_id", "key", "start", "stop")
@@ -196,6 +212,80 @@ def repeated_windows(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
     return written(ranges.unionByName(copies), "ranges")
 
 
+def single_windows(found: DataFrame) -> DataFrame:
+    """A row for each window of found (anchor, doc_id, key, start, hashes): anchor, h, doc_id, key, start."""
+    kind = found.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            h, row, inside = _unpacked(b.column("hashes"))
+            at = pa.array(row)
+            out = pa.RecordBatch.from_arrays([b.column("anchor").take(at), pa.array(h.view(np.int64)), b.column("doc_id").take(at), b.column("key").take(at), pa.array((b.column("start").to_numpy()[row] + inside).astype(np.int32))], ["anchor", "h", "doc_id", "key", "start"])
+            for k in range(0, out.num_rows, ROWS_OUT):
+                yield out.slice(k, ROWS_OUT)
+
+    return found.mapInArrow(trimmed(run), f"anchor long, h long, doc_id {kind}, key long, start int")
+
+
+def _unpacked(hashes: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of every window, its row, and its place in that row."""
+    data, at = text_bytes(hashes)
+    h = np.frombuffer(data[int(at[0]) : int(at[-1])].tobytes(), np.uint64)
+    n = np.diff(at) // 8
+    return h, np.repeat(np.arange(len(n)), n), np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def first_places(found: DataFrame) -> DataFrame:
+    """Pieces (doc_id, key, start, stop, f_id, f_key, f_start) of consecutive windows whose hashes, under the same anchor, start in a document with a
+    smaller doc_id, and where they start there first. Rows come sorted by anchor and document; a task holds one anchor, or HELD_WINDOWS of several."""
+    kind = found.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "key", "start", "stop", "f_id", "f_key", "f_start"]
+
+    def pieces(rows: pa.Table):
+        rows = rows.combine_chunks()
+        ids, keys = (rows.column(c).combine_chunks() for c in ("doc_id", "key"))
+        anchor, start = (rows.column(c).to_numpy() for c in ("anchor", "start"))
+        number = ids.dictionary_encode().indices.to_numpy()
+        h, row, inside = _unpacked(rows.column("hashes").combine_chunks())
+        # Within equal hashes the first row is that of the least document: rows are sorted.
+        order = np.lexsort((np.arange(len(h)), h, anchor[row]))
+        new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (anchor[row[order]][1:] != anchor[row[order]][:-1])])
+        first = np.empty(len(h), np.int64)
+        first[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+        at = np.flatnonzero(number[row[first]] != number[row])
+        if not len(at):
+            return
+        r, f = row[at], row[first[at]]
+        ahead = start[f] + inside[first[at]]
+        cut = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (r[1:] != r[:-1]) | (f[1:] != f[:-1]) | (ahead[1:] != ahead[:-1] + 1)]))
+        own = start[r] + inside[at]
+        last = np.append(cut[1:], len(at)) - 1
+        to, of = pa.array(r[cut]), pa.array(f[cut])
+        yield pa.RecordBatch.from_arrays([ids.take(to), keys.take(to), *(pa.array(x.astype(np.int32)) for x in (own[cut], own[last] + WINDOW)), ids.take(of), keys.take(of), pa.array(ahead[cut].astype(np.int32))], names)
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            n += b.column("hashes").nbytes // 8
+            if n < HELD_WINDOWS:
+                continue
+            rows = pa.Table.from_batches(held)
+            anchor = rows.column("anchor").to_numpy()
+            cut = int(np.searchsorted(anchor, anchor[-1]))
+            if cut:
+                yield from pieces(rows.slice(0, cut))
+                held = rows.slice(cut).combine_chunks().to_batches()
+                n = sum(x.column("hashes").nbytes // 8 for x in held)
+        if held:
+            yield from pieces(pa.Table.from_batches(held))
+
+    order = ["anchor", "doc_id", "key", "start"]
+    return found.repartition("anchor").sortWithinPartitions(*order).mapInArrow(trimmed(run), f"doc_id {kind}, key long, start int, stop int, f_id {kind}, f_key long, f_start int")
+
+
 def passages(docs: DataFrame, places: DataFrame) -> DataFrame:
     """places (doc_id, key, start, stop, about) with words: those of docs (doc_id, text, key) there, joined by one space.
 
