@@ -9,7 +9,8 @@ phrases of one more word whose two parts the round before found frequent. Bloom
 collide, let some phrases too many into the stripes, which count words exactly and drop them, and keep none out.
 
 Stripes are merged in the tasks that made them, then by prefix, elementwise. The longest ones, of the empty prefix and of prefixes of one word, are
-cut by their words into parts that are merged apart; every merged stripe has frequent words only, each once.
+cut by their words into parts that are merged apart; every merged stripe has frequent words only, each once. Between tasks, stripes go in bundles of
+many, as most are short: all of a prefix, or of one part of it, are in one bundle.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ LEAST_BITS, MOST_BITS, PROBES = 1 << 16, 1 << 27, 2
 BLOCK, SALTS = 1 << 22, 64
 #: Entries of stripes that a task holds before it merges them, rows of a batch that it passes on, and parts of the stripe of a short prefix.
 HELD, ROWS_OUT, PARTS = 1 << 20, 50_000, 16
+#: Bundles at least, frequent phrases of a bundle, entries of a row of one and rows of a batch of them.
+LEAST_BUNDLES, BUNDLED, ROW_ENTRIES, BUNDLES_OUT = 256, 1 << 13, 512, 2000
 #: Multipliers of phrase hashes.
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
@@ -194,13 +197,11 @@ def _bloom(hashes: DataFrame, count: int) -> np.ndarray:
     return out
 
 
-def _stripes_of(table: pa.Table, keys: list[str]):
+def _stripes_of(table: pa.Table, keys: list[str]) -> pa.RecordBatch:
     """Rows of a stripe each (its keys, words and their counts), from entries."""
     table = table.sort_by([(k, "ascending") for k in keys]).combine_chunks()
     columns = [table.column(c).combine_chunks() for c in keys]
     n = len(table)
-    if not n:
-        return
     same = np.ones(n - 1, bool)
     for x in columns:
         same &= pc.equal(x.slice(1), x.slice(0, n - 1)).to_numpy(zero_copy_only=False)
@@ -208,9 +209,22 @@ def _stripes_of(table: pa.Table, keys: list[str]):
     ends, rows = pa.array(np.append(cut, n).astype(np.int32)), pa.array(cut)
     lists = [pa.ListArray.from_arrays(ends, table.column(c).combine_chunks().cast(t)) for c, t in (("word", pa.string()), ("n", pa.int64()))]
     firsts = [x.take(rows) for x in columns]
-    whole = pa.RecordBatch.from_arrays([*[x.cast(pa.string()) if pa.types.is_large_string(x.type) else x for x in firsts], *lists], [*keys, "words", "counts"])
-    for i in range(0, whole.num_rows, ROWS_OUT):
-        yield whole.slice(i, ROWS_OUT)
+    return pa.RecordBatch.from_arrays([*[x.cast(pa.string()) if pa.types.is_large_string(x.type) else x for x in firsts], *lists], [*keys, "words", "counts"])
+
+
+def _bundled(stripes: pa.RecordBatch, bundles: int):
+    """Rows (bundle, stripes) of some ROW_ENTRIES entries of one bundle each. A stripe's bundle depends on its keys alone."""
+    with np.errstate(over="ignore"):
+        h = mix(_hashed(stripes.column("lang")) * _A + _hashed(stripes.column("prefix")) * _B + stripes.column("part").to_numpy().astype(np.uint64))
+    bundle = (h % np.uint64(bundles)).astype(np.int32)
+    order = np.argsort(bundle, kind="stable")
+    bundle, stripes = bundle[order], stripes.take(pa.array(order))
+    row = np.cumsum(pc.list_value_length(stripes.column("words")).to_numpy()) // ROW_ENTRIES
+    cut = np.flatnonzero(np.concatenate([[True], (bundle[1:] != bundle[:-1]) | (row[1:] != row[:-1])]))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(bundle)).astype(np.int32)), stripes.to_struct_array())
+    whole = pa.RecordBatch.from_arrays([pa.array(bundle[cut]), lists], ["bundle", "stripes"])
+    for i in range(0, whole.num_rows, BUNDLES_OUT):
+        yield whole.slice(i, BUNDLES_OUT)
 
 
 def _joined(held: list[pa.Table], keys: list[str]) -> pa.Table:
@@ -218,19 +232,19 @@ def _joined(held: list[pa.Table], keys: list[str]) -> pa.Table:
     return pa.concat_tables(held).group_by([*keys, "word"]).aggregate([("n", "sum")]).rename_columns([*keys, "word", "n"])
 
 
-def merged(docs: DataFrame, blooms: list[np.ndarray], least: int = 1) -> DataFrame:
+def merged(docs: DataFrame, blooms: list[np.ndarray], least: int = 1, bundles: int = LEAST_BUNDLES) -> DataFrame:
     """(lang, prefix, word, n): the stripes of all texts (lang, text), merged elementwise, with entries of `least` or more.
 
-    A task merges the stripes of its own blocks; those of all tasks are dealt out by prefix and merged again, in order, so that a task holds
-    one merged stripe and what it has read since. Stripes of short prefixes, which may be long, are dealt out in parts by their words.
+    A task merges the stripes of its own blocks; those of all tasks are dealt out in bundles and merged again, so that a task holds
+    one merged bundle and what it has read since. Stripes of short prefixes, which may be long, are dealt out in parts by their words.
     The empty prefix's entry without a word counts all words of the language and is always there.
     """
-    keys = ["lang", "prefix", "part"]
+    keys = ["lang", "prefix"]
 
     def out(table):
         short = pc.invert(pc.match_substring(table.column("prefix"), " ")).to_numpy()
         part = np.where(short, _hashed(table.column("word").combine_chunks()) % np.uint64(PARTS), np.uint64(0))
-        yield from _stripes_of(table.append_column("part", pa.array(part.astype(np.int32))), keys)
+        yield from _bundled(_stripes_of(table.append_column("part", pa.array(part.astype(np.int32))), [*keys, "part"]), bundles)
 
     def run(batches):
         held, rows = [], 0
@@ -240,41 +254,43 @@ def merged(docs: DataFrame, blooms: list[np.ndarray], least: int = 1) -> DataFra
             held.append(pa.table([block.langs.cast(pa.large_string()), *[pa.array([x] * len(words), pa.large_string()) for x in ("", None)], pa.array(words.astype(np.int64))], ["lang", "prefix", "word", "n"]))
             rows += len(held[-2])
             if rows > HELD:
-                held = [_joined(held, keys[:2])]
+                held = [_joined(held, keys)]
                 rows = len(held[0])
                 if rows > HELD // 2:
                     yield from out(held[0])
                     held, rows = [], 0
         if held:
-            yield from out(_joined(held, keys[:2]))
+            yield from out(_joined(held, keys))
 
     def merge(batches):
         held, rows = [], 0
 
         def often(table):
-            return table.filter(pc.or_(pc.is_null(table.column("word")), pc.greater_equal(table.column("n"), least)))
+            table = table.filter(pc.or_(pc.is_null(table.column("word")), pc.greater_equal(table.column("n"), least)))
+            yield from table.select([*keys, "word", "n"]).combine_chunks().to_batches(ROWS_OUT)
 
         for b in batches:
             if not b.num_rows:
                 continue
-            words, counts = b.column("words"), b.column("counts")
+            found = b.column("stripes").flatten()
+            lang, prefix, words, counts = (found.field(c) for c in (*keys, "words", "counts"))
             row = pc.list_parent_indices(words)
-            held.append(pa.table([*[b.column(k).take(row) for k in keys], words.flatten(), counts.flatten()], [*keys, "word", "n"]))
+            bundle = b.column("bundle").take(pc.list_parent_indices(b.column("stripes"))).take(row)
+            held.append(pa.table([bundle, lang.take(row), prefix.take(row), words.flatten(), counts.flatten()], ["bundle", *keys, "word", "n"]))
             rows += len(row)
             if rows > HELD:
-                whole = _joined(held, keys)
-                # Rows come in order: of all stripes but the last nothing more follows.
-                last = pc.and_(pc.and_(*[pc.equal(whole.column(k), b.column(k)[-1]) for k in keys[:2]]), pc.equal(whole.column("part"), b.column("part")[-1]))
-                yield from _stripes_of(often(whole.filter(pc.invert(last))), keys)
+                whole = _joined(held, ["bundle", *keys])
+                # Rows come in order: of all bundles but the last nothing more follows.
+                last = pc.equal(whole.column("bundle"), b.column("bundle")[-1])
+                yield from often(whole.filter(pc.invert(last)))
                 held = [whole.filter(last)]
                 rows = len(held[0])
         if held:
-            yield from _stripes_of(often(_joined(held, keys)), keys)
+            yield from often(_joined(held, ["bundle", *keys]))
 
-    shape = "lang string, prefix string, part int, words array<string>, counts array<long>"
-    each = docs.select("lang", "text").mapInArrow(trimmed(run), shape)
-    whole = each.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(trimmed(merge), shape)
-    return whole.select("lang", "prefix", F.explode(F.arrays_zip("words", "counts")).alias("e")).select("lang", "prefix", F.col("e.words").alias("word"), F.col("e.counts").alias("n"))
+    shape = "array<struct<lang string, prefix string, part int, words array<string>, counts array<long>>>"
+    each = docs.select("lang", "text").mapInArrow(trimmed(run), f"bundle int, stripes {shape}")
+    return each.repartition("bundle").sortWithinPartitions("bundle").mapInArrow(trimmed(merge), "lang string, prefix string, word string, n long")
 
 
 def _first(scored: DataFrame, top: int) -> DataFrame:
@@ -297,13 +313,15 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     """
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
     blooms: list[np.ndarray] = []
+    total = 0
     for k in range(LONGEST):
         hashes = written(_frequent_hashes(docs, blooms, least), f"phrase-hashes-{k}")
         count = hashes.count()
         if not count:
             break
         blooms.append(_bloom(hashes, count))
-    every = written(merged(docs, blooms, least), "stripes")
+        total += count
+    every = written(merged(docs, blooms, least, max(LEAST_BUNDLES, total // BUNDLED)), "stripes")
     stripe = every.where("word IS NOT NULL")
     phrase = F.when(F.col("prefix") == "", F.col("word")).otherwise(F.concat_ws(" ", "prefix", "word"))
     totals = stripe.select(F.col("lang").alias("t_lang"), phrase.alias("t_phrase"), F.col("n").alias("total"))

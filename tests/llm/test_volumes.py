@@ -3,9 +3,11 @@
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from factloom.llm import substring_dedup
+from factloom.llm import phrases, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -52,3 +54,26 @@ def test_windows_of_one_key_are_one_row(spark, monkeypatch, hot, held, bits):
     windows = sum(max(0, len(t.split()) - 49) for _, t in rows)
     if bits == 64:
         assert tables["windows"].count() < windows / 5
+
+
+def test_stripes_go_in_bundles(spark, monkeypatch):
+    """Tasks pass on rows of many stripes each, not a row for each stripe; counts are those of Python, also if tasks merge often and rows are short."""
+    docs = spark.createDataFrame([(f"{a} {b} {c}", "en") for a in "abcdefg" for b in "hijklmn" for c in "opqrst"] * 3, "text string, lang string").repartition(3)
+    blooms = []
+    for _ in range(3):
+        hashes = phrases._frequent_hashes(docs, blooms, 2)
+        blooms.append(phrases._bloom(hashes, hashes.count()))
+    want = Counter()
+    for r in docs.collect():
+        w = r.text.split()
+        want["", None] += len(w)
+        for k in range(1, 4):
+            want.update((" ".join(w[i : i + k - 1]), w[i + k - 1]) for i in range(4 - k))
+    for held, entries in ((phrases.HELD, phrases.ROW_ENTRIES), (50, 4)):
+        monkeypatch.setattr(phrases, "HELD", held)
+        monkeypatch.setattr(phrases, "ROW_ENTRIES", entries)
+        got = phrases.merged(docs, blooms, 2, 8)
+        assert Counter({(r.prefix, r.word): r.n for r in got.collect()}) == want
+    table = pa.table([["en"] * 900, [f"p{i}" for i in range(900)], ["w"] * 900, [1] * 900, np.zeros(900, np.int32)], ["lang", "prefix", "word", "n", "part"])
+    made = [*phrases._bundled(phrases._stripes_of(table, ["lang", "prefix", "part"]), 8)]
+    assert sum(b.num_rows for b in made) <= 900 // 4 + 8 and sum(len(x) for b in made for x in b.column("stripes")) == 900
