@@ -9,7 +9,8 @@ filtered by a lower bound of the symmetric difference (parity bitmaps) and verif
 in the bucket of its first common token only, as far as the first tokens that a row carries can tell.
 
 No pairs within a group are emitted. The first round deals each bucket out in blocks and emits a spanning forest of a
-block's likely links, which are verified. The second compares what is then in different components: block
+block's likely links, which are verified. The second takes buckets of several blocks, and of the others the rows with likely
+links only, and compares what is then in different components: block
 against block, so that no task holds a bucket; the rows that are still near across components come together again
 with their whole sets, are verified in the block, and again only a forest of true links leaves it.
 """
@@ -348,14 +349,24 @@ class Similarity:
 
         return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"token long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n int, pos int, before int, prefix long, bits binary, carried binary")
 
-    def dealt(self, index: DataFrame) -> DataFrame:
+    def hot(self, index: DataFrame) -> DataFrame:
+        """The tokens of more than one block, and their rows (_n)."""
+        return written(index.groupBy("token").agg(F.count("*").alias("_n")).where(F.col("_n") > FIRST_ROWS), "hot-tokens")
+
+    def dealt(self, index: DataFrame, hot: DataFrame) -> DataFrame:
         """The rows with the block (lo = hi = id) of their token that each is in. Any split will do: the second round tries what
         blocks keep apart. It differs by token, so blocks of other tokens join them. Only tokens of more than one block, a
         few, are joined."""
-        hot = written(index.groupBy("token").agg(F.count("*").alias("_n")).where(F.col("_n") > FIRST_ROWS), "hot-tokens")
         block = F.coalesce(F.pmod(F.xxhash64("doc_id", "token"), F.ceil(F.col("_n") / FIRST_ROWS)), F.lit(0)).cast("long")
         return index.join(maybe_broadcast(hot, 24), "token", "left").withColumn("id", block).withColumns({"lo": F.col("id"), "hi": F.col("id")}).drop("_n")
 
+    def unsettled(self, index: DataFrame, hot: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The rows that the second round compares. The first compared all rows of a token of one block, by the same filters: of these only
+        rows that were likely to link there can be near another. Of hot tokens it did not compare all, so all their rows stay."""
+        some = pairs.select("token", F.explode(F.array("a", "b")).alias("doc_id")).join(maybe_broadcast(hot, 24), "token", "left_anti").distinct()
+        cold = index.join(maybe_broadcast(written(some, "likely-rows"), 32), ["token", "doc_id"], "left_semi")
+        return cold.unionByName(index.join(maybe_broadcast(hot, 24), "token", "left_semi"))
+
     def across_dealt(self, live: DataFrame, wide: DataFrame) -> DataFrame:
         """The rows (live), once for each two blocks (lo, hi) of their token that they are compared in; id is the row's block.
         wide has the tokens of more than one block and whether they are mixed, of several components; those that are not have nothing
@@ -391,7 +402,7 @@ class Similarity:
         return F.sum(F.greatest(F.lit(1.0) / BUCKET_ROWS, F.col("n") / float(BUCKET_TOKENS)))
 
     def likely(self, dealt: DataFrame) -> DataFrame:
-        """Pairs (a, b): a forest of the likely links of each block."""
+        """Pairs (token, a, b): a forest of the likely links of each block. A row that is likely to link with any of its block is in one."""
         num, den, held, most = self.num, self.den, HELD_ROWS, PAIRS
         kind = dealt.schema["doc_id"].dataType.simpleString()
 
@@ -403,10 +414,10 @@ class Similarity:
                 if found:
                     i, j, weight = (np.concatenate(x) for x in zip(*found))
                     at, ids = forest(i, j, weight, len(rows.n)), rows.rows.column("doc_id").combine_chunks()
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(i[at])), ids.take(pa.array(j[at]))], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([rows.rows.column("token").combine_chunks().take(pa.array(i[at])), ids.take(pa.array(i[at])), ids.take(pa.array(j[at]))], ["token", "a", "b"])
 
-        pairs = dealt.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(trimmed(run), f"a {kind}, b {kind}")
-        return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = dealt.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(trimmed(run), f"token long, a {kind}, b {kind}")
+        return pairs.where("a != b").select("token", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def near_across(self, dealt: DataFrame) -> DataFrame:
         """The rows (token, lo, hi, id, doc_id, component) of each block that may link with one of another component there."""
@@ -524,11 +535,12 @@ class Similarity:
         shared = spark.sparkContext.broadcast((often, (coarse, total / COARSE)))
 
         index = written(self.index(rest, width, shared), "prefixes")
-        pairs = written(self.likely(self.dealt(index)), "likely-links")
-        links = written(self.verified(pairs, rest), "links")
+        hot = self.hot(index)
+        pairs = written(self.likely(self.dealt(index, hot)), "likely-links")
+        links = written(self.verified(pairs.select("a", "b").distinct(), rest), "links")
         # What the first round has not joined: buckets of more than one component, across components.
         found = written(components(links), "components").withColumnRenamed("node", "doc_id")
-        live = index.join(maybe_broadcast(found), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        live = written(self.unsettled(index, hot, pairs), "unsettled").join(maybe_broadcast(found), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         wide = live.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), self.blocks().alias("blocks")).where("blocks > 1")
         wide = written(wide.select("token", (F.col("lo") < F.col("hi")).alias("mixed")), "wide-tokens")
         near = written(self.near_across(self.across_dealt(live, wide)), "near-rows")

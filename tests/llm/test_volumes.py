@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from factloom.llm import phrases, substring_dedup
+from factloom.llm.jaccard_join import Similarity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -77,3 +78,21 @@ def test_stripes_go_in_bundles(spark, monkeypatch):
     table = pa.table([["en"] * 900, [f"p{i}" for i in range(900)], ["w"] * 900, [1] * 900, np.zeros(900, np.int32)], ["lang", "prefix", "word", "n", "part"])
     made = [*phrases._bundled(phrases._stripes_of(table, ["lang", "prefix", "part"]), 8)]
     assert sum(b.num_rows for b in made) <= 900 // 4 + 8 and sum(len(x) for b in made for x in b.column("stripes")) == 900
+
+
+def test_second_round_takes_rows_with_likely_links_only(spark, monkeypatch):
+    """Documents that share a passage and are not near: the first round has compared them all, so the second has only the near copies."""
+    passage = [f"p{i}" for i in range(12)]
+    docs = [(i, " ".join([*passage, *(f"d{i}w{k}" for k in range(30))])) for i in range(60)]
+    docs += [(100 + i, docs[i][1] + f" more{i}") for i in range(5)]
+    seen = {}
+    for name in ("likely", "near_across"):
+
+        def watched(self, dealt, name=name, plain=getattr(Similarity, name)):
+            seen[name] = dealt.count()
+            return plain(self, dealt)
+
+        monkeypatch.setattr(Similarity, name, watched)
+    got = {r.doc_id: r.component_id for r in Similarity(3, 90, 100).join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: i - 100 if i >= 100 else i for i, _ in docs}
+    assert seen["near_across"] < seen["likely"] / 2
