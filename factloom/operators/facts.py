@@ -10,7 +10,7 @@ PLACEHOLDERS = ["n/a", "na", "none", "null", "unknown", "unk", "-", "--", ""]
 
 
 def entity(variable: Column) -> Column:
-    return F.split_part(variable, F.lit("."), F.lit(1))
+    return F.substring_index(variable, ".", 1)
 
 
 def field(variable: Column) -> Column:
@@ -35,14 +35,23 @@ def typed(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"type": kind, "number": F.when(kind.isin("float", "Integer"), number), "day": F.when(kind == "date", F.expr("try_cast(value AS DATE)"))})
 
 
-def pivot(rows: DataFrame, keys: list[str], variables: list[str], last: bool = False) -> DataFrame:
-    """A row for each keys with the first (or last) value by seq of each variable; the columns are always all variables.
+def pivot(rows: DataFrame, keys: list[str], variables: list[str], last: bool = False, order: tuple[str, ...] = ("seq", "record_id")) -> DataFrame:
+    """A row for each keys with the first (or last) value by order of each variable, without an order the least (or greatest); the columns
+    are always all variables.
 
     A conditional aggregate with partial sums on the map side; no value is collected.
     """
-    pick = F.max_by if last else F.min_by
     some = rows.where(F.col("core_variable").isin(variables))
-    return some.groupBy(*keys).agg(*[pick(F.when(F.col("core_variable") == v, F.col("value")), F.when((F.col("core_variable") == v) & F.col("value").isNotNull(), F.struct("seq", "record_id"))).alias(v.split(".")[1]) for v in variables])
+    if not variables:
+        return some.select(*keys).distinct()
+
+    def picked(v):
+        mine = F.col("core_variable") == v
+        if not order:
+            return (F.max if last else F.min)(F.when(mine, F.col("value")))
+        return (F.max_by if last else F.min_by)(F.when(mine, F.col("value")), F.when(mine & F.col("value").isNotNull(), F.struct(*order)))
+
+    return some.groupBy(*keys).agg(*[picked(v).alias(v.split(".")[1]) for v in variables])
 
 
 def first_integer(value: Column) -> Column:

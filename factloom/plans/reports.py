@@ -133,12 +133,19 @@ def p18_result_status(spark, sf_dir):
     return c.select("conv_id", "turn", fx.result_status(F.expr(RESULT), F.expr(REASON)).alias("status"))
 
 
+#: Variables of an entity that its pivot has whether or not the data have them.
+CONFIGURED = ["Line.never"]
+
+
 @query("SELECT patient_id, record_id, min(value) FILTER (core_variable = 'Line.linestatus') AS linestatus, min(value) FILTER (core_variable = 'Line.quantity') AS quantity, min(value) FILTER (core_variable = 'Line.returnflag') AS returnflag, NULL::VARCHAR AS never FROM facts WHERE core_variable LIKE 'Line.%' GROUP BY 1, 2".replace("SELECT", "x AS (SELECT 1) SELECT", 1), facts=True)
 def a1_pivot_of_found_variables(spark, sf_dir):
     """An entity that is not configured: its variables are those of the data (a small distinct list), and configured extras that never appear."""
     f = bind.facts(spark, sf_dir).where(fx.entity(F.col("core_variable")) == "Line")
     found = sorted(r.core_variable for r in f.select("core_variable").distinct().collect())  # the names of one entity's fields
-    return fx.pivot(f, ["patient_id", "record_id"], [*found, "Line.never"])
+    # A record has one place in the order, so of equal variables the least value counts. By record first, as records are read nearly in that order.
+    rows = fx.pivot(f, ["record_id", "patient_id"], found, order=())
+    never = [v for v in CONFIGURED if v not in found]
+    return rows.select("patient_id", "record_id", *[v.split(".")[1] for v in found], *[F.lit(None).cast("string").alias(v.split(".")[1]) for v in never])
 
 
 @query("SELECT patient_id, arg_max(value, seq) FILTER (core_variable = 'Order.status' AND value IS NOT NULL) AS status, arg_max(value, seq) FILTER (core_variable = 'Order.priority') AS priority, arg_max(value, seq) FILTER (core_variable = 'Order.totalprice') AS totalprice, arg_min(original_source, seq) AS original_source FROM facts WHERE core_variable IN ('Order.status', 'Order.priority', 'Order.totalprice') GROUP BY 1".replace("SELECT", "x AS (SELECT 1) SELECT", 1), facts=True)
