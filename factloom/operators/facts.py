@@ -55,7 +55,14 @@ def pivot(rows: DataFrame, keys: list[str], variables: list[str], last: bool = F
 
 
 def first_integer(value: Column) -> Column:
-    return F.nullif(F.regexp_extract(value, "-?[0-9]+", 0), F.lit(""))
+    """The first integer in a text; one that is an integer as a whole is not searched."""
+    return F.when(value.try_cast("long").cast("string") == value, value).otherwise(F.nullif(F.regexp_extract(value, "-?[0-9]+", 0), F.lit("")))
+
+
+def code_or_text(value: Column, codes: dict[str, str]) -> Column:
+    """The code of a value by a prompt's map, which is configuration, UNRESOLVED:: and the value where it has none."""
+    known = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])
+    return F.coalesce(known[value], F.concat(F.lit("UNRESOLVED::"), value))
 
 
 def aligned(tables: list[DataFrame], columns: list[str]) -> DataFrame:
