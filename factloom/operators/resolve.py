@@ -208,11 +208,23 @@ def top_candidates(queries: DataFrame, combinations: DataFrame, n: int) -> DataF
 
     combinations: code, morphology, topography, name, seq. A code counts by the first tier that reaches it: its own code 1.0; both parts
     0.9; its morphology 0.6 or up to 0.75 by the site's text; its topography 0.5 or up to 0.65 by the histology's text; its name
-    0.3 + 0.3 s from s = 0.3 on (0.6 at most). The best of each distinct key and text are taken within the dictionary before
-    queries join them, so a query meets a few times n rows, not a whole part's codes.
+    0.3 + 0.3 s from s = 0.3 on (0.6 at most). Ids that ask the same are resolved as one, so only its n best rows are multiplied by them.
+    """
+    own = F.struct("morphology", "topography", "query", normal(F.coalesce("histology_text", F.lit(""))).alias("ht"), normal(F.coalesce("topography_text", F.lit(""))).alias("tt"))
+    ids = queries.groupBy("id").agg(F.array_sort(F.collect_set(own)).alias("asked"))  # one, but for ids that come with several queries
+    alike = ids.groupBy("asked").agg(F.min("id").alias("first"))
+    best = _candidates(alike.select(F.col("first").alias("id"), F.explode("asked").alias("a")).select("id", "a.*"), combinations, n)
+    found = alike.join(best, alike["first"].eqNullSafe(best["id"])).drop("id", "first")
+    return ids.join(found, "asked").select("id", "code", "score", "method", "seq", "rank")
+
+
+def _candidates(q: DataFrame, combinations: DataFrame, n: int) -> DataFrame:
+    """The rows of top_candidates for queries whose texts are normalised (ht, tt).
+
+    The best of each distinct key and text are taken within the dictionary before queries join them, so a query meets a few times n
+    rows, not a whole part's codes.
     """
     c = combinations.withColumn("name_norm", normal(F.col("name")))
-    q = queries.withColumns({"ht": normal(F.coalesce("histology_text", F.lit(""))), "tt": normal(F.coalesce("topography_text", F.lit("")))})
     out = ["id", "code", "score", "method", "seq"]
 
     def of(rows, score, method, tier):
