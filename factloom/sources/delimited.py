@@ -7,8 +7,12 @@ open quote) is an aggregate over them. Records are split by Spark's own CSV func
 from __future__ import annotations
 
 import csv
+from contextlib import contextmanager
 from urllib.parse import unquote
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -83,38 +87,131 @@ def _odd_quotes(line: Column) -> Column:
     return F.pmod(F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit(""))), F.lit(2)).cast("long")
 
 
+@contextmanager
+def _same_blocks(spark: SparkSession):
+    """Files are split alike in every job within it, also where executors come and go between them."""
+    name = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(name, None):
+        yield
+        return
+    spark.conf.set(name, spark.sparkContext.defaultParallelism)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name)
+
+
+class _Open:
+    """The record that a task is within: its first line's place, and its lines as long as they are no more than MOST_RECORD characters."""
+
+    def __init__(self, nr: int, at: int, place: int, most: int):
+        self.nr, self.at, self.place, self.most, self.size, self.lines = nr, at, place, most, 0, []
+
+    def add(self, lines: pa.Array, size: int) -> None:
+        self.size += size
+        if self.size > self.most:
+            self.lines = []
+        else:
+            self.lines += lines.to_pylist()
+
+    def row(self, closed: bool, feed: str) -> pa.RecordBatch:
+        place = self.place or (0 if closed else 2)
+        return _piece_rows([self.nr], [self.at], pa.array([feed.join(self.lines)], pa.string()), [place], [self.size])
+
+
+def _piece_rows(nr, at, lines: pa.Array, place, size) -> pa.RecordBatch:
+    columns = [pa.array(nr, pa.int64()), pa.array(at, pa.int64()), lines.cast(pa.string()), pa.array(place, pa.int32()), pa.array(size, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, ["nr", "id", "line", "place", "size"])
+
+
+def _pieces(feed: str, most: int):
+    """Lines of blocks (nr, before, id, odd, line), in their order, to records and pieces of records: nr, id, line, place, size.
+
+    place is 0 for a record of one block, 1 for what a block has of a record begun before it, 2 for what it has of one that goes on after
+    it. size is the sum of characters, and one a line, of records of several lines. A task holds one batch and one record.
+    """
+
+    def run(batches):
+        held, last, inside, seen = None, None, 0, -1
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            if b.column("nr").null_count:
+                raise ValueError("the files have been split in another way since their quotes were counted")
+            nr, before, ids, odd = (b.column(c).to_numpy(zero_copy_only=False) for c in ("nr", "before", "id", "odd"))
+            if ids[0] <= seen or (np.diff(ids) <= 0).any():
+                raise ValueError("lines are not in their order")
+            lines = b.column("line")
+            new = np.concatenate([[nr[0] != last], nr[1:] != nr[:-1]])
+            starts = np.flatnonzero(new | (np.arange(n) == 0))
+            first = np.where(new[starts], before[starts], inside)
+            earlier = np.cumsum(odd) - odd
+            within = (np.repeat(first - earlier[starts], np.diff(np.append(starts, n))) + earlier) % 2
+            after = (within + odd) % 2
+            size = pc.utf8_length(lines).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            begins = np.flatnonzero((within == 0) | new)
+            upto = begins[0] if len(begins) else n
+            if upto:
+                held.add(lines.slice(0, upto), int(size[:upto].sum()))
+            if held and (len(begins) or not after[-1]):
+                yield held.row(not (after[upto - 1] if upto else inside), feed)
+                held = None
+            if len(begins):
+                ends = np.append(begins[1:], n)
+                open_ = after[ends - 1] == 1
+                place = np.where(within[begins] == 1, 1, np.where(open_, 2, 0))
+                sizes = np.where((place == 0) & (ends - begins == 1), 0, np.add.reduceat(size, begins))
+                k = len(begins) - int(open_[-1])
+                if k < len(begins):
+                    held = _Open(int(nr[begins[k]]), int(ids[begins[k]]), int(within[begins[k]]), most)
+                    held.add(lines.slice(begins[k], n - begins[k]), int(sizes[k]))
+                if k:
+                    some = pa.ListArray.from_arrays(pa.array(np.append(begins[:k], ends[k - 1]) - begins[0], pa.int32()), lines.slice(begins[0], ends[k - 1] - begins[0]))
+                    yield _piece_rows(nr[begins[:k]], ids[begins[:k]], pc.binary_join(some, feed), place[:k], sizes[:k])
+            last, inside, seen = nr[-1], after[-1], ids[-1]
+        if held:
+            yield held.row(False, feed)
+
+    return run
+
+
 def records_of(lines: DataFrame, odd: Column | None = None, feed: str = "\n", blank: bool = False) -> DataFrame | None:
     """Lines (file, block, id, line) joined to records: lines that end within quotes (after an odd sum of `odd`) go on with the next, after
     `feed`; blank ones between records are left out, but for `blank`. None if the quotes of a file do not pair, or a record would be over MOST_RECORD characters.
 
     A line begins within quotes if an odd number of quotes is before it: the count of each block is added up over the blocks before (a row for
-    each block), then within the block, so that one file is read by as many tasks as it has blocks. Only lines of records that have
-    several are shuffled.
+    each block, which is broadcast), then within the block as its lines are read, so that one file is read by as many tasks as it has blocks.
+    The task that reads a block joins its lines, in their order, and the records are written once. Of what is read only the records that
+    go over the end of a block are shuffled, two pieces a block at most.
     """
     lines = lines.withColumn("odd", (_odd_quotes(F.col("line")) if odd is None else odd).cast("long"))
     if lines.where("odd = 1").isEmpty():
         return _not_blank(lines).drop("odd")
-    lines = written(lines, "lines")
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    above = Window.partitionBy("file", "block").orderBy("id")
-    blocks = written(lines.groupBy("file", "block").agg(F.sum("odd").alias("odd")), "quote-blocks")
-    if not blocks.groupBy("file").agg((F.sum("odd") % 2).alias("open")).where("open = 1").isEmpty():
-        return None
-    blocks = blocks.select("file", "block", F.coalesce(F.sum("odd").over(earlier), F.lit(0)).alias("before"))
-    inside = F.pmod(F.col("before") + F.coalesce(F.sum("odd").over(above.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), F.lit(2)) == 1
-    marked = lines.join(blocks, ["file", "block"]).withColumn("inside", inside).drop("before")
-    marked = written(marked.where(F.col("inside") | F.lit(blank) | (F.trim("line") != "")), "marked-lines")
-    whole = marked.where("NOT inside AND odd = 0").select("file", "block", "id", "line")
-    # The number of a record is that of the lines that begin one, up to it.
-    begins = F.sum((~F.col("inside")).cast("long"))
-    starts = marked.groupBy("file", "block").agg(begins.alias("n")).select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    parts = marked.join(starts, ["file", "block"]).withColumn("record", F.col("base") + begins.over(above.rowsBetween(Window.unboundedPreceding, 0))).where("inside OR odd = 1")
-    parts = written(parts.select("file", "block", "id", "line", "record"), "parts-of-records")
-    if not parts.groupBy("file", "record").agg(F.sum(F.length("line") + 1).alias("n")).where(F.col("n") > MOST_RECORD).isEmpty():
+    with _same_blocks(lines.sparkSession):
+        blocks = lines.groupBy("file", "block").agg(F.sum("odd").alias("odd")).withColumn("before", F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2)
+        goes_on = (F.col("before") + F.col("odd")) % 2
+        blocks = blocks.withColumns({"goes_on": goes_on, "opens": F.when(F.col("odd") > 0, goes_on).otherwise(0)})
+        # The number of a record that goes over the end of a block is that of the blocks, up to it, in which such records begin.
+        blocks = blocks.select(F.monotonically_increasing_id().alias("nr"), "file", "block", "before", "goes_on", F.coalesce(F.sum("opens").over(earlier), F.lit(0)).alias("record"))
+        blocks = written(blocks, "quote-blocks")
+        if not blocks.groupBy("file").agg(F.max_by("goes_on", "block").alias("open")).where("open = 1").isEmpty():
+            return None
+        placed = lines.join(F.broadcast(blocks.select("file", "block", "nr", "before")), ["file", "block"], "left").select("nr", "before", "id", "odd", "line")
+        pieces = placed.mapInArrow(_pieces(feed, MOST_RECORD), "nr long, id long, line string, place int, size long")
+        pieces = pieces.where(F.lit(blank) | (F.col("place") > 0) | (F.trim("line") != ""))
+        number = F.when(F.col("place") > 0, F.col("record") + (F.col("place") == 2).cast("int"))
+        pieces = pieces.join(F.broadcast(blocks.select("nr", "file", "block", "record")), "nr").withColumn("record", number)
+        pieces = written(pieces.select("file", "block", "id", "line", "record", "size"), "records")
+    whole, parts = pieces.where("record IS NULL"), pieces.where("record IS NOT NULL")
+    sizes = whole.select("size").unionByName(parts.groupBy("file", "record").agg(F.sum("size").alias("size")).select("size"))
+    if not sizes.where(F.col("size") > MOST_RECORD).isEmpty():
         return None
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "id", "line"))), lambda x: x["line"]), feed)
     several = parts.groupBy("file", "record").agg(F.min(F.struct("block", "id")).alias("at"), text.alias("line"))
-    return whole.unionByName(several.select("file", "at.block", "at.id", "line"))
+    several = written(several.select("file", "at.block", "at.id", "line"), "records-over-blocks")
+    return whole.select("file", "block", "id", "line").unionByName(several)
 
 
 def header_of(records: DataFrame) -> str | None:
@@ -124,9 +221,12 @@ def header_of(records: DataFrame) -> str | None:
 
 
 def without_header(records: DataFrame, header: str) -> DataFrame:
-    """Records without the first of each file, where that is the header; others like it are rows."""
-    first = records.groupBy("file").agg(F.min(F.struct("block", "id", "line")).alias("f")).where(F.col("f.line") == header).select("file", "f.block", "f.id")
-    return records.join(first, ["file", "block", "id"], "left_anti")
+    """Records without the first of each file, where that is the header; others like it are rows. A row for each file is broadcast, so that
+    no record is shuffled."""
+    place = ["file", "block", "id"]
+    least = records.groupBy("file", "block").agg(F.min("id").alias("id")).groupBy("file").agg(F.min(F.struct("block", "id")).alias("f"))
+    first = records.join(F.broadcast(least.select("file", "f.block", "f.id")), place).where(F.col("line") == header).select(*place)
+    return records.join(F.broadcast(first), place, "left_anti")
 
 
 def fields(line: str, delimiter: str) -> list[str]:

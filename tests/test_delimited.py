@@ -2,6 +2,7 @@
 
 import csv
 import io
+import random
 
 import pytest
 
@@ -67,3 +68,38 @@ def test_no_lines(spark, tmp_path):
 def test_utf_16(spark, tmp_path):
     path = saved(tmp_path, "wide.csv", 'id;text\n1;"a\nb"\nid;text\n', "utf-16")
     assert sorted(map(tuple, delimited.read_notes(spark, path, ["id", "text"]).collect())) == [("1", "a\nb"), ("id", "text")]
+
+
+def brute_records(lines):
+    out, held = [], None
+    for line in lines:
+        held = line if held is None else f"{held}\n{line}"
+        if held.count('"') % 2 == 0:
+            if held.strip(" "):
+                out.append(held)
+            held = None
+    return out
+
+
+def test_records_are_joined_where_lines_are_read(spark, tmp_path, small_blocks, monkeypatch):
+    """Whatever the blocks and batches; lines are written once, as records, and only pieces at the ends of blocks pass between tasks."""
+    made = {}
+    monkeypatch.setattr(delimited, "written", lambda df, what, f=delimited.written: made.setdefault(what, f(df, what)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    rng, want = random.Random(5), []
+    try:
+        for i in range(3):
+            lines = [rng.choice(["", " ", "plain", 'an "open', 'one "shut" one', '"', '""', "x" * 70]) if k % 40 > 25 else rng.choice(["", "y" * 30, "z"]) for k in range(160)]
+            lines += ['"'] * (sum(x.count('"') for x in lines) % 2)
+            saved(tmp_path, f"{i}.csv", "\n".join(lines) + "\n")
+            want += brute_records(lines)
+        records = delimited.records_of(delimited.lines_of(spark, str(tmp_path), "UTF-8"))
+        got = [r.line for r in records.orderBy("file", "block", "id").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got) == sorted(want) and got[: len(want) // 4] == want[: len(want) // 4] and any(x.count("\n") > 20 for x in want)
+    blocks = made["quote-blocks"].count()
+    tables = [t for t in made.values() if "line" in t.columns]
+    assert blocks > 30 and sum(t.count() for t in tables) <= len(want) + 2 * blocks
+    plan = delimited.without_header(records, got[0])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and not any("Aggregate" in x and "line#" in x for x in plan.splitlines())
